@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from quern.llm import near_dup
+from quern.llm import near_dup, packing, quality
 
 
 def queries() -> dict:
     return {
         "op3_minhash_near_dedup": near_dup.op3,
+        "op4_best_fit_packing": packing.op4,
+        "op6_quality_rules": quality.op6,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_quality_rules": quality.OP6_SQL}
