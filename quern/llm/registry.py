@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from quern.llm import near_dup, packing, quality
+from quern.llm import near_dup, packing, quality, warc
 
 
 def queries() -> dict:
     return {
         "op3_minhash_near_dedup": near_dup.op3,
         "op4_best_fit_packing": packing.op4,
+        "op5_warc_writer": warc.op5,
         "op6_quality_rules": quality.op6,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality.OP6_SQL}
+    return {"op5_warc_writer": warc.OP5_SQL, "op6_quality_rules": quality.OP6_SQL}
