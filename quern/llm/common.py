@@ -77,4 +77,27 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(*(columns or ("doc_id", "text")))
 
 
-__all__ = ["F", "WORD_SPACE", "WordHash", "arrow_map", "documents", "materialize", "mix64", "run_hash", "shared_dir", "spark_schema", "table", "texts"]
+BINS = 65_536
+
+
+def id_ranges(narrow: DataFrame, key: str, shards: int) -> tuple[list[int], int, int]:
+    """Shard of each of at most BINS equal ranges of an integer key, with about equal row counts, and the first key and range width.
+
+    The counts are one row for each range, whatever the table's size. Nulls count as the first range.
+    """
+    low, high, n = narrow.agg(F.min(key), F.max(key), F.count("*")).first()
+    low = low or 0
+    step = max(1, -(-((high or 0) - low + 1) // BINS))
+    counts = dict(narrow.groupBy(range_of(key, low, step).alias("b")).agg(F.count("*").alias("n")).collect())
+    out, seen, each = [], 0, max(1, -(-n // shards))
+    for b in range(min(BINS, ((high or 0) - low) // step + 1)):
+        out.append(seen // each)
+        seen += counts.get(b, 0)
+    return out, low, step
+
+
+def range_of(key: str, low: int, step: int):
+    return F.coalesce(F.floor((F.col(key) - low) / F.lit(step)), F.lit(0)).cast("int")
+
+
+__all__ = ["F", "WORD_SPACE", "WordHash", "arrow_map", "documents", "id_ranges", "materialize", "mix64", "range_of", "run_hash", "shared_dir", "spark_schema", "table", "texts"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import near_dup, packing, quality, warc
+from quern.llm import license_scan, near_dup, packing, quality, spotsigs, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op4_best_fit_packing": packing.op4,
         "op5_warc_writer": warc.op5,
         "op6_quality_rules": quality.op6,
+        "op8_spotsigs_fingerprints": spotsigs.op8,
+        "op10_license_scan": license_scan.op10,
     }
 
 
