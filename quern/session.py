@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +51,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Make this package importable in the session's Python workers, once for each context."""
+    context = spark.sparkContext
+    if not getattr(context, "_quern_shipped", False):
+        top = pathlib.Path(__file__).resolve().parent
+        archive = pathlib.Path(tempfile.mkdtemp(prefix="quern-")) / "quern.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for p in sorted(top.rglob("*.py")):
+                z.write(p, p.relative_to(top.parent))
+        context.addPyFile(str(archive))
+        context._quern_shipped = True
+    return spark
