@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quern.llm import license_scan, near_dup, packing, quality, spotsigs, warc
+from quern.llm import license_scan, near_dup, packing, quality, spotsigs, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op2_toxicity": toxicity.op2,
         "op3_minhash_near_dedup": near_dup.op3,
         "op4_best_fit_packing": packing.op4,
         "op5_warc_writer": warc.op5,
