@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from quern.llm import license_scan, near_dup, packing, quality, spotsigs, toxicity, warc
+from quern.llm import license_scan, line_dedup, mixing, near_dup, packing, pii, quality, spotsigs, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_pii_pseudonyms": pii.op1,
         "op2_toxicity": toxicity.op2,
         "op3_minhash_near_dedup": near_dup.op3,
         "op4_best_fit_packing": packing.op4,
         "op5_warc_writer": warc.op5,
         "op6_quality_rules": quality.op6,
+        "op7_line_dedup": line_dedup.op7,
         "op8_spotsigs_fingerprints": spotsigs.op8,
+        "op9_mixing": mixing.op9,
         "op10_license_scan": license_scan.op10,
     }
 
