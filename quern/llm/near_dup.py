@@ -7,7 +7,7 @@ coordinate. Nodes of at most ``LIMIT`` classes are compared exhaustively through
 larger nodes branch again. A pair of similarity 0.75 shares a child with probability 0.84 at one level and a leaf of a
 tree with probability 0.6 or more, so ten trees miss less than one such pair in ten thousand. Every link is confirmed
 on the full sets. Only what connectivity needs is confirmed: first each class with its best partner and its leaf's
-hub, then all pairs of a leaf that are still in different components. A node that stays large after ``MAX_DEPTH``
+hub, then, by bit sets of the shingles that members share, all pairs of a leaf that are still in different components. A node that stays large after ``MAX_DEPTH``
 levels is compared in blocks: all members with common pivots, then the members outside the node's main component with
 all members.
 
@@ -27,7 +27,7 @@ from quern.llm.common import WordHash, arrow_map, materialize, mix64, run_hash,
 
 WIDTH, NUM, DEN = 5, 75, 100
 TREES, COORDS, PERMS = 10, 64, 256
-LIMIT, MAX_DEPTH, PIVOTS, CHUNK = 1000, 10, 32, 256
+LIMIT, MAX_DEPTH, PIVOTS, CHUNK = 2048, 10, 32, 256
 #: Four standard deviations of the sketch's estimate below the threshold.
 SKETCH_LEAST = 0.62
 
@@ -115,29 +115,20 @@ def _similar(bits: list[bytes]) -> np.ndarray:
     return ((1 - out / PERMS) - 0.25) / 0.75
 
 
-def leaf_pairs(leaves: DataFrame, crossing: bool) -> DataFrame:
-    """Rows of leaf, members (set_id, bits, label) to candidate pairs a < b.
-
-    crossing: all pairs with different labels; else each member's best partner and the leaf's hub with its partners.
-    """
+def best_pairs(leaves: DataFrame) -> DataFrame:
+    """Rows of leaf, members to candidate pairs a < b: each member's best partner, and the leaf's hub with its partners."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         left, right = [], []
         for members in batch.column("members").to_pylist():
             ids = np.array([m["set_id"] for m in members], dtype=np.int64)
-            label = np.array([m["label"] for m in members], dtype=np.int64)
-            if len(ids) < 2 or crossing and (label == label[0]).all():
-                continue
             est = _similar([m["bits"] for m in members])
             np.fill_diagonal(est, -1)
             near = est >= SKETCH_LEAST
-            if crossing:
-                a, b = np.nonzero(np.triu(near & (label[:, None] != label[None, :])))
-            else:
-                best, some = est.argmax(1), near.any(1)
-                hub = near.sum(1).argmax()
-                a = np.concatenate([np.flatnonzero(some), np.flatnonzero(near[hub])])
-                b = np.concatenate([best[some], np.full(near[hub].sum(), hub)])
+            best, some = est.argmax(1), near.any(1)
+            hub = near.sum(1).argmax()
+            a = np.concatenate([np.flatnonzero(some), np.flatnonzero(near[hub])])
+            b = np.concatenate([best[some], np.full(near[hub].sum(), hub)])
             left.append(np.minimum(ids[a], ids[b])), right.append(np.maximum(ids[a], ids[b]))
         z = [np.zeros(0, dtype=np.int64)]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left or z)), pa.array(np.concatenate(right or z))], ["a", "b"])
@@ -145,6 +136,67 @@ def leaf_pairs(leaves: DataFrame, crossing: bool) -> DataFrame:
     return arrow_map(leaves.select("members"), one, "a long, b long").where("a != b").distinct()
 
 
+def open_members(leaves: DataFrame) -> DataFrame:
+    """Rows of leaf, members to leaf, set_id and label of members that may be linked with one of another label."""
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[list] = [[np.zeros(0, dtype=np.int64)] for _ in range(3)]
+        for leaf, members in zip(batch.column("leaf").to_pylist(), batch.column("members").to_pylist(), strict=True):
+            label = np.array([m["label"] for m in members], dtype=np.int64)
+            if (label == label[0]).all():
+                continue
+            near = (_similar([m["bits"] for m in members]) >= SKETCH_LEAST) & (label[:, None] != label[None, :])
+            some = near.any(1)
+            ids = np.array([m["set_id"] for m in members], dtype=np.int64)[some]
+            for c, v in zip(out, (np.full(len(ids), leaf, dtype=np.int64), ids, label[some]), strict=True):
+                c.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["leaf", "set_id", "label"])
+
+    return arrow_map(leaves.select("leaf", "members"), one, "leaf long, set_id long, label long")
+
+
+def crossing_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """leaf, set_id, label to links a, b that join labels of a leaf, decided on the full sets of all its pairs."""
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        left, right = [], []
+        for members_ in batch.column("members").to_pylist():
+            ids, label = [m["set_id"] for m in members_], np.array([m["label"] for m in members_], dtype=np.int64)
+            items = [np.frombuffer(m["items"], dtype=np.uint64) for m in members_]
+            size = np.array([len(x) for x in items])
+            # one bit for each shingle that several members have
+            row = np.repeat(np.arange(len(items)), size)
+            _, column, count = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+            shared = count[column] > 1
+            names, column = np.unique(column[shared], return_inverse=True)
+            width = -(-max(1, len(names)) // 64) * 8
+            bits = np.zeros((len(items), width), dtype=np.uint8)
+            np.bitwise_or.at(bits, (row[shared], column >> 3), (1 << (column & 7)).astype(np.uint8))
+            bits = bits.view(np.uint64)
+            root: dict[int, int] = {}
+
+            def find(v: int, root=root) -> int:
+                while root.setdefault(v, v) != v:
+                    root[v] = root[root[v]]
+                    v = root[v]
+                return v
+
+            for i in range(len(ids) - 1):
+                other = np.flatnonzero((label[i + 1 :] != label[i]) & (DEN * np.minimum(size[i + 1 :], size[i]) >= NUM * np.maximum(size[i + 1 :], size[i]))) + i + 1
+                if not len(other):
+                    continue
+                common = np.bitwise_count(bits[other] & bits[i]).sum(1, dtype=np.int64)
+                for j in other[DEN * common >= NUM * (size[other] + size[i] - common)].tolist():
+                    a, b = find(int(label[i])), find(int(label[j]))
+                    if a != b:
+                        root[a] = b
+                        left.append(ids[i]), right.append(ids[j])
+        return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    x = members.join(sets, "set_id").groupBy("leaf").agg(F.collect_list(F.struct("set_id", "label", "items")).alias("members"))
+    return arrow_map(x.select("members"), one, "a long, b long")
+
+
 def chosen_path(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """classes (set_id, coords) to leaves (leaf, set_id) and members (node, set_id) of nodes that stayed large."""
     frontier = classes.select("set_id", "coords", F.expr(f"sequence(1L, {TREES}L)").alias("nodes"))
@@ -254,22 +306,22 @@ def _spanning(items: dict[int, np.ndarray], pairs) -> list[tuple[int, int]]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """set_id, label of each connected component (alternating large-star and small-star)."""
-    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "cc")
-    before = None
-    for _ in range(60):
-        both = e.union(e.select(F.col("v"), F.col("u"))).toDF("u", "v")
+    """set_id, label of each connected component (alternating large-star and small-star until all is stars)."""
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
+    while True:
+        both = e.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         m = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(m, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
-        m2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(m2, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = materialize(small.where("u != v").distinct(), "cc")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return e.groupBy(F.col("u").alias("set_id")).agg(F.min("v").alias("label"))
+        large = both.join(m, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        m = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(m, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        e = materialize(small.where("u != v").distinct(), "stars")
+        if e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
+            return e.select(F.col("u").alias("set_id"), F.col("v").alias("label"))
+
+
+def named_by(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """set_id, label of every class; one without links is its own."""
+    return materialize(classes.select("set_id").join(labels, "set_id", "left").select("set_id", F.coalesce("label", "set_id").alias("label")), "labels")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -279,7 +331,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     classes = materialize(full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("coords").alias("coords"), F.first("bits").alias("bits")), "classes")
     leaves, large = chosen_path(classes)
     leaves = leaves if large is None else leaves.unionByName(_pivot_blocks(large))
-    first = materialize(leaf_pairs(with_members(leaves, classes, None), crossing=False), "pairs")
+    first = materialize(best_pairs(with_members(leaves, classes, None)), "pairs")
 
     # the sets of all that may be confirmed in either round
     wanted = first.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
@@ -295,19 +347,16 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     # rows that repeat a doc_id: the one whose set is meant has the right length; equal sets are one
     sets = materialize(arrow_map(chosen.select("set_id", "text"), items, "set_id long, items binary").groupBy("set_id").agg(F.max_by("items", F.length("items")).alias("items")), "sets")
     links = materialize(confirm(first, sets), "links")
-    labels = components(links)
-    all_labels = classes.select("set_id").join(labels, "set_id", "left").select("set_id", F.coalesce("label", "set_id").alias("label"))
-    all_labels = materialize(all_labels, "labels")
-    again = leaf_pairs(with_members(leaves, classes, all_labels), crossing=True)
+    labels = named_by(classes, components(links))
+    crossing = open_members(with_members(leaves, classes, labels))
     if large is not None:
-        again = again.union(leaf_pairs(with_members(_rest_blocks(large, all_labels), classes, all_labels), crossing=True)).distinct()
-    again = materialize(again, "crossing")
-    if not again.isEmpty():
-        # a component in the first round is one vertex of the second
-        more = materialize(confirm(again, sets), "links")
+        crossing = crossing.union(open_members(with_members(_rest_blocks(large, labels), classes, labels)))
+    crossing = materialize(crossing, "crossing")
+    if not crossing.isEmpty():
+        more = materialize(crossing_links(crossing, sets), "links")
         if not more.isEmpty():
-            labels = components(links.union(more))
-            all_labels = classes.select("set_id").join(labels, "set_id", "left").select("set_id", F.coalesce("label", "set_id").alias("label"))
+            labels = named_by(classes, components(links.union(more)))
+    all_labels = labels
     named = classes.select("set_id", "rep").join(all_labels, "set_id")
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = named.join(least, "label").select("set_id", "component_id")
