@@ -366,10 +366,11 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each component, with all its columns; repeated rows of a kept document leave one."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
+    """One document of each component, with all its columns; of rows that repeat a doc_id one stays, rows without doc_id all do."""
+    kept = near_duplicates(docs).where("kept").select("doc_id", F.lit(True).alias("_kept")).distinct()
     once = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c in docs.columns if c != "doc_id"]))
-    return docs.join(kept, "doc_id", "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1").select(docs.columns)
+    x = docs.join(kept, "doc_id", "left").where("_kept OR doc_id IS NULL").withColumn("_n", F.row_number().over(once))
+    return x.where("_n = 1 OR doc_id IS NULL").select(docs.columns)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
