@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from quern.plans import search_queries
+
+_ALL = [search_queries.R]
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for r in _ALL for k, v in r.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for r in _ALL for k, v in r.sql.items()}
