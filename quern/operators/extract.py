@@ -20,6 +20,8 @@ _ID = r"[A-Za-z_]\w*"
 _JS = r"[A-Za-z_$][\w$]*"
 #: Names that look like calls but are part of the language.
 _C_LIKE = "if for while switch return sizeof do else case new delete throw catch try finally"
+#: No declaration is named so.
+CONTROL = frozenset("if for while switch return else do catch match foreach elif until".split())
 KEYWORDS = {
     "go": "if for range switch select go defer return func make new append len cap panic recover close delete copy print println complex real imag",
     "javascript": "if for while switch return new typeof instanceof await yield throw try catch finally delete void import export require function",
@@ -145,7 +147,7 @@ def declarations(path: str, text: str, infer_end_line: bool = True) -> list[dict
             g = m.groupdict()
             name = g.get("name") or g.get("name2")
             at = m.start("name") if g.get("name") else m.start("name2")
-            if not name or (name, at) in taken or name in KEYWORDS[lang.name].split():
+            if not name or (name, at) in taken or name in CONTROL:
                 continue
             taken.add((name, at))
             head = m.start() + len(m.group()) - len(m.group().lstrip())

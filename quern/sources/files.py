@@ -16,7 +16,7 @@ from quern.functions import paths as P
 
 def _binary(spark: SparkSession, root: str) -> DataFrame:
     x = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    whole = root.rstrip("/").removeprefix("file:")
+    whole = re.sub(r"^file:/*", "/", root).rstrip("/")
     return x.withColumn("path", F.substring_index(F.col("path"), f"{whole}/", -1))
 
 
