@@ -147,8 +147,8 @@ def rates(docs: DataFrame, labels: DataFrame, column: str = "quality", weights:
 
 def mix(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Each row as often as its rate says: the whole part, and one more by a hash of the row for the rest."""
-    x, _ = rates(docs, labels, **options)
-    return x.where("copies > 0").withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
+    x, _ = rates(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")), labels, **options)
+    return x.where("copies > 0").withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

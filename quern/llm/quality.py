@@ -5,8 +5,8 @@ failed rule. Policies are versioned masks over those bits, so applying another p
 rejects (an ablation), is arithmetic on the ledger and never reads a text again.
 
 Edge cases: a null or empty text has no words, measures 0 throughout and fails ``few_words``; a null doc_id is
-kept as null; repeated rows are measured each; extra columns pass through ``ledger`` unless their names clash with
-the ledger's, in which case the ledger's win; an empty table gives an empty ledger.
+kept as null; repeated rows are measured each; extra columns, whatever their names, are left out; an empty table gives
+an empty ledger.
 """
 
 from __future__ import annotations

@@ -1,0 +1,152 @@
+"""PII, toxicity, quality and license operators."""
+
+import random
+import re
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from quern.llm import license_scan, pii, quality, toxicity
+from quern.llm.toxicity import Lexicon
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i, *row[1:]], row
+        for j, y in enumerate(b, 1):
+            row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+    return row[-1]
+
+
+def test_automaton_is_levenshtein():
+    rng = random.Random(3)
+    terms = ["scum", "idiot", "trash", "worthless", "pathetic"]
+    lexicon = Lexicon([(t, False, 5.0, 1.0) for t in terms])
+    for _ in range(4000):
+        w = list(rng.choice(terms))
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(w) + 1)
+            w[at : at + rng.randrange(2)] = rng.choice(["", "a", "t", "s", "i"])
+        word = "".join(w)
+        want = min((d for t in terms if (d := edits(word, t)) <= (0 if len(t) < 5 else 1 if len(t) < 8 else 2) and (d == 0 or word[:1] == t[0])), default=None)
+        got = lexicon.find(word)
+        assert (got and got[1]) == want, word
+
+
+def test_stems_and_context():
+    lexicon = Lexicon([("lowei", True, 6.0, 1.0), ("idiot", False, 6.0, 1.0)])
+    assert lexicon.find("loweichen") == (0, 0) and lexicon.find("lowe") is None and lexicon.find("1d10t") == (1, 0)
+    abuse, quoted = lexicon.features("you are an idiot and a fool"), lexicon.features('he said "what an idiot" in his report')
+    assert abuse[0] > quoted[0] > 0 and lexicon.features("nothing here") == (0, 0, 0, 0)
+
+
+def test_toxicity_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    some = labels.select("doc_id", "toxic").join(toxicity.score(docs, labels), "doc_id").where("held_out").collect()
+    toxic, clean = [r.score for r in some if r.toxic], [r.score for r in some if not r.toxic]
+    assert sum(s >= 0.5 for s in toxic) >= 0.8 * len(toxic) and sum(s >= 0.5 for s in clean) <= 0.01 * len(clean)
+    auc = sum((a > b) + (a == b) / 2 for a in toxic for b in clean) / len(toxic) / len(clean)
+    assert auc > 0.93
+
+
+def test_toxicity_edges(clashing, empty, corpus, labels, spark):
+    got = toxicity.score(clashing, labels).collect()
+    assert len(got) == len(corpus) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    assert not next(r for r in got if r.doc_id is None).held_out
+    assert toxicity.score(empty, labels).count() == 0
+    kept = toxicity.drop_toxic(clashing, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert kept.columns == clashing.columns and kept.count() == len(corpus)
+    bad = spark.createDataFrame([(1, "you are such a worthless idoit and a morron"), (2, "a plain sentence")], "doc_id long, text string")
+    assert [r.doc_id for r in toxicity.drop_toxic(bad, labels.limit(0)).collect()] == [2]
+
+
+VALUES = [("card", "4845168114407329"), ("card", "4845 1681 1440 7329"), ("phone", "+1 (017) 555-7713"), ("phone", "555-123-4567"), ("ssn", "123-45-6789"), ("ip", "97.51.17.173"), ("date", "2021-02-28"), ("date", "31/12/1999"), ("date", "12/31/1999"), ("email", "Jo.Doe99@mail7.example.com"), ("iban", "DE89 3704 0044 0532 0130 00"), ("secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962")]
+
+
+@pytest.mark.parametrize("kind,value", VALUES)
+def test_pseudonyms(kind, value):
+    p = pii.pseudonym(kind, value)
+    assert p != value and len(p) == len(value) or kind == "ip"
+    assert pii.valid(kind, p) and pii.pseudonym(kind, p, undo=True) == value
+    assert pii.find(f"see {value} now") == [(kind, 4, 4 + len(value))]
+    assert pii.pseudonym(kind, value, b"another key") != p
+    shape = lambda s: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", s)))
+    assert kind in ("ip", "secret") or shape(p) == shape(value)
+
+
+def test_permutation_is_a_bijection():
+    assert sorted(pii.permute_below(i, 1000, b"k", "t") for i in range(1000)) == list(range(1000))
+    assert sorted(pii.permute_string(f"{i:03d}", pii.DIGITS, b"k", "t") for i in range(1000)) == [f"{i:03d}" for i in range(1000)]
+
+
+@pytest.mark.parametrize("text", ["9807915762804490", "300.1.2.3", "2021-02-30", "000-12-3456", "version 1.2.3", "12345", "DE00 3704 0044 0532 0130 00"])
+def test_invalid_values_stay(text):
+    assert pii.replace(f"a {text} b") == (f"a {text} b", {})
+
+
+def test_pii_edges(clashing, empty, corpus, spark):
+    got = pii.pseudonymise(clashing)
+    assert got.count() == len(corpus) and got.where("text IS NULL").count() == 1
+    assert pii.pseudonymise(empty).count() == 0
+    x = spark.createDataFrame([(1, "mail jo@a.com"), (2, "to jo@a.com, jo@a.com")], "doc_id long, text string")
+    a, b = (r.text for r in pii.pseudonymise(x).orderBy("doc_id").collect())
+    assert a[5:] == b[3:11] == b[13:21] and pii.pseudonymise(x).agg(F.sum("n_email")).first()[0] == 3
+
+
+def test_quality_sql(spark, docs, clashing, empty, corpus, same):
+    c = duckdb.connect()
+    c.register("documents", docs.toPandas().astype({"doc_id": "Int64", "n_chars": "Int64"}))
+    assert same(quality.quality(clashing).toPandas(), c.execute(quality.OP6_SQL).df())
+    assert quality.quality(empty).count() == 0
+
+
+def test_policies_and_ablation(docs):
+    rows = quality.ledger(docs).persist()
+    base, v1 = (rows.transform(lambda x, v=v: quality.apply_policy(x, v)) for v in ("base", "v1"))
+    assert base.where("kept").count() >= v1.where("kept").count()
+    got = {r.rule: (r.n_failed, r.n_only) for r in quality.ablation(rows).collect()}
+    bits = [r.failed for r in rows.select("failed").collect()]
+    for k, (name, _) in enumerate(quality.RULES):
+        assert got[name] == (sum(b >> k & 1 for b in bits), sum(b == 1 << k for b in bits))
+
+
+WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def test_license_base(spark, clashing, empty, corpus):
+    extra = ["Apache License. MIT License, mit LICENSE", "gnu-general public/license GNU General Public License", "cc by cc by", "cc", "ÄMIT license mit license"]
+    x = clashing.select("doc_id", "text").union(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(extra)], "doc_id long, text string"))
+    texts = {r[0]: r[1] for r in corpus} | {10_000 + i: t for i, t in enumerate(extra)}
+    for r in license_scan.scan(x).collect():
+        w = WORDS.findall((texts[r.doc_id] or "").translate(str.maketrans(license_scan.UPPER, license_scan.LOWER)))
+        at = [(i, label) for label, p in license_scan.BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), min(at)[0] if at else None, max(at)[0] if at else None)
+        assert r.base_labels == ",".join(sorted({label for _, label in at}))
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+    assert license_scan.scan(empty).count() == 0
+
+
+def brute_detections(text):
+    w = WORDS.findall(text.lower())
+    padded = f" {' '.join(w)} "
+    found = set()
+    for label, keyword, priority, rx in license_scan.rules():
+        if keyword in padded:
+            for m in re.finditer(f"(?<= )(?:{rx})(?= )", padded):
+                s = padded[: m.start()].count(" ") - 1
+                found.add((s, s + len(m.group().split(" ")), priority, label))
+    inside = lambda o, h: o[0] <= h[0] and h[1] <= o[1] and (o[:2] != h[:2] or o[2] > h[2] or o[2] == h[2] and o[3] < h[3])
+    return {h[3] for h in found if not any(inside(o, h) for o in found)}
+
+
+@pytest.mark.parametrize("text", ["Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3 or later", "Released under the MIT License. Apache License, Version 2.0", "Redistribution and use in source and binary forms, with or without modification", "SPDX-License-Identifier: MPL-2.0", "All rights reserved", "LGPL v2.1 only, Creative Commons Attribution ShareAlike 4.0 International", "nothing to see"])
+def test_license_rules(spark, text):
+    r = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert set(filter(None, r.labels.split(","))) == brute_detections(text) | set(filter(None, r.base_labels.split(",")))
+
+
+def test_hundreds_of_rules():
+    assert len(license_scan.rules()) > 300 and all(re.compile(rx) for *_, rx in license_scan.rules())
+    assert all(any(g in f" {k} " or k in g for g in license_scan.GATE) for _, k, _, _ in license_scan.rules())
