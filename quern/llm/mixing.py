@@ -1,7 +1,6 @@
 """Soft-membership mixing of documents to target domain weights, on DataFrame functions only.
 
-A Gaussian classifier over text shape (symbols, digits, capitals, word lengths, line lengths, share of different words)
-is fitted to a column of the labels table by one aggregation, and gives every document a posterior over domains.
+A Gaussian classifier over text shape (symbols, word lengths, text and line lengths, share of different words) is fitted to a column of the labels table by one aggregation, and gives every document a posterior over domains.
 Document rates start at 1 and go by projected gradient steps towards the least-squares solution of
 "sum of rate * tokens * posterior = target" for each domain, never below each document's lower bound (0 unless asked).
 A step moves a rate by the inner product of the posterior with one vector of a length of the number of domains: the
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import documents, materialize, table
 
-FEATURES = ("symbols", "digits", "capitals", "word_length", "length", "line_words", "different")
+FEATURES = ("symbols", "word_length", "length", "line_words", "different")
 WEIGHTS = {0: 0.05, 1: 0.95}
 MAX_STEPS, TOLERANCE, TEMPER = 25, 1e-6, 0.5
 
@@ -32,17 +31,16 @@ MAX_STEPS, TOLERANCE, TEMPER = 25, 1e-6, 0.5
 def with_features(docs: DataFrame) -> DataFrame:
     """The rows with n_tokens and the features."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    x = docs.withColumn("_words", F.filter(F.split(text, r"[\x09-\x0D\x20]+"), lambda w: w != "")).withColumn("n_tokens", F.size("_words").cast("long"))
+    trimmed = F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
+    x = docs.withColumn("_words", F.split(trimmed, r"[\x09-\x0D\x20]+"))
+    x = x.withColumn("n_tokens", F.when(F.get("_words", F.lit(0)) == "", 0).otherwise(F.size("_words")).cast("long"))
     n = F.greatest(F.lit(1.0), F.col("n_tokens").cast("double"))
-    count = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
-    chars = F.length(text) - count(" \t\n\r\x0b\x0c")
+    size = F.octet_length(text)
     made = {
-        "symbols": F.log1p(count("#*$%&|<>") / n),
-        "digits": F.log1p(count("0123456789") / n),
-        "capitals": F.log1p(count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / n),
-        "word_length": F.log1p(chars / n),
+        "symbols": F.log1p((size - F.octet_length(F.regexp_replace(text, "[#*$%&|<>]+", ""))) / n),
+        "word_length": F.log1p(size / n),
         "length": F.log1p(n),
-        "line_words": F.log1p(n / (1 + count("\n"))),
+        "line_words": F.log1p(n / (1 + size - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))))),
         "different": F.size(F.array_distinct("_words")) / n,
     }
     return x.withColumns({f"_f_{k}": v for k, v in made.items()}).drop("_words")
@@ -122,33 +120,52 @@ def solve(narrow: DataFrame, weights: list[float], lower: Column, protect: list[
     return steps
 
 
-def rates(docs: DataFrame, labels: DataFrame, column: str = "quality", weights: dict | None = None, protect: tuple = (), keep_likely: bool = False) -> tuple[DataFrame, list]:
-    """The rows with n_tokens, posterior columns _p0.., rate and copies; and the domains in their order.
-
-    keep_likely: documents whose likeliest domain is protected have a rate of 1 or more.
-    """
+def decide(docs: DataFrame, labels: DataFrame, column: str, weights: dict | None, protect: tuple, keep_likely: bool):
+    """The narrow table of features, and the function that adds posteriors, rate and copies to rows with features."""
     weights = WEIGHTS if weights is None else weights
     domains = sorted(weights)
     D = len(domains)
-    featured = with_features(docs)
-    model = fit(featured, labels, column, domains)
-    x = featured.withColumns({f"_p{d}": p for d, p in enumerate(posteriors(model, D))}).drop(*(f"_f_{k}" for k in FEATURES))
+    hashed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_hash"))
+    narrow = materialize(with_features(hashed).drop("text"), "features")
+    model = fit(narrow, labels, column, domains)
     kept = [domains.index(d) for d in protect]
     likely = F.lit(False)
     for d in kept:
         likely = likely | (F.col(f"_p{d}") >= 0.5)
     lower = F.when(likely, 1.0).otherwise(0.0) if keep_likely and kept else F.lit(0.0)
-    steps = solve(materialize(x.select("n_tokens", *(f"_p{d}" for d in range(D))), "posteriors"), [weights[d] for d in domains], lower, kept) if model is not None else []
-    x = x.withColumn("rate", rate(steps, D, lower))
-    chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    copies = F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    return x.withColumn("copies", copies.cast("long")), domains
+
+    def with_posteriors(x: DataFrame) -> DataFrame:
+        return x.withColumns({f"_p{d}": p for d, p in enumerate(posteriors(model, D))}).drop(*(f"_f_{k}" for k in FEATURES))
+
+    steps = solve(materialize(with_posteriors(narrow).drop("doc_id", "_hash"), "posteriors"), [weights[d] for d in domains], lower, kept) if model is not None else []
+
+    def with_copies(x: DataFrame) -> DataFrame:
+        x = with_posteriors(x).withColumn("rate", rate(steps, D, lower))
+        chance = F.pmod("_hash", F.lit(1 << 20)) / float(1 << 20)
+        copies = F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+        return x.withColumn("copies", copies.cast("long"))
+
+    return narrow, with_copies, domains
 
 
-def mix(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """Each row as often as its rate says: the whole part, and one more by a hash of the row for the rest."""
-    x, _ = rates(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")), labels, **options)
-    return x.where("copies > 0").withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
+def rates(docs: DataFrame, labels: DataFrame, column: str = "quality", weights: dict | None = None, protect: tuple = (), keep_likely: bool = False) -> tuple[DataFrame, list]:
+    """doc_id, n_tokens, posterior columns _p0.., rate and copies of each row; and the domains in their order.
+
+    keep_likely: documents whose likeliest domain is protected have a rate of 1 or more.
+    """
+    narrow, with_copies, domains = decide(docs, labels, column, weights, protect, keep_likely)
+    return with_copies(narrow).drop("_hash"), domains
+
+
+def mix(docs: DataFrame, labels: DataFrame, column: str = "quality", weights: dict | None = None, protect: tuple = (), keep_likely: bool = False) -> DataFrame:
+    """Each row as often as its rate says: the whole part, and one more by a hash of the row for the rest.
+
+    The text is read twice, once to decide and once to write; nothing wide is shuffled.
+    """
+    _, with_copies, _ = decide(docs, labels, column, weights, protect, keep_likely)
+    x = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_hash"), F.struct(*docs.columns).alias("_row"))
+    x = with_copies(with_features(x)).where("copies > 0")
+    return x.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
