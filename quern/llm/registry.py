@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_writer": warc.OP5_SQL, "op6_quality_rules": quality.OP6_SQL}
+    return {"op3_minhash_near_dedup": near_dup.OP3_SQL, "op5_warc_writer": warc.OP5_SQL, "op6_quality_rules": quality.OP6_SQL}
