@@ -90,6 +90,26 @@ def fair_schedule(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("turn", F.row_number().over(w))
 
 
+#: States of a job, and the state that an event leads to.
+TRANSITIONS = [
+    ("pending", "claim", "running"), ("pending", "superseded", "superseded"), ("running", "work_complete", "committed"), ("running", "transient_failure", "backoff"),
+    ("running", "permanent_failure", "dead_letter"), ("running", "superseded", "superseded"), ("backoff", "retry_ready", "pending"), ("backoff", "attempts_exhausted", "dead_letter"),
+    ("backoff", "superseded", "superseded"), ("dead_letter", "input_changed", "pending"),
+]
+
+
+def advance(jobs: DataFrame, events: DataFrame) -> DataFrame:
+    """Jobs (job_id, state) after one event each (job_id, event); an event that the state doesn't know leaves it, valid false."""
+    rules = jobs.sparkSession.createDataFrame(TRANSITIONS, "state string, event string, next string")
+    x = jobs.join(events, "job_id", "left").join(F.broadcast(rules), ["state", "event"], "left")  # ten rows
+    return x.select("job_id", F.coalesce("next", "state").alias("state"), (F.col("event").isNull() | F.col("next").isNotNull()).alias("valid"))
+
+
+def retry_delay(attempt: int, base: float, most: float, unit: float) -> float:
+    """A delay of up to twice as much with each attempt, by a number from 0 to 1."""
+    return min(max(unit, 0.0), 0.999999) * min(most, base * 2 ** (max(1, attempt) - 1))
+
+
 def queue_stats(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("priority").agg(F.count("*").alias("depth"), F.count_if(F.col("attempts") >= 5).alias("dead_letters"), F.count_if(F.col("claimed") == 0).alias("pending"))
 

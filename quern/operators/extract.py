@@ -203,6 +203,23 @@ REFS = ["symbol_name", "kind", "file", "line", "column", "context", "caller_name
 _KINDS = {"line": ("int", pa.int32()), "end_line": ("int", pa.int32()), "column": ("int", pa.int32()), "caller_line": ("int", pa.int32()), "exported": ("boolean", pa.bool_())}
 
 
+def _mapped(fn):
+    """The function on the scripts of single-file components, with the lines of the component."""
+
+    def of(path: str, text: str, *more) -> list[dict]:
+        if not path.lower().endswith(".vue"):
+            return fn(path, text, *more)
+        script, lines = vue_script(text)
+        out = fn(path, script, *more)
+        for r in out:
+            for c in ("line", "end_line", "caller_line"):
+                if r.get(c):
+                    r[c] = lines[r[c] - 1] if r[c] <= len(lines) else 0
+        return out
+
+    return of
+
+
 def _extract(files: DataFrame, names: list[str], fn) -> DataFrame:
     def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -214,11 +231,11 @@ def _extract(files: DataFrame, names: list[str], fn) -> DataFrame:
 
 def extract_symbols(files: DataFrame, infer_end_line: bool = False) -> DataFrame:
     """Symbols of files (path, content); end_line is 0 unless inferred."""
-    return _extract(files, SYMBOLS, lambda p, t: declarations(p, t, infer_end_line))
+    return _extract(files, SYMBOLS, lambda p, t: _mapped(declarations)(p, t, infer_end_line))
 
 
 def extract_references(files: DataFrame) -> DataFrame:
-    return _extract(files, REFS, references)
+    return _extract(files, REFS, _mapped(references))
 
 
 def call_edges_v2(refs: DataFrame) -> DataFrame:

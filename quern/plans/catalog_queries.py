@@ -220,6 +220,20 @@ def job_upsert(spark, d):
     return C.upsert_jobs(pick(o.where("o_orderkey % 2 = 0"), "h"), pick(o.where("o_orderkey % 2 = 1"), "g"))
 
 
+_STATES = ["pending", "running", "backoff", "dead_letter", "committed"]
+_EVENTS = ["claim", "work_complete", "transient_failure", "retry_ready", "superseded", "input_changed"]
+
+
+@R.add("job_transitions", f"""WITH r(s, e, n) AS (VALUES {", ".join(str(t) for t in C.TRANSITIONS)}), j AS (SELECT o_orderkey AS job_id, {_STATES}[(o_orderkey % 5 + 1)::INT] AS s, CASE WHEN o_orderkey % 8 < 6 THEN {_EVENTS}[(o_orderkey % 8 + 1)::INT] END AS e FROM orders)
+SELECT job_id, coalesce(n, j.s) AS state, j.e IS NULL OR n IS NOT NULL AS valid FROM j LEFT JOIN r ON r.s = j.s AND r.e = j.e""")
+def job_transitions(spark, d):
+    o = table(spark, d, "orders")
+    pick = lambda names, k: F.element_at(F.lit(names), k.cast("int"))
+    jobs = o.select(F.col("o_orderkey").alias("job_id"), pick(_STATES, F.col("o_orderkey") % 5 + 1).alias("state"))
+    events = o.where("o_orderkey % 8 < 6").select(F.col("o_orderkey").alias("job_id"), pick(_EVENTS, F.col("o_orderkey") % 8 + 1).alias("event"))
+    return C.advance(jobs, events)
+
+
 @R.add("import_report", """WITH p AS (SELECT l_orderkey AS path, l_partkey AS chunk_id FROM lineitem), c AS (SELECT p_partkey AS id FROM part WHERE p_size > 10)
 SELECT count(*) AS placements, count(*) FILTER (c.id IS NULL) AS dangling, count(DISTINCT c.id) AS unique_chunks, count(DISTINCT path) AS files FROM p LEFT JOIN c ON p.chunk_id = c.id""")
 def import_report(spark, d):

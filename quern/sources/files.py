@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,6 +39,17 @@ def scan(spark: SparkSession, root: str, rules: list[tuple[str, str]] | None = N
     return x.select("path", "size", "mtime", F.sha2("data", 256).alias("hash"), F.col("data").cast("string").alias("content"))
 
 
+def filesystem_truth(spark: SparkSession, root: str) -> DataFrame:
+    """path, hash of every regular file but git's own."""
+    x = _binary(spark, root).where(~F.rlike("path", F.lit(r"(^|/)\.git/")))
+    return x.select("path", F.sha2("content", 256).alias("hash"))
+
+
+def worktree_id(common_dir: str) -> str:
+    """Twelve hex digits that name a repository by its common git folder."""
+    return hashlib.sha256(common_dir.encode()).hexdigest()[:12]
+
+
 def verified(files: DataFrame, desired: DataFrame) -> DataFrame:
     """Files whose sha256 or git name is the desired one."""
     x = files.join(desired.select("path", "desired_hash"), "path")

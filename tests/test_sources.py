@@ -88,6 +88,21 @@ def test_vue():
     assert extract.vue_script(text) == ("const a = 1\nvoid (a.b(1));", [3, 6])
 
 
+def test_vue_lines(spark):
+    text = "<template/>\n<script>\nfunction go() {\n  stop()\n}\n</script>\n"
+    files = spark.createDataFrame([("a.vue", text)], "path string, content string")
+    s, r = extract.extract_symbols(files, True).first(), extract.extract_references(files).first()
+    assert (s["name"], s.line, s.end_line) == ("go", 3, 5) and (r.symbol_name, r.line, r.caller_line) == ("stop", 4, 3)
+
+
+def test_filesystem_truth(spark, tmp_path):
+    for name in ("a.bin", ".git/config"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    assert [r.path for r in files.filesystem_truth(spark, f"file://{tmp_path}").collect()] == ["a.bin"]
+    assert len(files.worktree_id("/x/.git")) == 12
+
+
 def stream_rows():
     at = lambda ms: datetime.datetime(2024, 1, 1, 0, 0, ms // 1000, ms % 1000 * 1000)
     return [("a.go", "create", at(0)), ("a.go", "modify", at(300)), ("a.go", "delete", at(500)), ("a.go", "create", at(700)), ("a.go", "modify", at(5000)), ("b.go", "modify", at(100)), (".git/x.go", "modify", at(100)), ("c.exe", "modify", at(0))]
