@@ -39,7 +39,27 @@ def chunk_coverage(spark, d):
     return x.select("path", F.octet_length("content").cast("long").alias("bytes"), F.startswith("content", F.col("a")).alias("starts_with"), F.endswith(F.rtrim("content"), F.rtrim(F.col("z"))).alias("ends_with"))
 
 
-@R.add("token_batches")
+@R.add("chunk_ascii_documents", f"""WITH RECURSIVE d AS (SELECT {DOC_PATH} AS path, text, length(text) AS n FROM documents WHERE length(text) = octet_length(encode(text)) AND length(text) > 0),
+e0 AS (SELECT path, text, n, 0::BIGINT AS pos, 0::BIGINT AS k, least(2048, n) AS cut FROM d),
+r(path, text, n, pos, stop, blank, k) AS (
+ SELECT path, text, n, pos, s, regexp_matches(substr(text, 1, s), '^\\s*$'), 0::BIGINT FROM (SELECT *, CASE WHEN cut < n AND strpos(substr(text, 1, cut), chr(10)) > 1 THEN cut - strpos(reverse(substr(text, 1, cut)), chr(10)) + 1 ELSE cut END AS s FROM e0)
+ UNION ALL
+ SELECT path, text, n, p, s, regexp_matches(substr(text, p + 1, s - p), '^\\s*$'), k FROM (
+  SELECT *, CASE WHEN cut < n AND length(w) - strpos(reverse(w), chr(10)) > 0 AND contains(w, chr(10)) THEN cut - strpos(reverse(w), chr(10)) + 1 ELSE cut END AS s FROM (
+   SELECT path, text, n, p, least(p + 2048, n) AS cut, substr(text, p + 1, least(p + 2048, n) - p) AS w, k FROM (
+    SELECT path, text, n, CASE WHEN blank OR stop - 200 <= pos THEN stop ELSE stop - 200 END AS p, k + (NOT blank)::BIGINT AS k FROM r) WHERE p < n)))
+SELECT path, k::INT AS ordinal, (length(substr(text, 1, pos)) - length(replace(substr(text, 1, pos), chr(10), '')) + 1)::INT AS start_line,
+ (length(substr(text, 1, stop - 1)) - length(replace(substr(text, 1, stop - 1), chr(10), '')) + 1)::INT AS end_line, sha256(substr(text, pos + 1, stop - pos)) AS content_hash,
+ substr(sha256(path || ':' || pos || ':' || stop || ':' || substr(text, pos + 1, stop - pos)), 1, 16) AS hash FROM r WHERE NOT blank""")
+def chunk_ascii_documents(spark, d):
+    plain = table(spark, d, "documents").where("length(text) = octet_length(text)").select(doc_path().alias("path"), F.col("text").alias("content"))
+    return chunking.chunk_files(plain).select("path", "ordinal", "start_line", "end_line", "content_hash", "hash")
+
+
+@R.add("token_batches", """WITH RECURSIVE x AS (SELECT source, doc_id AS file_index, ((octet_length(encode(text)) + 3) // 4)::BIGINT AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
+r(source, rn, batch, c, u) AS (SELECT source, rn, 0::BIGINT, 1::BIGINT, tokens FROM x WHERE rn = 1 UNION ALL
+ SELECT x.source, x.rn, batch + f::BIGINT, CASE WHEN f THEN 1 ELSE c + 1 END, CASE WHEN f THEN x.tokens ELSE u + x.tokens END FROM (SELECT r.*, x.rn AS rn2, c >= 20 OR c > 0 AND u + x.tokens > 8000 AS f FROM r JOIN x ON x.source = r.source AND x.rn = r.rn + 1) q JOIN x ON x.source = q.source AND x.rn = q.rn2)
+SELECT x.source, file_index, 0 AS chunk_index, tokens, batch FROM x JOIN r ON r.source = x.source AND r.rn = x.rn""")
 def token_batches(spark, d):
     x = table(spark, d, "documents").select("source", F.col("doc_id").alias("file_index"), F.lit(0).alias("chunk_index"), F.floor((F.octet_length("text") + 3) / 4).cast("long").alias("tokens"))
     return chunking.batches(x, "source", 20, 8000)

@@ -45,10 +45,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a written table in the shared folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written(spark).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _written(spark: SparkSession) -> list[str]:
+    context = spark.sparkContext
+    if not hasattr(context, "_quern_written"):
+        context._quern_written = []
+    return context._quern_written
+
+
+def drop_materialized(spark: SparkSession) -> int:
+    """Delete the tables that ``materialize`` has written in this application; call it when their readers are done."""
+    paths = _written(spark)
+    for p in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(p)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    n = len(paths)
+    paths.clear()
+    return n
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

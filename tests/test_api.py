@@ -89,3 +89,16 @@ def test_long_texts_are_halved():
     assert out.shape == (2, 2) and max(calls) <= 600
     with pytest.raises(ValueError):
         index.embed_within(["x" * 1000], embedder, 10, attempts=1)
+
+
+def test_materialized_tables_are_dropped(spark):
+    from quern.session import drop_materialized, materialize
+
+    drop_materialized(spark)
+    x = materialize(spark.range(5), "five")
+    path = x.inputFiles()[0].removeprefix("file://")
+    assert x.count() == 5 and drop_materialized(spark) == 1
+
+    import os
+
+    assert not os.path.exists(path)
