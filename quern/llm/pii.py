@@ -36,7 +36,7 @@ PATTERN = re.compile(
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
     r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}[./-]\d{2}[./-]\d{4})(?![\w/-]|\.\d))"
-    r"|(?P<secret>(?<![\w])(?=[0-9a-f]*\d)[0-9a-f]{32,64}(?!\w))",
+    r"|(?P<secret>(?<![\w])(?:(?=[0-9a-f]*\d)[0-9a-f]{32,64}|(?=[0-9A-F]*\d)[0-9A-F]{32,64})(?!\w))",
     re.ASCII,
 )
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
@@ -185,7 +185,7 @@ def pseudonym(kind: str, value: str, key: bytes = KEY, undo: bool = False) -> st
         it = iter(s[:2] + _iban_check(s[:2], rest) + rest)
         return "".join(" " if c == " " else next(it) for c in value)
     if kind == "secret":
-        return permute_string(value, HEX, key, "secret", undo)
+        return permute_string(value, HEX if value.islower() else HEX.upper(), key, "secret", undo)
     user, _, host = value.partition("@")
     names, _, top = host.rpartition(".")
     return f"{permute_letters(user, key, 'user', undo)}@{permute_letters(names, key, 'host', undo)}.{top}"
