@@ -164,8 +164,9 @@ def mix(docs: DataFrame, labels: DataFrame, column: str = "quality", weights: di
     """
     _, with_copies, _ = decide(docs, labels, column, weights, protect, keep_likely)
     x = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_hash"), F.struct(*docs.columns).alias("_row"))
-    x = with_copies(with_features(x)).where("copies > 0")
-    return x.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
+    x = with_copies(with_features(x))
+    # counting from 0 in an outer generator keeps the condition above it; below, it would be evaluated with all it is made from
+    return x.select("_row", F.explode_outer(F.sequence(F.lit(0).cast("long"), F.col("copies"))).alias("_c")).where("_c > 0").select("_row.*")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
