@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quern.config import Graph
 from quern.functions import paths as P
 from quern.functions import text as X
-from quern.operators.trace import first_of
+from quern.operators.trace import first_of, nearest
 from quern.session import materialize
 
 LIMITS = Graph()
@@ -44,9 +44,8 @@ def invokes_edges(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     a = n.select(F.col("id").alias("src"), F.col("symbol_name").alias("caller"), F.col("path").alias("file"), F.col("line").alias("_s"), F.col("end_line").alias("_e"))
     x = calls.join(a, ["caller", "file"]).where(F.col("line").between(F.col("_s"), F.col("_e")))
     x = first_of(x, ["caller", "callee", "file", "line"], "_s", "src").select("src", "callee", "file", "line")
-    b = n.select(F.col("id").alias("dst"), F.col("symbol_name").alias("callee"), F.col("path").alias("_p"))
-    rank = F.when(F.col("_p") == F.col("file"), 0).when(P.directory(F.col("_p")) == P.directory(F.col("file")), 1).otherwise(2)
-    y = first_of(x.join(b, "callee"), ["src", "callee", "file", "line"], rank, "_p", "dst")
+    b = n.select(F.col("symbol_name").alias("callee"), F.col("path").alias("def_file"), F.col("id").alias("dst"))
+    y = nearest(x, b, "callee", "file", how="inner")
     return y.where("src != dst").select(*edge(F.col("src"), F.col("dst"), "invokes")).distinct()
 
 

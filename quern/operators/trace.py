@@ -59,19 +59,38 @@ def first_definitions(symbols: DataFrame) -> DataFrame:
     return first_of(symbols, ["name"], "file", "line")
 
 
+def nearest(sites: DataFrame, definitions: DataFrame, name: str, file: str, by_folder: bool = True, how: str = "left") -> DataFrame:
+    """Sites with def_file, def_line (and other columns of the definitions) of the nearest definition of their name.
+
+    In the same file, then the same folder, then anywhere, each the first by its columns' order. The first of each file,
+    folder and name are found before the join, so a site meets one row of each, however often its name is defined.
+    """
+    folder = lambda c: F.regexp_replace(c, r"/[^/]*$", "")
+    value = F.struct(*(c for c in definitions.columns if c != name))
+    rest = [c for c in definitions.columns if c != name]
+    anywhere = definitions.groupBy(name).agg(F.min(value).alias("_any"))
+    x = sites.join(anywhere, name, how)
+    same = definitions.groupBy(name, F.col("def_file").alias(file)).agg(F.min(value).alias("_same"))
+    x = x.join(same, [name, file], "left")
+    best = F.coalesce("_same", "_any")
+    if by_folder:
+        x = x.withColumn("_folder", folder(file))
+        near = definitions.groupBy(name, folder("def_file").alias("_folder")).agg(F.min(value).alias("_near"))
+        x = x.join(near, [name, "_folder"], "left")
+        best = F.coalesce("_same", "_near", "_any")
+    return x.withColumn("_best", best).select(*sites.columns, *(F.col("_best")[c].alias(c) for c in rest))
+
+
 def resolve_callers(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """Each call site (ref_id, caller_name, caller_file) with its caller's definition: in the same file, else the first."""
     s = symbols.select(F.col("name").alias("caller_name"), F.col("file").alias("def_file"), F.col("line").alias("def_line"))
-    x = refs.join(s, "caller_name", "left")
-    return first_of(x, ["ref_id"], F.desc(F.coalesce(F.col("def_file") == F.col("caller_file"), F.lit(False))), "def_file", "def_line")
+    return nearest(refs, s, "caller_name", "caller_file", by_folder=False)
 
 
 def resolve_callees(sites: DataFrame, symbols: DataFrame) -> DataFrame:
     """Each site (ref_id, symbol_name, file) with the callee's definition: same file, then same folder, then the first."""
     s = symbols.select(F.col("name").alias("symbol_name"), F.col("file").alias("def_file"), F.col("line").alias("def_line"))
-    folder = lambda c: F.regexp_replace(c, r"/[^/]*$", "")
-    rank = F.when(F.col("def_file") == F.col("file"), 0).when(folder("def_file") == folder("file"), 1).otherwise(2)
-    return first_of(sites.join(s, "symbol_name"), ["ref_id"], rank, "def_file", "def_line")
+    return nearest(sites, s, "symbol_name", "file", how="inner")
 
 
 def pick_targets(symbols: DataFrame, refs: DataFrame) -> DataFrame:
@@ -151,6 +170,6 @@ def trace(symbols: DataFrame, refs: DataFrame, name: str) -> DataFrame:
     target = pick_targets(symbols.where(F.col("name") == name), refs.where(F.col("symbol_name") == name)).select(F.lit("target").alias("role"), "name", "file", "line", F.col("file").alias("def_file"), F.col("line").alias("def_line"))
     up = resolve_callers(callers(refs, name), symbols).select(F.lit("caller").alias("role"), F.col("caller_name").alias("name"), "file", "line", "def_file", "def_line")
     down = refs.where((F.col("caller_name") == name) & kind_is("call"))
-    down = first_of(down.join(symbols.select(F.col("name").alias("symbol_name"), F.col("file").alias("def_file"), F.col("line").alias("def_line")), "symbol_name", "left"), ["ref_id"], "def_file", "def_line")
+    down = down.join(first_definitions(symbols).select(F.col("name").alias("symbol_name"), F.col("file").alias("def_file"), F.col("line").alias("def_line")), "symbol_name", "left")
     down = down.select(F.lit("callee").alias("role"), F.col("symbol_name").alias("name"), "file", "line", "def_file", "def_line")
     return target.unionByName(up).unionByName(down)

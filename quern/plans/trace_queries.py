@@ -85,15 +85,15 @@ def first_definitions(spark, d):
     return T.first_definitions(symbols(spark, d)).select("name", "file", "line")
 
 
-@R.add("resolve_callers", f"""WITH {BOTH}, x AS (SELECT ref_id, s.file AS def_file, s.line AS def_line, row_number() OVER (PARTITION BY ref_id ORDER BY coalesce(s.file = caller_file, false) DESC, s.file NULLS FIRST, s.line) AS n
-FROM ref LEFT JOIN sym s ON s.name = caller_name) SELECT ref_id, def_file, def_line FROM x WHERE n = 1""")
+@R.add("resolve_callers", f"""WITH {BOTH}, x AS (SELECT ref_id, s.file AS def_file, s.line AS def_line, row_number() OVER (PARTITION BY rid ORDER BY coalesce(s.file = caller_file, false) DESC, s.file NULLS FIRST, s.line) AS n
+FROM (SELECT *, row_number() OVER () AS rid FROM ref) LEFT JOIN sym s ON s.name = caller_name) SELECT ref_id, def_file, def_line FROM x WHERE n = 1""")
 def resolve_callers(spark, d):
     return T.resolve_callers(refs(spark, d), symbols(spark, d)).select("ref_id", "def_file", "def_line")
 
 
-@R.add("resolve_definition", f"""WITH {BOTH}, x AS (SELECT ref_id, s.file AS def_file, s.line AS def_line, row_number() OVER (PARTITION BY ref_id ORDER BY
+@R.add("resolve_definition", f"""WITH {BOTH}, x AS (SELECT ref_id, s.file AS def_file, s.line AS def_line, row_number() OVER (PARTITION BY rid ORDER BY
  CASE WHEN s.file = r.file THEN 0 WHEN regexp_replace(s.file, '/[^/]*$', '') = regexp_replace(r.file, '/[^/]*$', '') THEN 1 ELSE 2 END, s.file, s.line) AS n
-FROM ref r JOIN sym s ON s.name = symbol_name) SELECT ref_id, def_file, def_line FROM x WHERE n = 1""")
+FROM (SELECT *, row_number() OVER () AS rid FROM ref) r JOIN sym s ON s.name = symbol_name) SELECT ref_id, def_file, def_line FROM x WHERE n = 1""")
 def resolve_definition(spark, d):
     return T.resolve_callees(refs(spark, d), symbols(spark, d)).select("ref_id", "def_file", "def_line")
 
@@ -167,8 +167,8 @@ def dedup_refs(spark, d):
 
 @R.add("trace_symbol", f"""WITH {BOTH}, c AS (SELECT symbol_name AS name, file, count(*) AS n_refs FROM ref WHERE symbol_name = 'f42' GROUP BY 1, 2),
 t AS (SELECT 'target' AS role, s.name, s.file, s.line, s.file AS def_file, s.line AS def_line, row_number() OVER (ORDER BY coalesce(n_refs, 0) DESC, s.file, s.line) AS n FROM sym s LEFT JOIN c USING (name, file) WHERE s.name = 'f42'),
-u AS (SELECT 'caller' AS role, caller_name AS name, r.file, r.line, s.file AS def_file, s.line AS def_line, row_number() OVER (PARTITION BY ref_id ORDER BY coalesce(s.file = caller_file, false) DESC, s.file NULLS FIRST, s.line) AS n FROM ref r LEFT JOIN sym s ON s.name = caller_name WHERE symbol_name = 'f42' AND r.kind IN ('', 'call')),
-w AS (SELECT 'callee' AS role, symbol_name AS name, r.file, r.line, s.file AS def_file, s.line AS def_line, row_number() OVER (PARTITION BY ref_id ORDER BY s.file NULLS FIRST, s.line) AS n FROM ref r LEFT JOIN sym s ON s.name = symbol_name WHERE caller_name = 'f42' AND r.kind IN ('', 'call'))
+u AS (SELECT 'caller' AS role, caller_name AS name, r.file, r.line, s.file AS def_file, s.line AS def_line, row_number() OVER (PARTITION BY rid ORDER BY coalesce(s.file = caller_file, false) DESC, s.file NULLS FIRST, s.line) AS n FROM (SELECT *, row_number() OVER () AS rid FROM ref) r LEFT JOIN sym s ON s.name = caller_name WHERE symbol_name = 'f42' AND r.kind IN ('', 'call')),
+w AS (SELECT 'callee' AS role, symbol_name AS name, r.file, r.line, s.file AS def_file, s.line AS def_line, row_number() OVER (PARTITION BY rid ORDER BY s.file NULLS FIRST, s.line) AS n FROM (SELECT *, row_number() OVER () AS rid FROM ref) r LEFT JOIN sym s ON s.name = symbol_name WHERE caller_name = 'f42' AND r.kind IN ('', 'call'))
 SELECT role, name, file, line, def_file, def_line FROM (SELECT * FROM t UNION ALL SELECT * FROM u UNION ALL SELECT * FROM w) WHERE n = 1""")
 def trace_symbol(spark, d):
     return T.trace(symbols(spark, d), refs(spark, d), "f42")
