@@ -61,5 +61,6 @@ scored AS (SELECT vec_id AS id, {VEC_PATH} AS path, label,
   coalesce(list_cosine_similarity(embedding::DOUBLE[], qe::DOUBLE[]), 0)::FLOAT AS score FROM embeddings, q)"""
 
 
-def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in columns})
+def rounded(df: DataFrame, *columns: str, digits: int | None = None) -> DataFrame:
+    """The columns as doubles, rounded if asked; sums of products of floats are the same on both sides as they are."""
+    return df.withColumns({c: F.col(c).cast("double") if digits is None else F.round(F.col(c).cast("double"), digits) for c in columns})

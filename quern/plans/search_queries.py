@@ -18,23 +18,23 @@ WORDS = QUERY.split()
 TEXT_SCORE = "((" + " + ".join(f"contains(lower(text), '{w}')::INT" for w in WORDS) + f") / {len(WORDS)})::FLOAT"
 
 
-@R.add("vector_topk", f"WITH {SCORED} SELECT id, path, round(score::DOUBLE, 6) AS score FROM scored ORDER BY scored.score DESC, id LIMIT 20")
+@R.add("vector_topk", f"WITH {SCORED} SELECT id, path, score::DOUBLE AS score FROM scored ORDER BY scored.score DESC, id LIMIT 20")
 def vector_topk(spark, d):
     return rounded(S.vector_search(chunks(spark, d), query_vector(spark, d), 20).select("id", "path", "score"), "score")
 
 
-@R.add("vector_topk_prefix", f"WITH {SCORED} SELECT id, path, round(score::DOUBLE, 6) AS score FROM scored WHERE starts_with(path, 'label_3/') ORDER BY scored.score DESC, id LIMIT 20")
+@R.add("vector_topk_prefix", f"WITH {SCORED} SELECT id, path, score::DOUBLE AS score FROM scored WHERE starts_with(path, 'label_3/') ORDER BY scored.score DESC, id LIMIT 20")
 def vector_topk_prefix(spark, d):
     return rounded(S.vector_search(chunks(spark, d), query_vector(spark, d), 20, "label_3/").select("id", "path", "score"), "score")
 
 
-@R.add("vector_scores_all", f"WITH {SCORED} SELECT id, round(score::DOUBLE, 6) AS score FROM scored")
+@R.add("vector_scores_all", f"WITH {SCORED} SELECT id, score::DOUBLE AS score FROM scored")
 def vector_scores_all(spark, d):
     """Search with limit 0: every chunk."""
     return rounded(S.scored(chunks(spark, d), query_vector(spark, d)).select("id", "score"), "score")
 
 
-@R.add("vector_pairs_cosine", """SELECT a.vec_id AS id, round(coalesce(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0)::DOUBLE, 6) AS cosine,
+@R.add("vector_pairs_cosine", """SELECT a.vec_id AS id, coalesce(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0)::FLOAT::DOUBLE AS cosine,
  round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS dot FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
 def vector_pairs_cosine(spark, d):
     """Cosine of two vector columns: each vector and the next."""
@@ -49,7 +49,7 @@ def vector_norms(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.size("embedding").cast("long").alias("dims"), F.round(norm(F.col("embedding")), 6).alias("norm"))
 
 
-@R.add("best_per_group", f"WITH {SCORED} SELECT label, id, round(score::DOUBLE, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS n FROM scored) WHERE n = 1")
+@R.add("best_per_group", f"WITH {SCORED} SELECT label, id, score::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS n FROM scored) WHERE n = 1")
 def best_per_group(spark, d):
     return rounded(S.best_by(S.scored(chunks(spark, d), query_vector(spark, d)), "label").select("label", "id", "score"), "score")
 
@@ -100,12 +100,12 @@ SELECT id, path, round(score, 6) AS score FROM g WHERE n = 1 ORDER BY g.score DE
 @R.add("semantic_search", SEMANTIC)
 def semantic_search(spark, d):
     """Flagship: vector top-k, boost, dedup by file, cut."""
-    return rounded(S.search(chunks(spark, d), query_vector(spark, d), 10).select("id", "path", "score"), "score")
+    return rounded(S.search(chunks(spark, d), query_vector(spark, d), 10).select("id", "path", "score"), "score", digits=6)
 
 
 @R.add("boosted_search", f"WITH {SCORED} SELECT id, path, round(score::DOUBLE * {FACTOR}, 6) AS score FROM scored")
 def boosted_search(spark, d):
-    return rounded(S.boosted(S.scored(chunks(spark, d), query_vector(spark, d))).select("id", "path", "score"), "score")
+    return rounded(S.boosted(S.scored(chunks(spark, d), query_vector(spark, d))).select("id", "path", "score"), "score", digits=6)
 
 
 @R.add("workspace_search", f"""WITH {SCORED}, h AS (SELECT id, path, score::DOUBLE * {FACTOR} AS score FROM (SELECT * FROM scored ORDER BY score DESC, id LIMIT 60)),
@@ -114,11 +114,11 @@ SELECT id, path, round(score, 6) AS score FROM g WHERE starts_with('ws/' || path
 def workspace_search(spark, d):
     x = S.search(chunks(spark, d), query_vector(spark, d), 30, workspace=True)
     x = S.of_projects(x.withColumn("path", F.concat(F.lit("ws/"), "path")), "ws", ["label_1", "label_2"])
-    return rounded(x.select("id", F.substring("path", 4, 10_000).alias("path"), "score"), "score")
+    return rounded(x.select("id", F.substring("path", 4, 10_000).alias("path"), "score"), "score", digits=6)
 
 
 @R.add("cross_repo_search", f"""WITH {SCORED}, e AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS n FROM scored)
-SELECT label, id, n::BIGINT AS rank, round(score::DOUBLE, 6) AS score FROM e WHERE n <= 15 ORDER BY e.score DESC, label, n LIMIT 15""")
+SELECT label, id, n::BIGINT AS rank, score::DOUBLE AS score FROM e WHERE n <= 15 ORDER BY e.score DESC, label, n LIMIT 15""")
 def cross_repo_search(spark, d):
     x = S.search_all(S.scored(chunks(spark, d), query_vector(spark, d)), "label", 15)
     return rounded(x.select("label", "id", F.col("rank").cast("long").alias("rank"), "score"), "score")
@@ -128,7 +128,7 @@ def cross_repo_search(spark, d):
 ac AS (SELECT 'a' || (id // 12) AS artifact_id, id AS chunk_id FROM scored),
 j AS (SELECT v.path, c.id AS chunk_id, c.score FROM view_ v JOIN ac USING (artifact_id) JOIN scored c ON c.id = ac.chunk_id),
 g AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, chunk_id) AS n FROM j)
-SELECT path, chunk_id, round(score::DOUBLE, 6) AS score FROM g WHERE n = 1 ORDER BY g.score DESC, path LIMIT 20""")
+SELECT path, chunk_id, score::DOUBLE AS score FROM g WHERE n = 1 ORDER BY g.score DESC, path LIMIT 20""")
 def v2_view_search(spark, d):
     c = chunks(spark, d)
     artifact = F.concat(F.lit("a"), F.floor(F.col("id") / 12).cast("string"))
