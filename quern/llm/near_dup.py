@@ -226,8 +226,8 @@ def _pivot_blocks(large: DataFrame) -> DataFrame:
     """Nodes that stayed large, in blocks that each also hold the node's pivots."""
     half = LIMIT - PIVOTS
     mixed = large.withColumn("h", F.xxhash64("node", "set_id"))
-    sizes = mixed.groupBy("node").agg(F.count("*").alias("n"), F.min_by("set_id", "h").alias("p0"))
-    pivots = mixed.join(sizes, "node").where(F.pmod("h", F.greatest(F.lit(1), F.col("n") * 2 // PIVOTS)) == 0)
+    sizes = mixed.groupBy("node").agg(F.count("*").alias("n"))
+    pivots = mixed.join(sizes, "node").where(F.pmod("h", F.greatest(F.lit(1).cast("long"), F.floor(F.col("n") * 2 / PIVOTS))) == 0)
     parts = mixed.join(sizes, "node").withColumn("part", F.pmod(F.col("h"), F.ceil(F.col("n") * 2 / half)))
     with_pivots = pivots.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") * 2 / half) - 1)))
     return parts.unionByName(with_pivots).select(F.xxhash64("node", "part").alias("leaf"), "set_id").distinct()

@@ -46,13 +46,15 @@ def test_near_dedup(docs, corpus):
 
 
 def test_near_dedup_of_large_nodes(docs, corpus, monkeypatch):
-    """With tiny leaves everything goes through deeper levels and blocks; the links are the same."""
-    monkeypatch.setattr(near_dup, "LIMIT", 40)
-    monkeypatch.setattr(near_dup, "PIVOTS", 8)
+    """With tiny leaves the near copies go through deeper levels and then blocks; the links are the same."""
+    seen = []
+    monkeypatch.setattr(near_dup, "_rest_blocks", lambda large, labels, f=near_dup._rest_blocks: seen.append(large.count()) or f(large, labels))
+    monkeypatch.setattr(near_dup, "LIMIT", 12)
+    monkeypatch.setattr(near_dup, "PIVOTS", 4)
     monkeypatch.setattr(near_dup, "MAX_DEPTH", 2)
     want = brute_components([(r[0], r[1]) for r in corpus if r[0] is not None])
     got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs).collect()}
-    assert all(got[i] == c for i, (_, c) in want.items())
+    assert all(got[i] == c for i, (_, c) in want.items()) and seen[0] > 12
 
 
 def test_one_of_each(clashing, corpus, empty):
