@@ -57,6 +57,13 @@ def test_near_dedup_of_large_nodes(docs, corpus, monkeypatch):
     assert all(got[i] == c for i, (_, c) in want.items()) and seen[0] > 12
 
 
+def test_near_dedup_of_short_texts(spark):
+    """Every text of seven words is linked with itself and one word more: three of four shingles."""
+    rows = [(2 * i + k, " ".join(f"s{i}w{j}" for j in range(7 + k))) for i in range(1500) for k in range(2)]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).where("component_id != doc_id - doc_id % 2")
+    assert got.count() == 0
+
+
 def test_one_of_each(clashing, corpus, empty):
     want = brute_components([(r[0], r[1]) for r in corpus if r[0] is not None])
     got = near_dup.one_of_each(clashing)
