@@ -9,7 +9,8 @@ quotation marks around it lower it, address in the second person raises it, othe
 model over a few sums of these, fitted with a prior, gives the score.
 
 The fit uses at most ``PER_CLASS`` labelled documents of each class, the first by hash of their id, and never one
-whose crc32(doc_id) mod 5 is 0. Scores use the text alone.
+whose crc32(doc_id) mod 5 is 0. Classes that are cut are cut by different shares, which the model's intercept allows for,
+so scores keep to the classes' shares among all training labels. Scores use the text alone.
 
 Edge cases: null and empty texts score as texts without hits; a null doc_id counts as not held out and is never a
 training row; a doc_id labelled more than once is toxic if any label says so; null labels are ignored; without
@@ -186,14 +187,16 @@ def _quoted(text: str, spans: list[tuple[int, int]], i: int) -> bool:
     return any(q in text[left:start] for q in QUOTES) and any(q in text[end:right] for q in QUOTES)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and toxic of at most PER_CLASS labelled documents of each class."""
+def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
+    """text and toxic of at most PER_CLASS labelled documents of each class, and the log of how much that raises the odds of toxic."""
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id")))
     y = y.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = y.where("toxic = 1").orderBy(*order).limit(PER_CLASS).union(y.where("toxic = 0").orderBy(*order).limit(PER_CLASS))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return text.join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # at most 2 * PER_CLASS ids
+    n = dict(y.groupBy("toxic").agg(F.count("*")).collect())
+    clean, toxic = (max(1.0, n.get(k, 0) / PER_CLASS) for k in (0, 1))
+    return text.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), float(np.log(clean / toxic))  # at most 2 * PER_CLASS ids
 
 
 def _stems(word: str) -> list[str]:
@@ -202,7 +205,8 @@ def _stems(word: str) -> list[str]:
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
     """The lexicon and weights learned from the training rows."""
-    rows = training_rows(docs, labels).persist()
+    rows, raised = training_rows(docs, labels)
+    rows = rows.persist()
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
 
@@ -237,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
 
     clean = {r["term"]: r["n"] for r in arrow_map(rows.where("toxic = 0").select("text"), clean_counts, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()} if wanted else {}
     odds = {t: float(np.log((f + 0.5) / (n_toxic + 1)) - np.log((clean.get(t, 0) + 0.5) / (n_clean + 1))) for t, f in candidates.items()}
-    share = n_toxic / max(1, n_toxic + n_clean)
+    share = n_toxic / max(1, n_toxic + n_clean)  # of the sample, as the counts below
 
     def surprise(t: str) -> float:
         """Negative log of the chance that so many of the term's documents are toxic if it tells nothing."""
@@ -275,22 +279,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
 
     data = np.array([tuple(r) for r in arrow_map(rows, features, "a double, b double, c double, d double, toxic int").collect()]).reshape(-1, 5)
     rows.unpersist()
-    return lexicon, logistic(data[:, :4], data[:, 4])
+    return lexicon, logistic(data[:, :4], data[:, 4], raised=raised)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, precision: float = 1.0) -> np.ndarray:
-    """Weights of greatest posterior density under the prior; Newton's method with halved steps."""
+def logistic(x: np.ndarray, y: np.ndarray, precision: float = 1.0, raised: float = 0.0) -> np.ndarray:
+    """Weights of greatest posterior density under the prior, for log-odds that the sample raises; Newton's method with halved steps."""
     if not len(y) or y.min() == y.max():
         return PRIOR.copy()
     x = np.column_stack([np.ones(len(x)), x])
     w = PRIOR.copy()
 
     def loss(w: np.ndarray) -> float:
-        z = x @ w
+        z = x @ w + raised
         return float(np.logaddexp(0, z).sum() - y @ z + precision / 2 * ((w - PRIOR) ** 2).sum())
 
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w + raised, -30, 30)))
         grad = x.T @ (p - y) + precision * (w - PRIOR)
         step = np.linalg.solve((x.T * (p * (1 - p))) @ x + precision * np.eye(len(w)), grad)
         size = 1.0

@@ -62,6 +62,22 @@ def test_toxicity_edges(clashing, empty, corpus, labels, spark):
     assert [r.doc_id for r in toxicity.drop_toxic(bad, labels.limit(0)).collect()] == [2]
 
 
+def test_toxicity_of_a_cut_class(spark, monkeypatch):
+    """Scores add up to the toxic documents there are, though the sample has as many of either class."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(3000):
+        toxic = int(i % 10 == 0)
+        words = [f"w{rng.randrange(200)}" for _ in range(12)]
+        if rng.random() < (0.6 if toxic else 0.05):
+            words[rng.randrange(12)] = rng.choice(["scum", "trash"])
+        rows.append((i, " ".join(words), toxic))
+    x = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    monkeypatch.setattr(toxicity, "PER_CLASS", 150)
+    got = toxicity.score(x.select("doc_id", "text"), x.select("doc_id", "toxic")).agg(F.sum("score")).first()[0]
+    assert 200 < got < 450
+
+
 VALUES = [("card", "4845168114407329"), ("card", "4845 1681 1440 7329"), ("phone", "+1 (017) 555-7713"), ("phone", "555-123-4567"), ("ssn", "123-45-6789"), ("ip", "97.51.17.173"), ("date", "2021-02-28"), ("date", "31/12/1999"), ("date", "12/31/1999"), ("email", "Jo.Doe99@mail7.example.com"), ("iban", "DE89 3704 0044 0532 0130 00"), ("secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962"), ("secret", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B")]
 
 
