@@ -99,6 +99,26 @@ def test_line_templates(spark):
     assert all("page" not in got[i] and "quick" not in got[i] for i in range(1, 8))
 
 
+def _two_templates(i):
+    """Lines of ten tokens of which the first four are alike, of two templates with one variable field each."""
+    return f"please note that this offer from {'abcdefgh'[i]}x ends very soon", f"please note that this {'abcdefgh'[i]}y page was moved last week"
+
+
+def test_templates_of_one_leaf(spark):
+    """Each is found, also if as many texts have the one as the other, in the same texts or in others."""
+    for rows in ([(i, "\n".join(_two_templates(i))) for i in range(8)], [(2 * i + k, _two_templates(i)[k]) for i in range(8) for k in range(2)]):
+        got = line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string")).agg(F.sum("n_dropped")).first()[0]
+        assert got == 14
+
+
+def test_copies_do_not_vote(spark):
+    """A document of many copies, or a line repeated in a text, hides no template of its leaf."""
+    own = "please note that this line stands in many equal copies"
+    rows = [(100 + i, own) for i in range(50)] + [(i, _two_templates(i)[0]) for i in range(8)] + [(200, "\n".join([own + "!"] * 50))]
+    got = {r.doc_id: r.n_dropped for r in line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(0 < i < 8) for i, _ in rows}
+
+
 def test_copies_make_no_template(spark):
     rows = [(i, "a line that copies share\nand one more line of it") for i in range(50)]
     assert line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string")).agg(F.sum("n_dropped")).first()[0] == 0
