@@ -3,8 +3,9 @@
 A spot signature is an anchor (a common word) with the next two content words after it, where a content word is any
 that is no anchor. A text's signatures are the set of their hashes; a text without any takes runs of three words, or
 its whole word sequence. The fingerprint states the set's size and its smallest hashes, all of them when there are no
-more than ``KEEP``, so equal texts have equal fingerprints and its length is bounded. Likeness of two fingerprints is
-the Jaccard similarity of the sets, exact for small sets and else estimated from the smallest hashes of the union.
+more than ``KEEP``, so equal texts have equal fingerprints and its length is bounded. The similarities of a document to
+its edited text and to the next document are those of the full sets. ``likeness`` of two fingerprints is for stored ones:
+exact for small sets and else estimated from the smallest hashes of the union.
 
 ``matches`` joins fingerprinted documents: they are partitioned by set length into ranges so that no pair of
 similarity ``tau`` is further apart than neighbouring ranges, candidates share one of the rare leading signatures that
@@ -88,6 +89,12 @@ def likeness(a: str, b: str) -> float:
     return min(sum(x in both for x in union) / len(union), min(m, n) / max(m, n))
 
 
+def jaccard(s: np.ndarray, t: np.ndarray) -> float:
+    """Jaccard similarity of two sets of signatures; two empty ones are alike."""
+    common = len(np.intersect1d(s, t, assume_unique=True))
+    return common / (len(s) + len(t) - common) if len(s) or len(t) else 1.0
+
+
 def with_next(docs: DataFrame, shards: int) -> tuple[DataFrame, int]:
     """doc_id, text, shard, carry: sorted by descending doc_id; rows with carry stand for the first row of what follows."""
     x = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -108,7 +115,7 @@ def with_next(docs: DataFrame, shards: int) -> tuple[DataFrame, int]:
 
 
 def fingerprints(docs: DataFrame, shards: int | None = None) -> DataFrame:
-    """Each document's fingerprint, its edited text's, and their likeness and the next document's."""
+    """Each document's fingerprint, its edited text's, and the similarity of their sets and of the next document's."""
     shards = shards or max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows, _ = with_next(docs, shards)
 
@@ -122,17 +129,19 @@ def fingerprints(docs: DataFrame, shards: int | None = None) -> DataFrame:
                 part = batch.slice(start, 1000)
                 out: list[list] = [[] for _ in names]
                 for shard, doc, text, carry in zip(*(part.column(c).to_pylist() for c in ("shard", "doc_id", "text", "carry")), strict=True):
-                    f = fingerprint(signatures(text, hashes))
+                    s = signatures(text, hashes)
+                    f = fingerprint(s)
                     if before is not None and before[0] == shard:
-                        _, own_doc, own, own_f = before
+                        _, own_doc, own, own_s, own_f = before
                         m = len(own) // 3
                         edited = own[: len(own) - m] + text[:m] if m else own
-                        g = own_f if edited == own else fingerprint(signatures(edited, hashes))
+                        e = own_s if edited == own else signatures(edited, hashes)
+                        g = fingerprint(e)
                         sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-                        for c, v in zip(out, (own_doc, len(own), sha, own_f, g, likeness(own_f, g), likeness(own_f, f)), strict=True):
+                        for c, v in zip(out, (own_doc, len(own), sha, own_f, g, jaccard(own_s, e), jaccard(own_s, s)), strict=True):
                             c.append(v)
                     # of the rows carried over, only the first follows
-                    before = None if carry else (shard, doc, text, f)
+                    before = None if carry else (shard, doc, text, s, f)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -153,6 +153,19 @@ def test_fingerprints(clashing, corpus, empty):
     assert len({r.fingerprint for r in got if r.doc_id is not None and dict(rows)[r.doc_id] == corpus[10][1]}) == 1
 
 
+def test_similarity_of_full_sets(spark):
+    """Sets of more than KEEP signatures are compared whole."""
+    h = WordHash()
+    rows = [(i, " ".join(f"the w{j} v{j}" for j in range(i, i + 400))) for i in range(0, 300, 60)]
+    sets = {i: set(spotsigs.signatures(t, h).tolist()) for i, t in rows}
+    for r in spotsigs.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect():
+        s, t = sets[r.doc_id], sets[(r.doc_id - 60) % 300]
+        assert len(s) > spotsigs.KEEP and r.near_next == pytest.approx(len(s & t) / len(s | t))
+        own, nxt = dict(rows)[r.doc_id], dict(rows)[(r.doc_id - 60) % 300]
+        e = set(spotsigs.signatures(own[: len(own) - len(own) // 3] + nxt[: len(own) // 3], h).tolist())
+        assert r.near_edited == pytest.approx(len(s & e) / len(s | e))
+
+
 def test_one_row_follows_itself(spark):
     r = spotsigs.fingerprints(spark.createDataFrame([(5, "the cat and the dog sat on the mat")], "doc_id long, text string"), 3).collect()
     assert len(r) == 1 and r[0].near_next == 1.0
