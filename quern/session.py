@@ -31,11 +31,13 @@ def local_session(cores: str = "8", app: str = "quern", **conf: str) -> SparkSes
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where none is set (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own in local mode where none is set (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = f"{tempfile.gettempdir()}/checkpoints/quern"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -47,7 +49,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _written(spark).append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quern_path = path
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete a table that ``materialize`` has written, once nothing will read it any more."""
+    _delete(df.sparkSession, df._quern_path)
+    _written(df.sparkSession).remove(df._quern_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _written(spark: SparkSession) -> list[str]:
@@ -61,8 +76,7 @@ def drop_materialized(spark: SparkSession) -> int:
     """Delete the tables that ``materialize`` has written in this application; call it when their readers are done."""
     paths = _written(spark)
     for p in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(p)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(spark, p)
     n = len(paths)
     paths.clear()
     return n
