@@ -7,10 +7,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.session import materialize, shared_dir, table  # noqa: F401  (re-exported)
+from quern.session import drop_table, materialize, shared_dir, table  # noqa: F401  (re-exported)
 
 WORD_SPACE = "\t\n\x0b\x0c\r "
 
@@ -77,27 +77,77 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(*(columns or ("doc_id", "text")))
 
 
-BINS = 65_536
+HOT, HOT_KEYS = 10_000, 10_000
 
 
-def id_ranges(narrow: DataFrame, key: str, shards: int) -> tuple[list[int], int, int]:
-    """Shard of each of at most BINS equal ranges of an integer key, with about equal row counts, and the first key and range width.
+def split_join(rows: DataFrame, keyed: DataFrame, *keys: str) -> DataFrame:
+    """rows joined with ``keyed``: one row for each key, with the number ``n`` of its rows. No key's rows meet in one task.
 
-    The counts are one row for each range, whatever the table's size. Nulls count as the first range.
+    A key of more than HOT rows and of more than one in HOT_KEYS of all rows is sent to every executor, so at most HOT_KEYS
+    rows are; the others are joined by a shuffle. ``keyed`` is read up to three times, so it should be a written table.
     """
-    low, high, n = narrow.agg(F.min(key), F.max(key), F.count("*")).first()
-    low = low or 0
-    step = max(1, -(-((high or 0) - low + 1) // BINS))
-    counts = dict(narrow.groupBy(range_of(key, low, step).alias("b")).agg(F.count("*").alias("n")).collect())
-    out, seen, each = [], 0, max(1, -(-n // shards))
-    for b in range(min(BINS, ((high or 0) - low) // step + 1)):
-        out.append(seen // each)
-        seen += counts.get(b, 0)
-    return out, low, step
+    most, total = keyed.agg(F.max("n"), F.sum("n")).first()
+    limit = max(HOT, (total or 0) // HOT_KEYS)
+    if (most or 0) <= limit:
+        return rows.join(keyed, list(keys))
+    hot = keyed.where(F.col("n") > limit)
+    often = rows.join(F.broadcast(hot), list(keys))
+    seldom = rows.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti").join(keyed.where(F.col("n") <= limit), list(keys))
+    return often.unionByName(seldom)
 
 
-def range_of(key: str, low: int, step: int):
-    return F.coalesce(F.floor((F.col(key) - low) / F.lit(step)), F.lit(0)).cast("int")
+SAMPLE = 65_536
 
 
-__all__ = ["F", "WORD_SPACE", "WordHash", "arrow_map", "documents", "id_ranges", "materialize", "mix64", "range_of", "run_hash", "shared_dir", "spark_schema", "table", "texts"]
+def borders(keys: DataFrame, weight: str, parts: int) -> list[tuple]:
+    """Up to parts - 1 ascending border keys between ranges of about equal weight.
+
+    ``keys`` has the columns that order the rows, then ``weight``. The borders are quantiles of the SAMPLE distinct keys
+    with the smallest hashes, whatever the size of the table, its partitions and the spread of its keys, so the same rows
+    give the same borders.
+    """
+    names = [c for c in keys.columns if c != weight]
+    x = keys.groupBy(*names).agg(F.sum(weight).cast("double").alias(weight))
+    some = sorted(tuple(r) for r in x.orderBy(F.xxhash64(*names), *names).limit(SAMPLE).collect())
+    whole, seen, out = sum(r[-1] for r in some), 0.0, []
+    for r in some:
+        if seen > whole * (len(out) + 1) / parts and len(out) + 1 < parts:
+            out.append(r[:-1])
+        seen += r[-1]
+    return out
+
+
+def part_of(keys: list[Column], found: list[tuple]) -> Column:
+    """The number of borders that are not above a row's key, found in two steps of about the root of their number."""
+    if not found:
+        return F.lit(0)
+    kinds = ", ".join(f"k{i} {'bigint' if isinstance(v, int) else 'string'}" for i, v in enumerate(found[0]))
+    each = max(1, int(len(found) ** 0.5))
+    own = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys)))
+
+    def literal(some: list[tuple]) -> Column:
+        return F.array(*(F.struct(*(F.lit(v).alias(f"k{i}") for i, v in enumerate(b))) for b in some)).cast(f"array<struct<{kinds.replace(' ', ':')}>>".replace(",:", ","))
+
+    count = lambda a: F.size(F.filter(a, lambda b: b <= own))
+    first = F.greatest(count(literal(found[::each])) - 1, F.lit(0)) * each
+    return first + count(F.slice(literal(found), first + 1, F.lit(each)))
+
+
+class Scratch:
+    """Written tables of one run; those that its result doesn't read can be dropped before it ends."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(materialize(df, name))
+        return self.tables[-1]
+
+    def drop_all_but(self, *kept: DataFrame) -> None:
+        for t in self.tables:
+            if not any(t is k for k in kept):
+                drop_table(t)
+        self.tables = list(kept)
+
+
+__all__ = ["F", "WORD_SPACE", "Scratch", "WordHash", "arrow_map", "borders", "documents", "materialize", "mix64", "part_of", "run_hash", "shared_dir", "spark_schema", "split_join", "table", "texts"]

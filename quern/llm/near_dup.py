@@ -7,13 +7,16 @@ coordinate. Nodes of at most ``LIMIT`` classes are compared exhaustively through
 larger nodes branch again. A pair of similarity 0.75 shares a child with probability 0.84 at one level and a leaf of a
 tree with probability 0.6 or more, so ten trees miss less than one such pair in ten thousand. Every link is confirmed
 on the full sets. Only what connectivity needs is confirmed: first each class with its best partner and its leaf's
-hub, then, by bit sets of the shingles that members share, all pairs of a leaf that are still in different components. A node that stays large after ``MAX_DEPTH``
-levels is compared in blocks: all members with common pivots, then the members outside the node's main component with
-all members.
+hub, then, by bit sets of the shingles that members share, all pairs of a leaf that are still in different components.
+A node that stays large after ``MAX_DEPTH`` levels is compared in blocks: all members with common pivots, then the
+members outside the node's main component with all members. Joins on nodes, hubs and copies go through ``split_join``,
+so a hot key's rows are spread; sets are compared in blocks of about ``BLOCK`` shingles, so long texts stay bounded.
 
 Edge cases: null or empty texts have an empty set, no links, and are kept; fewer than five words are one shingle, the
-whole sequence; rows with equal doc_id and text are one class and get equal results; rows without a doc_id take part
-and get the component of their copies; extra columns of the input pass through unless they clash with the result's.
+whole sequence; very long texts are whole sets, in smaller blocks; rows that repeat a doc_id are judged each by its own
+text; rows without a doc_id take part, link others, and get the smallest doc_id of their component, or null if no row of it
+has one; ``near_duplicates`` leaves out extra columns, ``one_of_each`` keeps them whatever their names; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -23,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import WordHash, arrow_map, materialize, mix64, run_hash, texts
+from quern.llm.common import Scratch, WordHash, arrow_map, materialize, mix64, run_hash, split_join, texts
 
 WIDTH, NUM, DEN = 5, 75, 100
 TREES, COORDS, PERMS = 10, 64, 256
 LIMIT, MAX_DEPTH, PIVOTS, CHUNK = 2048, 10, 32, 256
+#: Shingles of the sets that meet in one row, and bits of a comparison held at once.
+BLOCK, BITS = 4_000_000, 1 << 27
 #: Six standard deviations of the sketch's estimate below the threshold; a pair of similarity 0.75 fails once in 10**8.
 SKETCH_LEAST = 0.55
 
@@ -45,6 +50,12 @@ def shingles(text: str, hashes: WordHash) -> np.ndarray:
     return np.unique(run_hash(h, WIDTH)) if len(words) >= WIDTH else run_hash(h, len(words)) + np.uint64(len(words))
 
 
+def set_key(s: np.ndarray) -> int:
+    """The identity of a set of hashes, never 0."""
+    with np.errstate(over="ignore"):
+        return int(mix64(np.array([mix64(s).sum() + np.uint64(len(s))], dtype=np.uint64)).view(np.int64)[0]) or 1
+
+
 def minwise(s: np.ndarray) -> np.ndarray:
     """PERMS minwise tokens of a set of hashes."""
     x = (s ^ (s >> np.uint64(32))).astype(np.uint32)
@@ -61,7 +72,7 @@ def sketch(tokens: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_id (0: empty), coords and bits of each document."""
+    """doc_id, copy (hash of the text), n_shingles, set_id (0: empty), coords and bits of each document."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, n, ids, coords, bits = WordHash(), [], [], [], []
@@ -72,15 +83,18 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
             if not len(s):
                 ids.append(0), coords.append(None), bits.append(None)
                 continue
-            with np.errstate(over="ignore"):
-                key = int(mix64(np.array([mix64(s).sum() + np.uint64(len(s))], dtype=np.uint64)).view(np.int64)[0]) or 1
+            key = set_key(s)
             if key not in done:
                 m = minwise(s)
                 done[key] = m[:COORDS].tobytes(), sketch(m)
             ids.append(key), coords.append(done[key][0]), bits.append(done[key][1])
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(coords, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "set_id", "coords", "bits"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(coords, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "copy", "n_shingles", "set_id", "coords", "bits"])
+
+    return arrow_map(_identified(docs, text), one, "doc_id long, copy long, n_shingles long, set_id long, coords binary, bits binary")
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias(text)), one, "doc_id long, n_shingles long, set_id long, coords binary, bits binary")
+
+def _identified(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"), F.col(text).alias(text))
 
 
 def branch(classes: DataFrame) -> DataFrame:
@@ -166,15 +180,25 @@ def crossing_links(members: DataFrame, sets: DataFrame) -> DataFrame:
             ids, label = [m["set_id"] for m in members_], np.array([m["label"] for m in members_], dtype=np.int64)
             items = [np.frombuffer(m["items"], dtype=np.uint64) for m in members_]
             size = np.array([len(x) for x in items])
-            # one bit for each shingle that several members have
+            # one bit for each shingle that several members have, some columns at a time
             row = np.repeat(np.arange(len(items)), size)
             _, column, count = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
             shared = count[column] > 1
-            names, column = np.unique(column[shared], return_inverse=True)
-            width = -(-max(1, len(names)) // 64) * 8
-            bits = np.zeros((len(items), width), dtype=np.uint8)
-            np.bitwise_or.at(bits, (row[shared], column >> 3), (1 << (column & 7)).astype(np.uint8))
-            bits = bits.view(np.uint64)
+            row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+            in_order = np.argsort(column, kind="stable")
+            row, column = row[in_order], column[in_order]
+            others = [np.flatnonzero((label[i + 1 :] != label[i]) & (DEN * np.minimum(size[i + 1 :], size[i]) >= NUM * np.maximum(size[i + 1 :], size[i]))) + i + 1 for i in range(len(ids) - 1)]
+            common = [np.zeros(len(o), dtype=np.int64) for o in others]
+            width = max(1, BITS // len(items) // 64) * 64
+            for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+                low, high = np.searchsorted(column, [first, first + width])
+                at = column[low:high] - first
+                bits = np.zeros((len(items), (int(at[-1]) // 64 + 1) * 8 if len(at) else 8), dtype=np.uint8)
+                np.bitwise_or.at(bits, (row[low:high], at >> 3), (1 << (at & 7)).astype(np.uint8))
+                bits = bits.view(np.uint64)
+                for i, o in enumerate(others):
+                    if len(o):
+                        common[i] += np.bitwise_count(bits[o] & bits[i]).sum(1, dtype=np.int64)
             root: dict[int, int] = {}
 
             def find(v: int, root=root) -> int:
@@ -183,35 +207,40 @@ def crossing_links(members: DataFrame, sets: DataFrame) -> DataFrame:
                     v = root[v]
                 return v
 
-            for i in range(len(ids) - 1):
-                other = np.flatnonzero((label[i + 1 :] != label[i]) & (DEN * np.minimum(size[i + 1 :], size[i]) >= NUM * np.maximum(size[i + 1 :], size[i]))) + i + 1
-                if not len(other):
-                    continue
-                common = np.bitwise_count(bits[other] & bits[i]).sum(1, dtype=np.int64)
-                for j in other[DEN * common >= NUM * (size[other] + size[i] - common)].tolist():
+            for i, o in enumerate(others):
+                for j in o[DEN * common[i] >= NUM * (size[o] + size[i] - common[i])].tolist():
                     a, b = find(int(label[i])), find(int(label[j]))
                     if a != b:
                         root[a] = b
                         left.append(ids[i]), right.append(ids[j])
         return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    x = members.join(sets, "set_id").groupBy("leaf").agg(F.collect_list(F.struct("set_id", "label", "items")).alias("members"))
-    return arrow_map(x.select("members"), one, "a long, b long")
+    x = _bounded(members, sets.select("set_id", "n")).join(sets.select("set_id", "items"), "set_id")
+    return arrow_map(x.groupBy("leaf").agg(F.collect_list(F.struct("set_id", "label", "items")).alias("members")).select("members"), one, "a long, b long")
+
+
+def _bounded(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """leaf, set_id, label: a leaf of more than BLOCK shingles as several in which every two of its members still meet."""
+    x = members.join(sizes, "set_id")
+    whole = x.groupBy("leaf").agg(F.sum("n").alias("whole"))
+    parts = F.when(F.col("whole") > BLOCK, F.ceil(F.col("whole") * 2 / BLOCK)).otherwise(F.lit(1)).cast("long")
+    x = x.join(whole, "leaf").withColumn("parts", parts).withColumn("p", F.pmod(F.xxhash64("set_id", "leaf"), "parts"))
+    x = x.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("p != q OR parts = 1")
+    return x.select(F.when(F.col("parts") == 1, F.col("leaf")).otherwise(F.xxhash64("leaf", F.least("p", "q"), F.greatest("p", "q"))).alias("leaf"), "set_id", "label")
 
 
-def chosen_path(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def chosen_path(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
     """classes (set_id, coords) to leaves (leaf, set_id) and members (node, set_id) of nodes that stayed large."""
     frontier = classes.select("set_id", "coords", F.expr(f"sequence(1L, {TREES}L)").alias("nodes"))
     parts: list[DataFrame] = []
     last = None
     for depth in range(1, MAX_DEPTH + 1):
-        members = materialize(branch(frontier), "paths")
-        counts = members.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        members = members.join(counts, "node")
+        members = scratch(branch(frontier), "paths")
+        members = split_join(members, scratch(members.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "nodes"), "node")
         lists = members.where(F.col("n") <= LIMIT).groupBy("node").agg(F.sort_array(F.collect_list("set_id")).alias("ids"))
         # the same small group shows in many nodes
-        parts.append(materialize(lists.select(F.xxhash64("ids").alias("leaf"), F.size("ids").alias("n"), "ids").dropDuplicates(["leaf", "n"]), "leaves"))
-        large = materialize(members.where(F.col("n") > LIMIT).select("node", "set_id"), "large")
+        parts.append(scratch(lists.select(F.xxhash64("ids").alias("leaf"), F.size("ids").alias("n"), "ids").dropDuplicates(["leaf", "n"]), "leaves"))
+        large = scratch(members.where(F.col("n") > LIMIT).select("node", "set_id"), "large")
         if large.isEmpty():
             break
         if depth == MAX_DEPTH:
@@ -224,24 +253,24 @@ def chosen_path(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return leaves.dropDuplicates(["leaf", "n"]).select("leaf", F.explode("ids").alias("set_id")), last
 
 
-def _pivot_blocks(large: DataFrame) -> DataFrame:
+def _pivot_blocks(large: DataFrame, scratch: Scratch) -> DataFrame:
     """Nodes that stayed large, in blocks that each also hold the node's pivots."""
     half = LIMIT - PIVOTS
     mixed = large.withColumn("h", F.xxhash64("node", "set_id"))
-    sizes = mixed.groupBy("node").agg(F.count("*").alias("n"))
-    pivots = mixed.join(sizes, "node").where(F.pmod("h", F.greatest(F.lit(1).cast("long"), F.floor(F.col("n") * 2 / PIVOTS))) == 0)
-    parts = mixed.join(sizes, "node").withColumn("part", F.pmod(F.col("h"), F.ceil(F.col("n") * 2 / half)))
+    mixed = split_join(mixed, scratch(mixed.groupBy("node").agg(F.count("*").alias("n")), "sizes"), "node")
+    pivots = mixed.where(F.pmod("h", F.greatest(F.lit(1).cast("long"), F.floor(F.col("n") * 2 / PIVOTS))) == 0)
+    parts = mixed.withColumn("part", F.pmod(F.col("h"), F.ceil(F.col("n") * 2 / half)))
     with_pivots = pivots.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") * 2 / half) - 1)))
     return parts.unionByName(with_pivots).select(F.xxhash64("node", "part").alias("leaf"), "set_id").distinct()
 
 
-def _rest_blocks(large: DataFrame, labels: DataFrame) -> DataFrame:
+def _rest_blocks(large: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """Of nodes that stayed large: members outside the main component with all members, in blocks."""
     part = LIMIT // 4
     x = large.join(labels, "set_id").withColumn("h", F.xxhash64("set_id", "node"))
     per = x.groupBy("node", "label").agg(F.count("*").alias("c"))
     main = per.groupBy("node").agg(F.max_by("label", "c").alias("main"), F.sum("c").alias("n"), (F.sum("c") - F.max("c")).alias("rest"))
-    x = x.join(main.where("rest > 0"), "node")
+    x = split_join(x, scratch(main.where("rest > 0"), "mains"), "node")
     rows, cols = F.ceil(F.col("rest") / part), F.ceil(F.col("n") / part)
     outer = x.where("label != main").select("node", "set_id", F.pmod("h", rows).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), cols - 1)).alias("j"))
     inner = x.select("node", "set_id", F.explode(F.sequence(F.lit(0).cast("long"), rows - 1)).alias("i"), F.pmod("h", cols).alias("j"))
@@ -254,22 +283,25 @@ def with_members(leaves: DataFrame, classes: DataFrame, labels: DataFrame | None
     return x.groupBy("leaf").agg(F.collect_list(F.struct("set_id", "bits", "label")).alias("members"))
 
 
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Candidate pairs a, b to links a, b that span the confirmed pairs, decided on the full sets (set_id, items).
+def confirm(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Candidate pairs a, b to links a, b that span the confirmed pairs, decided on the full sets (set_id, n, items).
 
     Pairs meet in blocks of bounded size, so each set is sent once for each block rather than once for each pair.
     """
     ends = pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))).toDF("id", "other")
-    home = ends.groupBy("id").agg(F.least("id", F.min("other")).alias("home"))
-    x = pairs.join(home.select(F.col("id").alias("a"), F.col("home").alias("ha")), "a").join(home.select(F.col("id").alias("b"), F.col("home").alias("hb")), "b")
-    x = x.select("a", "b", F.least("ha", "hb").alias("home"))
-    sizes = x.groupBy("home").agg(F.count("*").alias("n"))
-    chunks = F.greatest(F.lit(1), F.least(F.ceil(F.sqrt(F.col("n") / CHUNK)), F.ceil(F.col("n") * 2 / CHUNK)))
-    x = x.join(sizes, "home").withColumn("k", chunks.cast("long"))
+    home = ends.groupBy("id").agg(F.least("id", F.min("other")).alias("home"), F.count("*").alias("n"))
+    home = scratch(home.join(sets.select(F.col("set_id").alias("id"), F.col("n").alias("size")), "id"), "homes")
+    x = split_join(pairs, home.select(F.col("id").alias("a"), F.col("home").alias("ha"), F.col("size").alias("sa"), "n"), "a").drop("n")
+    x = split_join(x, home.select(F.col("id").alias("b"), F.col("home").alias("hb"), F.col("size").alias("sb"), "n"), "b")
+    x = scratch(x.select("a", "b", F.least("ha", "hb").alias("home"), (F.col("sa") + F.col("sb")).alias("size")), "homed")
+    # a block holds two of k chunks of the ids that share a home
+    few = F.greatest(F.lit(1), F.least(F.ceil(F.sqrt(F.col("n") / CHUNK)), F.ceil(F.col("n") * 2 / CHUNK)))
+    chunks = F.when(F.col("size") > BLOCK, F.greatest(few, F.ceil(F.col("size") * 2 / BLOCK))).otherwise(few).cast("long")
+    sizes = x.groupBy("home").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    x = split_join(x.drop("size"), scratch(sizes.select("home", "n", chunks.alias("k")), "chunks"), "home")
     ca, cb = F.pmod(F.xxhash64("a"), "k"), F.pmod(F.xxhash64("b"), "k")
-    x = x.select("a", "b", F.xxhash64("home", F.least(ca, cb), F.greatest(ca, cb)).alias("block"))
-    x = materialize(x, "blocks")
-    members = x.select("block", F.col("a").alias("set_id")).union(x.select("block", "b")).distinct().join(sets, "set_id")
+    x = scratch(x.select("a", "b", F.xxhash64("home", F.least(ca, cb), F.greatest(ca, cb)).alias("block")), "blocks")
+    members = x.select("block", F.col("a").alias("set_id")).union(x.select("block", "b")).distinct().join(sets.select("set_id", "items"), "set_id")
     held = members.groupBy("block").agg(F.collect_list("set_id").alias("ids"), F.collect_list("items").alias("items"))
     asked = x.groupBy("block").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
 
@@ -307,72 +339,99 @@ def _spanning(items: dict[int, np.ndarray], pairs) -> list[tuple[int, int]]:
     return out
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """set_id, label of each connected component (alternating large-star and small-star until all is stars)."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
     while True:
         both = e.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
-        m = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(m, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        m = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(m, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = materialize(small.where("u != v").distinct(), "stars")
+        least = scratch(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), "least")
+        large = split_join(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        large = scratch(large, "large-stars")
+        least = scratch(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        small = split_join(large, least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        e = scratch(small.where("u != v").distinct(), "stars")
+        # stars: no vertex has two centres or is a centre itself; centres are few beside the vertices
         if e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
             return e.select(F.col("u").alias("set_id"), F.col("v").alias("label"))
 
 
-def named_by(classes: DataFrame, labels: DataFrame) -> DataFrame:
+def named_by(classes: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """set_id, label of every class; one without links is its own."""
-    return materialize(classes.select("set_id").join(labels, "set_id", "left").select("set_id", F.coalesce("label", "set_id").alias("label")), "labels")
+    return scratch(classes.select("set_id").join(labels, "set_id", "left").select("set_id", F.coalesce("label", "set_id").alias("label")), "labels")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each document."""
-    sigs = materialize(signatures(docs, text), "signatures")
-    full = sigs.where("set_id != 0")
-    classes = materialize(full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("coords").alias("coords"), F.first("bits").alias("bits")), "classes")
-    leaves, large = chosen_path(classes)
-    leaves = leaves if large is None else leaves.unionByName(_pivot_blocks(large))
-    first = materialize(best_pairs(with_members(leaves, classes, None)), "pairs")
-
-    # the sets of all that may be confirmed in either round
-    wanted = first.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    if large is not None:
-        wanted = wanted.union(large.select("set_id")).distinct()
-    reps = classes.join(wanted, "set_id").where("rep is not null").select(F.col("rep").alias("doc_id"), F.col("set_id").alias("set_id"))
+def _full_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """set_id, n and items of the wanted classes (set_id, first: doc_id and copy of a row with that set)."""
 
     def items(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes = WordHash()
-        return pa.RecordBatch.from_arrays([batch.column("set_id"), pa.array([shingles(t, hashes).tobytes() for t in texts(batch, "text")], pa.binary())], ["set_id", "items"])
+        found = [shingles(t, hashes) for t in texts(batch, "text")]
+        same = pa.array([set_key(s) == k for s, k in zip(found, batch.column("set_id").to_pylist(), strict=True)])
+        out = pa.RecordBatch.from_arrays([batch.column("set_id"), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["set_id", "n", "items"])
+        return out.filter(same)
+
+    # a null doc_id is joined by the text's hash alone
+    key = lambda r: (F.coalesce(r["doc_id"], r["copy"]).alias("_id"), r["doc_id"].isNull().alias("_none"), r["copy"].alias("_copy"))
+    rows = _identified(docs, text).withColumnRenamed(text, "text")
+    chosen = rows.select(*key(rows), "text").join(wanted.select("set_id", *key(F.col("first"))), ["_id", "_none", "_copy"])
+    return arrow_map(chosen.select("set_id", "text"), items, "set_id long, n long, items binary").groupBy("set_id").agg(F.first("n").alias("n"), F.first("items").alias("items"))
+
+
+def _resolved(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, and of each class its set_id, label, first row and number of rows."""
+    scratch = Scratch()
+    sigs = scratch(signatures(docs, text), "signatures")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")).alias("first")
+    classes = scratch(sigs.where("set_id != 0").groupBy("set_id").agg(first, F.count("*").alias("rows"), F.first("coords").alias("coords"), F.first("bits").alias("bits")), "classes")
+    leaves, large = chosen_path(classes, scratch)
+    leaves = leaves if large is None else leaves.unionByName(_pivot_blocks(large, scratch))
+    pairs = scratch(best_pairs(with_members(leaves, classes, None)), "pairs")
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).join(reps, "doc_id")
-    # rows that repeat a doc_id: the one whose set is meant has the right length; equal sets are one
-    sets = materialize(arrow_map(chosen.select("set_id", "text"), items, "set_id long, items binary").groupBy("set_id").agg(F.max_by("items", F.length("items")).alias("items")), "sets")
-    links = materialize(confirm(first, sets), "links")
-    labels = named_by(classes, components(links))
+    # the sets of all that may be confirmed in either round
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    if large is not None:
+        wanted = wanted.union(large.select("set_id")).distinct()
+    sets = scratch(_full_sets(docs, text, classes.select("set_id", "first").join(wanted, "set_id")), "sets")
+    links = scratch(confirm(pairs, sets, scratch), "links")
+    labels = named_by(classes, components(links, scratch), scratch)
     crossing = open_members(with_members(leaves, classes, labels))
     if large is not None:
-        crossing = crossing.union(open_members(with_members(_rest_blocks(large, labels), classes, labels)))
-    crossing = materialize(crossing, "crossing")
+        crossing = crossing.union(open_members(with_members(_rest_blocks(large, labels, scratch), classes, labels)))
+    crossing = scratch(crossing, "crossing")
     if not crossing.isEmpty():
-        more = materialize(crossing_links(crossing, sets), "links")
+        more = scratch(crossing_links(crossing, sets), "links")
         if not more.isEmpty():
-            labels = named_by(classes, components(links.union(more)))
-    all_labels = labels
-    named = classes.select("set_id", "rep").join(all_labels, "set_id")
-    least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_class = named.join(least, "label").select("set_id", "component_id")
-    out = sigs.select("doc_id", "n_shingles", "set_id").join(of_class, "set_id", "left")
-    component = F.when(F.col("set_id") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+            labels = named_by(classes, components(links.union(more), scratch), scratch)
+    named = scratch(classes.select("set_id", "first", F.col("rows").alias("n")).join(labels, "set_id"), "named")
+    scratch.drop_all_but(sigs, named)
+    return sigs.drop("coords", "bits"), named
+
+
+def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each document."""
+    sigs, named = _resolved(docs, text)
+    least = named.groupBy("label").agg(F.min("first.doc_id").alias("component_id"), F.count("*").alias("n"))
+    of_class = materialize(split_join(named.select("set_id", "label", F.col("n").alias("rows")), materialize(least, "components"), "label").select("set_id", "component_id", F.col("rows").alias("n")), "classes")
+    full = split_join(sigs.where("set_id != 0").select("doc_id", "n_shingles", "set_id"), of_class, "set_id").select("doc_id", "n_shingles", "component_id")
+    out = full.union(sigs.where("set_id = 0").select("doc_id", "n_shingles", "doc_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each component, with all its columns; of rows that repeat a doc_id one stays, rows without doc_id all do."""
-    kept = near_duplicates(docs).where("kept").select("doc_id", F.lit(True).alias("_kept")).distinct()
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c in docs.columns if c != "doc_id"]))
-    x = docs.join(kept, "doc_id", "left").where("_kept OR doc_id IS NULL").withColumn("_n", F.row_number().over(once))
-    return x.where("_n = 1 OR doc_id IS NULL").select(docs.columns)
+    """One row of each component, with all its columns: the smallest doc_id's, a row without doc_id only if there is no other.
+
+    A row without words is its own component; rows that repeat such a doc_id count as one, rows without both all stay.
+    """
+    sigs, named = _resolved(docs, "text")
+    chosen = named.groupBy("label").agg(F.min("first").alias("first")).select("first.doc_id", "first.copy")
+    chosen = chosen.union(sigs.where("set_id = 0 AND doc_id IS NOT NULL").select("doc_id", "copy").distinct())
+    chosen = chosen.select(F.coalesce("doc_id", "copy").alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("copy").alias("_copy"))
+    x = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_copy"))
+    x = x.select("_row", "_copy", F.coalesce("_doc", "_copy").alias("_id"), F.col("_doc").isNull().alias("_none"))
+    once = Window.partitionBy("_id", "_none", "_copy").orderBy(F.xxhash64(*(F.col("_row")[c] for c in docs.columns)))
+    kept = x.join(chosen, ["_id", "_none", "_copy"], "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1").select("_row")
+    wordless = F.coalesce(F.col("_row.text"), F.lit("")).rlike(r"^[\x09-\x0D\x20]*$")
+    return kept.union(x.where(F.col("_none") & wordless).select("_row")).select(*(F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -7,15 +7,15 @@ more than ``KEEP``, so equal texts have equal fingerprints and its length is bou
 its edited text and to the next document are those of the full sets. ``likeness`` of two fingerprints is for stored ones:
 exact for small sets and else estimated from the smallest hashes of the union.
 
-``matches`` joins fingerprinted documents: they are partitioned by set length into ranges so that no pair of
+``matches`` joins the documents' full sets: they are partitioned by set length into ranges so that no pair of
 similarity ``tau`` is further apart than neighbouring ranges, candidates share one of the rare leading signatures that
 any such pair must share, and pairs whose lengths alone rule them out are pruned before the sets are compared.
 
-``with_next`` gives each document the next one in descending doc_id: rows are dealt by ranges of doc_id and sorted, and
-the first row of each range also goes to the range before.
+``with_next`` gives each document the next one in descending doc_id: rows are dealt by ranges of doc_id and text hash,
+whose borders are quantiles, and sorted; the first row of each range also goes to the range before.
 
 Edge cases: a null text is empty, has no signatures and is like only other empty texts; rows that repeat a doc_id
-follow one another in order of their text's hash; rows without doc_id come last; a table of one row follows itself;
+follow one another by descending hash of their text; any long is a doc_id; rows without doc_id come last; a table of one row follows itself;
 an empty table gives no rows; extra columns are ignored.
 """
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import WordHash, arrow_map, documents, id_ranges, materialize, mix64, range_of, texts
+from quern.llm.common import SAMPLE, WordHash, arrow_map, borders, documents, materialize, mix64, part_of, texts
 
 KEEP, CHAIN = 64, 2
 #: Common words of four languages.
@@ -97,21 +97,24 @@ def jaccard(s: np.ndarray, t: np.ndarray) -> float:
 
 def with_next(docs: DataFrame, shards: int) -> tuple[DataFrame, int]:
     """doc_id, text, shard, carry: sorted by descending doc_id; rows with carry stand for the first row of what follows."""
-    x = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    narrow = x.select("key", "doc_id")
-    shard_of, low, step = id_ranges(narrow.select("doc_id"), "doc_id", shards)
-    shard = F.element_at(F.lit(shard_of or [0]), range_of("doc_id", low, step) + 1)
-    heads = dict(narrow.groupBy(shard.alias("s")).agg(F.max("key")).collect())  # one row for each shard
-    order = sorted(heads)
-    n = (order[-1] if order else 0) + 1
-    above = {s: order[(i + 1) % len(order)] for i, s in enumerate(order)}
-    x = x.withColumn("own", shard)
-    head = F.element_at(F.lit([heads.get(s, 0) for s in range(n)]).cast("array<bigint>"), F.col("own") + 1)
-    to = F.element_at(F.lit([above.get(s, 0) for s in range(n)]).cast("array<int>"), F.col("own") + 1)
+    doc = F.col("doc_id").cast("long")
+    x = docs.select(F.coalesce(doc, F.lit(-(2**63))).alias("key"), doc.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    x = x.withColumn("hash", F.xxhash64("text"))
+    narrow = x.select("key", "hash")
+    found = borders(narrow.withColumn("weight", F.lit(1)), "weight", min(shards, SAMPLE // 8))
+    own = part_of([F.col("key"), F.col("hash")], found)
+    heads = narrow.groupBy(own.alias("own")).agg(F.max(F.struct("key", "hash")).alias("head")).orderBy("own").collect()  # one row for each shard
+    n = len(found) + 1
+    if not heads:
+        return x.select(F.lit(0).alias("shard"), "doc_id", "text", F.lit(0).alias("carry")), n
+    # the rows before a shard's in descending order are those of the next shard that has any
+    above = [(h.own, h["head"].key, h["head"].hash, heads[(i + 1) % len(heads)].own) for i, h in enumerate(heads)]
+    above = docs.sparkSession.createDataFrame(above, "own int, head_key long, head_hash long, above int")
+    x = x.withColumn("own", own).join(F.broadcast(above), "own")
     one = F.struct(F.col("own").alias("shard"), F.lit(0).alias("carry"))
-    x = x.select("key", "doc_id", "text", F.inline(F.when(F.col("key") == head, F.array(one, F.struct(to.alias("shard"), F.lit(1).alias("carry")))).otherwise(F.array(one))))
-    x = x.repartitionById(n, "shard") if hasattr(DataFrame, "repartitionById") else x.repartition(n, "shard")
-    return x.sortWithinPartitions("shard", "carry", F.desc("key"), F.xxhash64("text"), "text").select("shard", "doc_id", "text", "carry"), n
+    both = F.array(one, F.struct(F.col("above").alias("shard"), F.lit(1).alias("carry")))
+    x = x.select("key", "hash", "doc_id", "text", F.inline(F.when((F.col("key") == F.col("head_key")) & (F.col("hash") == F.col("head_hash")), both).otherwise(F.array(one))))
+    return x.repartitionById(n, "shard").sortWithinPartitions("shard", "carry", F.desc("key"), F.desc("hash"), "text").select("shard", "doc_id", "text", "carry"), n
 
 
 def fingerprints(docs: DataFrame, shards: int | None = None) -> DataFrame:

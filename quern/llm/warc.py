@@ -1,8 +1,8 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are dealt to shards by ranges of page_id; the ranges come from a histogram of bytes over at most
-``BINS`` equal id ranges, so the same table gives the same shards whatever the cluster. A shard is sorted by page_id and
-written as gzip members, one for each record; a file is closed when its compressed size reaches ``ROLL``. Every file
+Records are dealt to shards by ranges of page_id and digest; the borders are quantiles of bytes over a sample by hash, so
+the same table gives the same shards whatever the cluster, and ids that lie far apart, repeat or are null don't crowd
+one shard. A shard is sorted by page_id and written as gzip members, one for each record; a file is closed when its compressed size reaches ``ROLL``. Every file
 is written under a temporary name and renamed when complete, so a task that runs twice replaces a file by the same
 bytes; the list of files is written last, by Spark's own committer, and readers follow that list alone. Dates and
 record ids are functions of the row, headers and digests are made anew.
@@ -12,7 +12,7 @@ others are revisits of it. Payloads cross the network once: the decisions travel
 pages in the sort.
 
 Edge cases: null html is an empty payload; a null url becomes an empty target; a null page_id is always a response and
-sorts first; rows that repeat a page_id and payload get the same decision; an empty table gives an empty list of files
+sorts first; any long is a page_id; rows that repeat a page_id and payload get the same decision; an empty table gives an empty list of files
 and no rows; extra columns are ignored.
 """
 
@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialize, shared_dir, table
+from quern.llm.common import SAMPLE, borders, materialize, part_of, shared_dir, table
 
-LEAST, ROLL, SHARD_BYTES, BINS = 1000, 32 << 20, 8 << 20, 4096
+LEAST, ROLL, SHARD_BYTES, MAX_SHARDS = 1000, 32 << 20, 8 << 20, SAMPLE // 8
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6f1a4b6e-51c8-5b0f-9d0c-2a4f6f0e7a11")
 
@@ -118,22 +118,18 @@ def write(pages: DataFrame, folder: str, roll: int = ROLL, shard_bytes: int = SH
     html = F.coalesce(F.col("html"), F.lit(""))
     wide = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
     narrow = wide.select("page_id", "digest", F.octet_length("html").cast("long").alias("size"))
-    low, high = narrow.agg(F.min("page_id"), F.max("page_id")).first()
-    low, step = low or 0, max(1, -(-((high or 0) - (low or 0) + 1) // BINS))
-    bin_of = F.coalesce(F.floor((F.col("page_id") - low) / F.lit(step)), F.lit(0)).cast("int")
-    weights = dict(narrow.groupBy(bin_of.alias("b")).agg(F.sum("size") + F.count("*") * 600).collect())  # at most BINS rows
-    shard_of, total = [], 0
-    for b in range(BINS):
-        shard_of.append(int(total // shard_bytes))
-        total += weights.get(b, 0)
-    shards = shard_of[-1] + 1
-    shard = F.element_at(F.lit(shard_of), bin_of + 1)
+    key = F.coalesce("page_id", F.lit(-(2**63)))
+    weights = narrow.select(key.alias("key"), "digest", (F.col("size") + 600).alias("weight"))
+    total = weights.agg(F.sum("weight")).first()[0] or 0
+    shards = max(1, min(MAX_SHARDS, -(-total // shard_bytes)))  # larger ones beyond; files are rolled within a shard
+    found = borders(weights, "weight", shards)
+    shard = part_of([key, F.col("digest")], found).cast("long")
 
     first = narrow.where(F.col("size") >= LEAST).groupBy("digest").agg(F.max("page_id").alias("ref"), F.count("*").alias("n")).where("n > 1").select("digest", "ref")
     revisits = narrow.where(F.col("size") >= LEAST).join(first, "digest").where("page_id < ref").select("page_id", "digest", "ref").distinct()
     rows = wide.select("page_id", "digest", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("ref"))
     rows = rows.unionByName(revisits.withColumn("kind", F.lit(0)), allowMissingColumns=True).withColumn("shard", shard)
-    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    rows = rows.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
 
     def save(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
@@ -207,7 +203,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    dealt = files.select("name").repartition(max(1, files.count()), "name")
+    dealt = files.select("name").repartition(max(1, files.count()))
     return dealt.mapInArrow(load, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 

@@ -48,7 +48,7 @@ def test_near_dedup(docs, corpus):
 def test_near_dedup_of_large_nodes(docs, corpus, monkeypatch):
     """With tiny leaves the near copies go through deeper levels and then blocks; the links are the same."""
     seen = []
-    monkeypatch.setattr(near_dup, "_rest_blocks", lambda large, labels, f=near_dup._rest_blocks: seen.append(large.count()) or f(large, labels))
+    monkeypatch.setattr(near_dup, "_rest_blocks", lambda large, *rest, f=near_dup._rest_blocks: seen.append(large.count()) or f(large, *rest))
     monkeypatch.setattr(near_dup, "LIMIT", 12)
     monkeypatch.setattr(near_dup, "PIVOTS", 4)
     monkeypatch.setattr(near_dup, "MAX_DEPTH", 2)
@@ -57,6 +57,48 @@ def test_near_dedup_of_large_nodes(docs, corpus, monkeypatch):
     assert all(got[i] == c for i, (_, c) in want.items()) and seen[0] > 12
 
 
+def test_near_dedup_without_ids(spark):
+    """Rows without doc_id link others; a component without any has a null id and one_of_each keeps one row of it."""
+    w = [f"w{i}" for i in range(60)]
+    near = lambda *at: " ".join("x" if i in at else v for i, v in enumerate(w))
+    # 7 and 9 are only linked through the row without doc_id
+    rows = [(7, near(0)), (None, near()), (9, near(59)), (None, "own words of a row that has no copy at all"), (None, " ".join(f"v{i}" for i in range(30))), (None, " ".join(f"v{i}" for i in range(31)))]
+    x = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in near_dup.near_duplicates(x).collect()}
+    assert got[7, 56] == (7, True) and got[9, 56] == (7, False) and got[None, 56] == (7, False)
+    assert got[None, 26] == got[None, 27] == (None, False)
+    kept = [r.doc_id for r in near_dup.one_of_each(x).collect()]
+    assert kept.count(7) == 1 and 9 not in kept and kept.count(None) == 2
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    """Rows that share a doc_id are judged each by its own text."""
+    w = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(w)), (1, " ".join(f"long{i}" for i in range(500))), (2, " ".join([*w[:59], "other"])), (3, " ".join(f"long{i}" for i in range(495)))]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 56): 1, (1, 496): 1, (2, 56): 1, (3, 491): 1}
+
+
+def test_near_dedup_in_bounded_blocks(docs, corpus, monkeypatch):
+    """Blocks of few shingles, bit sets of few columns and joins that spread every key give the same components."""
+    from quern.llm import common
+
+    monkeypatch.setattr(near_dup, "BLOCK", 3000)
+    monkeypatch.setattr(near_dup, "BITS", 2000)
+    monkeypatch.setattr(common, "HOT", 2)
+    want = brute_components([(r[0], r[1]) for r in corpus if r[0] is not None])
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs).collect()}
+    assert all(got[i] == c for i, (_, c) in want.items())
+
+
+def test_near_dedup_of_long_texts(spark):
+    """Near copies of 60,000 words, of which each differs from the one before by about a tenth."""
+    w = [f"w{i}" for i in range(60_000)]
+    rows = [(k, " ".join("x" if (i + 17 * k) % 50 == 0 and k else v for i, v in enumerate(w))) for k in range(6)]
+    x = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(x).collect()} == {i: c for i, (_, c) in brute_components(rows).items()}
+
+
 def test_near_dedup_of_short_texts(spark):
     """Every text of seven words is linked with itself and one word more: three of four shingles."""
     rows = [(2 * i + k, " ".join(f"s{i}w{j}" for j in range(7 + k))) for i in range(1500) for k in range(2)]
@@ -153,6 +195,50 @@ def test_fingerprints(clashing, corpus, empty):
     assert len({r.fingerprint for r in got if r.doc_id is not None and dict(rows)[r.doc_id] == corpus[10][1]}) == 1
 
 
+def test_ranges_of_far_ids(spark):
+    """One outlying id, the least and largest longs and rows without id leave the others in many ranges."""
+    rows = [(i, f"the cat number {i} sat") for i in range(500)] + [(2**63 - 1, "the last"), (-(2**63) + 1, "the first"), (None, "no id")]
+    x = spark.createDataFrame(rows, "doc_id long, text string")
+    per = spotsigs.with_next(x, 20)[0].groupBy("shard").count().collect()
+    assert len(per) > 10 and max(r["count"] for r in per) < 100
+    order = sorted(rows, key=lambda r: -(2**64) if r[0] is None else r[0], reverse=True)
+    got = {r.doc_id: r.edited_sha256 for r in spotsigs.fingerprints(x, 20).collect()}
+    for (i, t), (_, nxt) in zip(order, [*order[1:], order[0]], strict=True):
+        m = len(t) // 3
+        assert got[i] == hashlib.sha256((t[: len(t) - m] + nxt[:m]).encode()).hexdigest()
+
+
+def test_repeated_ids_at_a_border(spark):
+    """Rows of one id, of more than one range, follow one another, and the last the next id's first."""
+    rows = [(1, f"the text {i} of one id") for i in range(300)] + [(0, "the zero")] + [(2, "the two")]
+    x = spark.createDataFrame(rows, "doc_id long, text string")
+    shards = spotsigs.with_next(x, 10)[0].where("carry = 0").select("shard").distinct().count()
+    got = [r.edited_sha256 for r in spotsigs.fingerprints(x, 10).collect()]
+    order = [r.text for r in x.orderBy(F.desc("doc_id"), F.desc(F.xxhash64("text"))).collect()]
+    want = [hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest() for t, n in zip(order, [*order[1:], order[0]], strict=True)]
+    assert shards > 5 and sorted(got) == sorted(want)
+
+
+def brute_likeness(rows):
+    """near_edited and near_next of single documents, by plain sets."""
+    h = WordHash()
+    sig = lambda t: set(spotsigs.signatures(t, h).tolist())
+    like = lambda s, t: len(s & t) / len(s | t) if s | t else 1.0
+    out = {}
+    for k, (i, t) in enumerate(rows):
+        nxt = rows[(k + 1) % len(rows)][1]
+        m = len(t) // 3
+        out[i] = like(sig(t), sig(t[: len(t) - m] + nxt[:m])), like(sig(t), sig(nxt))
+    return out
+
+
+def test_likeness_of_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    want = brute_likeness(sorted(((r.doc_id, r.text or "") for r in docs.collect()), reverse=True))
+    got = {r.doc_id: (r.near_edited, r.near_next) for r in spotsigs.fingerprints(docs, 7).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(w) for i, w in want.items())
+
+
 def test_similarity_of_full_sets(spark):
     """Sets of more than KEEP signatures are compared whole."""
     h = WordHash()

@@ -126,6 +126,19 @@ def test_warc(spark, pages, tmp_path):
     assert collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
 
 
+def test_warc_of_far_ids(spark, tmp_path):
+    """One outlying id, the least and largest longs and many rows without id leave the others in many shards."""
+    ids = [*range(300), 2**62, 2**63 - 1, -(2**63) + 1, *[None] * 100]
+    rows = [(i, "http://a", f"{k} " * 400) for k, i in enumerate(ids)]
+    files = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/a", shard_bytes=20_000).collect()
+    per = collections.Counter()
+    for f in files:
+        per[f.shard] += f.records
+    assert len(per) > 15 and max(per.values()) < 60
+    got = warc.read(spark, f"file://{tmp_path}/a").collect()
+    assert collections.Counter((r.page_id, r.payload_bytes) for r in got) == collections.Counter((i, len(h)) for i, _, h in rows)
+
+
 def test_warc_payloads(spark, pages, tmp_path):
     warc.write(pages, f"file://{tmp_path}/c")
     got = {h["X-Page-Id"]: (h, b) for p in sorted((tmp_path / "c").glob("*.gz")) for h, b in warc.records(f"file://{p}") if h["WARC-Type"] == "response"}
