@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,16 +117,38 @@ def test_one_of_each(clashing, corpus, empty):
     assert near_dup.one_of_each(empty).count() == 0
 
 
-def brute_lines(rows, least=line_dedup.MIN_TEXTS):
-    """Lines of at least MIN_TOKENS tokens that stand in enough different texts, but for the first document's."""
-    where = collections.defaultdict(lambda: (set(), set()))
+def brute_lines(rows, min_tokens=line_dedup.MIN_TOKENS):
+    """The rows without lines of recurring templates, by dictionaries; for texts without variable fields to mask."""
+    split = lambda t: [" ".join(x.split()) for x in (t or "").split("\n")]
+    held = collections.defaultdict(set)  # line: texts and ids
     for i, t in rows:
-        for line in (t or "").split("\n"):
-            if len(line.split()) >= line_dedup.MIN_TOKENS:
-                where[line][0].add(t)
-                where[line][1].add(float("inf") if i is None else i)
-    gone = {line: min(ids) for line, (texts, ids) in where.items() if len(texts) >= least}
-    return [(i, t if t is None else "\n".join(x for x in t.split("\n") if x not in gone or gone[x] == i)) for i, t in rows]
+        for line in split(t):
+            if len(line.split()) >= min_tokens:
+                held[line].add((t, float("inf") if i is None else i))
+    texts = lambda some: {t for line in some for t, _ in held[line]}
+    first = lambda some: min(i for line in some for _, i in held[line])
+    needed = lambda line: max(2, min(line_dedup.MIN_TEXTS, -(-line_dedup.LONG // len(line.split()))))
+    keep = {line: first([line]) for line in held if len(texts([line])) >= needed(line)}
+    leaves = collections.defaultdict(list)
+    for line in held:
+        if line not in keep:
+            leaves[len(line.split()), *line.split()[: line_dedup.DEPTH]].append(line)
+    for some in leaves.values():
+        count = {}
+        for pos, token in {(p, w) for line in some for p, w in enumerate(line.split())}:
+            count[pos, token] = len(texts([line for line in some if line.split()[pos] == token]))
+        for level in range(6):
+            groups = collections.defaultdict(list)
+            for line in some:
+                shape = tuple((p, w) for p, w in enumerate(line.split()) if count[p, w] >= line_dedup.MIN_TEXTS * 4**level)
+                if len(shape) >= line_dedup.SIMILAR * len(line.split()):
+                    groups[shape].append(line)
+            for group in groups.values():
+                if len(texts(group)) >= line_dedup.MIN_TEXTS:
+                    for line in group:
+                        keep.setdefault(line, first(group))
+    own = lambda i: float("inf") if i is None else i
+    return [(i, t if t is None else "\n".join(x for x in t.split("\n") if keep.get(" ".join(x.split()), own(i)) == own(i))) for i, t in rows]
 
 
 def test_line_dedup(docs, corpus):
@@ -141,6 +164,55 @@ def test_line_templates(spark):
     assert all("page" not in got[i] and "quick" not in got[i] for i in range(1, 8))
 
 
+@pytest.mark.parametrize("hot", [1, 10_000])
+def test_line_trees(spark, monkeypatch, hot):
+    """Lines of few leaves with fields that take rare or frequent values, short and very long, against dictionaries."""
+    from quern.llm import common
+
+    monkeypatch.setattr(common, "HOT", hot)
+    rng = random.Random(11)
+    letters = [a + b for a in "abcdef" for b in "ghijkl"]
+    rows = []
+    for i in range(400):
+        own = [f"page {w} belongs to the {rng.choice(letters[:6])} section of our {rng.choice(letters)} site and to {rng.choice(letters)}x{rng.choice(letters)} here" for w in ("alpha", "beta")]
+        long = " ".join(["passage of many words"] + [rng.choice(letters) if k == 30 else f"{chr(97 + k % 26)}word" for k in range(60)])
+        few = " ".join(rng.choice(letters) for _ in range(rng.choice([2, 3, 4])))
+        rows.append((i, "\n".join(rng.sample([*own, long, few, f"own {rng.choice(letters)} line of {i % 7 * 'x'} text"], rng.randint(1, 4)))))
+    rows += [(3000 + i, f"home page\nown text {letters[i]}") for i in range(8)] + [(1000 + i, "some words " * 30 + "end") for i in range(3)] + [(2000 + i, f"own text\n{'a long line of two texts ' * 12}{'ab'[i // 2]}") for i in range(4)] + rows[:3] + [(None, rows[5][1])]
+    got = line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text").collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(brute_lines(rows))
+    every = line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string"), min_tokens=1).select("doc_id", "text").collect()
+    assert collections.Counter(map(tuple, every)) == collections.Counter(brute_lines(rows, 1)) != collections.Counter(map(tuple, got))
+
+
+@pytest.mark.parametrize("n", [39, 40, 41, 60, 200])
+def test_long_templates(spark, n):
+    """A line with one changed word recurs whatever its length."""
+    rows = [(i, " ".join(f"x{'abcdefghijkl'[i]}" if k == 7 else f"{chr(97 + k % 26)}word" for k in range(n))) for i in range(12)]
+    assert line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string")).agg(F.sum("n_dropped")).first()[0] == 11
+
+
+def test_passages_of_two_texts(spark):
+    """A passage of over 50 words is a template once two texts hold it; a short line isn't."""
+    passage = " ".join(f"{chr(97 + k % 26)}word" for k in range(51))
+    rows = [(i, f"{passage}\nown words of text {'abc'[i]}\na short line") for i in range(2)]
+    got = line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert got[0].text == rows[0][1] and got[1].text == "own words of text b\na short line"
+
+
+def test_line_dedup_sql(duck, spark):
+    import duckdb
+
+    rng = random.Random(2)
+    rows = [(i, "\n".join(f"seen {rng.randrange(9)} times by {rng.choice(['ann', 'bob', 'eve', f'u{chr(97 + i % 26)}'])} in room {rng.choice('abcdefghij')}" for _ in range(3))) for i in range(60)]
+    c = duckdb.connect()
+    import pandas as pd
+
+    c.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    got = line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_dropped", "text").collect()
+    assert sorted(map(tuple, got)) == sorted(c.execute(line_dedup.OP7_SQL).fetchall())
+
+
 def _two_templates(i):
     """Lines of ten tokens of which the first four are alike, of two templates with one variable field each."""
     return f"please note that this offer from {'abcdefgh'[i]}x ends very soon", f"please note that this {'abcdefgh'[i]}y page was moved last week"
