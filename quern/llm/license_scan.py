@@ -1,12 +1,15 @@
 """License scan with ordered signature rules, on DataFrame functions only.
 
-Texts become lower-cased words joined by single spaces. A document that holds none of a few keywords is finished
-there. The others are tried against the rules whose own keyword they hold: regexes over the words, built from the
-license families, versions and phrasings below. A detection inside a longer one is suppressed; of detections of the
-same words the rule of higher priority stays. The four base phrases are always reported.
+Texts become lower-cased words joined by single spaces. A document that holds none of the keywords' common parts is
+finished there. The others are tried against the rules of the keywords they hold (``license_rules``): first one literal
+regex for all rules of a keyword, then each rule of the few keywords left. A detection inside a longer one is
+suppressed; of detections of the same words the rule of higher priority stays, then the label that sorts first. As no
+match is longer than ``most_words()``, a detection is compared with the few that start within that distance before it, so
+the cost is linear in the text and its detections. The four base phrases are always reported.
 
 Edge cases: a null or empty text has no words, no places, empty labels and score 0; a null doc_id stays null; repeated
-rows are scanned each; very long texts are scanned whole; extra columns are ignored; an empty table gives no rows.
+rows are scanned each; very long texts, and texts of very many detections, are scanned whole; extra columns are ignored;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,85 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import documents
+from quern.llm.license_rules import families, most_words
 
 BASE = {"gpl": "gnu general public license", "apache": "apache license", "cc-by": "cc by", "mit": "mit license"}
 
-#: Families: label, keyword, name as a regex over words, versions. Versions are words: 2.0 is "2 0".
-FAMILIES = (
-    ("gpl", "general public", "gnu general public licen[sc]e", ("1", "2", "3")),
-    ("gpl", "gpl", "(?:gnu )?gpl", ("1", "2", "3")),
-    ("lgpl", "general public", "(?:gnu )?(?:lesser|library) general public licen[sc]e", ("2", "2 1", "3")),
-    ("lgpl", "lgpl", "(?:gnu )?lgpl", ("2", "2 1", "3")),
-    ("agpl", "affero", "(?:gnu )?affero general public licen[sc]e", ("1", "3")),
-    ("agpl", "agpl", "(?:gnu )?agpl", ("1", "3")),
-    ("gfdl", "free documentation", "(?:gnu )?free documentation licen[sc]e", ("1 1", "1 2", "1 3")),
-    ("apache", "apache", "apache(?: software)?(?: licen[sc]e)?", ("1 0", "1 1", "2 0", "2")),
-    ("mpl", "mozilla", "mozilla public licen[sc]e", ("1 0", "1 1", "2 0")),
-    ("mpl", "mpl", "mpl", ("1 0", "1 1", "2 0")),
-    ("epl", "eclipse", "eclipse public licen[sc]e", ("1 0", "2 0")),
-    ("epl", "epl", "epl", ("1 0", "2 0")),
-    ("cddl", "development and distribution", "common development and distribution licen[sc]e", ("1 0", "1 1")),
-    ("eupl", "european union", "european union public licen[sc]e", ("1 0", "1 1", "1 2")),
-    ("eupl", "eupl", "eupl", ("1 0", "1 1", "1 2")),
-    ("osl", "open software", "open software licen[sc]e", ("1 0", "2 0", "2 1", "3 0")),
-    ("afl", "academic free", "academic free licen[sc]e", ("1 2", "2 0", "2 1", "3 0")),
-    ("artistic", "artistic", "artistic licen[sc]e", ("1 0", "2 0")),
-    ("bsl", "boost", "boost software licen[sc]e", ("1 0",)),
-    ("cecill", "cecill", "cecill(?: licen[sc]e)?", ("1 0", "1 1", "2 0", "2 1")),
-    ("php", "php", "php licen[sc]e", ("3 0", "3 01")),
-    ("psf", "python", "(?:psf|python(?: software foundation)?) licen[sc]e", ("2", "2 0")),
-    ("ofl", "open font", "(?:sil )?open font licen[sc]e", ("1 0", "1 1")),
-    ("odbl", "open database", "open database licen[sc]e", ("1 0",)),
-    *((f"cc-{k.replace(' ', '-')}", "cc", f"cc {k}", ("1 0", "2 0", "2 5", "3 0", "4 0")) for k in ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd")),
-    *((f"cc-{k}", "creative commons", f"creative commons {name}", ("1 0", "2 0", "2 5", "3 0", "4 0")) for k, name in (("by", "attribution"), ("by-sa", "attribution share ?alike"), ("by-nc", "attribution non ?commercial"), ("by-nd", "attribution no ?deriv(?:ative)?s?"), ("by-nc-sa", "attribution non ?commercial share ?alike"), ("by-nc-nd", "attribution non ?commercial no ?deriv(?:ative)?s?"))),
-)
-#: Rules without versions: label, keyword, regex.
-PHRASES = (
-    ("mit", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("mit", "mit", "(?:the )?mit licen[sc]e"),
-    ("mit", "mit", "spdx licen[sc]e identifier mit"),
-    ("isc", "isc", "(?:the )?isc licen[sc]e"),
-    ("isc", "permission to use", "permission to use copy modify and or distribute this software for any purpose"),
-    ("bsd", "bsd", "(?:the )?(?:new |modified |simplified )?bsd licen[sc]e"),
-    ("bsd-2-clause", "bsd", "bsd 2 clause(?: licen[sc]e)?"),
-    ("bsd-3-clause", "bsd", "bsd 3 clause(?: licen[sc]e)?"),
-    ("bsd-4-clause", "bsd", "bsd 4 clause(?: licen[sc]e)?"),
-    ("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification"),
-    ("zlib", "zlib", "zlib licen[sc]e"),
-    ("unlicense", "unlicense", "(?:the )?unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl"),
-    ("cc0", "cc0", "cc0(?: 1 0)?(?: universal)?"),
-    ("public-domain", "public domain", "(?:released|placed|dedicated)(?: in)?(?: to)? the public domain"),
-    ("public-domain", "public domain", "in the public domain"),
-    ("proprietary", "all rights reserved", "all rights reserved"),
-    ("proprietary", "proprietary", "proprietary and confidential"),
-    ("unknown-license", "licensed under", "licensed under(?: the)?"),
-    ("unknown-license", "released under", "released under(?: the)?"),
-)
-
-
-def rules() -> list[tuple[str, str, int, str]]:
-    """label, keyword, priority and regex of every rule."""
-    out = []
-    for label, keyword, name, versions in FAMILIES:
-        out.append((label, keyword, 20, name))
-        for v in versions:
-            short, tail = v.removesuffix(" 0"), v if v.endswith(" 0") else f"{v}(?: 0)?"
-            own = f"{label}-{v.replace(' ', '.')}"
-            out += [
-                (own, keyword, 40, f"{name} (?:version |v ?|ver )?{tail}"),
-                (own, keyword, 45, f"{name} (?:version |v ?)?{tail} (?:only|international|unported)"),
-                (f"{own}-or-later", keyword, 50, f"{name} (?:version |v ?)?{tail} (?:or later|or any later version|or at your option any later version)"),
-                (own, f"spdx license identifier {name.split(' ')[-1] if name.isalpha() else label.split('-')[0]}", 60, f"spdx licen[sc]e identifier {label.replace('-', ' ')} {tail}"),
-            ]
-            if short.isdigit():
-                out.append((own, keyword, 40, f"{name}v{short}"))
-    return out + [(label, keyword, 10 if label == "unknown-license" else 30, rx) for label, keyword, rx in PHRASES]
-
-
-#: Any rule's keyword, and any base phrase, holds one of these.
-GATE = ("licen", "gpl", "general public", "affero", "free documentation", "apache", "mozilla", " mpl", "eclipse", " epl", "eupl", "european union", "development and distribution", "open software", "academic free", "artistic", "boost", "cecill", " php", "python", "open font", "open database", " cc ", "creative commons", "permission is hereby", "permission to use", " mit", " isc", "bsd", "redistribution and use", "zlib", "wtfpl", "cc0", "public domain", "all rights reserved", "proprietary", "released under", "spdx")
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Any match of any rule, and any base phrase, holds one of these.
+GATE = ("licen", "gpl", " mpl ", " epl ", " eupl ", "cddl", "apache", "cc by", " cc0 ", "cecill", "creative commons", "creativecommons", "available under", "no attribution", "bsd", "public domain", "rights reserved", "proprietary", "redistribut", "permission", "wtfpl", "beerware", "under the same terms as", "distributed under", "released under", "the software is provided", "in no event will the authors", "neither the name of", "all advertising materials", "disclaims copyright", "unauthorized copying", "php software")
 MARK = "\u0001"
 
 
@@ -115,15 +45,16 @@ def _named(label: str):
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    low = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
+    # beyond A-Z, lower() changes only characters that no phrase or rule has, and none into a separator
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
     joined = F.trim(F.regexp_replace(low, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " "))
     x = docs.select("doc_id", joined.alias("norm"))
+    x = x.withColumn("padded", F.concat(F.lit(" "), "norm", F.lit(" ")))
     gate = F.lit(False)
-    padded = F.concat(F.lit(" "), "norm", F.lit(" "))
-    x = x.withColumn("padded", padded)
     for k in GATE:
         gate = gate | F.contains("padded", F.lit(k))
-    x = x.withColumn("n_words", F.when(F.col("norm") == "", 0).otherwise(F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).cast("long"))
+    n_spaces = F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit("")))
+    x = x.withColumn("n_words", F.when(F.col("norm") == "", 0).otherwise(n_spaces + 1).cast("long"))
     x = x.withColumn("words", F.when(gate, F.split("norm", " ")))
 
     # base places
@@ -131,25 +62,32 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     found = F.concat(*(F.transform(p, _named(label)) for label, p in places.items()))
     x = x.withColumn("base", F.when(F.col("words").isNotNull(), found))
 
-    # rules whose keyword and regex match, then the places of each
-    table = F.lit([f"{label}\t{keyword}\t{priority}\t{rx}" for label, keyword, priority, rx in rules()])
-    table = F.transform(table, lambda r: F.split(r, "\t"))
-    live = F.filter(table, lambda r: F.contains(F.col("padded"), r[1]) & F.regexp_like(F.col("padded"), F.concat(F.lit(" (?:"), r[3], F.lit(") "))))
+    # keywords of which any rule matches, then their rules that do, then the places of each
+    live = []
+    for keyword, some in families().items():
+        any_rule = " (?:" + "|".join(f"(?:{rx})" for *_, rx in some) + ") "
+        own = F.lit([f"{label}\t{priority}\t{rx}" for label, priority, rx in some])
+        live.append(F.when(F.contains("padded", F.lit(keyword)) & F.rlike("padded", F.lit(any_rule)), own))
+    tried = F.transform(F.flatten(F.filter(F.array(*live), lambda a: a.isNotNull())), lambda r: F.split(r, "\t"))
+    x = x.withColumn("rules", F.when(F.col("words").isNotNull(), F.filter(tried, lambda r: F.regexp_like(F.col("padded"), F.concat(F.lit(" (?:"), r[2], F.lit(") "))))))
 
     def hits(r: Column) -> Column:
-        rx = F.concat(F.lit("(?<= )("), r[3], F.lit(")(?= )"))
+        rx = F.concat(F.lit("(?<= )("), r[2], F.lit(")(?= )"))
         marked = F.split(F.ltrim(F.regexp_replace(F.col("padded"), rx, F.lit(MARK + "$1"))), " ")
         starts = F.filter(F.transform(marked, lambda w, i: F.when(F.startswith(w, F.lit(MARK)), i)), lambda i: i.isNotNull())
-        return F.transform(F.arrays_zip(starts.alias("s"), F.regexp_extract_all(F.col("padded"), rx, F.lit(1)).alias("m")), lambda z: F.struct(z["s"].alias("s"), (z["s"] + F.size(F.split(z["m"], " "))).alias("e"), r[2].cast("int").alias("priority"), r[0].alias("label")))
+        return F.transform(F.arrays_zip(starts.alias("s"), F.regexp_extract_all(F.col("padded"), rx, F.lit(1)).alias("m")), lambda z: F.struct(z["s"].alias("s"), (-z["s"] - F.size(F.split(z["m"], " "))).alias("less_e"), (-r[1].cast("int")).alias("less_priority"), r[0].alias("label")))
 
-    x = x.withColumn("hits", F.when(F.col("words").isNotNull(), F.flatten(F.transform(live, hits))))
+    # of detections with the same start the longest, then of highest priority, comes first and holds the others
+    x = x.withColumn("sorted", F.array_sort(F.flatten(F.transform("rules", hits))))
+    x = x.withColumn("first", F.filter("sorted", lambda h, i: (i == 0) | (F.get(F.col("sorted"), i - 1)["s"] != h["s"])))
+    width = most_words()
 
-    def covers(o: Column, h: Column) -> Column:
-        inside = (o["s"] <= h["s"]) & (h["e"] <= o["e"])
-        same = (o["s"] == h["s"]) & (o["e"] == h["e"])
-        return inside & (~same | (o["priority"] > h["priority"]) | (o["priority"] == h["priority"]) & (o["label"] < h["label"]))
+    def inside(h: Column, i: Column) -> Column:
+        before = F.slice(F.col("first"), F.greatest(F.lit(1), i - width + 1), F.least(i, F.lit(width)))
+        return F.exists(before, lambda o: o["less_e"] <= h["less_e"])
 
-    x = x.withColumn("hits", F.filter("hits", lambda h: ~F.exists("hits", lambda o: covers(o, h))))
+    x = x.withColumn("alone", F.filter("first", lambda h, i: ~inside(h, i)))
+    x = x.withColumn("hits", F.transform("alone", lambda h: F.struct(h["s"].alias("s"), (-h["less_e"]).alias("e"), (-h["less_priority"]).alias("priority"), h["label"].alias("label"))))
     base_labels = F.array_sort(F.array_distinct(F.transform("base", lambda p: p["label"])))
     own = F.transform("hits", lambda h: h["label"])
     all_labels = F.array_sort(F.array_distinct(F.concat(F.transform("base", lambda p: p["label"]), own)))
@@ -171,3 +109,32 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def op10(spark, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir)).drop("detections")
+
+
+def _op10_sql() -> str:
+    """The same by comparing every run of words with every rule that its text can match."""
+    quoted = lambda v: "'" + v.replace("'", "''") + "'"
+    values = ", ".join(f"({quoted(label)}, {quoted(k)}, {priority}, {quoted(rx)}, {rx.count(' ') + 1})" for k, some in families().items() for label, priority, rx in some)
+    base = ", ".join(f"({quoted(label)}, {quoted(p)}, {len(p.split())})" for label, p in BASE.items())
+    return rf"""
+WITH r(label, keyword, priority, rx, most) AS (VALUES {values}),
+b(label, phrase, n) AS (VALUES {base}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT rid, ws, ' ' || array_to_string(ws, ' ') || ' ' AS padded FROM d),
+live AS (SELECT rid, ws, label, priority, rx, most FROM p JOIN r ON contains(padded, keyword) WHERE regexp_matches(padded, ' (?:' || rx || ') ')),
+at_ AS (SELECT rid, ws, label, priority, rx, most, unnest(generate_series(1, len(ws))) AS s FROM live),
+run AS (SELECT rid, label, priority, rx, s, s + n AS e, array_to_string(list_slice(ws, s, s + n - 1), ' ') AS words FROM at_, generate_series(1, {most_words()}) AS g(n) WHERE n <= most AND s + n - 1 <= len(ws)),
+h AS (SELECT DISTINCT rid, label, priority, s, e FROM run WHERE regexp_full_match(words, rx)),
+kept AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.rid = h.rid AND o.s <= h.s AND h.e <= o.e
+  AND (o.s <> h.s OR o.e <> h.e OR o.priority > h.priority OR o.priority = h.priority AND o.label < h.label))),
+bs AS (SELECT rid, label, s FROM (SELECT rid, ws, b.label, b.phrase, b.n, unnest(generate_series(1, len(ws))) AS s FROM p JOIN b ON contains(padded, ' ' || phrase || ' ')) WHERE array_to_string(list_slice(ws, s, s + n - 1), ' ') = phrase),
+ba AS (SELECT rid, count(*) AS n, min(s) - 1 AS lo, max(s) - 1 AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS ls FROM bs GROUP BY rid),
+al AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS ls FROM (SELECT rid, label FROM bs UNION SELECT rid, label FROM kept) GROUP BY rid),
+sc AS (SELECT rid, max(CASE WHEN priority >= 40 THEN 0.95 WHEN priority >= 20 THEN 0.85 ELSE 0.5 END) AS sure FROM kept GROUP BY rid)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(ba.n, 0)::BIGINT AS n_base, ba.lo::BIGINT AS first_word, ba.hi::BIGINT AS last_word, coalesce(ba.ls, '') AS base_labels,
+       coalesce(al.ls, '') AS labels, greatest(CASE WHEN ba.n > 0 THEN 0.99 ELSE 0.0 END, coalesce(sc.sure, 0.0))::DOUBLE AS score
+FROM d LEFT JOIN ba USING (rid) LEFT JOIN al USING (rid) LEFT JOIN sc USING (rid)
+"""
+
+
+OP10_SQL = _op10_sql()

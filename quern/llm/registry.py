@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_near_dedup": near_dup.OP3_SQL, "op5_warc_writer": warc.OP5_SQL, "op6_quality_rules": quality.OP6_SQL, "op7_line_dedup": line_dedup.OP7_SQL}
+    return {"op3_minhash_near_dedup": near_dup.OP3_SQL, "op5_warc_writer": warc.OP5_SQL, "op6_quality_rules": quality.OP6_SQL, "op7_line_dedup": line_dedup.OP7_SQL, "op10_license_scan": license_scan.OP10_SQL}
