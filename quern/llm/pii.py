@@ -1,20 +1,27 @@
 """Personal data under format-preserving pseudonyms.
 
-Emails, IBANs, card numbers, phone numbers, social security numbers, IPv4 addresses, dates and secret tokens are found
-by pattern and validated (checksums, ranges, the calendar). Each value is permuted within its format by a keyed Feistel
-network: digits stay digits and letters letters, check digits are made anew, dates stay dates and addresses addresses.
-The permutation is a bijection that depends on the key and the format alone, so equal values get equal pseudonyms in all
-documents, different ones stay different, and the holder of the key can undo it.
+Emails, IBANs, card numbers, phone numbers, social security numbers, IPv4 and IPv6 addresses, dates and secret tokens are
+found by pattern and validated (lengths by country or card network, checksums, ranges, the calendar). Each value is
+permuted within its format by a keyed Feistel network: digits stay digits and letters letters, check digits are made
+anew, cards stay in their network, dates stay dates and addresses addresses. The permutation is a bijection that depends
+on the key and the format alone, so equal values get equal pseudonyms in all documents, different ones stay different,
+and the holder of the key can undo it (``restore``). Cards and IBANs end where their number does, so words and numbers
+behind them change nothing; what follows is searched again.
+
+The key is the caller's. The registered query takes it from ``spark.quern.pii.key``, and a demonstration key where that is
+not set.
 
 Edge cases: a null text stays null and an empty one empty; values that fail validation are left alone; a value that
 overlaps one found before it (left to right, by the order of kinds) is part of that one; a null doc_id stays null;
-repeated rows are treated alike; extra columns pass through ``pseudonymise``; an empty table gives no rows.
+repeated rows are treated alike; very long texts are searched whole; extra columns pass through ``pseudonymise``, but
+the counts take the place of columns of their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
 from functools import lru_cache
 
@@ -24,20 +31,43 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import arrow_map, documents
 
-KEY = b"quern demonstration key"
+DEMONSTRATION_KEY = "quern demonstration key"
 ROUNDS = 10
-KINDS = ("email", "iban", "card", "phone", "ssn", "ip", "date", "secret")
+KINDS = ("email", "iban", "token", "ipv6", "card", "phone", "ssn", "ip", "date", "secret")
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
+#: Letters beyond ASCII that are permuted too.
+LOWER_1, UPPER_1 = "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)])), "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xDF)]))
 PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+-])[\w.+-]{1,64}@(?:[\w-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-]))"
-    r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d))"
-    r"|(?P<phone>(?<!\w)(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
-    r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}[./-]\d{2}[./-]\d{4})(?![\w/-]|\.\d))"
-    r"|(?P<secret>(?<![\w])(?:(?=[0-9a-f]*\d)[0-9a-f]{32,64}|(?=[0-9A-F]*\d)[0-9A-F]{32,64})(?!\w))",
-    re.ASCII,
+    r"(?P<email>(?<![\w.+-])[\w.+-]{1,64}@(?:[\w-]{1,63}\.){1,8}[^\W\d_]{2,24}(?![\w-]))"
+    r"|(?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9]))"
+    r"|(?P<token>(?<!\w)(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22,90}|glpat-[A-Za-z0-9_-]{20}|sk-[A-Za-z0-9_-]{20,200}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,100}|xox[abprs]-[A-Za-z0-9-]{10,200}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,2000}\.[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,1000})(?![\w-]))"
+    r"|(?P<ipv6>(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:(?:[0-9A-Fa-f]{1,4}:|:)(?:[0-9A-Fa-f]{1,4}:){0,6}(?::(?:[0-9A-Fa-f]{1,4}:){0,6})?[0-9A-Fa-f]{0,4}|::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4})(?![\w:]|\.[0-9]))"
+    r"|(?P<card>(?<![\w.-])[0-9](?:[ -]?[0-9]){12,40}(?![\w]))"
+    r"|(?P<phone>(?<!\w)(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<!\w)\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])|(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-])|(?<![\w.-])[2-9][0-9]{2}(?: ?[0-9]{3} ?)[0-9]{4}(?![\w-]|\.[0-9]))"
+    r"|(?P<ssn>(?<![\w-])[0-9]{3}(?P<gap>[ -])[0-9]{2}(?P=gap)[0-9]{4}(?![\w-]))"
+    r"|(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9]))"
+    r"|(?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}[./-][0-9]{2}[./-][0-9]{4})(?![\w/-]|\.[0-9]))"
+    r"|(?P<secret>(?<![\w])(?:(?=[0-9a-f]*[0-9])[0-9a-f]{32,64}|(?=[0-9A-F]*[0-9])[0-9A-F]{32,64})(?!\w))"
+)
+#: Length of an IBAN by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29,
+    "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+#: Card networks by their first digits (which pseudonyms keep) and lengths.
+NETWORKS = tuple(
+    (re.compile(prefix), lengths)
+    for prefix, lengths in (
+        ("4", (13, 16, 19)),
+        ("5[1-5]|222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720", (16,)),
+        ("3[47]", (15,)),
+        ("30[0-5]|3[689]", (14, 16, 19)),
+        ("35(?:2[89]|[3-8][0-9])", (16, 17, 18, 19)),
+        ("6011|64[4-9]|65|62", (16, 17, 18, 19)),
+        ("50|5[6-8]|6[0137]", (13, 14, 15, 16, 17, 18, 19)),
+    )
 )
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
 
@@ -86,8 +116,8 @@ def permute_string(s: str, alphabet: str, key: bytes, tweak: str, undo: bool = F
 
 
 def permute_letters(s: str, key: bytes, tweak: str, undo: bool = False) -> str:
-    """Each class of characters (digits, ASCII lower, upper) permuted as one string; others stay."""
-    for alphabet in (DIGITS, LOWER, UPPER):
+    """Each class of characters (digits, lower and upper case, ASCII or Latin-1) permuted as one string; others stay."""
+    for alphabet in (DIGITS, LOWER, UPPER) if s.isascii() else (DIGITS, LOWER, UPPER, LOWER_1, UPPER_1):
         at = [i for i, c in enumerate(s) if c in alphabet]
         new = permute_string("".join(s[i] for i in at), alphabet, key, tweak + alphabet[0], undo)
         chars = list(s)
@@ -106,6 +136,46 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+def network(digits: str) -> int | None:
+    """How many first digits name the card's network; None if its length fits no network."""
+    for prefix, lengths in NETWORKS:
+        if len(digits) in lengths and (m := prefix.match(digits)):
+            return m.end()
+    return None
+
+
+def _card(value: str) -> str | None:
+    """The card number that a run of digit groups begins with."""
+    borders = [i for i in range(1, len(value) + 1) if value[i - 1] in DIGITS and (i == len(value) or value[i] not in DIGITS)]
+    found = []
+    for end in borders:
+        digits = "".join(c for c in value[:end] if c in DIGITS)
+        if 13 <= len(digits) <= 19 and len(set(digits)) > 1 and luhn(digits[:-1]) == int(digits[-1]):
+            sizes = [len(g) for g in re.split("[ -]", value[:end])]
+            even = set(sizes[:-1]) <= {4} and sizes[-1] <= 4 or len(sizes) == 1
+            if network(digits) is not None or even:
+                found.append((network(digits) is None, len(digits) != 16, -len(digits), value[:end]))
+    return min(found)[3] if found else None
+
+
+def _iban(text: str, at: int) -> str | None:
+    """The IBAN that begins there, of its country's length, in groups of any size."""
+    left, end = IBAN_LENGTHS.get(text[at : at + 2], 0), at
+    if not left:
+        return None
+    while left:
+        c = text[end : end + 1]
+        if c == " " and text[end + 1 : end + 2].isalnum():
+            end += 1
+        elif c and c in DIGITS + UPPER:
+            end, left = end + 1, left - 1
+        else:
+            return None
+    behind = text[end : end + 1]
+    value = text[at:end]
+    return value if not (behind.isalnum() or behind == "_") and valid("iban", value) else None
+
+
 def _refill(shape: str, digits: str) -> str:
     it = iter(digits)
     return "".join(next(it) if c in DIGITS else c for c in shape)
@@ -119,10 +189,15 @@ def _iban_check(country: str, rest: str) -> str:
 def valid(kind: str, value: str) -> bool:
     digits = "".join(c for c in value if c in DIGITS)
     if kind == "card":
-        return len(set(digits)) > 1 and luhn(digits[:-1]) == int(digits[-1])
+        return _card(value) == value
     if kind == "iban":
         s = value.replace(" ", "")
-        return 15 <= len(s) <= 34 and _iban_check(s[:2], s[4:]) == s[2:4]
+        return len(s) == IBAN_LENGTHS.get(s[:2]) and _iban_check(s[:2], s[4:]) == s[2:4]
+    if kind == "ipv6":
+        try:
+            return value.count(":") > 2 and bool(ipaddress.IPv6Address(value))
+        except ValueError:
+            return False
     if kind == "phone":
         return 7 <= len(digits) <= 15
     if kind == "ssn":
@@ -148,12 +223,25 @@ def _date(value: str) -> tuple[datetime.date, str] | None:
     return (day, order + sep) if 0 <= day.toordinal() - FIRST_DAY < DAYS else None
 
 
-def pseudonym(kind: str, value: str, key: bytes = KEY, undo: bool = False) -> str:
-    """The value's pseudonym; with undo, the value of the pseudonym."""
+def pseudonym(kind: str, value: str, key: bytes, undo: bool = False) -> str:
+    """The value's pseudonym; with undo, the value of the pseudonym, an IPv6 address in its shortest spelling."""
     digits = "".join(c for c in value if c in DIGITS)
     if kind == "card":
-        body = permute_string(digits[:-1], DIGITS, key, "card", undo)
-        return _refill(value, body + str(luhn(body)))
+        kept = network(digits)
+        body = digits[:-1]
+        while True:  # others than the networks' stay so
+            body = body[: kept or 0] + permute_string(body[kept or 0 :], DIGITS, key, f"card{body[: kept or 0]}", undo)
+            whole = body + str(luhn(body))
+            if (kept is not None or network(whole) is None) and len(set(whole)) > 1:
+                return _refill(value, whole)
+    if kind == "token":
+        head = re.match("AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk-|[sr]k_(?:live|test)_|xox[abprs]-|AIza|eyJ", value).group()
+        return head + permute_letters(value[len(head) :], key, head, undo)
+    if kind == "ipv6":
+        n = permute(int(ipaddress.IPv6Address(value)), 1 << 64, 1 << 64, key, "ipv6", undo)
+        return str(ipaddress.IPv6Address(n))
+    if kind == "phone" and len(digits) == 10 and digits[0] >= "2" and "+" not in value:  # alike in all spellings
+        return _refill(value, str(permute_below(int(digits) - 2 * 10**9, 8 * 10**9, key, "phone", undo) + 2 * 10**9))
     if kind == "phone":
         code = len(value[1:]) - len(value[1:].lstrip(DIGITS)) if value.startswith("+") else 0
         return _refill(value, digits[:code] + permute_string(digits[code:], DIGITS, key, f"phone{code}", undo))
@@ -163,7 +251,7 @@ def pseudonym(kind: str, value: str, key: bytes = KEY, undo: bool = False) -> st
         n = permute_below(n, len(areas) * 99 * 9999, key, "ssn", undo)
         n, last = divmod(n, 9999)
         area, group = divmod(n, 99)
-        return f"{areas[area]:03d}-{group + 1:02d}-{last + 1:04d}"
+        return _refill(value, f"{areas[area]:03d}{group + 1:02d}{last + 1:04d}")
     if kind == "ip":
         n = int.from_bytes(bytes(map(int, value.split("."))), "big")
         return ".".join(map(str, permute(n, 1 << 16, 1 << 16, key, "ip", undo).to_bytes(4, "big")))
@@ -194,62 +282,80 @@ def pseudonym(kind: str, value: str, key: bytes = KEY, undo: bool = False) -> st
 _cached = lru_cache(maxsize=100_000)(pseudonym)
 
 
+def _at(kind: str, text: str, start: int, end: int) -> int | None:
+    """The end of the valid value of a kind that begins at start, where the kind's pattern matched to end."""
+    if kind == "iban":
+        found = _iban(text, start)
+    elif kind == "card":
+        found = _card(text[start:end])
+    else:
+        found = text[start:end] if valid(kind, text[start:end]) else None
+    return None if found is None else start + len(found)
+
+
 def find(text: str) -> list[tuple[str, int, int]]:
     """kind, start and end of each valid value, left to right."""
-    if "@" not in text and not any(d in text for d in DIGITS):
+    if "@" not in text and "::" not in text and not any(d in text for d in DIGITS):
         return []
     out, at = [], 0
     while m := PATTERN.search(text, at):
-        if valid(m.lastgroup, m.group()):
-            out.append((m.lastgroup, m.start(), m.end()))
-            at = m.end()
+        start, kind = m.start(), m.lastgroup if m.lastgroup != "gap" else "ssn"
+        end = _at(kind, text, start, m.end())
+        if end is None:  # another kind may fit at the same place
+            for kind in KINDS[KINDS.index(kind) + 1 :]:
+                if (o := _ALONE[kind].match(text, start)) and (end := _at(kind, text, start, o.end())) is not None:
+                    break
+        if end is not None:
+            out.append((kind, start, end))
+            at = end
             continue
-        # another kind may fit at the same place
-        for kind in KINDS[KINDS.index(m.lastgroup) + 1 :]:
-            if (o := _ALONE[kind].match(text, m.start())) and valid(kind, o.group()):
-                out.append((kind, o.start(), o.end()))
-                at = o.end()
-                break
-        else:
-            # go on behind the first run of characters
-            at = m.start() + 1
-            while at < m.end() and text[at].isalnum():
-                at += 1
+        # go on behind the first run of characters
+        at = start + 1
+        while at < m.end() and text[at].isalnum():
+            at += 1
     return out
 
 
-_ALONE = {k: re.compile(p, re.ASCII) for k, p in zip(KINDS, re.split(r"\|(?=\(\?P<)", PATTERN.pattern), strict=True)}
+_ALONE = {k: re.compile(p) for k, p in zip(KINDS, re.split(r"\|(?=\(\?P<)", PATTERN.pattern), strict=True)}
 
 
-def replace(text: str, key: bytes = KEY) -> tuple[str, dict[str, int]]:
+def replace(text: str, key: bytes, undo: bool = False) -> tuple[str, dict[str, int]]:
+    """The text with pseudonyms, or with undo the values back in their place, and how many of each kind."""
     found = find(text)
     if not found:
         return text, {}
     parts, counts, last = [], {}, 0
     for kind, start, end in found:
-        parts += [text[last:start], _cached(kind, text[start:end], key)]
+        parts += [text[last:start], _cached(kind, text[start:end], key, undo)]
         counts[kind] = counts.get(kind, 0) + 1
         last = end
     return "".join([*parts, text[last:]]), counts
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """All rows and columns with pseudonyms in text, and the number of values of each kind."""
-
+def _changed(docs: DataFrame, key: bytes, undo: bool) -> DataFrame:
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        done = [("", {}) if t is None else replace(t, key) for t in batch.column("text").to_pylist()]
-        null = batch.column("text").is_null().to_pylist()
+        done = [(None, {}) if t is None else replace(t, key, undo) for t in batch.column("text").to_pylist()]
         names = batch.schema.names
-        columns = [pa.array([None if z else d[0] for d, z in zip(done, null, strict=True)], pa.string()) if c == "text" else batch.column(c) for c in names]
+        columns = [pa.array([d[0] for d in done], pa.string()) if c == "text" else batch.column(c) for c in names]
         counts = [pa.array([d[1].get(k, 0) for d in done], pa.int64()) for k in KINDS]
         return pa.RecordBatch.from_arrays([*columns, *counts], [*names, *(f"n_{k}" for k in KINDS)])
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
     kept = docs.select([c for c in docs.columns if c not in {f"n_{k}" for k in KINDS}])
     fields = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes)
     return arrow_map(kept, one, f"{fields}, " + ", ".join(f"n_{k} long" for k in KINDS))
 
 
+def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
+    """All rows and columns with pseudonyms in text, and the number of values of each kind."""
+    return _changed(docs, key, False)
+
+
+def restore(docs: DataFrame, key: bytes) -> DataFrame:
+    """The rows of ``pseudonymise`` with their values back in text."""
+    return _changed(docs, key, True)
+
+
 def op1(spark, sf_dir: str) -> DataFrame:
-    x = pseudonymise(documents(spark, sf_dir))
+    key = spark.conf.get("spark.quern.pii.key", DEMONSTRATION_KEY)
+    x = pseudonymise(documents(spark, sf_dir), key.encode())
     return x.withColumn("n_values", sum((F.col(f"n_{k}") for k in KINDS[1:]), F.col("n_email")))
