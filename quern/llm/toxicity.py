@@ -3,14 +3,19 @@
 The lexicon is learned from labelled rows: words, and stems that several words continue, which many toxic and hardly
 any clean documents hold, counted over families of like documents so that copies count once; a few fixed terms come
 with it. The terms form a trie. Intersecting the trie with the Levenshtein automaton of each term (one edit from five
-letters, two from eight, the first letter unchanged) gives one automaton over words, built lazily state by state; each
-distinct word runs through it once. Every hit is weighed in a window of ``WINDOW`` words: reporting verbs and
-quotation marks around it lower it, address in the second person raises it, other hits nearby add up. A logistic
-model over a few sums of these, fitted with a prior, gives the score.
+letters, two from eight, one for stems; two neighbouring letters that changed places are one edit) gives one automaton
+over words, built lazily state by state; each distinct word runs through it once. Near-terms that clean documents use are
+ordinary words. How much other misspellings of a term count follows from the toxic documents that hold such ones and from
+the clean documents in which near-terms were seen once, which tell how many are still unseen. Every hit is weighed in a
+window of ``WINDOW`` words: reporting verbs and quotation marks around it lower it, address in the second person raises it,
+other hits nearby add up. A logistic model over a few sums of these, fitted with a prior, gives the score.
 
 The fit uses at most ``PER_CLASS`` labelled documents of each class, the first by hash of their id, and never one
 whose crc32(doc_id) mod 5 is 0. Classes that are cut are cut by different shares, which the model's intercept allows for,
-so scores keep to the classes' shares among all training labels. Scores use the text alone.
+so scores keep to the classes' shares among all training labels. Scores use the text alone. What the fit sends to the driver
+is bounded by that sample: terms that a hundredth of its toxic documents hold, near-terms of its clean ones, and five numbers
+for each row; a labelled doc_id of several rows gives one, its least text. Words of fewer than ``LETTERS`` letters are no
+terms.
 
 Edge cases: null and empty texts score as texts without hits; a null doc_id counts as not held out and is never a
 training row; a doc_id labelled more than once is toxic if any label says so; null labels are ignored; without
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import arrow_map, documents, table, texts
 
-PER_CLASS, MAX_TERMS, WINDOW, SURPRISE = 4000, 600, 10, 11.0
+PER_CLASS, WINDOW, SURPRISE, LETTERS = 4000, 10, 11.0, 4
 WORD = re.compile(r"\w+")
 #: Fixed values.
 TERMS = "idiot moron loser scum trash stupid worthless pathetic disgusting clown imbecile retard bastard scumbag dumbass asshole bitch".split()
@@ -38,47 +43,63 @@ REPORTING = frozenset("said says say quote quoted quotes wrote writes called cal
 ADDRESS = frozenset("you your yours youre ur du dich dir dein ihr euch tu toi te vous votre usted tú vosotros".split())
 LEET = str.maketrans("013457", "oieast")
 QUOTES = "\"“”„«»"
-#: Prior weights: intercept, exact sum, fuzzy sum, best window, log density.
-PRIOR = np.array([-3.0, 3.0, 2.0, 0.5, 0.5])
+#: Prior weights: intercept, sum of terms, of these misspelled ones, best window, log density.
+PRIOR = np.array([-3.0, 3.0, 0.0, 0.5, 0.5])
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def edits_of(word: str, stem: bool) -> int:
+    """How many edits of a term are looked for."""
+    return 0 if len(word) < 5 else 1 if stem or len(word) < 8 else 2
+
+
 class Lexicon:
-    """Terms (word, stem?, weight, trust in misspellings) as one lazily determinised automaton."""
+    """Terms (word, stem?, weight, trust in misspellings) as one lazily determinised automaton.
+
+    A state is a set of trie nodes, each with the edits spent to reach it. A node below 0 stands for two letters that
+    changed places: the second one was read, the first is awaited.
+    """
 
     def __init__(self, terms: list[tuple[str, bool, float, float]], ordinary: frozenset[str] = frozenset()) -> None:
         self.terms, self.ordinary = terms, ordinary
         self.children: list[dict[str, int]] = [{}]
-        self.ends: list[int | None] = [None]
+        self.ends: list[list[int]] = [[]]
         self.most = [0]
-        for k, (word, stem, _, _) in enumerate(terms):
-            edits = 0 if stem or len(word) < 5 else 1 if len(word) < 8 else 2
+        self.allowed = [edits_of(word, stem) if trust > 0 else 0 for word, stem, _, trust in terms]
+        for k, (word, _, _, _) in enumerate(terms):
             node = 0
+            self.most[0] = max(self.most[0], self.allowed[k])
             for c in word:
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
-                    self.children.append({}), self.ends.append(None), self.most.append(0)
+                    self.children.append({}), self.ends.append([]), self.most.append(0)
                 node = self.children[node][c]
-                self.most[node] = max(self.most[node], edits)
-            if self.ends[node] is None or stem:
-                self.ends[node] = k
+                self.most[node] = max(self.most[node], self.allowed[k])
+            self.ends[node].append(k)
+        self.memo: dict[str, tuple[int, int] | None] = {}
+        self._clear()
+
+    def _clear(self) -> None:
         self.states: dict[tuple, int] = {}
         self.sets: list[tuple] = []
         self.moves: list[dict[str, int]] = []
-        self.accepts: list[tuple[int, int] | None] = []
-        self.sure: list[bool] = []  # a stem was read: any ending does
-        self.memo: dict[str, tuple[int, int] | None] = {}
+        self.accepts: list[tuple[int, int] | None] = []  # if the word ends here
+        self.begun: list[tuple[int, int] | None] = []  # a stem was read: any ending does
         self.start = self._state({0: 0})
 
     def __reduce__(self):
         return Lexicon, (self.terms, self.ordinary)
 
+    def _better(self, one: tuple[int, int] | None, two: tuple[int, int] | None) -> tuple[int, int] | None:
+        """The term of fewer edits, of greater weight, that comes first."""
+        return min((x for x in (one, two) if x), key=lambda x: (x[1], -self.terms[x[0]][2], x[0]), default=None)
+
     def _state(self, near: dict[int, int]) -> int:
         """The state of a set of trie nodes with the edits spent to reach each; -1: none."""
-        queue = [n for n in near if n]
+        queue = [n for n in near if n >= 0]
         while queue:  # letters of the term left out
             n = queue.pop()
             for child in self.children[n].values():
@@ -90,34 +111,35 @@ class Lexicon:
         key = tuple(sorted(near.items()))
         if key in self.states:
             return self.states[key]
-        if len(self.sets) > 200_000:  # start over, which changes no result
-            self.states.clear(), self.sets.clear(), self.moves.clear(), self.accepts.clear(), self.sure.clear()
-            self.start = self._state({0: 0})
         at = self.states[key] = len(self.sets)
         self.sets.append(key), self.moves.append({})
-        best, sure = None, False
+        best, begun = None, None
         for n, e in key:
-            k = self.ends[n]
-            if k is not None:
-                word, stem = self.terms[k][:2]
-                allowed = 0 if stem or len(word) < 5 else 1 if len(word) < 8 else 2
-                if e <= allowed and (best is None or (e, -self.terms[k][2], k) < (best[1], -self.terms[best[0]][2], best[0])):
-                    best = (k, e)
-                if stem and e == 0:
-                    best, sure = (k, 0), True
-                    break
-        self.accepts.append(best), self.sure.append(sure)
+            for k in self.ends[n] if n >= 0 else ():
+                if e <= self.allowed[k]:
+                    best = self._better(best, (k, e))
+                    if self.terms[k][1]:
+                        begun = self._better(begun, (k, e))
+        self.accepts.append(best), self.begun.append(begun)
         return at
 
     def _move(self, state: int, c: str) -> int:
         near: dict[int, int] = {}
+
+        def reach(n: int, e: int, most: int) -> None:
+            if e <= most and e < near.get(n, 9):
+                near[n] = e
+
         for n, e in self.sets[state]:
+            if n < 0:
+                if c == chr(-n % 0x110000):
+                    reach(-n // 0x110000, e, 9)
+                continue
             for letter, child in self.children[n].items():
-                cost = e if letter == c else e + 1
-                if cost <= (self.most[child] if n else 0) and cost < near.get(child, 9):
-                    near[child] = cost
-            if n and e + 1 <= self.most[n] and e + 1 < near.get(n, 9):  # a letter too many
-                near[n] = e + 1
+                reach(child, e if letter == c else e + 1, max(self.most[child], 0 if letter == c else -1))
+                if letter != c and (other := self.children[child].get(c)) is not None:
+                    reach(-(other * 0x110000 + ord(letter)), e + 1, self.most[other])
+            reach(n, e + 1, self.most[n])  # a letter too many
         return self._state(near)
 
     def find(self, word: str) -> tuple[int, int] | None:
@@ -126,30 +148,30 @@ class Lexicon:
             return self.memo[word]
         if len(self.memo) > 400_000:
             self.memo.clear()
+        if len(self.sets) > 100_000:  # start over, which changes no result
+            self._clear()
         plain = word.translate(LEET) if not word.isalpha() else word
-        state = self.start
+        state, out = self.start, None
         for c in plain:
-            if self.sure[state]:
-                break
-            moves = self.moves[state]
-            to = moves.get(c)
+            to = self.moves[state].get(c)
             if to is None:
-                sets = self.sets
-                n = len(sets)
-                to = self._move(state, c)
-                if len(self.sets) >= n:
-                    moves[c] = to
+                to = self.moves[state][c] = self._move(state, c)
             state = to
             if state < 0:
                 break
-        out = self.accepts[state] if state >= 0 else None
+            if self.begun[state]:
+                out = self._better(out, self.begun[state])
+                if not out[1]:
+                    break
+        else:
+            out = self._better(out, self.accepts[state])
         if out and out[1] and word in self.ordinary:
             out = None
         self.memo[word] = out
         return out
 
     def features(self, text: str) -> tuple[float, float, float, float]:
-        """Sums of exact and misspelled terms, the best window's sum, and the log of hits in a hundred words."""
+        """Sums of all and of misspelled terms, the best window's sum, and the log of hits in a hundred words."""
         words = WORD.findall(text.lower())
         found = {w: f for w in set(words) if (f := self.find(w))}
         if not found:
@@ -177,7 +199,8 @@ class Lexicon:
                 total -= weights[low]
                 low += 1
             best = max(best, total)
-        return min(4.0, sum(exact.values())), min(4.0, sum(fuzzy.values())), min(4.0, best), float(np.log1p(100 * sum(weights) / len(words)))
+        every = {k: max(exact.get(k, 0.0), fuzzy.get(k, 0.0)) for k in exact | fuzzy}
+        return min(4.0, sum(every.values())), min(4.0, sum(v for k, v in fuzzy.items() if k not in exact)), min(4.0, best), float(np.log1p(100 * sum(weights) / len(words)))
 
 
 def _quoted(text: str, spans: list[tuple[int, int]], i: int) -> bool:
@@ -196,15 +219,16 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = dict(y.groupBy("toxic").agg(F.count("*")).collect())
     clean, toxic = (max(1.0, n.get(k, 0) / PER_CLASS) for k in (0, 1))
-    return text.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), float(np.log(clean / toxic))  # at most 2 * PER_CLASS ids
+    rows = text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return rows.select("text", "toxic"), float(np.log(clean / toxic))  # at most 2 * PER_CLASS ids
 
 
 def _stems(word: str) -> list[str]:
     return [f"{word[:k]}*" for k in (4, 5, 6) if len(word) > k]
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
-    """The lexicon and weights learned from the training rows."""
+def fit(docs: DataFrame, labels: DataFrame, correct: bool = True) -> tuple[Lexicon, np.ndarray]:
+    """The lexicon and weights learned from the training rows; without ``correct`` misspelled terms don't count."""
     rows, raised = training_rows(docs, labels)
     rows = rows.persist()
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -213,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
     def terms_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list] = [[], [], []]
         for t in texts(batch, "text"):
-            words = {w for w in WORD.findall(t.lower()) if 3 < len(w) <= 24}
+            words = {w for w in WORD.findall(t.lower()) if len(w) >= LETTERS}
             family = min((hash_of(w) for w in words), default=0)
             for w in words:
                 for term in (w, *_stems(w)):
@@ -229,13 +253,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
     found = arrow_map(rows.where("toxic = 1").select("text"), terms_of, "term string, family long, word string")
     per = found.groupBy("term").agg(F.countDistinct("family").alias("families"), F.count("*").alias("n"), F.countDistinct("word").alias("words"))
     per = per.where((F.col("families") >= least) & (~F.endswith("term", F.lit("*")) | (F.col("words") >= 4)))
-    candidates = {r["term"]: r["families"] for r in per.orderBy(F.desc("families"), "term").limit(20 * MAX_TERMS).collect()}
+    candidates = {r["term"]: r["families"] for r in per.select("term", "families").collect()}
     wanted = frozenset(candidates)
 
     def clean_counts(batch: pa.RecordBatch) -> pa.RecordBatch:
         c: Counter = Counter()
         for t in texts(batch, "text"):
-            words = {w for w in WORD.findall(t.lower()) if 3 < len(w) <= 24}
+            words = {w for w in WORD.findall(t.lower()) if len(w) >= LETTERS}
             c.update(wanted & {x for w in words for x in (w, *_stems(w))})
         return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["term", "n"])
 
@@ -254,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
     # the surest and most frequent first; a word that a chosen stem begins adds nothing
     for t in sorted((t for t, o in odds.items() if o > 2.5 and surprise(t) > SURPRISE), key=lambda t: (not t.endswith("*"), -candidates[t], len(t), t)):
         word = t.rstrip("*")
-        if len(chosen) < MAX_TERMS and not any(word.startswith(s) for s in stems):
+        if not any(word.startswith(s) for s in stems):
             chosen.append((word, t.endswith("*"), min(7.0, odds[t]), 1.0))
             if t.endswith("*"):
                 stems.append(word)
@@ -264,14 +288,25 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
 
     def variants(batch: pa.RecordBatch) -> pa.RecordBatch:
         c: Counter = Counter()
-        for t in texts(batch, "text"):
-            c.update(w for w in set(WORD.findall(t.lower())) if (f := draft.find(w)) and f[1])
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
+        for t, toxic in zip(texts(batch, "text"), batch.column("toxic").to_pylist(), strict=True):
+            c.update((w, toxic) for w in set(WORD.findall(t.lower())) if (f := draft.find(w)) and f[1])
+        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in c], pa.string()), pa.array([y for _, y in c], pa.int32()), pa.array(list(c.values()), pa.int64())], ["word", "toxic", "n"])
 
     # near-terms that clean documents use are ordinary words; those used once tell how many such words are still unseen
-    seen = {r["word"]: r["n"] for r in arrow_map(rows.where("toxic = 0").select("text"), variants, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(20_000).collect()}
-    once: Counter = Counter(draft.find(w)[0] for w, n_ in seen.items() if n_ == 1)
-    lexicon = Lexicon([(w, s, o, max(0.0, 1 - 2000 * once[k] / max(1, n_clean))) for k, (w, s, o, _) in enumerate(chosen)], frozenset(seen))
+    near = arrow_map(rows, variants, "word string, toxic int, n long").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n"))).alias("clean"), F.sum(F.when(F.col("toxic") == 1, F.col("n"))).alias("toxic")).collect()
+    ordinary = frozenset(r["word"] for r in near if r["clean"])
+    unseen: Counter = Counter(draft.find(r["word"])[0] for r in near if r["clean"] == 1)
+    meant: Counter = Counter()
+    for r in near:
+        if not r["clean"]:
+            meant[draft.find(r["word"])[0]] += r["toxic"]
+
+    def trust(k: int, weight: float) -> float:
+        """The log-odds of an unseen misspelling as a share of the term's own; all of them without evidence."""
+        got = np.log((meant[k] + 0.5) / (n_toxic + 1)) - np.log((unseen[k] + 0.5 * np.exp(-weight) * (n_clean + 1) / (n_toxic + 1)) / (n_clean + 1))
+        return float(np.clip(got / weight, 0, 1))
+
+    lexicon = Lexicon([(w, stem, o, trust(k, o) if correct else 0.0) for k, (w, stem, o, _) in enumerate(chosen)], ordinary)
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = np.array([lexicon.features(t) for t in texts(batch, "text")]).reshape(-1, 4)
@@ -311,8 +346,8 @@ def probability(lexicon: Lexicon, w: np.ndarray, batch: pa.RecordBatch) -> np.nd
     return 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    lexicon, w = fit(docs, labels)
+def score(docs: DataFrame, labels: DataFrame, correct: bool = True) -> DataFrame:
+    lexicon, w = fit(docs, labels, correct)
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(probability(lexicon, w, batch))], ["doc_id", "score"])
