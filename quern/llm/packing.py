@@ -3,14 +3,15 @@
 Documents become pieces of at most ``CAPACITY`` tokens: ids of the public byte-level vocabulary, then id 0; only longer
 documents are cut, the first piece taking the remainder. The packing is planned on the histogram of piece lengths,
 which has at most ``CAPACITY`` entries whatever the corpus. From the longest length down, the gap that a piece leaves
-is looked up among single lengths, sums of two and sums of three lengths, and combinations that fill it exactly are
-consumed under the availability counts; every such step uses up a length, so there are at most a few thousand
-patterns. What is left goes by best fit, in bulk for equal lengths. Pieces then find their place by their rank among
+is looked up among single lengths and in an index of the sums of two and of three lengths, and combinations that fill it
+exactly are consumed under the availability counts; every such step uses up a length, so there are at most a few
+thousand patterns. What is left goes by best fit, in bulk for equal lengths. Pieces then find their place by their rank among
 pieces of equal length: rank ranges belong to patterns. A common length is ranked in buckets of about the square root
 of its count, so no task holds a length.
 
 Edge cases: a null text is empty and gives one piece, the closing id; rows that repeat a doc_id are packed each; a null
-doc_id is packed like any other; an empty table gives no rows; extra columns of the input are ignored.
+doc_id is packed like any other; a very long text is many pieces; the string of an added token is that token, as in
+``tokenizers``; an empty table gives no rows; extra columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ _PLAIN = re.compile("[^\x00-ɏ‐-‧€]")
 def encoder(name: str = VOCABULARY):
     """Texts to lists of ids, as the ``tokenizers`` library gives them for the vocabulary ``name``.
 
-    The same vocabulary's ranks give the same ids several times faster; texts with unusual characters go to ``tokenizers``.
+    The same vocabulary's ranks give the same ids several times faster; texts with unusual characters or the string of an
+    added token go to ``tokenizers``.
     """
     import public_tokenizers as public
     import tiktoken
@@ -47,10 +49,11 @@ def encoder(name: str = VOCABULARY):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding(name, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
     full = Tokenizer.from_file(public.path(f"{name}.json"))
-    full.encode_special_tokens = True
+    added = [t.content for t in full.get_added_tokens_decoder().values()]
 
     def encode(text: str) -> list[int]:
-        return full.encode(text, add_special_tokens=False).ids if _PLAIN.search(text) else fast.encode_ordinary(text)
+        slow = _PLAIN.search(text) or any(t in text for t in added)
+        return full.encode(text, add_special_tokens=False).ids if slow else fast.encode_ordinary(text)
 
     return encode
 
@@ -83,6 +86,26 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), one, schema)
 
 
+def _by_sum(largest: np.ndarray, total: np.ndarray) -> dict[int, np.ndarray]:
+    """Sum to the largest lengths of the combinations that make it, longest first."""
+    order = np.lexsort((-largest, total))
+    sums, first = np.unique(total[order], return_index=True)
+    return dict(zip(sums.tolist(), np.split(largest[order], first[1:]), strict=True)) if len(sums) else {}
+
+
+def index_sums(lengths: np.ndarray, capacity: int) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
+    """Hash tables of pair and of triple sums below the capacity: the largest length of each pair, and of each triple.
+
+    The rest of a pair is its other length; the rest of a triple is a pair sum. At most capacity**2 entries each.
+    """
+    x, y = (v.ravel() for v in np.meshgrid(lengths.astype(np.int32), lengths.astype(np.int32)))
+    ok = (x >= y) & (x + y < capacity)
+    pairs = _by_sum(x[ok], (x + y)[ok])
+    x, y = (v.ravel() for v in np.meshgrid(lengths.astype(np.int32), np.array(list(pairs), dtype=np.int32)))
+    ok = (2 * x >= y) & (x + y < capacity)
+    return pairs, _by_sum(x[ok], (x + y)[ok])
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths of one sequence, longest first) and how many sequences have each."""
     have = np.zeros(capacity + 1, dtype=np.int64)
@@ -102,27 +125,31 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
             patterns.append((tuple(sorted(lengths, reverse=True)), times))
         return times > 0
 
+    pairs, triples = index_sums(np.flatnonzero(have), capacity)
+    none = np.zeros(0, dtype=np.int32)
+
+    def of_pair(total: int, most: int) -> list[int]:
+        """The longer lengths, up to most, of available pairs of that sum."""
+        a = pairs.get(total, none)
+        return a[(a <= most) & (have[a] > 0) & (have[total - a] > 0)].tolist()
+
     for n in range(capacity, 0, -1):
         gap = capacity - n
         if have[n] and not gap:
             consume((n,))
         if have[n] and gap:
             consume((n, gap))  # the single that fits exactly
-        if have[n] and gap > 1:  # pairs with that sum
-            a = np.arange(gap - 1, (gap - 1) // 2, -1)
-            for x in a[(have[a] > 0) & (have[gap - a] > 0)].tolist():
-                consume((n, x, gap - x))
-                if not have[n]:
-                    break
-        if have[n] and gap > 2:  # triples with that sum
-            for x in (np.flatnonzero(have[1 : gap - 1]) + 1)[::-1].tolist():
-                rest = gap - x
-                top = min(x, rest - 1)
-                a = np.arange(top, (rest - 1) // 2, -1)
-                for y in a[(have[a] > 0) & (have[rest - a] > 0)].tolist():
-                    consume((n, x, y, rest - y))
+        for x in of_pair(gap, gap) if have[n] else ():
+            consume((n, x, gap - x))
+            if not have[n]:
+                break
+        for x in triples.get(gap, none).tolist() if have[n] else ():
+            for y in of_pair(gap - x, x) if have[x] else ():
+                consume((n, x, y, gap - x - y))
                 if not have[n]:
                     break
+            if not have[n]:
+                break
 
     # best fit of the rest: open sequences by their gap, as pattern and count
     by_gap: dict[int, list[list]] = {}
