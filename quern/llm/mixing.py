@@ -4,14 +4,18 @@ A Gaussian classifier over text shape (symbols, word lengths, text and line leng
 Document rates start at 1 and go by projected gradient steps towards the least-squares solution of
 "sum of rate * tokens * posterior = target" for each domain, never below each document's lower bound (0 unless asked).
 A step moves a rate by the inner product of the posterior with one vector of a length of the number of domains: the
-residual, scaled by the Gram matrix of the posteriors. So the rates are a function of the posterior and the list of
-steps; a pass over the narrow table of tokens and posteriors sums the domain totals, nothing is stored for each
-document between passes, and a lost executor costs a recomputed projection.
+residual, scaled by the Gram matrix of the posteriors of documents whose rate can still move, or of all where that step
+doesn't lower the squared residual (in the norm of the inverse Gram matrix, in which the latter step always does). So the
+rates are a function of the posterior and the list of steps; a pass over the narrow table of tokens and posteriors sums
+the domain totals, nothing is stored for each document between passes, and a lost executor costs a recomputed projection.
+The steps end when the targets are met. Targets out of reach would put all weight on a few extreme documents in very many
+small steps; there the steps end once ``PATIENCE`` of them are made and one lowers the squared residual by less than a
+hundredth. The largest miss that is left, as a share of the target's tokens, is the column ``miss``.
 
 Targets are ``weights`` of the current tokens; with ``protect`` they are scaled up so that no protected domain shrinks.
 
 Edge cases: a null or empty text has no tokens, the prior as posterior and counts for nothing; labels that are null or
-of unknown documents are ignored; with fewer than two labelled domains all posteriors are even and the rates stay 1;
+of unknown documents are ignored; with fewer than two labelled domains all posteriors are even, the rates stay 1 and the miss is null;
 repeated rows are weighed each; an empty table gives no rows; extra columns are kept by ``mix``.
 """
 
@@ -25,7 +29,7 @@ from quern.llm.common import documents, materialize, table
 
 FEATURES = ("symbols", "word_length", "length", "line_words", "different")
 WEIGHTS = {0: 0.05, 1: 0.95}
-MAX_STEPS, TOLERANCE, TEMPER = 25, 1e-6, 0.5
+TOLERANCE, STALLED, PATIENCE, TEMPER = 1e-6, 1e-9, 40, 0.5
 
 
 def with_features(docs: DataFrame) -> DataFrame:
@@ -82,42 +86,43 @@ def rate(steps: list[np.ndarray], n_domains: int, lower: Column) -> Column:
     return r
 
 
-def solve(narrow: DataFrame, weights: list[float], lower: Column, protect: list[int]) -> list[np.ndarray]:
-    """Steps of the projected gradient; narrow has n_tokens and the posterior columns."""
+def solve(narrow: DataFrame, weights: list[float], lower: Column, protect: list[int]) -> tuple[list[np.ndarray], float]:
+    """Steps of the projected gradient and the miss that they leave; narrow has n_tokens and the posterior columns."""
     D = len(weights)
     tokens = F.col("n_tokens").cast("double")
 
-    def totals(steps: list[np.ndarray]) -> np.ndarray:
-        row = narrow.select("n_tokens", *(f"_p{d}" for d in range(D)), rate(steps, D, lower).alias("_r")).agg(*(F.sum(tokens * F.col("_r") * F.col(f"_p{d}")) for d in range(D))).first()
-        return np.array([x or 0.0 for x in row])
+    def totals(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of each domain, and the Gram matrix of the documents above their lower bound."""
+        r = rate(steps, D, lower)
+        row = narrow.select("n_tokens", *(f"_p{d}" for d in range(D)), r.alias("_r"), (r > lower).alias("_free"))
+        sums = [F.sum(tokens * F.col("_r") * F.col(f"_p{d}")) for d in range(D)]
+        sums += [F.sum(F.when(F.col("_free"), tokens * F.col(f"_p{i}") * F.col(f"_p{j}")).otherwise(0.0)) for i in range(D) for j in range(D)]
+        found = np.array([x or 0.0 for x in row.agg(*sums).first()])
+        return found[:D], found[D:].reshape(D, D)
 
     gram = np.array([x or 0.0 for x in narrow.agg(*(F.sum(tokens * F.col(f"_p{i}") * F.col(f"_p{j}")) for i in range(D) for j in range(D))).first()]).reshape(D, D)
-    now = totals([])
+    now, free = totals([])
     if now.sum() <= 0:
-        return []
+        return [], 0.0
     w = np.array(weights) / sum(weights)
     whole = max([now.sum(), *(now[d] / w[d] for d in protect)])
     target = w * whole
     inverse = np.linalg.inv(gram + 1e-9 * np.trace(gram) * np.eye(D))
+    squared = lambda m: float(m @ inverse @ m)
     steps: list[np.ndarray] = []
-    size = 1.0
-    for _ in range(MAX_STEPS):
+    while np.abs(now - target).max() > TOLERANCE * whole:
         miss = now - target
-        if np.abs(miss).max() <= TOLERANCE * whole:
-            break
-        y = size * (inverse @ miss)
-        then = totals([*steps, y])
-        if ((then - target) ** 2).sum() > (miss**2).sum():
-            size /= 2
-            if size < 1e-3:
+        whole_step = np.linalg.solve(free + 1e-9 * np.trace(gram) * np.eye(D), miss)
+        for y in (whole_step, whole_step / 2, whole_step / 4, whole_step / 16, inverse @ miss):
+            then, then_free = totals([*steps, y])
+            if squared(then - target) < (1 - STALLED) * squared(miss):
+                steps, now, free = [*steps, y], then, then_free
                 break
-            continue
-        moved = np.abs(then - now).max()
-        steps.append(y)
-        now = then
-        if moved <= 1e-9 * whole:
+        else:  # no step lowers it: the least-squares rates
+            break
+        if len(steps) >= PATIENCE and squared(now - target) > 0.99 * squared(miss):
             break
-    return steps
+    return steps, float(np.abs(now - target).max() / whole)
 
 
 def decide(docs: DataFrame, labels: DataFrame, column: str, weights: dict | None, protect: tuple, keep_likely: bool):
@@ -137,19 +142,19 @@ def decide(docs: DataFrame, labels: DataFrame, column: str, weights: dict | None
     def with_posteriors(x: DataFrame) -> DataFrame:
         return x.withColumns({f"_p{d}": p for d, p in enumerate(posteriors(model, D))}).drop(*(f"_f_{k}" for k in FEATURES))
 
-    steps = solve(materialize(with_posteriors(narrow).drop("doc_id", "_hash"), "posteriors"), [weights[d] for d in domains], lower, kept) if model is not None else []
+    steps, miss = solve(materialize(with_posteriors(narrow).drop("doc_id", "_hash"), "posteriors"), [weights[d] for d in domains], lower, kept) if model is not None else ([], None)
 
     def with_copies(x: DataFrame) -> DataFrame:
         x = with_posteriors(x).withColumn("rate", rate(steps, D, lower))
         chance = F.pmod("_hash", F.lit(1 << 20)) / float(1 << 20)
         copies = F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-        return x.withColumn("copies", copies.cast("long"))
+        return x.withColumn("copies", copies.cast("long")).withColumn("miss", F.lit(miss).cast("double"))
 
     return narrow, with_copies, domains
 
 
 def rates(docs: DataFrame, labels: DataFrame, column: str = "quality", weights: dict | None = None, protect: tuple = (), keep_likely: bool = False) -> tuple[DataFrame, list]:
-    """doc_id, n_tokens, posterior columns _p0.., rate and copies of each row; and the domains in their order.
+    """doc_id, n_tokens, posterior columns _p0.., rate, copies and miss of each row; and the domains in their order.
 
     keep_likely: documents whose likeliest domain is protected have a rate of 1 or more.
     """
@@ -171,4 +176,4 @@ def mix(docs: DataFrame, labels: DataFrame, column: str = "quality", weights: di
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, domains = rates(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
-    return x.select("doc_id", "n_tokens", *(F.col(f"_p{d}").alias(f"p_quality_{name}") for d, name in enumerate(domains)), "rate", "copies")
+    return x.select("doc_id", "n_tokens", *(F.col(f"_p{d}").alias(f"p_quality_{name}") for d, name in enumerate(domains)), "rate", "copies", "miss")
