@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -17,12 +18,10 @@ def reference_tokenizer():
     import public_tokenizers as public
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public.path("byte_bpe_50k.json"))
 
 
-TEXTS = ["", "plain words, here's  one\n\n two", "naïve éèê ÄÖÜß ñ", "日本語のテキスト", "🚀🚀 emoji  ", "a b c　d", "tabs\t\tand\r\n lines \x0b\x0c", "<|endoftext|>", "x" * 5000, "1234567890 ½ ²", "​﻿́e", "Ǆ ǅ ʰ ͅ"]
+TEXTS = ["", "plain words, here's  one\n\n two", "naïve éèê ÄÖÜß ñ", "日本語のテキスト", "🚀🚀 emoji  ", "a b c　d", "tabs\t\tand\r\n lines \x0b\x0c", "<|endoftext|>", "a <|endoftext|><|endoftext|> b", "<|endoftext|", "x" * 5000, "1234567890 ½ ²", "​﻿́e", "Ǆ ǅ ʰ ͅ"]
 
 
 @pytest.mark.parametrize("text", TEXTS)
@@ -84,6 +83,24 @@ def test_plan(seed):
     assert bins <= max(-(-total // 64) * 1.05 + 1, sum(c for n, c in h.items() if n > 32))
 
 
+def test_special_token():
+    assert packing.encoder()("<|endoftext|>") == [50256]
+
+
+def test_index_of_sums():
+    lengths = np.array([2, 3, 5, 7, 20])
+    pairs, triples = packing.index_sums(lengths, 24)
+    want2, want3 = collections.defaultdict(set), collections.defaultdict(set)
+    for x, y in itertools.combinations_with_replacement(lengths.tolist(), 2):
+        if x + y < 24:
+            want2[x + y].add(y)
+    for x, y, z in itertools.combinations_with_replacement(lengths.tolist(), 3):
+        if x + y + z < 24:
+            want3[x + y + z].add(z)
+    assert {k: set(v.tolist()) for k, v in pairs.items()} == want2
+    assert all(want3[k] <= set(triples[k].tolist()) for k in want3) and [v.tolist() == sorted(v.tolist(), reverse=True) for v in triples.values()]
+
+
 def test_exact_complements():
     assert sorted(packing.plan({1500: 2, 548: 2})) == [((1500, 548), 2)]
     assert sorted(packing.plan({1000: 1, 600: 1, 448: 1})) == [((1000, 600, 448), 1)]
@@ -154,26 +171,46 @@ def test_mixing_reaches_targets(spark):
     n, p = r.n_tokens.to_numpy(float), r[["_p0", "_p1"]].to_numpy()
     assert domains == [0, 1] and np.allclose(p.sum(1), 1) and (r.rate >= 0).all()
     assert np.allclose((n * r.rate) @ p / n.sum(), [0.05, 0.95], atol=1e-4)
-    # the same iteration, by numpy
-    rate, gram = np.ones(len(r)), (p.T * n) @ p
-    target = n.sum() * np.array([0.05, 0.95])
-    for _ in range(25):
-        miss = (n * rate) @ p - target
-        if abs(miss).max() <= mixing.TOLERANCE * n.sum():
-            break
-        rate = np.maximum(0, rate - p @ np.linalg.solve(gram, miss))
-    assert np.allclose(rate, r.rate, atol=1e-4)
+    assert (r.miss <= mixing.TOLERANCE).all()
+    # rates are those of a dual vector: 1 less its product with the posterior, or 0
+    dual = np.linalg.lstsq(p[r.rate > 0], 1 - r.rate[r.rate > 0], rcond=None)[0]
+    assert np.allclose(np.maximum(0, 1 - p @ dual), r.rate, atol=1e-4)
     y = labels.toPandas().set_index("doc_id").quality
     known = r[r.doc_id.isin(y.index)]
     assert ((known._p1 > 0.5) == (known.doc_id.map(y) == 1)).mean() > 0.95
 
 
+@pytest.mark.parametrize("weights,reached", [({0: 0.9, 1: 0.1}, False), ({0: 0.5, 1: 0.5}, True), ({0: 0.3, 1: 0.7}, True)])
+def test_mixing_of_far_targets(spark, weights, reached):
+    """Labels that don't belong to the documents: targets in reach are met, and for others the miss is said and lowered."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = docs.select("doc_id", (F.xxhash64("doc_id") % 2 == 0).cast("int").alias("quality"))
+    r = mixing.rates(docs, labels, weights=weights)[0].toPandas()
+    n, p = r.n_tokens.to_numpy(float), r[["_p0", "_p1"]].to_numpy()
+    target = np.array([weights[0], weights[1]])
+    first, last = n @ p / n.sum() - target, (n * r.rate.to_numpy()) @ p / n.sum() - target
+    assert np.allclose(r.miss, np.abs(last).max(), atol=1e-7) and (r.rate >= 0).all()
+    assert (np.abs(last).max() <= mixing.TOLERANCE) == reached
+    inverse = np.linalg.inv((p.T * n) @ p / n.sum())
+    assert last @ inverse @ last <= first @ inverse @ first
+
+
+def test_three_domains(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = docs.select("doc_id", (F.when(F.length("text") < 500, 0).when(F.length("text") < 2000, 1).otherwise(2)).alias("size"))
+    x, domains = mixing.rates(docs, labels, "size", {0: 0.2, 1: 0.3, 2: 0.5})
+    r = x.toPandas()
+    n, p = r.n_tokens.to_numpy(float), r[["_p0", "_p1", "_p2"]].to_numpy()
+    assert domains == [0, 1, 2] and np.allclose((n * r.rate) @ p / n.sum(), [0.2, 0.3, 0.5], atol=1e-5)
+
+
 def test_mixing_edges(clashing, empty, corpus, labels, spark):
     got = mixing.mix(clashing, labels, protect=(1,), keep_likely=True)
     assert got.columns == clashing.columns and got.where("rate != 'own rate' OR copies != 'own copies'").count() == 0
     assert mixing.mix(empty, labels).count() == 0
     same = mixing.mix(clashing, spark.createDataFrame([], "doc_id long, quality int"))
     assert same.count() == len(corpus)  # no labels: every rate is 1
+    assert mixing.rates(empty.select("doc_id", "text"), labels)[0].count() == 0
     x, _ = mixing.rates(clashing.select("doc_id", "text"), labels, protect=(1,), keep_likely=True)
     assert x.where("_p1 >= 0.5 AND copies < 1").count() == 0
 
