@@ -27,7 +27,7 @@ def texts(batch: pa.RecordBatch, column: str) -> list[str]:
 class WordHash(dict):
     """64-bit hash of a word, remembered; emptied when large, which changes no value."""
 
-    limit = 400_000
+    limit = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

@@ -32,7 +32,7 @@ WIDTH, NUM, DEN = 5, 75, 100
 TREES, COORDS, PERMS = 10, 64, 256
 LIMIT, MAX_DEPTH, PIVOTS, CHUNK = 2048, 10, 32, 256
 #: Shingles of the sets that meet in one row, and bits of a comparison held at once.
-BLOCK, BITS = 4_000_000, 1 << 27
+BLOCK, BITS = 1_000_000, 1 << 26
 #: Six standard deviations of the sketch's estimate below the threshold; a pair of similarity 0.75 fails once in 10**8.
 SKETCH_LEAST = 0.55
 
@@ -120,6 +120,12 @@ def branch(classes: DataFrame) -> DataFrame:
     return arrow_map(classes.select("set_id", "coords", "nodes"), one, "node long, set_id long")
 
 
+def _rows(batch: pa.RecordBatch, *names: str):
+    """The rows of a batch, one at a time, since each may hold many sets."""
+    for i in range(batch.num_rows):
+        yield tuple(batch.column(k)[i].as_py() for k in names)
+
+
 def _similar(bits: list[bytes]) -> np.ndarray:
     """Estimated similarity of all pairs."""
     x = np.frombuffer(b"".join(bits), dtype=np.uint64).reshape(len(bits), -1)
@@ -136,7 +142,7 @@ def best_pairs(leaves: DataFrame) -> DataFrame:
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         left, right = [], []
-        for members in batch.column("members").to_pylist():
+        for (members,) in _rows(batch, "members"):
             ids = np.array([m["set_id"] for m in members], dtype=np.int64)
             est = _similar([m["bits"] for m in members])
             np.fill_diagonal(est, -1)
@@ -157,7 +163,7 @@ def open_members(leaves: DataFrame) -> DataFrame:
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list] = [[np.zeros(0, dtype=np.int64)] for _ in range(3)]
-        for leaf, members in zip(batch.column("leaf").to_pylist(), batch.column("members").to_pylist(), strict=True):
+        for leaf, members in _rows(batch, "leaf", "members"):
             label = np.array([m["label"] for m in members], dtype=np.int64)
             if (label == label[0]).all():
                 continue
@@ -176,17 +182,19 @@ def crossing_links(members: DataFrame, sets: DataFrame) -> DataFrame:
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         left, right = [], []
-        for members_ in batch.column("members").to_pylist():
+        for (members_,) in _rows(batch, "members"):
             ids, label = [m["set_id"] for m in members_], np.array([m["label"] for m in members_], dtype=np.int64)
             items = [np.frombuffer(m["items"], dtype=np.uint64) for m in members_]
             size = np.array([len(x) for x in items])
             # one bit for each shingle that several members have, some columns at a time
             row = np.repeat(np.arange(len(items)), size)
-            _, column, count = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
-            shared = count[column] > 1
-            row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
-            in_order = np.argsort(column, kind="stable")
-            row, column = row[in_order], column[in_order]
+            every = np.concatenate(items)
+            in_order = np.argsort(every, kind="stable")
+            row, every = row[in_order].astype(np.int32), every[in_order]
+            again = np.zeros(len(every) + 1, dtype=bool)
+            again[1:-1] = every[1:] == every[:-1]
+            shared = again[:-1] | again[1:]
+            row, column = row[shared], np.cumsum(~again[:-1][shared]) - 1
             others = [np.flatnonzero((label[i + 1 :] != label[i]) & (DEN * np.minimum(size[i + 1 :], size[i]) >= NUM * np.maximum(size[i + 1 :], size[i]))) + i + 1 for i in range(len(ids) - 1)]
             common = [np.zeros(len(o), dtype=np.int64) for o in others]
             width = max(1, BITS // len(items) // 64) * 64
@@ -307,7 +315,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         left, right = [], []
-        for ids, packed, a, b in zip(*(batch.column(k).to_pylist() for k in ("ids", "items", "a", "b")), strict=True):
+        for ids, packed, a, b in _rows(batch, "ids", "items", "a", "b"):
             for x, y in _spanning({k: np.frombuffer(v, dtype=np.uint64) for k, v in zip(ids, packed, strict=True)}, zip(a, b, strict=True)):
                 left.append(x), right.append(y)
         return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])

@@ -146,9 +146,9 @@ class Lexicon:
         """Term and edits of a lower-cased word."""
         if word in self.memo:
             return self.memo[word]
-        if len(self.memo) > 400_000:
+        if len(self.memo) > 150_000:
             self.memo.clear()
-        if len(self.sets) > 100_000:  # start over, which changes no result
+        if len(self.sets) > 50_000:  # start over, which changes no result
             self._clear()
         plain = word.translate(LEET) if not word.isalpha() else word
         state, out = self.start, None
