@@ -26,6 +26,7 @@ gives no rows; extra columns are ignored by ``score`` and kept by ``drop_toxic``
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -83,8 +84,8 @@ class Lexicon:
         self._clear()
 
     def _clear(self) -> None:
-        self.states: dict[tuple, int] = {}
-        self.sets: list[tuple] = []
+        self.states: dict[bytes, int] = {}
+        self.sets: list[bytes] = []  # of each state its nodes and edits, packed
         self.moves: list[dict[str, int]] = []
         self.accepts: list[tuple[int, int] | None] = []  # if the word ends here
         self.begun: list[tuple[int, int] | None] = []  # a stem was read: any ending does
@@ -108,13 +109,13 @@ class Lexicon:
                     queue.append(child)
         if not near:
             return -1
-        key = tuple(sorted(near.items()))
+        key = array("q", sorted(n * 4 + e for n, e in near.items())).tobytes()
         if key in self.states:
             return self.states[key]
         at = self.states[key] = len(self.sets)
         self.sets.append(key), self.moves.append({})
         best, begun = None, None
-        for n, e in key:
+        for n, e in near.items():
             for k in self.ends[n] if n >= 0 else ():
                 if e <= self.allowed[k]:
                     best = self._better(best, (k, e))
@@ -130,7 +131,8 @@ class Lexicon:
             if e <= most and e < near.get(n, 9):
                 near[n] = e
 
-        for n, e in self.sets[state]:
+        for packed in array("q", self.sets[state]):
+            n, e = packed >> 2, packed & 3
             if n < 0:
                 if c == chr(-n % 0x110000):
                     reach(-n // 0x110000, e, 9)
@@ -148,7 +150,7 @@ class Lexicon:
             return self.memo[word]
         if len(self.memo) > 150_000:
             self.memo.clear()
-        if len(self.sets) > 50_000:  # start over, which changes no result
+        if len(self.sets) > 30_000:  # start over, which changes no result
             self._clear()
         plain = word.translate(LEET) if not word.isalpha() else word
         state, out = self.start, None
