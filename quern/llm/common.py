@@ -77,18 +77,23 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(*(columns or ("doc_id", "text")))
 
 
+#: Rows of a few bytes that one task can take, whatever their keys.
+FEW = 5_000_000
 HOT, HOT_KEYS = 10_000, 10_000
 
 
-def split_join(rows: DataFrame, keyed: DataFrame, *keys: str) -> DataFrame:
+def split_join(rows: DataFrame, keyed: DataFrame, *keys: str, total: int | None = None) -> DataFrame:
     """rows joined with ``keyed``: one row for each key, with the number ``n`` of its rows. No key's rows meet in one task.
 
     A key of more than HOT rows and of more than one in HOT_KEYS of all rows is sent to every executor, so at most HOT_KEYS
-    rows are; the others are joined by a shuffle. ``keyed`` is read up to three times, so it should be a written table.
+    rows are; the others are joined by a shuffle. Tables of at most FEW rows (``total``, else counted) are joined as they are.
     """
-    most, total = keyed.agg(F.max("n"), F.sum("n")).first()
-    limit = max(HOT, (total or 0) // HOT_KEYS)
-    if (most or 0) <= limit:
+    total = rows.count() if total is None else total
+    if total <= FEW:
+        return rows.join(keyed, list(keys))
+    keyed = materialize(keyed, "keyed")
+    limit = max(HOT, total // HOT_KEYS)
+    if (keyed.agg(F.max("n")).first()[0] or 0) <= limit:
         return rows.join(keyed, list(keys))
     hot = keyed.where(F.col("n") > limit)
     often = rows.join(F.broadcast(hot), list(keys))

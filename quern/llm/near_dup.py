@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, WordHash, arrow_map, materialize, mix64, run_hash, split_join, texts
+from quern.llm.common import Scratch, WordHash, arrow_map, mix64, run_hash, split_join, texts
 
 WIDTH, NUM, DEN = 5, 75, 100
 TREES, COORDS, PERMS = 10, 64, 256
@@ -244,7 +244,7 @@ def chosen_path(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFr
     last = None
     for depth in range(1, MAX_DEPTH + 1):
         members = scratch(branch(frontier), "paths")
-        members = split_join(members, scratch(members.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "nodes"), "node")
+        members = split_join(members, members.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "node")
         lists = members.where(F.col("n") <= LIMIT).groupBy("node").agg(F.sort_array(F.collect_list("set_id")).alias("ids"))
         # the same small group shows in many nodes
         parts.append(scratch(lists.select(F.xxhash64("ids").alias("leaf"), F.size("ids").alias("n"), "ids").dropDuplicates(["leaf", "n"]), "leaves"))
@@ -261,24 +261,24 @@ def chosen_path(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFr
     return leaves.dropDuplicates(["leaf", "n"]).select("leaf", F.explode("ids").alias("set_id")), last
 
 
-def _pivot_blocks(large: DataFrame, scratch: Scratch) -> DataFrame:
+def _pivot_blocks(large: DataFrame) -> DataFrame:
     """Nodes that stayed large, in blocks that each also hold the node's pivots."""
     half = LIMIT - PIVOTS
     mixed = large.withColumn("h", F.xxhash64("node", "set_id"))
-    mixed = split_join(mixed, scratch(mixed.groupBy("node").agg(F.count("*").alias("n")), "sizes"), "node")
+    mixed = split_join(mixed, mixed.groupBy("node").agg(F.count("*").alias("n")), "node")
     pivots = mixed.where(F.pmod("h", F.greatest(F.lit(1).cast("long"), F.floor(F.col("n") * 2 / PIVOTS))) == 0)
     parts = mixed.withColumn("part", F.pmod(F.col("h"), F.ceil(F.col("n") * 2 / half)))
     with_pivots = pivots.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") * 2 / half) - 1)))
     return parts.unionByName(with_pivots).select(F.xxhash64("node", "part").alias("leaf"), "set_id").distinct()
 
 
-def _rest_blocks(large: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+def _rest_blocks(large: DataFrame, labels: DataFrame) -> DataFrame:
     """Of nodes that stayed large: members outside the main component with all members, in blocks."""
     part = LIMIT // 4
     x = large.join(labels, "set_id").withColumn("h", F.xxhash64("set_id", "node"))
     per = x.groupBy("node", "label").agg(F.count("*").alias("c"))
     main = per.groupBy("node").agg(F.max_by("label", "c").alias("main"), F.sum("c").alias("n"), (F.sum("c") - F.max("c")).alias("rest"))
-    x = split_join(x, scratch(main.where("rest > 0"), "mains"), "node")
+    x = split_join(x, main.where("rest > 0"), "node", total=large.count())
     rows, cols = F.ceil(F.col("rest") / part), F.ceil(F.col("n") / part)
     outer = x.where("label != main").select("node", "set_id", F.pmod("h", rows).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), cols - 1)).alias("j"))
     inner = x.select("node", "set_id", F.explode(F.sequence(F.lit(0).cast("long"), rows - 1)).alias("i"), F.pmod("h", cols).alias("j"))
@@ -298,15 +298,16 @@ def confirm(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """
     ends = pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))).toDF("id", "other")
     home = ends.groupBy("id").agg(F.least("id", F.min("other")).alias("home"), F.count("*").alias("n"))
-    home = scratch(home.join(sets.select(F.col("set_id").alias("id"), F.col("n").alias("size")), "id"), "homes")
-    x = split_join(pairs, home.select(F.col("id").alias("a"), F.col("home").alias("ha"), F.col("size").alias("sa"), "n"), "a").drop("n")
-    x = split_join(x, home.select(F.col("id").alias("b"), F.col("home").alias("hb"), F.col("size").alias("sb"), "n"), "b")
-    x = scratch(x.select("a", "b", F.least("ha", "hb").alias("home"), (F.col("sa") + F.col("sb")).alias("size")), "homed")
+    home = home.join(sets.select(F.col("set_id").alias("id"), F.col("n").alias("size")), "id")
+    total = pairs.count()
+    x = split_join(pairs, home.select(F.col("id").alias("a"), F.col("home").alias("ha"), F.col("size").alias("sa"), "n"), "a", total=total).drop("n")
+    x = split_join(x, home.select(F.col("id").alias("b"), F.col("home").alias("hb"), F.col("size").alias("sb"), "n"), "b", total=total)
+    x = x.select("a", "b", F.least("ha", "hb").alias("home"), (F.col("sa") + F.col("sb")).alias("size"))
     # a block holds two of k chunks of the ids that share a home
     few = F.greatest(F.lit(1), F.least(F.ceil(F.sqrt(F.col("n") / CHUNK)), F.ceil(F.col("n") * 2 / CHUNK)))
     chunks = F.when(F.col("size") > BLOCK, F.greatest(few, F.ceil(F.col("size") * 2 / BLOCK))).otherwise(few).cast("long")
     sizes = x.groupBy("home").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    x = split_join(x.drop("size"), scratch(sizes.select("home", "n", chunks.alias("k")), "chunks"), "home")
+    x = split_join(x.drop("size"), sizes.select("home", "n", chunks.alias("k")), "home", total=total)
     ca, cb = F.pmod(F.xxhash64("a"), "k"), F.pmod(F.xxhash64("b"), "k")
     x = scratch(x.select("a", "b", F.xxhash64("home", F.least(ca, cb), F.greatest(ca, cb)).alias("block")), "blocks")
     members = x.select("block", F.col("a").alias("set_id")).union(x.select("block", "b")).distinct().join(sets.select("set_id", "items"), "set_id")
@@ -351,12 +352,12 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """set_id, label of each connected component (alternating large-star and small-star until all is stars)."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
     while True:
+        total = 2 * e.count()
         both = e.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
-        least = scratch(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), "least")
-        large = split_join(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        large = scratch(large, "large-stars")
-        least = scratch(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
-        small = split_join(large, least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = split_join(both, least, "u", total=total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = split_join(large, least, "u", total=total).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = scratch(small.where("u != v").distinct(), "stars")
         # stars: no vertex has two centres or is a centre itself; centres are few beside the vertices
         if e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
@@ -392,7 +393,7 @@ def _resolved(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")).alias("first")
     classes = scratch(sigs.where("set_id != 0").groupBy("set_id").agg(first, F.count("*").alias("rows"), F.first("coords").alias("coords"), F.first("bits").alias("bits")), "classes")
     leaves, large = chosen_path(classes, scratch)
-    leaves = leaves if large is None else leaves.unionByName(_pivot_blocks(large, scratch))
+    leaves = leaves if large is None else leaves.unionByName(_pivot_blocks(large))
     pairs = scratch(best_pairs(with_members(leaves, classes, None)), "pairs")
 
     # the sets of all that may be confirmed in either round
@@ -404,7 +405,7 @@ def _resolved(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     labels = named_by(classes, components(links, scratch), scratch)
     crossing = open_members(with_members(leaves, classes, labels))
     if large is not None:
-        crossing = crossing.union(open_members(with_members(_rest_blocks(large, labels, scratch), classes, labels)))
+        crossing = crossing.union(open_members(with_members(_rest_blocks(large, labels), classes, labels)))
     crossing = scratch(crossing, "crossing")
     if not crossing.isEmpty():
         more = scratch(crossing_links(crossing, sets), "links")
@@ -419,8 +420,8 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document."""
     sigs, named = _resolved(docs, text)
     least = named.groupBy("label").agg(F.min("first.doc_id").alias("component_id"), F.count("*").alias("n"))
-    of_class = materialize(split_join(named.select("set_id", "label", F.col("n").alias("rows")), materialize(least, "components"), "label").select("set_id", "component_id", F.col("rows").alias("n")), "classes")
-    full = split_join(sigs.where("set_id != 0").select("doc_id", "n_shingles", "set_id"), of_class, "set_id").select("doc_id", "n_shingles", "component_id")
+    of_class = split_join(named.select("set_id", "label", F.col("n").alias("rows")), least, "label").select("set_id", "component_id", F.col("rows").alias("n"))
+    full = split_join(sigs.where("set_id != 0").select("doc_id", "n_shingles", "set_id"), of_class, "set_id", total=sigs.count()).select("doc_id", "n_shingles", "component_id")
     out = full.union(sigs.where("set_id = 0").select("doc_id", "n_shingles", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 

@@ -87,6 +87,7 @@ def test_near_dedup_in_bounded_blocks(docs, corpus, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 3000)
     monkeypatch.setattr(near_dup, "BITS", 2000)
     monkeypatch.setattr(common, "HOT", 2)
+    monkeypatch.setattr(common, "FEW", -1)
     want = brute_components([(r[0], r[1]) for r in corpus if r[0] is not None])
     got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs).collect()}
     assert all(got[i] == c for i, (_, c) in want.items())
@@ -170,6 +171,7 @@ def test_line_trees(spark, monkeypatch, hot):
     from quern.llm import common
 
     monkeypatch.setattr(common, "HOT", hot)
+    monkeypatch.setattr(common, "FEW", -1 if hot == 1 else common.FEW)
     rng = random.Random(11)
     letters = [a + b for a in "abcdef" for b in "ghijkl"]
     rows = []
