@@ -56,6 +56,7 @@ class Repository:
         hits = graph.search_nodes(self.nodes, query, limit, kinds, scopes, pattern)
         if mode == "features" or mode == "auto" and not hits.isEmpty():
             return hits
+        limit = limit if limit > 0 else 10
         text = search.text_search(self.chunks, query, limit * 4).select("path", "score")
         best = text.groupBy("path").agg(F.max("score").alias("score"))
         return self.nodes.drop("score").join(F.broadcast(best), "path").orderBy(F.desc("score"), "id").limit(limit)  # at most 4 * limit paths

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def reconcile(desired: DataFrame, indexed: DataFrame) -> DataFrame:
-    """path, op (UPSERT or DELETE), desired_hash: what makes the index match; both sides have path and hash."""
+    """path, op (UPSERT or DELETE), desired_hash in order of op and path: what makes the index match; both sides have path and hash."""
     x = desired.select("path", F.col("hash").alias("want")).join(indexed.select("path", F.col("hash").alias("have")), "path", "full_outer")
     op = F.when(F.col("want").isNull(), "DELETE").when(F.col("have").isNull() | (F.col("have") != F.col("want")), "UPSERT")
-    return x.withColumn("op", op).where("op IS NOT NULL").select("path", "op", F.coalesce("want", F.lit("")).alias("desired_hash"))
+    return x.withColumn("op", op).where("op IS NOT NULL").select("path", "op", F.coalesce("want", F.lit("")).alias("desired_hash")).orderBy("op", "path")
 
 
 def index_plan(scanned: DataFrame, known: DataFrame, last_index: Column | None = None) -> DataFrame:
@@ -136,22 +137,97 @@ def any_pending(jobs: DataFrame, paths: DataFrame) -> bool:
     return not jobs.join(paths.select("path"), "path", "left_semi").limit(1).isEmpty()
 
 
+def put_symbols(symbols: DataFrame, artifacts: DataFrame, new: DataFrame, version: int) -> tuple[DataFrame, DataFrame]:
+    """Symbols of the artifacts in ``new`` are replaced, and those artifacts get the version."""
+    done = new.select("artifact_id").distinct()
+    kept = symbols.join(done, "artifact_id", "left_anti").unionByName(new)
+    bumped = artifacts.join(done.withColumn("_new", F.lit(version)), "artifact_id", "left")
+    return kept, bumped.withColumn("symbols_version", F.coalesce("_new", "symbols_version")).drop("_new").select(artifacts.columns)
+
+
+@dataclass(frozen=True)
+class Store:
+    """What one commit changes together; kept as one snapshot, so readers see all of it or nothing."""
+
+    artifacts: DataFrame
+    artifact_chunks: DataFrame
+    symbols: DataFrame
+    view: DataFrame
+    jobs: DataFrame
+
+    def tables(self) -> dict[str, DataFrame]:
+        return dict(self.__dict__)
+
+
+def commit_artifacts(store: Store, artifacts: DataFrame, artifact_chunks: DataFrame, symbols: DataFrame, commits: DataFrame, active: DataFrame) -> Store:
+    """New artifacts with chunks and symbols, the view switched to those of the active generation, their jobs gone.
+
+    commits: worktree_id, path, artifact_id, generation, desired_hash. Artifacts that exist stay as they are. A job goes
+    if its generation and desired hash are those of the commit.
+    """
+    fresh = artifacts.join(store.artifacts.select("artifact_id"), "artifact_id", "left_anti")
+    only = lambda x: x.join(fresh.select("artifact_id"), "artifact_id", "left_semi")
+    view = switch_view(store.view, commits.select(store.view.columns), active)
+    jobs = store.jobs.join(commits.select("worktree_id", "path", "generation", "desired_hash").distinct(), ["worktree_id", "path", "generation", "desired_hash"], "left_anti")
+    return Store(store.artifacts.unionByName(fresh), store.artifact_chunks.unionByName(only(artifact_chunks)), store.symbols.unionByName(only(symbols)), view, jobs.select(store.jobs.columns))
+
+
+def roll_generation(generations: DataFrame, view: DataFrame, jobs: DataFrame, worktree: str, generation: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A worktree's active generation is retired and the new one active; its view and jobs are cleared."""
+    own = F.col("worktree_id") == worktree
+    state = F.when(own & (F.col("generation") == generation), "active").when(own & (F.col("state") == "active"), "retired").otherwise(F.col("state"))
+    out = generations.withColumn("state", state)
+    new = generations.sparkSession.createDataFrame([(worktree, generation, "active")], "worktree_id string, generation long, state string")
+    out = out.unionByName(new.join(generations, ["worktree_id", "generation"], "left_anti").select(out.columns))
+    return out, view.where(~own), jobs.where(~own)
+
+
+def register(known: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of keys that are not there yet are added, once each; known ones stay as they are."""
+    return known.unionByName(new.join(known.select(*keys), keys, "left_anti").dropDuplicates(keys).select(known.columns))
+
+
+def prune_import(artifacts: DataFrame, documents: DataFrame) -> DataFrame:
+    """Imported artifacts (path, source_hash, ...) whose document (path, hash) is gone or has changed are dropped."""
+    now = documents.select("path", F.col("hash").alias("source_hash"))
+    return artifacts.join(now, ["path", "source_hash"], "left_semi")
+
+
+def verify_import(documents: DataFrame, chunks: DataFrame, artifacts: DataFrame, artifact_chunks: DataFrame) -> DataFrame:
+    """One row: files, placements and unique chunks of both sides, and whether all agree; dangling references don't count."""
+    want = import_report(documents, chunks)
+    got = artifact_chunks.agg(F.count("*").alias("got_placements"), F.countDistinct("chunk_id").alias("got_chunks")).join(artifacts.agg(F.count("*").alias("got_files")))
+    x = want.join(got)  # single rows
+    ok = (F.col("files") == F.col("got_files")) & (F.col("placements") - F.col("dangling") == F.col("got_placements")) & (F.col("unique_chunks") == F.col("got_chunks"))
+    return x.withColumn("agrees", ok)
+
+
 class Snapshot:
     """Tables in numbered folders behind a pointer that is switched last; readers see whole snapshots only."""
 
     def __init__(self, spark: SparkSession, root: str, version: int = 1) -> None:
         self.spark, self.root, self.version = spark, root.rstrip("/"), version
 
+    def _pointers(self) -> DataFrame | None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_pointer")
+        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
+            return None
+        return self.spark.read.schema("name string, version int, number long").json(f"{self.root}/_pointer")
+
     def save(self, tables: dict[str, DataFrame]) -> str:
+        """One writer at a time: snapshots are numbered, and the largest number is the newest."""
         name = uuid.uuid4().hex
         for k, df in tables.items():
             df.write.parquet(f"{self.root}/{name}/{k}")
-        self.spark.createDataFrame([(name, self.version)], "name string, version int").coalesce(1).write.mode("append").json(f"{self.root}/_pointer")
+        before = self._pointers()
+        number = (before.agg(F.max("number")).first()[0] or 0) + 1 if before is not None else 1
+        self.spark.createDataFrame([(name, self.version, number)], "name string, version int, number long").coalesce(1).write.mode("append").json(f"{self.root}/_pointer")
         return name
 
     def load(self, table: str) -> DataFrame:
         """Of the newest snapshot; one of another version is an error."""
-        found = self.spark.read.schema("name string, version int").json(f"{self.root}/_pointer").select("*", F.col("_metadata.file_modification_time").alias("at")).orderBy(F.desc("at")).first()
+        pointers = self._pointers()
+        found = pointers.orderBy(F.desc("number")).first() if pointers is not None else None
         if found is None or found["version"] != self.version:
             raise ValueError(f"snapshot version {found and found['version']}, not {self.version}")
         return self.spark.read.parquet(f"{self.root}/{found['name']}/{table}")

@@ -6,7 +6,6 @@ import bisect
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,16 +100,26 @@ def batches(chunks: DataFrame, group: str, max_inputs: int = 2000, max_tokens: i
     """
     limit = max_inputs if 0 < max_inputs <= 2000 else 2000
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["file_index", "chunk_index"])
-        number, count, used, out = 0, 0, 0, []
-        for t in pdf["tokens"]:
-            if count >= limit or count and used + t > max_tokens:
-                number, count, used = number + 1, 0, 0
-            count, used = count + 1, used + t
-            out.append(number)
-        return pdf.assign(batch=pd.Series(out, index=pdf.index, dtype="int64"))
+    def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, number, count, used = None, 0, 0, 0
+        for part in it:
+            out = []
+            for g, t in zip(part.column(group).to_pylist(), part.column("tokens").to_pylist(), strict=True):
+                if own is None or g != own[0]:
+                    own, number, count, used = (g,), 0, 0, 0
+                if count >= limit or count and used + t > max_tokens:
+                    number, count, used = number + 1, 0, 0
+                count, used = count + 1, used + t
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.int64())], [*part.schema.names, "batch"])
 
     x = chunks.select(group, "file_index", "chunk_index", F.col("tokens").cast("long").alias("tokens"))
     kinds = dict(x.dtypes)
-    return x.groupBy(group).applyInPandas(pack, ", ".join(f"{c} {kinds[c]}" for c in x.columns) + ", batch long")
+    x = x.repartition(group).sortWithinPartitions(group, "file_index", "chunk_index")  # read as a stream, so a group need not fit in memory
+    return x.mapInArrow(pack, ", ".join(f"`{c}` {kinds[c]}" for c in x.columns) + ", batch long")
+
+
+def scatter(vectors: DataFrame, file: str = "file_index") -> DataFrame:
+    """Vectors (file, chunk_index, vector) that came back from batches as one list a file, in the order of its chunks."""
+    pairs = F.array_sort(F.collect_list(F.struct("chunk_index", "vector")))
+    return vectors.groupBy(file).agg(F.transform(pairs, lambda p: p["vector"]).alias("vectors"))

@@ -7,6 +7,7 @@ function around it, or of <top-level>. JavaScript and TypeScript also have prope
 
 from __future__ import annotations
 
+import ast
 import bisect
 import re
 from collections.abc import Iterator
@@ -18,21 +19,25 @@ from pyspark.sql import DataFrame
 TOP = "<top-level>"
 _ID = r"[A-Za-z_]\w*"
 _JS = r"[A-Za-z_$][\w$]*"
-#: Names that look like calls but are part of the language.
-_C_LIKE = "if for while switch return sizeof do else case new delete throw catch try finally"
 #: No declaration is named so.
 CONTROL = frozenset("if for while switch return else do catch match foreach elif until".split())
+#: Names of each language that are no calls.
 KEYWORDS = {
     "go": "if for range switch select go defer return func make new append len cap panic recover close delete copy print println complex real imag",
-    "javascript": "if for while switch return new typeof instanceof await yield throw try catch finally delete void import export require function",
-    "python": "if for while with return yield raise assert print len range enumerate zip map filter list dict set tuple str int float bool type isinstance hasattr getattr setattr super open not and or in is lambda elif except def class del",
-    "lua": "if for while repeat until return function local and or not print pairs ipairs type tostring tonumber require",
-    "rust": f"{_C_LIKE} match loop fn let mut impl Some None Ok Err vec println print format panic assert",
-    "fsharp": "if then else match with let fun function type module open printfn printf sprintf failwith not",
-    "pascal": "if for while repeat until case begin end writeln write read readln inc dec length",
+    "javascript": "if for while switch return new typeof instanceof await yield throw try catch finally delete void import export require",
+    "typescript": "if for while switch return new typeof instanceof await yield throw try catch finally delete void import export require keyof",
+    "python": "if for while with return yield raise assert print len range enumerate zip map filter list dict set tuple str int float bool type isinstance hasattr getattr setattr delattr open input super",
+    "php": "if for foreach while switch return new echo print isset empty array unset include require include_once require_once die exit",
+    "lua": "if then elseif else for while repeat until do end function local return break goto in and or not nil true false",
+    "c": "if for while switch return sizeof typeof goto break continue malloc calloc realloc free printf fprintf sprintf scanf memcpy memset strlen strcmp strcpy strcat",
+    "cpp": "if for while switch return new delete sizeof typeof typeid throw try catch static_cast dynamic_cast const_cast reinterpret_cast decltype noexcept",
+    "zig": "if for while switch return break continue unreachable defer errdefer try catch orelse comptime inline assert expect expectEqual expectError",
+    "rust": "if for while loop match return break continue panic assert assert_eq vec Box Rc Arc Some None Ok Err println print format",
+    "java": "if else for while do switch case default break continue return throw try catch finally new instanceof this super assert synchronized println print printf valueOf toString equals hashCode length size get set add remove isEmpty contains containsKey containsValue put clear toArray",
+    "csharp": "if else for foreach while do switch case default break continue return throw try catch finally new nameof typeof using get set init value await yield lock this base add remove toString equals getHashCode",
+    "pascal": "if then else case of for to downto while do repeat until with goto try except finally raise on not and or xor in is as div mod shl shr nil true false self inherited result writeln write readln read inc dec length setlength high low sizeof assigned new dispose freemem getmem exit break continue halt ord chr pred succ copy delete insert pos trunc round abs sqr sqrt",
+    "fsharp": "let in if then else elif match with for while do done try finally raise yield return fun function when as of mutable rec inline private public internal module namespace open type not true false null new and or begin end upcast downcast lazy assert base this use async task failwith failwithf sprintf printfn printf ignore string int float box unbox typeof nameof",
 }
-for _k, _more in (("typescript", "keyof"), ("java", "super this synchronized"), ("csharp", "typeof nameof lock using foreach base this"), ("php", "array echo isset unset empty list print die exit foreach function"), ("c", ""), ("cpp", "static_cast dynamic_cast reinterpret_cast const_cast decltype"), ("ruby", "puts print require raise def"), ("zig", "fn comptime orelse defer errdefer"), ("kotlin", "when fun val var"), ("swift", "guard func let var")):
-    KEYWORDS[_k] = (KEYWORDS["javascript"] if _k == "typescript" else _C_LIKE) + " " + _more
 
 
 @dataclass(frozen=True)
@@ -167,15 +172,23 @@ def references(path: str, text: str) -> list[dict]:
     names_at = {d["at"] for d in found}
     functions = sorted((d for d in found if d["kind"] in ("function", "method")), key=lambda d: d["start"])
     starts = [d["start"] for d in functions]
-    keywords = set(KEYWORDS[lang.name].split())
+    outer, stack = [], []  # of each function the next one outwards: nearest before it that ends later
+    for i, d in enumerate(functions):
+        while stack and functions[stack[-1]]["end"] <= d["end"]:
+            stack.pop()
+        outer.append(stack[-1] if stack else -1)
+        stack.append(i)
+    keywords = set(KEYWORDS.get(lang.name, "").split())
+    if lang.name in ("javascript", "typescript", "php"):
+        keywords.add("function")  # a declaration without a name
     out, seen = [], set()
 
     def add(name: str, at: int, kind: str) -> None:
-        caller = None
-        for d in reversed(functions[: bisect.bisect_right(starts, at)]):
-            if at < d["end"]:
-                caller = d
-                break
+        caller, i = None, bisect.bisect_right(starts, at) - 1
+        while i >= 0 and not caller:  # outwards from the nearest function that begins before
+            if at < functions[i]["end"]:
+                caller = functions[i]
+            i = outer[i]
         line = _line(breaks, at)
         who = (caller["name"], path, caller["line"]) if caller else (TOP, path, 0)
         key = (name, kind, path, who[0], line, who[2])
@@ -198,6 +211,62 @@ def references(path: str, text: str) -> list[dict]:
     return out
 
 
+def precise_declarations(path: str, text: str) -> list[dict]:
+    """Symbols of a Python file from its syntax tree, with true ends and docstrings; by patterns for what doesn't parse."""
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError):
+        return [d | {"docstring": ""} for d in declarations(path, text)]
+    lines, out = text.split("\n"), []
+
+    def visit(node: ast.AST, owner: str) -> None:
+        for child in ast.iter_child_nodes(node):
+            inner = owner
+            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                kind = "class" if isinstance(child, ast.ClassDef) else "method" if owner else "function"
+                line = lines[child.lineno - 1].strip().rstrip(":").strip()
+                inner = child.name if kind == "class" else ""
+                out.append({"name": child.name, "kind": kind, "file": path, "line": child.lineno, "end_line": child.end_lineno, "signature": line if len(line) <= 150 else line[:150] + "...", "receiver": owner, "exported": exported(child.name, "python"), "language": "python", "docstring": ast.get_docstring(child) or ""})
+            visit(child, inner)
+
+    visit(tree, "")
+    return out
+
+
+def precise_references(path: str, text: str) -> list[dict]:
+    """Calls of a Python file from its syntax tree, with the innermost function around each; by patterns for what doesn't parse."""
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError):
+        return references(path, text)
+    lines, keywords, out, seen = text.split("\n"), set(KEYWORDS["python"].split()), [], set()
+
+    def visit(node: ast.AST, caller: tuple[str, int]) -> None:
+        if isinstance(node, ast.Call):
+            f = node.func
+            name = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else ""
+            line = f.end_lineno
+            if name and not (isinstance(f, ast.Name) and name in keywords) and (name, line, caller) not in seen:
+                seen.add((name, line, caller))
+                context, column = lines[line - 1].strip(), len(lines[line - 1].encode()[: f.end_col_offset].decode("utf-8", "replace")) - len(name) + 1
+                out.append({"symbol_name": name, "kind": "call", "file": path, "line": line, "column": column, "context": context if len(context) <= 200 else context[:200] + "...", "caller_name": caller[0], "caller_file": path, "caller_line": caller[1]})
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            for d in [*node.decorator_list, *node.args.defaults, *(x for x in node.args.kw_defaults if x)]:
+                visit(d, caller)  # evaluated outside
+            for child in node.body:
+                visit(child, (node.name, node.lineno))
+            return
+        for child in ast.iter_child_nodes(node):
+            visit(child, caller)
+
+    visit(tree, (TOP, 0))
+    return out
+
+
+def _precise(path: str) -> bool:
+    return path.lower().endswith(".py")
+
+
 SYMBOLS = ["name", "kind", "file", "line", "end_line", "signature", "receiver", "exported", "language"]
 REFS = ["symbol_name", "kind", "file", "line", "column", "context", "caller_name", "caller_file", "caller_line"]
 _KINDS = {"line": ("int", pa.int32()), "end_line": ("int", pa.int32()), "column": ("int", pa.int32()), "caller_line": ("int", pa.int32()), "exported": ("boolean", pa.bool_())}
@@ -229,12 +298,17 @@ def _extract(files: DataFrame, names: list[str], fn) -> DataFrame:
     return files.select("path", "content").mapInArrow(each, ", ".join(f"`{n}` {_KINDS.get(n, ('string',))[0]}" for n in names))
 
 
-def extract_symbols(files: DataFrame, infer_end_line: bool = False) -> DataFrame:
-    """Symbols of files (path, content); end_line is 0 unless inferred."""
+def extract_symbols(files: DataFrame, infer_end_line: bool = False, precise: bool = False) -> DataFrame:
+    """Symbols of files (path, content); end_line is 0 unless inferred. precise: by syntax tree where there is one (Python), with docstrings."""
+    if precise:
+        by_pattern = lambda p, t: [d | {"docstring": ""} for d in _mapped(declarations)(p, t, True)]
+        return _extract(files, [*SYMBOLS, "docstring"], lambda p, t: precise_declarations(p, t) if _precise(p) else by_pattern(p, t))
     return _extract(files, SYMBOLS, lambda p, t: _mapped(declarations)(p, t, infer_end_line))
 
 
-def extract_references(files: DataFrame) -> DataFrame:
+def extract_references(files: DataFrame, precise: bool = False) -> DataFrame:
+    if precise:
+        return _extract(files, REFS, lambda p, t: precise_references(p, t) if _precise(p) else _mapped(references)(p, t))
     return _extract(files, REFS, _mapped(references))
 
 

@@ -49,10 +49,13 @@ def invokes_edges(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     return y.where("src != dst").select(*edge(F.col("src"), F.col("dst"), "invokes")).distinct()
 
 
-def import_edges(invokes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct pairs of files whose symbols invoke one another."""
+def import_edges(invokes: DataFrame, nodes: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Distinct pairs of files whose symbols invoke one another; with files (path), only where both are there."""
     p = nodes.select("id", "path")
     x = invokes.join(p.select(F.col("id").alias("src"), F.col("path").alias("pa")), "src").join(p.select(F.col("id").alias("dst"), F.col("path").alias("pb")), "dst")
+    if files is not None:
+        there = files.select("path").distinct()
+        x = x.join(there.withColumnRenamed("path", "pa"), "pa", "left_semi").join(there.withColumnRenamed("path", "pb"), "pb", "left_semi")
     return x.where("pa != pb").select(*edge(F.concat(F.lit("file:"), "pa"), F.concat(F.lit("file:"), "pb"), "imports")).distinct()
 
 
@@ -183,7 +186,7 @@ def explore(edges: DataFrame, nodes: DataFrame, start: str, direction: str = "bo
 
     A neighbour of another kind is not a result and not followed; in both directions an edge can be listed twice.
     """
-    e = edges.where(F.col("type").isin(types)) if types else edges
+    e = materialize(edges.where(F.col("type").isin(types)) if types else edges, "explored")  # read again at each level
     fits = nodes.select("id") if not kinds else nodes.where(F.col("kind").isin([k for x in kinds for k in KINDS_OF.get(x, [x])])).select("id")
     frontier = edges.sparkSession.createDataFrame([(start,)], "id string")
     levels, found = [frontier.withColumn("depth", F.lit(0))], []
@@ -240,3 +243,120 @@ def summaries(parents: DataFrame, limit: int = 20) -> DataFrame:
     """Rows of id, name, child_id, child_feature to id and a sentence over the first children by id."""
     x = parents.groupBy("id", "name").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("child_id", "child_feature"))), 1, limit), lambda c: c["child_feature"]).alias("c"), F.count("*").alias("n_children"))
     return x.select("id", "n_children", X.summary_context(F.col("name"), F.col("c"), limit).alias("summary"))
+
+
+def stem(path: Column) -> Column:
+    """The file's name up to its last dot."""
+    name = F.substring_index(path, "/", -1)
+    return F.when(F.instr(name, ".") > 1, F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
+
+
+def file_nodes(files: DataFrame, symbols: DataFrame, limit: int = 5) -> DataFrame:
+    """Files (path) as nodes: the feature of their name, and the most frequent features of their symbols or, without any, that one."""
+    own = X.atomic_feature(stem(F.col("path")))
+    top = file_features(symbols, limit).groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature"))), lambda f: f["feature"]).alias("features"))
+    x = files.select("path").distinct().withColumn("feature", own).join(top, "path", "left")
+    return x.select(F.concat(F.lit("file:"), "path").alias("id"), F.lit("file").alias("kind"), "path", "feature", F.coalesce("features", F.array("feature")).alias("features"))
+
+
+def hierarchy_nodes(files: DataFrame) -> DataFrame:
+    """Areas, categories and subcategories of placed files: id, kind, name."""
+    a, c, s = F.col("area"), F.concat_ws("/", "area", "category"), F.concat_ws("/", "area", "category", "subcategory")
+    of = ((F.lit("area:"), a, "area", "area"), (F.lit("cat:"), c, "category", "category"), (F.lit("subcat:"), s, "subcategory", "subcategory"))
+    kinds = F.array(*(F.struct(F.concat(p, v).alias("id"), F.lit(kind).alias("kind"), F.col(name).alias("name")) for p, v, kind, name in of))
+    return files.select(F.inline(kinds)).distinct()
+
+
+def build(files: DataFrame, symbols: DataFrame, calls: DataFrame, chunks: DataFrame | None = None, limits: Graph = LIMITS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The graph of a repository: nodes (id, kind, path, name, feature, features, line, end_line, label, summary), edges, placed files.
+
+    files: path; symbols: path, symbol_name, receiver, line, end_line; calls: caller, callee, file, line; chunks: chunk_id,
+    path, s, e. In order: file and symbol nodes, containment, invocations, imports, similarity, co-calls, chunk links, the
+    hierarchy, its labels and summaries from the bottom up.
+    """
+    known = symbols.join(files.select("path").distinct(), "path", "left_semi")
+    s = materialize(first_of(symbol_nodes(known), ["id"], "line"), "symbol-nodes")
+    f = materialize(file_nodes(files, s), "file-nodes")
+    invokes = materialize(invokes_edges(calls, s), "invokes")
+    semantic = materialize(semantic_edges(s, limits), "semantic")
+    parts = [contains_edges(s), invokes, import_edges(invokes, s, f), semantic, co_call_edges(invokes.select("src", "dst"), s, semantic, limits)]
+    if chunks is not None:
+        parts.append(chunk_links(chunks, s))
+    area, category = P.classify_file(F.col("path"))
+    where = f.select("path").join(file_clusters(s), "path", "left").select("path", area.alias("area"), category.alias("category"), F.coalesce("cluster", F.lit("general")).alias("subcategory"))
+    where = materialize(where, "placed")
+    parts.append(hierarchy_edges(where))
+    above = hierarchy_nodes(where).join(labels(where, s), "id", "left").join(summarize_hierarchy(where, f), "id", "left")
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("int")
+    nodes = s.select("id", F.lit("symbol").alias("kind"), "path", F.col("symbol_name").alias("name"), "feature", F.array("feature").alias("features"), F.col("line").cast("int").alias("line"), F.col("end_line").cast("int").alias("end_line"), text.alias("label"), text.alias("summary"))
+    nodes = nodes.unionByName(f.select("id", "kind", "path", text.alias("name"), "feature", "features", number.alias("line"), number.alias("end_line"), text.alias("label"), X.summary_context(F.col("path"), F.col("features"), 20).alias("summary")))
+    nodes = nodes.unionByName(above.select("id", "kind", text.alias("path"), "name", F.col("name").alias("feature"), F.array("name").alias("features"), number.alias("line"), number.alias("end_line"), "label", "summary"))
+    return nodes, reduce(DataFrame.unionByName, parts), where
+
+
+def summarize_hierarchy(files: DataFrame, file_features: DataFrame, done: DataFrame | None = None, limit: int = 20) -> DataFrame:
+    """id, summary of subcategories over their files, of categories over theirs and of areas over theirs; ids in ``done`` are skipped.
+
+    file_features: path, feature.
+    """
+    f = files.join(file_features.select("path", "feature"), "path", "left")
+    key = lambda *c: F.concat_ws("/", *c)
+    levels = [
+        f.select(F.concat(F.lit("subcat:"), key("area", "category", "subcategory")).alias("id"), F.col("subcategory").alias("name"), F.concat(F.lit("file:"), "path").alias("child_id"), F.coalesce("feature", F.lit("")).alias("child_feature")),
+        f.select(F.concat(F.lit("cat:"), key("area", "category")).alias("id"), F.col("category").alias("name"), F.concat(F.lit("subcat:"), key("area", "category", "subcategory")).alias("child_id"), F.col("subcategory").alias("child_feature")).distinct(),
+        f.select(F.concat(F.lit("area:"), "area").alias("id"), F.col("area").alias("name"), F.concat(F.lit("cat:"), key("area", "category")).alias("child_id"), F.col("category").alias("child_feature")).distinct(),
+    ]
+    x = reduce(DataFrame.unionByName, levels)
+    if done is not None:
+        x = x.join(done.select("id"), "id", "left_anti")
+    return summaries(x, limit).select("id", "summary")
+
+
+def all_feature_paths(nodes: DataFrame, files: DataFrame, links: DataFrame) -> DataFrame:
+    """id, feature_path of every kind: areas and the like their own, files and symbols their file's place, chunks (src of links) their first symbol's."""
+    place = files.select("path", F.concat_ws("/", "area", "category", "subcategory").alias("feature_path"))
+    above = nodes.where(F.col("kind").isin("area", "category", "subcategory")).select("id", F.expr("substring(id, instr(id, ':') + 1)").alias("feature_path"))
+    below = nodes.where(F.col("kind").isin("file", "symbol")).select("id", "path").join(place, "path").select("id", "feature_path")
+    first = links.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("symbol"))
+    chunks = first.join(nodes.select(F.col("id").alias("symbol"), "path"), "symbol").join(place, "path").select("id", "feature_path")
+    return above.unionByName(below).unionByName(chunks)
+
+
+def resolve_entities(nodes: DataFrame, names: list[str]) -> DataFrame:
+    """entity, id: the node of that id, else the file of that path, else the first symbol of that name, else the first of that feature."""
+    x = nodes.select("id", F.inline(F.array(*(F.struct(F.lit(rank).alias("rank"), c.alias("entity")) for rank, c in enumerate((F.col("id"), F.when(F.col("kind") == "file", F.col("path")), F.when(F.col("kind") == "symbol", F.col("name")), F.col("feature")))))))
+    return first_of(x.where(F.col("entity").isin(names)), ["entity"], "rank", "id").select("entity", "id")
+
+
+def ancestors(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, ancestor, hops along containment and the hierarchy: four hops at most, from a symbol to its area."""
+    up = edges.where(F.col("type").isin("contains", "feature_parent")).select(F.col("dst").alias("_at"), F.col("src").alias("_up")).distinct()
+    at, out = ids.select("id", F.col("id").alias("_at")), []
+    for hop in range(1, 5):
+        at = at.join(up, "_at").select("id", F.col("_up").alias("_at")).distinct()
+        out.append(at.select("id", F.col("_at").alias("ancestor"), F.lit(hop).alias("hops")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def children(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, child along containment and the hierarchy."""
+    x = edges.where(F.col("type").isin("contains", "feature_parent")).select(F.col("src").alias("id"), F.col("dst").alias("child"))
+    return x.join(ids.select("id").distinct(), "id", "left_semi").distinct()
+
+
+def add_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """New edges, each (src, dst, type) once; one that is there takes the new weight."""
+    return edges.join(new.select("src", "dst", "type").distinct(), ["src", "dst", "type"], "left_anti").select(edges.columns).unionByName(new.dropDuplicates(["src", "dst", "type"]).select(edges.columns))
+
+
+def evolve(nodes: DataFrame, placed_files: DataFrame, changed: DataFrame, fresh: DataFrame, threshold: float = LIMITS.drift) -> tuple[DataFrame, DataFrame]:
+    """Symbol nodes and placed files after files (path) changed: their symbols are replaced by ``fresh`` ones.
+
+    A file whose features drift by the threshold is placed anew, as are new files; others stay where they are, and files
+    that have no symbol any more go.
+    """
+    now = nodes.join(changed.select("path").distinct(), "path", "left_anti").select(nodes.columns).unionByName(fresh.select(nodes.columns))
+    of = lambda x: x.groupBy(F.col("path").alias("id")).agg(F.collect_set("feature").alias("features"))
+    stay = drifted(of(nodes), of(now), threshold).where("NOT rerouted").select(F.col("id").alias("path"))
+    kept = placed_files.join(stay, "path", "left_semi")
+    return now, kept.unionByName(placed(now).join(kept.select("path"), "path", "left_anti").select(placed_files.columns))

@@ -70,12 +70,12 @@ def best_by(hits: DataFrame, key: str, *ties: str) -> DataFrame:
 def search(chunks: DataFrame, query: Sequence[float], limit: int, text: str = "", prefix: str = "", config: Search = Search(), workspace: bool = False) -> DataFrame:
     """The whole pipeline: fetch 2x (4x with dedup), fuse, boost, dedup by file, cut.
 
-    workspace: neither fusion nor dedup, whatever the settings.
+    workspace: neither fusion nor dedup, whatever the settings. Limit 0 or less: all chunks by vector score, without fusion.
     """
     dedup, hybrid = config.dedup and not workspace, config.hybrid and not workspace
     fetch = limit * (4 if dedup else 2)
     hits = vector_search(chunks, query, fetch, prefix)
-    if hybrid and text:
+    if hybrid and text and limit > 0:  # ranks are of bounded lists
         words = text_search(chunks, text, fetch, prefix)
         fused = fuse([ranked(hits, "vector"), ranked(words, "text")], config.k, fetch)
         hits = chunks.join(F.broadcast(fused), "id")  # at most fetch rows

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Names that the entries use, and the price of a million tokens.
 COMMANDS = ["search", "trace-callers", "trace-callees", "trace-graph"]
 MODES = ["full", "compact", "toon"]
 CLOUD = ["openai", "openrouter", "synthetic"]
@@ -42,8 +43,10 @@ def file_stats(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("path").agg(F.count("*").alias("chunk_count"))
 
 
-def symbol_stats(symbols: DataFrame, refs: DataFrame) -> DataFrame:
-    return symbols.agg(F.count("*").alias("total_symbols"), F.countDistinct("file").alias("total_files")).join(refs.agg(F.count("*").alias("total_references")))
+def symbol_stats(symbols: DataFrame, refs: DataFrame, updated: str = "") -> DataFrame:
+    """Totals, and the last value of the column ``updated`` if named."""
+    last = [F.max(updated).alias("last_updated")] if updated else []
+    return symbols.agg(F.count("*").alias("total_symbols"), F.countDistinct("file").alias("total_files"), *last).join(refs.agg(F.count("*").alias("total_references")))
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -64,3 +64,26 @@ scored AS (SELECT vec_id AS id, {VEC_PATH} AS path, label,
 def rounded(df: DataFrame, *columns: str, digits: int | None = None) -> DataFrame:
     """The columns as doubles, rounded if asked; sums of products of floats are the same on both sides as they are."""
     return df.withColumns({c: F.col(c).cast("double") if digits is None else F.round(F.col(c).cast("double"), digits) for c in columns})
+
+
+#: Blank characters, as a class of DuckDB's regexes; \x01 pads characters to their number of bytes.
+_BLANK = r"[\s\x0b\x01\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def chunk_sql(files: str) -> str:
+    """CTEs that cut a table of that name (path, text) into chunks: piece (path, ordinal, pos, stop, content, before).
+
+    Characters of several bytes are padded, so positions are those of bytes; a window that ends or begins on padding
+    moves behind it.
+    """
+    padded = f"regexp_replace(regexp_replace(regexp_replace(text, '([\\x{{80}}-\\x{{7ff}}])', '\\1' || chr(1), 'g'), '([\\x{{800}}-\\x{{ffff}}])', '\\1' || chr(1) || chr(1), 'g'), '([\\x{{10000}}-\\x{{10ffff}}])', '\\1' || chr(1) || chr(1) || chr(1), 'g')"
+    up = lambda at: f"({at} + length(regexp_extract(substr(t, ({at}) + 1, 3), '^\\x01*')))"
+    blank = f"regexp_matches(substr(t, p + 1, s - p), '^{_BLANK}*$')"
+    window = f"""SELECT *, CASE WHEN cut < n AND contains(substr(t, p + 2, cut - p - 1), chr(10)) THEN cut - strpos(reverse(substr(t, p + 1, cut - p)), chr(10)) + 1 ELSE cut END AS s FROM
+  (SELECT *, {up("least(p + 2048, n)")} AS cut FROM"""
+    return f"""pad_ AS (SELECT path, {padded} AS t FROM {files}), sized_ AS (SELECT path, t, length(t) AS n FROM pad_ WHERE length(t) > 0),
+cut_(path, t, n, p, s, blank, k) AS (
+ SELECT path, t, n, p, s, {blank}, 0::BIGINT FROM ({window} (SELECT path, t, n, 0::BIGINT AS p FROM sized_)))
+ UNION ALL
+ SELECT path, t, n, p, s, {blank}, k FROM ({window} (SELECT path, t, n, CASE WHEN blank OR s - 200 <= p THEN s ELSE {up("s - 200")} END AS p, k + (NOT blank)::BIGINT AS k FROM cut_)) WHERE p < n)),
+piece AS (SELECT path, k AS ordinal, p AS pos, s AS stop, replace(substr(t, p + 1, s - p), chr(1), '') AS content, substr(t, 1, p) AS before, substr(t, 1, s - 1) AS until FROM cut_ WHERE NOT blank)"""

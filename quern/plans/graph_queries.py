@@ -114,7 +114,8 @@ def co_caller_edges(spark, d):
     calls = _calls(spark, d)
     n = calls.select(F.col("dst").alias("id")).distinct().withColumn("path", F.substring("id", 4, 9))
     small = n.where("id < 'p0010'").select("id")
-    existing = small.select(F.col("id").alias("src")).join(small.select(F.col("id").alias("dst")), F.col("src") < F.col("dst"))
+    pairs = F.array_sort(F.collect_list("id")).alias("ids")  # ten ids
+    existing = small.agg(pairs).select(F.posexplode("ids").alias("i", "src"), "ids").select("src", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("dst"))
     return G.co_call_edges(calls, n, existing)
 
 
@@ -264,3 +265,26 @@ def range_overlap(spark, d):
     m = m.withColumn("e2", X.normalize_end(F.col("s2"), F.col("e2")))
     x = c.join(m, "path").where("s <= e2 AND s2 <= e")
     return x.select("id", "sym", X.overlap_length(F.col("s"), F.col("e"), F.col("s2"), F.col("e2")).cast("long").alias("overlap"))
+
+
+def _built(spark, d):
+    n = unique_nodes(spark, d)
+    files = n.select("path").distinct().unionByName(spark.createDataFrame([("docs/handle_readme.md",)], "path string"))
+    return G.build(files, n.select("path", "symbol_name", F.lit("").alias("receiver"), "line", "end_line"), _node_calls(spark, d))
+
+
+@R.add("built_nodes", f"""WITH {UNIQUE}, {FILES}, c AS (SELECT path, feature, count(*) AS n FROM un GROUP BY 1, 2), top AS (SELECT path, string_agg(feature, '|' ORDER BY n DESC, feature) AS fs FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY n DESC, feature) AS r FROM c) WHERE r <= 5 GROUP BY path),
+ucl AS (SELECT path, cluster FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY n DESC, cluster) AS r FROM (SELECT path, cluster, count(*) AS n FROM un GROUP BY 1, 2)) WHERE r = 1),
+p AS (SELECT string_split(path, '/')[1] AS area, string_split(path, '/')[2] AS category, cluster AS subcategory FROM ucl UNION ALL SELECT 'docs', 'handle_readme', 'general')
+SELECT id, 'symbol' AS kind, feature AS features FROM un UNION ALL SELECT 'file:' || path, 'file', fs FROM top UNION ALL SELECT 'file:docs/handle_readme.md', 'file', 'handle readme'
+UNION ALL SELECT DISTINCT 'area:' || area, 'area', area FROM p UNION ALL SELECT DISTINCT 'cat:' || area || '/' || category, 'category', category FROM p
+UNION ALL SELECT DISTINCT 'subcat:' || area || '/' || category || '/' || subcategory, 'subcategory', subcategory FROM p""")
+def built_nodes(spark, d):
+    """Nodes of the whole build, a file without symbols among them."""
+    return _built(spark, d)[0].select("id", "kind", F.array_join("features", "|").alias("features"))
+
+
+@R.add("built_edges")
+def built_edges(spark, d):
+    """All edges of the whole build; its stages have queries with SQL of their own."""
+    return _built(spark, d)[1].withColumn("weight", F.round("weight", 6))

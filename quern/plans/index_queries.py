@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quern.api import workspace
 from quern.functions import text as X
 from quern.operators import catalog as C
-from quern.operators import embed, index
-from quern.plans.base import DOC_PATH, Registry, doc_path
+from quern.operators import chunking, embed, index
+from quern.plans.base import DOC_PATH, Registry, chunk_sql, doc_path
 from quern.plans.catalog_queries import JOBS, _jobs
 from quern.session import materialize, table
 
@@ -16,26 +18,32 @@ R = Registry()
 
 
 def _updated(spark, d):
-    """An index of the even documents brought up to date with all but every tenth, every ninth changed; texts cut to one chunk."""
-    docs = table(spark, d, "documents").select("doc_id", doc_path().alias("path"), F.concat(F.lit("d"), F.substring(F.regexp_replace("text", r"\s", "_"), 1, 40)).alias("content"))
-    old = docs.where("doc_id % 2 = 0")
-    now = docs.where("doc_id % 10 <> 9").withColumn("content", F.when(F.col("doc_id") % 9 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
-    scanned = now.select("path", F.sha2("content", 256).alias("hash"), F.col("doc_id").alias("mtime"), "content")
-    known = old.select("path", F.sha2("content", 256).alias("hash"), F.col("doc_id").alias("mtime"), F.array(F.concat("path", F.lit("_0"))).alias("chunk_ids"))
-    chunks = old.select(F.concat("path", F.lit("_0")).alias("id"), "path", F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), "content", F.array(F.lit(9.0), F.lit(9.0)).cast("array<float>").alias("vector"), F.lit("").alias("hash"), F.sha2("content", 256).alias("content_hash"))
+    """An index of all documents brought up to date with a scan of all: every ninth changed, every tenth under another path."""
+    docs = table(spark, d, "documents").select("doc_id", doc_path().alias("path"), F.col("text").alias("content"))
+    changed = F.when(F.col("doc_id") % 9 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))
+    moved = F.when(F.col("doc_id") % 10 == 9, F.concat("path", F.lit(".moved"))).otherwise(F.col("path"))
+    scanned = docs.select(moved.alias("path"), F.sha2(changed, 256).alias("hash"), F.col("doc_id").alias("mtime"), changed.alias("content"))
+    old = chunking.chunk_files(docs.select("path", "content"))
+    ids = old.groupBy("path").agg(F.array_sort(F.collect_list("id")).alias("chunk_ids"))
+    known = docs.select("path", F.sha2("content", 256).alias("hash"), (F.col("doc_id") - 1).alias("mtime")).join(ids, "path", "left").withColumn("chunk_ids", F.coalesce("chunk_ids", F.array().cast("array<string>")))
+    chunks = old.select("id", "path", "start_line", "end_line", "content", F.array(F.lit(9.0), F.lit(9.0)).cast("array<float>").alias("vector"), "hash", "content_hash")
     return index.update(scanned, known, chunks, embed.fake_embedder(2), 2)
 
 
-UPDATED = f"""x AS (SELECT doc_id, {DOC_PATH} AS path, 'd' || substr(regexp_replace(text, '\\s', '_', 'g'), 1, 40) AS content FROM documents),
-o AS (SELECT * FROM x WHERE doc_id % 2 = 0), n AS (SELECT doc_id, path, CASE WHEN doc_id % 9 = 0 THEN content || '!' ELSE content END AS content FROM x WHERE doc_id % 10 <> 9)"""
+UPDATED = f"""x AS (SELECT doc_id, {DOC_PATH} AS path, text FROM documents),
+now_ AS (SELECT doc_id, path AS was, path || CASE WHEN doc_id % 10 = 9 THEN '.moved' ELSE '' END AS path, text || CASE WHEN doc_id % 9 = 0 THEN '!' ELSE '' END AS text, doc_id % 9 = 0 OR doc_id % 10 = 9 AS changed FROM x),
+f AS (SELECT 'old ' || path AS path, text FROM x UNION ALL SELECT 'new ' || path, text FROM now_), {chunk_sql("f")},
+known AS (SELECT DISTINCT sha256(content) AS h FROM piece WHERE path LIKE 'old %'), c AS (SELECT substr(path, 5) AS path, ordinal, sha256(content) AS content_hash FROM piece WHERE path LIKE 'new %')"""
 
 
-@R.add("incremental_index", f"WITH {UPDATED} SELECT path, sha256(content) AS content_hash, content IN (SELECT content FROM o) AS reused FROM n")
+@R.add("incremental_index", f"WITH RECURSIVE {UPDATED} SELECT path, ordinal::INT AS ordinal, content_hash, content_hash IN (SELECT h FROM known) AS reused FROM c")
 def incremental_index(spark, d):
-    return _updated(spark, d).chunks.select("path", "content_hash", (F.col("vector")[0] == 9.0).alias("reused"))
+    ordinal = F.substring_index("id", "_", -1).cast("int")
+    return _updated(spark, d).chunks.select("path", ordinal.alias("ordinal"), "content_hash", (F.col("vector")[0] == 9.0).alias("reused"))
 
 
-@R.add("incremental_documents", f"WITH {UPDATED} SELECT path, sha256(content) AS hash, doc_id AS mtime, path || '_0' AS chunk_ids FROM n")
+@R.add("incremental_documents", f"""WITH RECURSIVE {UPDATED}, i AS (SELECT path, string_agg(path || '_' || ordinal, ',' ORDER BY path || '_' || ordinal) AS ids FROM c GROUP BY path)
+SELECT now_.path, sha256(text) AS hash, CASE WHEN changed OR ids IS NULL THEN doc_id ELSE doc_id - 1 END AS mtime, coalesce(ids, '') AS chunk_ids FROM now_ LEFT JOIN i ON i.path = now_.path""")
 def incremental_documents(spark, d):
     return _updated(spark, d).documents.select("path", "hash", "mtime", F.array_join("chunk_ids", ",").alias("chunk_ids"))
 
@@ -124,7 +132,8 @@ def snapshot_roundtrip(spark, d):
     """A table saved as a snapshot in the shared folder and read back through its pointer."""
     from quern.session import shared_dir
 
-    s = C.Snapshot(spark, f"{shared_dir(spark)}/snapshot-{spark.sparkContext.applicationId}")
+    s = C.Snapshot(spark, f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}")
+    s.save({"part": table(spark, d, "part").select("p_partkey", F.lit("old").alias("p_name"))})
     s.save({"part": table(spark, d, "part").select("p_partkey", "p_name")})
     return s.load("part")
 
@@ -132,3 +141,120 @@ def snapshot_roundtrip(spark, d):
 @R.add("written_and_read", "SELECT s_suppkey, s_name FROM supplier")
 def written_and_read(spark, d):
     return materialize(table(spark, d, "supplier").select("s_suppkey", "s_name"), "supplier")
+
+
+@R.add("indexed_under", f"SELECT count(*) > 0 AS found FROM documents WHERE starts_with('ws/' || {DOC_PATH}, 'ws/src3/en')")
+def indexed_under(spark, d):
+    return index.indexed_under(table(spark, d, "documents").select(F.concat(F.lit("ws/"), doc_path()).alias("path")), "ws", "src3", "en")
+
+
+def _work(spark, d):
+    jobs = table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), (F.col("o_custkey") % 200).alias("worktree_id"), (F.col("o_orderkey") % 2).alias("claimed"))
+    return jobs, table(spark, d, "supplier").select(F.col("s_suppkey").alias("worktree_id"), F.col("s_nationkey").alias("repository_id"))
+
+
+WORK = "jb AS (SELECT o_orderkey AS job_id, o_custkey % 200 AS worktree_id, o_orderkey % 2 AS claimed FROM orders), wt AS (SELECT s_suppkey AS worktree_id, s_nationkey AS repository_id FROM supplier)"
+
+
+@R.add("jobs_of_worktrees", f"WITH {WORK} SELECT job_id, repository_id FROM jb JOIN wt USING (worktree_id)")
+def jobs_of_worktrees(spark, d):
+    return index.jobs_of_worktrees(*_work(spark, d)).select("job_id", "repository_id")
+
+
+@R.add("repositories_with_work", f"WITH {WORK} SELECT DISTINCT repository_id FROM jb JOIN wt USING (worktree_id) WHERE claimed = 0")
+def repositories_with_work(spark, d):
+    return index.repositories_with_work(*_work(spark, d))
+
+
+def _artifacts(spark, d):
+    p = table(spark, d, "part")
+    artifacts = p.select(F.col("p_partkey").alias("artifact_id"), F.col("p_size").alias("symbols_version"))
+    symbols = table(spark, d, "lineitem").select(F.col("l_partkey").alias("artifact_id"), F.concat(F.lit("s"), F.col("l_linenumber").cast("string")).alias("name"))
+    new = p.where("p_size > 25").select(F.col("p_partkey").alias("artifact_id"), F.lit("new").alias("name"))
+    return symbols, artifacts, new
+
+
+@R.add("put_symbols", "SELECT l_partkey AS artifact_id, 's' || l_linenumber AS name FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 25) UNION ALL SELECT p_partkey, 'new' FROM part WHERE p_size > 25")
+def put_symbols(spark, d):
+    return C.put_symbols(*_artifacts(spark, d), 99)[0].select("artifact_id", "name")
+
+
+@R.add("bumped_artifacts", "SELECT p_partkey AS artifact_id, CASE WHEN p_size > 25 THEN 99 ELSE p_size END AS symbols_version FROM part")
+def bumped_artifacts(spark, d):
+    return C.put_symbols(*_artifacts(spark, d), 99)[1]
+
+
+def _generations(spark, d):
+    w = F.concat(F.lit("w"), (F.col("s_suppkey") % 5).cast("string")).alias("worktree_id")
+    g = table(spark, d, "supplier").select(w, F.col("s_suppkey").alias("generation"), F.when(F.col("s_suppkey") % 3 == 0, "active").otherwise("retired").alias("state"))
+    o = F.concat(F.lit("w"), (F.col("o_custkey") % 5).cast("string")).alias("worktree_id")
+    view = table(spark, d, "orders").select(o, F.col("o_orderkey").alias("artifact_id"))
+    return C.roll_generation(g, view, view.withColumnRenamed("artifact_id", "job_id"), "w2", 7)
+
+
+@R.add("roll_generation", "SELECT 'w' || s_suppkey % 5 AS worktree_id, s_suppkey AS generation, CASE WHEN s_suppkey = 7 THEN 'active' WHEN s_suppkey % 3 = 0 AND s_suppkey % 5 <> 2 THEN 'active' ELSE 'retired' END AS state FROM supplier")
+def roll_generation(spark, d):
+    return _generations(spark, d)[0]
+
+
+@R.add("rolled_view", "SELECT 'w' || o_custkey % 5 AS worktree_id, o_orderkey AS artifact_id FROM orders WHERE o_custkey % 5 <> 2")
+def rolled_view(spark, d):
+    return _generations(spark, d)[1]
+
+
+@R.add("register_rows", "SELECT n_nationkey AS repository_id, n_name AS root FROM nation UNION ALL SELECT s_suppkey, min(s_name) FROM supplier WHERE s_suppkey NOT IN (SELECT n_nationkey FROM nation) GROUP BY s_suppkey")
+def register_rows(spark, d):
+    known = table(spark, d, "nation").select(F.col("n_nationkey").alias("repository_id"), F.col("n_name").alias("root"))
+    return C.register(known, table(spark, d, "supplier").select(F.col("s_suppkey").alias("repository_id"), F.col("s_name").alias("root")), ["repository_id"])
+
+
+def _store(spark, d):
+    """Suppliers' artifacts in a view of orders, with jobs; parts bring new artifacts to some."""
+    p, o = table(spark, d, "part"), table(spark, d, "orders")
+    old = p.where("p_partkey <= 100")
+    art = lambda x: x.select(F.col("p_partkey").alias("artifact_id"), F.col("p_brand").alias("source_hash"))
+    links = lambda x: x.select(F.col("p_partkey").alias("artifact_id"), F.lit(0).alias("ordinal"), F.col("p_size").alias("chunk_id"))
+    names = lambda x: x.select(F.col("p_partkey").alias("artifact_id"), F.col("p_name").alias("name"))
+    view = old.select((F.col("p_partkey") % 4).alias("worktree_id"), F.col("p_name").alias("path"), F.col("p_partkey").alias("artifact_id"), F.lit(1).cast("long").alias("generation"))
+    view = C.latest_wins(view, ["worktree_id", "path"], [F.desc("artifact_id")])
+    jobs = o.where("o_orderkey <= 400").select((F.col("o_orderkey") % 4).alias("worktree_id"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("path"), F.lit(2).cast("long").alias("generation"), F.md5(F.col("o_orderkey").cast("string").cast("binary")).alias("desired_hash"))
+    store = C.Store(art(old), links(old), names(old), view, jobs)
+    new = p.where("p_partkey BETWEEN 80 AND 300")
+    commits = new.select((F.col("p_partkey") % 4).alias("worktree_id"), F.concat(F.lit("o"), F.col("p_partkey").cast("string")).alias("path"), F.col("p_partkey").alias("artifact_id"), F.when(F.col("p_partkey") % 5 == 0, 1).otherwise(2).cast("long").alias("generation"), F.md5(F.when(F.col("p_partkey") % 7 == 0, "x").otherwise(F.col("p_partkey").cast("string")).cast("binary")).alias("desired_hash"))
+    active = spark.createDataFrame([(w, 2) for w in range(3)], "worktree_id long, generation long")
+    return C.commit_artifacts(store, art(new), links(new), names(new), commits, active)
+
+
+@R.add("commit_artifacts", "SELECT p_partkey AS artifact_id, p_brand AS source_hash FROM part WHERE p_partkey <= 300")
+def commit_artifacts(spark, d):
+    return _store(spark, d).artifacts
+
+
+@R.add("committed_view", """WITH o AS (SELECT p_partkey % 4 AS worktree_id, p_name AS path, max(p_partkey) AS artifact_id, 1::BIGINT AS generation FROM part WHERE p_partkey <= 100 GROUP BY 1, 2)
+SELECT * FROM o UNION ALL SELECT p_partkey % 4, 'o' || p_partkey, p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 2 END FROM part WHERE p_partkey BETWEEN 80 AND 300 AND (p_partkey % 4 = 3 OR p_partkey % 5 <> 0)""")
+def committed_view(spark, d):
+    return _store(spark, d).view
+
+
+@R.add("committed_jobs", """SELECT o_orderkey % 4 AS worktree_id, 'o' || o_orderkey AS path, 2::BIGINT AS generation, md5(o_orderkey::VARCHAR) AS desired_hash FROM orders WHERE o_orderkey <= 400
+AND NOT (o_orderkey BETWEEN 80 AND 300 AND o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey IN (SELECT p_partkey FROM part))""")
+def committed_jobs(spark, d):
+    return _store(spark, d).jobs
+
+
+@R.add("prune_import", f"SELECT {DOC_PATH} AS path, sha256(text) AS source_hash, doc_id AS artifact_id FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 6 <> 0")
+def prune_import(spark, d):
+    """Artifacts of all documents, of which every fourth has changed since and every sixth is gone."""
+    x = table(spark, d, "documents").select(doc_path().alias("path"), F.sha2("text", 256).alias("source_hash"), F.col("doc_id").alias("artifact_id"), "doc_id")
+    now = x.where("doc_id % 6 <> 0").select("path", F.when(F.col("doc_id") % 4 == 0, "changed").otherwise(F.col("source_hash")).alias("hash"))
+    return C.prune_import(x.drop("doc_id"), now).select("path", "source_hash", "artifact_id")
+
+
+@R.add("verify_import", """WITH p AS (SELECT l_orderkey AS path, 'c' || l_partkey AS chunk_id FROM lineitem), c AS (SELECT 'c' || p_partkey AS chunk_id FROM part WHERE p_partkey % 10 <> 0)
+SELECT count(*) AS placements, count(*) FILTER (c.chunk_id IS NULL) AS dangling, count(DISTINCT c.chunk_id) AS unique_chunks, count(DISTINCT path) AS files, true AS agrees FROM p LEFT JOIN c USING (chunk_id)""")
+def verify_import(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), F.concat(F.lit("c"), F.col("l_partkey").cast("string")).alias("chunk_id"))
+    documents = li.groupBy("path").agg(F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids"))
+    chunks = table(spark, d, "part").where("p_partkey % 10 <> 0").select(F.concat(F.lit("c"), F.col("p_partkey").cast("string")).alias("id"))
+    links = li.join(chunks.withColumnRenamed("id", "chunk_id"), "chunk_id")
+    return C.verify_import(documents, chunks, documents.select(F.col("path").alias("artifact_id")), links.select(F.col("path").alias("artifact_id"), "chunk_id")).select("placements", "dangling", "unique_chunks", "files", "agrees")

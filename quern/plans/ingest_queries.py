@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.operators import catalog as C
 from quern.operators import chunking, embed, extract
-from quern.plans.base import DOC_PATH, Registry, doc_path
+from quern.plans.base import DOC_PATH, Registry, chunk_sql, doc_path
 from quern.session import table
 from quern.sources import tables
 from quern.streaming import events as E
@@ -18,19 +19,13 @@ def _files(spark, d):
     return table(spark, d, "documents").select(doc_path().alias("path"), F.col("text").alias("content"))
 
 
-@R.add("chunk_documents")
+@R.add("chunk_documents", f"""WITH RECURSIVE f AS (SELECT {DOC_PATH} AS path, text FROM documents), {chunk_sql("f")}
+SELECT path, path || '_' || ordinal AS id, ordinal::INT AS ordinal, (length(before) - length(replace(before, chr(10), '')) + 1)::INT AS start_line, (length(until) - length(replace(until, chr(10), '')) + 1)::INT AS end_line,
+ sha256(content) AS content_hash, substr(sha256(path || ':' || pos || ':' || stop || ':' || content), 1, 16) AS hash FROM piece""")
 def chunk_documents(spark, d):
     return chunking.chunk_files(_files(spark, d)).select("path", "id", "ordinal", "start_line", "end_line", "hash", "content_hash")
 
 
-@R.add("single_chunk_documents", f"""SELECT {DOC_PATH} AS path, {DOC_PATH} || '_0' AS id, 1 AS start_line, (length(text) - length(replace(text, chr(10), '')) + 1)::INT AS end_line, sha256(text) AS content_hash
-FROM documents WHERE octet_length(encode(text)) <= 200 AND NOT regexp_matches(text, '^\\s*$') AND text NOT LIKE '%' || chr(10)""")
-def single_chunk_documents(spark, d):
-    """Documents so short that they are one chunk, through the whole chunker."""
-    short = _files(spark, d).where((F.octet_length("content") <= 200) & ~F.endswith("content", F.lit("\n")))
-    return chunking.chunk_files(short).select("path", "id", "start_line", "end_line", "content_hash")
-
-
 @R.add("chunk_coverage", f"SELECT {DOC_PATH} AS path, octet_length(encode(text))::BIGINT AS bytes, true AS starts_with, true AS ends_with FROM documents WHERE NOT regexp_matches(text, '^\\s*$')")
 def chunk_coverage(spark, d):
     """That the first chunk begins and the last ends its document."""
@@ -39,23 +34,6 @@ def chunk_coverage(spark, d):
     return x.select("path", F.octet_length("content").cast("long").alias("bytes"), F.startswith("content", F.col("a")).alias("starts_with"), F.endswith(F.rtrim("content"), F.rtrim(F.col("z"))).alias("ends_with"))
 
 
-@R.add("chunk_ascii_documents", f"""WITH RECURSIVE d AS (SELECT {DOC_PATH} AS path, text, length(text) AS n FROM documents WHERE length(text) = octet_length(encode(text)) AND length(text) > 0),
-e0 AS (SELECT path, text, n, 0::BIGINT AS pos, 0::BIGINT AS k, least(2048, n) AS cut FROM d),
-r(path, text, n, pos, stop, blank, k) AS (
- SELECT path, text, n, pos, s, regexp_matches(substr(text, 1, s), '^\\s*$'), 0::BIGINT FROM (SELECT *, CASE WHEN cut < n AND strpos(substr(text, 1, cut), chr(10)) > 1 THEN cut - strpos(reverse(substr(text, 1, cut)), chr(10)) + 1 ELSE cut END AS s FROM e0)
- UNION ALL
- SELECT path, text, n, p, s, regexp_matches(substr(text, p + 1, s - p), '^\\s*$'), k FROM (
-  SELECT *, CASE WHEN cut < n AND length(w) - strpos(reverse(w), chr(10)) > 0 AND contains(w, chr(10)) THEN cut - strpos(reverse(w), chr(10)) + 1 ELSE cut END AS s FROM (
-   SELECT path, text, n, p, least(p + 2048, n) AS cut, substr(text, p + 1, least(p + 2048, n) - p) AS w, k FROM (
-    SELECT path, text, n, CASE WHEN blank OR stop - 200 <= pos THEN stop ELSE stop - 200 END AS p, k + (NOT blank)::BIGINT AS k FROM r) WHERE p < n)))
-SELECT path, k::INT AS ordinal, (length(substr(text, 1, pos)) - length(replace(substr(text, 1, pos), chr(10), '')) + 1)::INT AS start_line,
- (length(substr(text, 1, stop - 1)) - length(replace(substr(text, 1, stop - 1), chr(10), '')) + 1)::INT AS end_line, sha256(substr(text, pos + 1, stop - pos)) AS content_hash,
- substr(sha256(path || ':' || pos || ':' || stop || ':' || substr(text, pos + 1, stop - pos)), 1, 16) AS hash FROM r WHERE NOT blank""")
-def chunk_ascii_documents(spark, d):
-    plain = table(spark, d, "documents").where("length(text) = octet_length(text)").select(doc_path().alias("path"), F.col("text").alias("content"))
-    return chunking.chunk_files(plain).select("path", "ordinal", "start_line", "end_line", "content_hash", "hash")
-
-
 @R.add("token_batches", """WITH RECURSIVE x AS (SELECT source, doc_id AS file_index, ((octet_length(encode(text)) + 3) // 4)::BIGINT AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
 r(source, rn, batch, c, u) AS (SELECT source, rn, 0::BIGINT, 1::BIGINT, tokens FROM x WHERE rn = 1 UNION ALL
  SELECT x.source, x.rn, batch + f::BIGINT, CASE WHEN f THEN 1 ELSE c + 1 END, CASE WHEN f THEN x.tokens ELSE u + x.tokens END FROM (SELECT r.*, x.rn AS rn2, c >= 20 OR c > 0 AND u + x.tokens > 8000 AS f FROM r JOIN x ON x.source = r.source AND x.rn = r.rn + 1) q JOIN x ON x.source = q.source AND x.rn = q.rn2)
@@ -111,12 +89,30 @@ def extract_references(spark, d):
     return extract.extract_references(_code(spark, d)).select("file", "symbol_name", "line", "caller_name")
 
 
+@R.add("extract_symbols_precise", """SELECT 'f' || p_partkey || '.py' AS file, 'C' || p_partkey AS name, 'class' AS kind, 1 AS line, 3 AS end_line, '' AS receiver FROM part WHERE p_partkey % 2 = 1
+UNION ALL SELECT 'f' || p_partkey || '.py', 'run', 'method', 2, 3, 'C' || p_partkey FROM part WHERE p_partkey % 2 = 1 UNION ALL SELECT 'f' || p_partkey || '.py', 'top', 'function', 6, 8, '' FROM part WHERE p_partkey % 2 = 1
+UNION ALL SELECT 'f' || p_partkey || '.go', 'Fn' || p_partkey, 'function', 4, 10, '' FROM part WHERE p_partkey % 2 = 0""")
+def extract_symbols_precise(spark, d):
+    return extract.extract_symbols(_code(spark, d), precise=True).select("file", "name", "kind", "line", "end_line", "receiver")
+
+
 @R.add("extracted_edges", """SELECT 'Fn' || p_partkey AS caller, s AS callee, 'f' || p_partkey || '.go' AS file, l AS line FROM part, (VALUES ('other', 5), ('ok', 7)) v(s, l) WHERE p_partkey % 2 = 0
 UNION ALL SELECT 'Fn' || p_partkey, 'Run' || p_size, 'f' || p_partkey || '.go', 8 FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'run', 'helper', 'f' || p_partkey || '.py', 3 FROM part WHERE p_partkey % 2 = 1""")
 def extracted_edges(spark, d):
     return C.call_edges(extract.extract_references(_code(spark, d))).drop("call_type")
 
 
+@R.add("scattered_vectors", """WITH x AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents)
+SELECT source AS path, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY i) AS ids FROM x GROUP BY source""")
+def scattered_vectors(spark, d):
+    """Vectors that come back from batches, put in the order of their file's chunks."""
+    x = table(spark, d, "documents").select("source", "doc_id", F.col("doc_id").alias("file_index"), F.lit(0).alias("chunk_index"))
+    i = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
+    made = x.select(F.col("source").alias("path"), i.alias("chunk_index"), F.array(F.col("doc_id").cast("float")).alias("vector"))
+    y = chunking.scatter(made.repartition(5, "chunk_index"), "path")
+    return y.select("path", F.size("vectors").cast("long").alias("n"), F.array_join(F.transform("vectors", lambda v: v[0].cast("long").cast("string")), ",").alias("ids"))
+
+
 @R.add("encode_compact", """SELECT '{"doc_id":' || doc_id || ',"lang":"' || lang || '"}' AS json FROM documents""")
 def encode_compact(spark, d):
     return tables.encode_json(table(spark, d, "documents").select("doc_id", "lang", F.col("text").alias("content")), compact=True)

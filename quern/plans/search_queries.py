@@ -138,16 +138,16 @@ def v2_view_search(spark, d):
 
 
 @R.add("topk_overlap", """WITH s AS (SELECT a.label AS query, b.vec_id AS id, b.label, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c,
-  list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS p FROM (SELECT * FROM embeddings WHERE vec_id < 10) a JOIN embeddings b ON a.label = b.label),
+  list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS p FROM (SELECT * FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)) a JOIN embeddings b ON a.label = b.label),
 x AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(c, 9) DESC, id) AS rc, row_number() OVER (PARTITION BY query ORDER BY round(p, 9) DESC, id) AS rp FROM (SELECT query, id, max(c) AS c, max(p) AS p FROM s GROUP BY query, id))
 SELECT query, round(sum((rc <= 10 AND rp <= 10)::INT) / sum((rc <= 10 OR rp <= 10)::INT)::DOUBLE, 6) AS overlap FROM x GROUP BY query""")
 def topk_overlap(spark, d):
-    """Agreement of two rankings (cosine and dot product) of each label's vectors."""
+    """Agreement of two rankings (cosine and dot product) of each label's vectors by its first one."""
     from quern.functions.text import topk_overlap as overlap
 
     e = table(spark, d, "embeddings")
-    queries = e.where("vec_id < 10").select(F.col("label").alias("query"), F.col("embedding").alias("q"))
-    s = e.join(F.broadcast(queries), F.col("label") == F.col("query"))  # ten rows
+    queries = e.groupBy(F.col("label").alias("query")).agg(F.min_by("embedding", "vec_id").alias("q"))
+    s = e.join(queries, F.col("label") == F.col("query"))
     s = s.select("query", F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "q")
     s = s.select("query", "id", (dot(F.col("v"), F.col("q")) / (norm(F.col("v")) * norm(F.col("q")))).alias("c"), dot(F.col("v"), F.col("q")).alias("p")).groupBy("query", "id").agg(F.max("c").alias("c"), F.max("p").alias("p"))
     for name in ("c", "p"):

@@ -105,12 +105,12 @@ def pick_targets(spark, d):
 
 
 @R.add("innermost_function", """WITH f AS (SELECT p_brand AS file, 'f' || p_partkey AS name, p_size * 10 AS start_, p_size * 10 + p_partkey % 60 AS end_ FROM part),
-s AS (SELECT p_partkey AS site_id, p_brand AS file, (p_partkey * 7 % 600) AS pos FROM part WHERE p_partkey % 3 = 0)
+s AS (SELECT p_partkey AS site_id, p_brand AS file, (p_partkey * 7 % 600) AS pos FROM part)
 SELECT site_id, arg_max(name, (start_, name)) AS function FROM s LEFT JOIN f ON s.file = f.file AND start_ <= pos AND pos < end_ GROUP BY site_id""")
 def innermost_function(spark, d):
     p = table(spark, d, "part")
     f = p.select(F.col("p_brand").alias("file"), F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("name"), (F.col("p_size") * 10).alias("start"), (F.col("p_size") * 10 + F.col("p_partkey") % 60).alias("end"))
-    s = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("site_id"), F.col("p_brand").alias("file"), (F.col("p_partkey") * 7 % 600).alias("pos"))
+    s = p.select(F.col("p_partkey").alias("site_id"), F.col("p_brand").alias("file"), (F.col("p_partkey") * 7 % 600).alias("pos"))
     return T.innermost(s, f)
 
 

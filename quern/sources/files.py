@@ -32,10 +32,19 @@ def scan_metadata(spark: SparkSession, root: str, rules: list[tuple[str, str]] |
 
 
 def scan(spark: SparkSession, root: str, rules: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Indexable text files with content and its sha256."""
-    kept, _ = scan_metadata(spark, root, rules)
-    x = _binary(spark, root).select("path", F.col("content").alias("data"))
-    x = kept.join(x, "path").where(~P.is_binary(F.col("data")))
+    """Indexable text files with content and its sha256, in one scan: contents of files that the metadata rules out go no further."""
+    x = _binary(spark, root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.col("content").alias("data"))
+    p = F.col("path")
+    x = x.where(P.is_supported(p) & ~P.is_minified(p) & (F.col("size") <= P.MAX_BYTES) & ~P.is_binary(F.col("data")))
+    if rules:
+        x = x.where(~ignored(p, rules))
+    return x.select("path", "size", "mtime", F.sha2("data", 256).alias("hash"), F.col("data").cast("string").alias("content"))
+
+
+def scan_file(spark: SparkSession, root: str, path: str) -> DataFrame:
+    """One file by its path, whatever its extension and the ignore rules; none if it is minified, too large or binary."""
+    x = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{path}").select(F.lit(path).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.col("content").alias("data"))
+    x = x.where(~P.is_minified(F.col("path")) & (F.col("size") <= P.MAX_BYTES) & ~P.is_binary(F.col("data")))
     return x.select("path", "size", "mtime", F.sha2("data", 256).alias("hash"), F.col("data").cast("string").alias("content"))
 
 
