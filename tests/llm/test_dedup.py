@@ -129,7 +129,21 @@ def brute_lines(rows, min_tokens=line_dedup.MIN_TOKENS):
     texts = lambda some: {t for line in some for t, _ in held[line]}
     first = lambda some: min(i for line in some for _, i in held[line])
     needed = lambda line: max(2, min(line_dedup.MIN_TEXTS, -(-line_dedup.LONG // len(line.split()))))
-    keep = {line: first([line]) for line in held if len(texts([line])) >= needed(line)}
+    doc = {}
+    for i, t in rows:
+        doc[t] = min(doc.get(t, float("inf")), float("inf") if i is None else i)
+    few = {line: sorted(texts([line]), key=doc.get) for line in held if needed(line) <= len(texts([line])) < line_dedup.MIN_TEXTS}
+    leads = {}
+    for t in {t for some in few.values() for t in some}:
+        leads[t] = collections.Counter()
+        for x in split(t):
+            if len(x.split()) >= min_tokens:
+                leads[t][tuple(x.split()[: line_dedup.DEPTH])] += len(x.split())
+    often = collections.Counter(k for own in leads.values() for k in own)
+    both = lambda a, b: sum(min(n, leads[b][k]) for k, n in leads[a].items() if often[k] <= line_dedup.NEAR)
+    alike = lambda a, b: 2 * both(a, b) >= max(sum(leads[a].values()), sum(leads[b].values()))
+    less = {line: len({b for a, b in itertools.combinations(some, 2) if both(a, b) and alike(a, b)}) for line, some in few.items()}
+    keep = {line: first([line]) for line in held if len(texts([line])) - less.get(line, 0) >= needed(line)}
     leaves = collections.defaultdict(list)
     for line in held:
         if line not in keep:
@@ -195,11 +209,14 @@ def test_long_templates(spark, n):
 
 
 def test_passages_of_two_texts(spark):
-    """A passage of over 50 words is a template once two texts hold it; a short line isn't."""
+    """A passage of over 50 words is a template once two texts hold it that aren't near copies; a short line isn't."""
     passage = " ".join(f"{chr(97 + k % 26)}word" for k in range(51))
-    rows = [(i, f"{passage}\nown words of text {'abc'[i]}\na short line") for i in range(2)]
-    got = line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
-    assert got[0].text == rows[0][1] and got[1].text == "own words of text b\na short line"
+    own = [" ".join(f"{c}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(80)) for c in "xyz"]
+    rows = [(i, f"{passage}\n{own[i]}\na short line") for i in range(2)]
+    # near copies of one another: one long line is the same, the other has another word in each
+    rows += [(10 + i, f"{own[2]}\n{own[2][::-1]} {'abc'[i]}\nthe end of copy {'abc'[i]}") for i in range(2)]
+    got = {r.doc_id: r.text for r in line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(rows) | {1: f"{own[1]}\na short line"}
 
 
 def test_line_dedup_sql(duck, spark):
