@@ -209,35 +209,35 @@ def register_rows(spark, d):
 
 
 def _store(spark, d):
-    """Suppliers' artifacts in a view of orders, with jobs; parts bring new artifacts to some."""
+    """Artifacts of the smaller parts in a view, and a job for every order; the larger parts, some of them known, bring artifacts for some."""
     p, o = table(spark, d, "part"), table(spark, d, "orders")
-    old = p.where("p_partkey <= 100")
+    old = p.where("p_size <= 30")
     art = lambda x: x.select(F.col("p_partkey").alias("artifact_id"), F.col("p_brand").alias("source_hash"))
     links = lambda x: x.select(F.col("p_partkey").alias("artifact_id"), F.lit(0).alias("ordinal"), F.col("p_size").alias("chunk_id"))
     names = lambda x: x.select(F.col("p_partkey").alias("artifact_id"), F.col("p_name").alias("name"))
     view = old.select((F.col("p_partkey") % 4).alias("worktree_id"), F.col("p_name").alias("path"), F.col("p_partkey").alias("artifact_id"), F.lit(1).cast("long").alias("generation"))
     view = C.latest_wins(view, ["worktree_id", "path"], [F.desc("artifact_id")])
-    jobs = o.where("o_orderkey <= 400").select((F.col("o_orderkey") % 4).alias("worktree_id"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("path"), F.lit(2).cast("long").alias("generation"), F.md5(F.col("o_orderkey").cast("string").cast("binary")).alias("desired_hash"))
+    jobs = o.select((F.col("o_orderkey") % 4).alias("worktree_id"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("path"), F.lit(2).cast("long").alias("generation"), F.md5(F.col("o_orderkey").cast("string").cast("binary")).alias("desired_hash"))
     store = C.Store(art(old), links(old), names(old), view, jobs)
-    new = p.where("p_partkey BETWEEN 80 AND 300")
+    new = p.where("p_size >= 20")
     commits = new.select((F.col("p_partkey") % 4).alias("worktree_id"), F.concat(F.lit("o"), F.col("p_partkey").cast("string")).alias("path"), F.col("p_partkey").alias("artifact_id"), F.when(F.col("p_partkey") % 5 == 0, 1).otherwise(2).cast("long").alias("generation"), F.md5(F.when(F.col("p_partkey") % 7 == 0, "x").otherwise(F.col("p_partkey").cast("string")).cast("binary")).alias("desired_hash"))
     active = spark.createDataFrame([(w, 2) for w in range(3)], "worktree_id long, generation long")
     return C.commit_artifacts(store, art(new), links(new), names(new), commits, active)
 
 
-@R.add("commit_artifacts", "SELECT p_partkey AS artifact_id, p_brand AS source_hash FROM part WHERE p_partkey <= 300")
+@R.add("commit_artifacts", "SELECT p_partkey AS artifact_id, p_brand AS source_hash FROM part")
 def commit_artifacts(spark, d):
     return _store(spark, d).artifacts
 
 
-@R.add("committed_view", """WITH o AS (SELECT p_partkey % 4 AS worktree_id, p_name AS path, max(p_partkey) AS artifact_id, 1::BIGINT AS generation FROM part WHERE p_partkey <= 100 GROUP BY 1, 2)
-SELECT * FROM o UNION ALL SELECT p_partkey % 4, 'o' || p_partkey, p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 2 END FROM part WHERE p_partkey BETWEEN 80 AND 300 AND (p_partkey % 4 = 3 OR p_partkey % 5 <> 0)""")
+@R.add("committed_view", """WITH o AS (SELECT p_partkey % 4 AS worktree_id, p_name AS path, max(p_partkey) AS artifact_id, 1::BIGINT AS generation FROM part WHERE p_size <= 30 GROUP BY 1, 2)
+SELECT * FROM o UNION ALL SELECT p_partkey % 4, 'o' || p_partkey, p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 2 END FROM part WHERE p_size >= 20 AND (p_partkey % 4 = 3 OR p_partkey % 5 <> 0)""")
 def committed_view(spark, d):
     return _store(spark, d).view
 
 
-@R.add("committed_jobs", """SELECT o_orderkey % 4 AS worktree_id, 'o' || o_orderkey AS path, 2::BIGINT AS generation, md5(o_orderkey::VARCHAR) AS desired_hash FROM orders WHERE o_orderkey <= 400
-AND NOT (o_orderkey BETWEEN 80 AND 300 AND o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey IN (SELECT p_partkey FROM part))""")
+@R.add("committed_jobs", """SELECT o_orderkey % 4 AS worktree_id, 'o' || o_orderkey AS path, 2::BIGINT AS generation, md5(o_orderkey::VARCHAR) AS desired_hash FROM orders
+WHERE NOT (o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey IN (SELECT p_partkey FROM part WHERE p_size >= 20))""")
 def committed_jobs(spark, d):
     return _store(spark, d).jobs
 
