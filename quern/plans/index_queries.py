@@ -49,13 +49,13 @@ def incremental_documents(spark, d):
 
 
 def _view(spark, d):
-    view = table(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("path"), (F.col("o_custkey") % 500).alias("artifact_id")).where("artifact_id < 400")
-    artifacts = table(spark, d, "part").where("p_partkey < 500").select(F.col("p_partkey").alias("artifact_id"), F.md5(F.col("p_name").cast("binary")).alias("source_hash"), F.col("p_size").alias("symbols_version"))
+    view = table(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("path"), (F.col("o_custkey") % 500).alias("artifact_id"))
+    artifacts = table(spark, d, "part").select(F.col("p_partkey").alias("artifact_id"), F.md5(F.col("p_name").cast("binary")).alias("source_hash"), F.col("p_size").alias("symbols_version"))
     symbols = table(spark, d, "lineitem").select((F.col("l_suppkey") % 500).alias("artifact_id"), F.concat(F.lit("f"), (F.col("l_partkey") % 200).cast("string")).alias("name"), F.col("l_linenumber").alias("line"))
     return view, artifacts, symbols
 
 
-VIEW = """v AS (SELECT 'o' || o_orderkey AS path, o_custkey % 500 AS artifact_id FROM orders WHERE o_custkey % 500 < 400), a AS (SELECT p_partkey AS artifact_id, md5(p_name) AS source_hash, p_size AS symbols_version FROM part WHERE p_partkey < 500),
+VIEW = """v AS (SELECT 'o' || o_orderkey AS path, o_custkey % 500 AS artifact_id FROM orders), a AS (SELECT p_partkey AS artifact_id, md5(p_name) AS source_hash, p_size AS symbols_version FROM part),
 s AS (SELECT l_suppkey % 500 AS artifact_id, 'f' || (l_partkey % 200) AS name, l_linenumber AS line FROM lineitem)"""
 
 
