@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import license_scan, line_dedup, mixing, near_dup, packing, pii, quality, spotsigs, toxicity, warc
+from quern.llm import license_scan, line_dedup, merkle, mixing, near_dup, packing, pii, quality, spotsigs, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,16 @@ def queries() -> dict:
         "op8_spotsigs_fingerprints": spotsigs.op8,
         "op9_mixing": mixing.op9,
         "op10_license_scan": license_scan.op10,
+        "op11_merkle_manifest": merkle.op11,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_near_dedup": near_dup.OP3_SQL, "op5_warc_writer": warc.OP5_SQL, "op6_quality_rules": quality.OP6_SQL, "op7_line_dedup": line_dedup.OP7_SQL, "op10_license_scan": license_scan.OP10_SQL}
+    return {
+        "op3_minhash_near_dedup": near_dup.OP3_SQL,
+        "op5_warc_writer": warc.OP5_SQL,
+        "op6_quality_rules": quality.OP6_SQL,
+        "op7_line_dedup": line_dedup.OP7_SQL,
+        "op10_license_scan": license_scan.OP10_SQL,
+        "op11_merkle_manifest": merkle.OP11_SQL,
+    }
