@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import license_scan, line_dedup, merkle, mixing, near_dup, packing, pii, quality, spotsigs, toxicity, warc
+from quern.llm import license_scan, line_dedup, merkle, mixing, near_dup, packing, pii, quality, spotsigs, toxicity, warc, whitening
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_mixing": mixing.op9,
         "op10_license_scan": license_scan.op10,
         "op11_merkle_manifest": merkle.op11,
+        "op13_whitening": whitening.op13,
     }
 
 
