@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import license_scan, line_dedup, merkle, mixing, near_dup, packing, pii, quality, spotsigs, toxicity, warc, whitening
+from quern.llm import license_scan, line_dedup, merkle, mixing, near_dup, packing, pii, quality, spotsigs, substring, toxicity, warc, whitening
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_mixing": mixing.op9,
         "op10_license_scan": license_scan.op10,
         "op11_merkle_manifest": merkle.op11,
+        "op12_substring_dedup": substring.op12,
         "op13_whitening": whitening.op13,
     }
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_line_dedup": line_dedup.OP7_SQL,
         "op10_license_scan": license_scan.OP10_SQL,
         "op11_merkle_manifest": merkle.OP11_SQL,
+        "op12_substring_dedup": substring.OP12_SQL,
     }
