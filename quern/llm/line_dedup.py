@@ -1,15 +1,14 @@
 """Line dedup by a log-template tree, on DataFrame functions only.
 
-A line's variable fields (numbers, hexadecimal runs, addresses) become marks. Masked lines that enough different texts
-share are templates of their own: ``MIN_TEXTS``, or fewer the longer the line, down to two from ``LONG`` / 2 tokens on. Of
-fewer than ``MIN_TEXTS`` texts those whose lines begin alike, for half of the larger one's tokens, are near copies and
-count as one: what only copies share is theirs, and near-dedup's to judge. The others go down a tree of fixed depth: first the token count, then the leading ``DEPTH`` tokens. A leaf holds any number of
-templates: a token that ``MIN_TEXTS`` of the leaf's texts have at its position is fixed, the others are variable fields, and
-lines with the same fixed tokens, at least ``SIMILAR`` of all, are of one template. Fields that take a few frequent
-values are generalised by asking for 4, 16, ... times as many texts; a line belongs to the strictest template that
-``MIN_TEXTS`` texts share. Exact copies of a text count once, so a copied document doesn't make its own lines templates,
-and a text has one vote for each token. Of a template the lines of the document with the smallest doc_id stay, and all
-others are dropped. Lines of fewer than ``min_tokens`` tokens are left alone; with 1 all lines are judged.
+A line's variable fields (numbers, hexadecimal runs, addresses) become marks. A template recurs when enough different
+texts have it: ``MIN_TEXTS``, or fewer the longer the line, down to two from ``LONG`` / 2 tokens on. Masked lines that recur
+are templates of their own. The others go down a tree of fixed depth: first the token count, then the leading ``DEPTH``
+tokens. A leaf holds any number of templates: a token that enough of the leaf's texts have at its position is fixed, the
+others are variable fields, and lines with the same fixed tokens, at least ``SIMILAR`` of all, are of one template. Fields
+that take a few frequent values are generalised by asking for 4, 16, ... times as many texts; a line belongs to the
+strictest template that enough texts share. Exact copies of a text count once, so a copied document doesn't make its own
+lines templates, and a text has one vote for each token. Of a template the lines of the document with the smallest doc_id
+stay, and all others are dropped. Lines of fewer than ``min_tokens`` tokens are left alone; with 1 all lines are judged.
 
 Lines and templates are told apart by two hashes of 64 bits with different seeds. Only these are shuffled; tokens are
 looked at only in leaves that enough texts share. Counts are partial sums; joins on lines, tokens and templates go through
@@ -30,8 +29,6 @@ from pyspark.sql import functions as F
 from quern.llm.common import HOT, HOT_KEYS, documents, materialize, split_join
 
 DEPTH, MIN_TEXTS, LONG, MIN_TOKENS, SIMILAR = 4, 5, 100, 3, 0.8
-#: Beginnings of lines that more texts share tell nothing about near copies.
-NEAR = 8
 LAST = 2**63 - 1
 #: Lines of 16 bytes each that are sent to every executor; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -77,7 +74,7 @@ def lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     x = x.select("doc", "copy", "at", "variable", line.alias("line"))
     x = x.select("doc", "copy", "at", F.when(F.col("variable") & _variable(F.col("line")), _masked(F.col("line"))).otherwise(F.col("line")).alias("line"))
     n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    return x.select("doc", "copy", "at", "line", n.alias("tokens"), F.xxhash64(n, F.substring_index("line", " ", DEPTH)).alias("leaf"), F.xxhash64(F.substring_index("line", " ", DEPTH)).alias("lead"), *_hashes(F.col("line")))
+    return x.select("doc", "copy", "at", "line", n.alias("tokens"), F.xxhash64(n, F.substring_index("line", " ", DEPTH)).alias("leaf"), *_hashes(F.col("line")))
 
 
 def _hashes(c: Column) -> list[Column]:
@@ -90,40 +87,23 @@ def _texts_of(rows: DataFrame, *key: str) -> DataFrame:
     return once.groupBy(*key).agg(F.count("*").alias("texts"), F.min("doc").alias("first"), F.sum("n").alias("n"))
 
 
-def _near_copies(slim: DataFrame, exact: DataFrame, needed: Column) -> DataFrame:
-    """key, check, less: of lines that enough texts share, but fewer than MIN_TEXTS, how many of these are near copies of one before."""
-    asked = exact.where((F.col("texts") >= needed) & (F.col("texts") < MIN_TEXTS)).select("key", "check", "n")
-    held = split_join(slim.select("doc", "copy", "key", "check"), asked, "key", "check").groupBy("key", "check", "copy").agg(F.min("doc").alias("doc"))
-    held = materialize(held, "held")
-    copies = held.select("copy").distinct()
-    rows = slim.select("copy", "at", "lead", "tokens")
-    rows = rows.join(F.broadcast(copies), "copy", "left_semi").distinct() if held.count() <= BROADCAST_ROWS else rows.distinct().join(copies, "copy", "left_semi")
-    leads = rows.groupBy("copy", "lead").agg(F.sum("tokens").alias("t"))
-    leads = materialize(leads.join(leads.groupBy("copy").agg(F.sum("t").alias("size")), "copy"), "leads")
-    few = leads.groupBy("lead").agg(F.count("*").alias("texts")).where(F.col("texts").between(2, NEAR)).select("lead")
-    leads = leads.join(few, "lead")
-    a, b = (leads.select("lead", *(F.col(c).alias(f"{c}_{k}") for c in ("copy", "t", "size"))) for k in "ab")
-    pairs = a.join(b, "lead").where("copy_a < copy_b")  # at most NEAR texts a lead
-    alike = pairs.groupBy("copy_a", "copy_b", "size_a", "size_b").agg(F.sum(F.least("t_a", "t_b")).alias("both")).where(2 * F.col("both") >= F.greatest("size_a", "size_b")).select("copy_a", "copy_b")
-    a, b = (held.select("key", "check", F.col("copy").alias(f"_{k}"), F.col("doc").alias(f"doc_{k}")) for k in "ab")
-    together = a.join(b, ["key", "check"]).where("doc_a < doc_b OR doc_a = doc_b AND _a < _b")  # fewer than MIN_TEXTS texts a line
-    together = together.withColumns({"copy_a": F.least("_a", "_b"), "copy_b": F.greatest("_a", "_b")})
-    return together.join(alike, ["copy_a", "copy_b"]).groupBy("key", "check").agg(F.countDistinct("_b").alias("less"))
+def _needed(tokens: Column) -> Column:
+    """How many texts make a template of a line of so many tokens."""
+    return F.greatest(F.lit(2), F.least(F.lit(MIN_TEXTS), F.ceil(LONG / tokens)))
 
 
 def recurring(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """doc, copy, at and first of every line of a recurring template."""
     found = lines(docs, min_tokens)
-    slim = materialize(found.select("doc", "copy", "at", "tokens", "leaf", "lead", "key", "check"), "lines")
-    needed = F.greatest(F.lit(2), F.least(F.lit(MIN_TEXTS), F.ceil(LONG / F.col("tokens"))))
+    slim = materialize(found.select("doc", "copy", "at", "tokens", "leaf", "key", "check"), "lines")
+    needed = _needed(F.col("tokens"))
     exact = materialize(_texts_of(slim, "key", "check", "leaf", "tokens"), "different")
-    exact = exact.join(_near_copies(slim, exact, needed), ["key", "check"], "left").withColumn("own", F.col("texts") - F.coalesce("less", F.lit(0)))
-    known = exact.where(F.col("own") >= needed).select("key", "check", "first", "n")
+    known = exact.where(F.col("texts") >= needed).select("key", "check", "first", "n")
     by_exact = split_join(slim.select("doc", "copy", "at", "key", "check"), known, "key", "check").select("doc", "copy", "at", "first")
 
     # lines of leaves in which enough texts may be left
-    rest = exact.where(F.col("own") < needed)
-    leaves = rest.groupBy("leaf").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= MIN_TEXTS).select("leaf")
+    rest = exact.where(F.col("texts") < needed)
+    leaves = rest.groupBy("leaf", "tokens").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= needed).select("leaf")
     wanted = materialize(rest.join(leaves, "leaf", "left_semi").select("key", "check", "n"), "wanted")
     n = wanted.count()
     if not n:
@@ -140,20 +120,21 @@ def _by_shape(words: DataFrame) -> DataFrame:
     """doc, copy, at and first of the lines of templates with variable fields."""
     every = words.select("leaf", "key", "check", "tokens", "copy", F.posexplode(F.split("line", " ")).alias("pos", "token"))
     # a text has one vote for each token of a position; n is the number of different lines that have it
-    votes = every.groupBy("leaf", "pos", "token", "copy").agg(F.lit(1).alias("one")).groupBy("leaf", "pos", "token").agg(F.count("*").alias("texts"))
+    needed = _needed(F.col("tokens"))  # a leaf's lines have equally many tokens
+    votes = every.groupBy("leaf", "tokens", "pos", "token", "copy").agg(F.lit(1).alias("one")).groupBy("leaf", "tokens", "pos", "token").agg(F.count("*").alias("texts"))
     different = materialize(every.drop("copy").distinct(), "tokens")
     rows = different.groupBy("leaf", "pos", "token").agg(F.count("*").alias("n"))
-    fixed = votes.where(F.col("texts") >= MIN_TEXTS).join(rows, ["leaf", "pos", "token"])
-    levels = F.expr(f"filter(sequence(0, 30), k -> texts >= shiftleft({MIN_TEXTS}L, 2 * k))")
+    fixed = votes.where(F.col("texts") >= needed).withColumn("needed", needed).drop("tokens").join(rows, ["leaf", "pos", "token"])
+    levels = F.expr("filter(sequence(0, 30), k -> texts >= shiftleft(needed, 2 * k))")
     held = split_join(different, fixed, "leaf", "pos", "token").select("leaf", "key", "check", "tokens", "pos", "token", F.explode(levels).alias("level"))
     shape = held.groupBy("leaf", "key", "check", "tokens", "level").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("shape")).where(F.size("shape") >= F.col("tokens") * SIMILAR)
     named = [h.alias(f"shape_{i}") for i, h in enumerate(_hashes(F.struct("leaf", "tokens", "level", "shape")))]
-    shape = shape.select("key", "check", "level", *named)
-    per_line = words.groupBy("key", "check").agg(F.count("*").alias("n")).join(shape.groupBy("key", "check").agg(F.collect_list(F.struct("level", "shape_0", "shape_1")).alias("shapes")), ["key", "check"])
+    shape = shape.select("key", "check", "level", "tokens", *named)
+    per_line = words.groupBy("key", "check").agg(F.count("*").alias("n")).join(shape.groupBy("key", "check").agg(F.collect_list(F.struct("level", "tokens", "shape_0", "shape_1")).alias("shapes")), ["key", "check"])
     rows = split_join(words.select("doc", "copy", "at", "key", "check"), per_line, "key", "check").drop("n")
     rows = materialize(rows.select("doc", "copy", "at", "key", "check", F.inline("shapes")), "shaped")
-    general = _texts_of(rows, "shape_0", "shape_1").where(F.col("texts") >= MIN_TEXTS).select("shape_0", "shape_1", "first", "n")
-    own = split_join(rows, general, "shape_0", "shape_1")
+    general = _texts_of(rows, "shape_0", "shape_1", "tokens").where(F.col("texts") >= needed).select("shape_0", "shape_1", "first", "n")
+    own = split_join(rows.drop("tokens"), general, "shape_0", "shape_1")
     return own.groupBy("doc", "copy", "at").agg(F.min_by("first", "level").alias("first"))
 
 
@@ -200,23 +181,16 @@ w AS (SELECT doc, text, ln, trim(regexp_replace(raw, '[\x09-\x0D\x20]+', ' ', 'g
 k AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(own, '[^ ]+@[^ ]+|https?://[^ ]+|www\.[^ ]+', '<ln>', 'g'), '[0-9a-fA-F]{{12,}}', '<hex>', 'g'), '[0-9]+', '<n>', 'g') AS mask FROM w),
 v AS (SELECT doc, text, ln, CASE WHEN regexp_matches(own, '[0-9@]|www\.|://') AND 2 * len(list_filter(string_split(mask, ' '), lambda z: NOT regexp_matches(z, '<(n|hex|ln)>'))) >= len(string_split(mask, ' ')) THEN mask ELSE own END AS line FROM k),
 s AS (SELECT *, string_split(line, ' ') AS ws, len(string_split(line, ' ')) AS n, len(string_split(line, ' ')) || ' ' || array_to_string(list_slice(string_split(line, ' '), 1, {DEPTH}), ' ') AS leaf FROM v),
-every AS (SELECT line, any_value(n) AS n, min(doc) AS first_doc, count(DISTINCT text) AS c FROM s GROUP BY line),
-own AS (SELECT s.line, s.text, min(s.doc) AS doc FROM s JOIN every USING (line) WHERE c < {MIN_TEXTS} AND c >= greatest(2, ceil({LONG} / every.n)) GROUP BY ALL),
-leads AS (SELECT text, lead, sum(n) AS t FROM (SELECT DISTINCT text, ln, n, array_to_string(list_slice(ws, 1, {DEPTH}), ' ') AS lead FROM s WHERE text IN (SELECT text FROM own)) GROUP BY text, lead),
-sizes AS (SELECT text, sum(t) AS size FROM leads GROUP BY text),
-seldom AS (SELECT lead FROM leads GROUP BY lead HAVING count(*) BETWEEN 2 AND {NEAR}),
-alike AS (SELECT a.text AS ta, b.text AS tb FROM leads a JOIN leads b ON a.lead = b.lead AND a.text < b.text JOIN seldom ON seldom.lead = a.lead JOIN sizes x ON x.text = a.text JOIN sizes y ON y.text = b.text
- GROUP BY a.text, b.text, x.size, y.size HAVING 2 * sum(least(a.t, b.t)) >= greatest(x.size, y.size)),
-near AS (SELECT a.line, count(DISTINCT b.text) AS less FROM own a JOIN own b ON a.line = b.line AND a.doc < b.doc JOIN alike ON ta = least(a.text, b.text) AND tb = greatest(a.text, b.text) GROUP BY a.line),
-x AS (SELECT every.line, first_doc FROM every LEFT JOIN near USING (line) WHERE c - coalesce(less, 0) >= greatest(2, least({MIN_TEXTS}, ceil({LONG} / n)))),
-rest AS (SELECT * FROM s WHERE line NOT IN (SELECT line FROM x)),
-big AS (SELECT leaf FROM rest GROUP BY leaf HAVING count(DISTINCT text) >= {MIN_TEXTS}),
+s2 AS (SELECT *, greatest(2, least({MIN_TEXTS}, ceil({LONG} / n)))::BIGINT AS needed FROM s),
+x AS (SELECT line, min(doc) AS first_doc FROM s2 GROUP BY line, needed HAVING count(DISTINCT text) >= needed),
+rest AS (SELECT * FROM s2 WHERE line NOT IN (SELECT line FROM x)),
+big AS (SELECT leaf FROM rest GROUP BY leaf, needed HAVING count(DISTINCT text) >= needed),
 r AS (SELECT rest.* FROM rest JOIN big USING (leaf)),
-tok AS (SELECT leaf, line, text, unnest(ws) AS token, unnest(generate_series(1, n)) AS pos FROM r),
-often AS (SELECT leaf, pos, token, count(DISTINCT text) AS c FROM tok GROUP BY ALL HAVING count(DISTINCT text) >= {MIN_TEXTS}),
-held AS (SELECT DISTINCT leaf, line, pos, token, k FROM tok JOIN often USING (leaf, pos, token), generate_series(0, 10) AS g(k) WHERE c >= {MIN_TEXTS} * 4 ** k),
+tok AS (SELECT leaf, needed, line, text, unnest(ws) AS token, unnest(generate_series(1, n)) AS pos FROM r),
+often AS (SELECT leaf, pos, token, count(DISTINCT text) AS c FROM tok GROUP BY leaf, needed, pos, token HAVING count(DISTINCT text) >= needed),
+held AS (SELECT DISTINCT leaf, line, pos, token, k FROM tok JOIN often USING (leaf, pos, token), generate_series(0, 10) AS g(k) WHERE c >= needed * 4 ** k),
 shape AS (SELECT line, k, leaf || chr(10) || string_agg(pos || ' ' || token, chr(10) ORDER BY pos) AS shape FROM held GROUP BY leaf, line, k HAVING count(*) >= len(string_split(line, ' ')) * {SIMILAR}),
-g AS (SELECT k, shape, min(doc) AS first_doc FROM r JOIN shape USING (line) GROUP BY ALL HAVING count(DISTINCT text) >= {MIN_TEXTS}),
+g AS (SELECT k, shape, min(doc) AS first_doc FROM r JOIN shape USING (line) GROUP BY k, shape, needed HAVING count(DISTINCT text) >= needed),
 pick AS (SELECT line, arg_min(first_doc, k) AS first_doc FROM shape JOIN g USING (k, shape) GROUP BY line),
 gone AS (SELECT doc, text, ln FROM s JOIN x USING (line) WHERE doc <> first_doc UNION SELECT doc, text, ln FROM r JOIN pick USING (line) WHERE doc <> first_doc),
 a AS (SELECT doc, text, list(ln) AS ats FROM gone GROUP BY doc, text)

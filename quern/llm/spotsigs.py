@@ -2,10 +2,9 @@
 
 A spot signature is an anchor (a common word) with the next two content words after it, where a content word is any
 that is no anchor. A text's signatures are the set of their hashes; a text without any takes runs of three words, or
-its whole word sequence. The fingerprint states the set's size and its smallest hashes, all of them when there are no
-more than ``KEEP``, so equal texts have equal fingerprints and its length is bounded. The similarities of a document to
-its edited text and to the next document are those of the full sets. ``likeness`` of two fingerprints is for stored ones:
-exact for small sets and else estimated from the smallest hashes of the union.
+its whole word sequence. The fingerprint is the whole set: its hashes of 32 bits in order, in base 64, so equal texts have
+equal fingerprints. ``likeness`` of two fingerprints is the Jaccard similarity of their sets; the similarities of a document
+to its edited text and to the next document are just that.
 
 ``matches`` joins the documents' full sets: they are partitioned by set length into ranges so that no pair of
 similarity ``tau`` is further apart than neighbouring ranges, candidates share one of the rare leading signatures that
@@ -21,6 +20,7 @@ an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections.abc import Iterator
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import SAMPLE, WordHash, arrow_map, borders, documents, materialize, mix64, part_of, texts
 
-KEEP, CHAIN = 64, 2
+CHAIN = 2
 #: Common words of four languages.
 ANCHORS = """
 a an the and or of to in on at by for from with is are was were be been this that it as
@@ -66,27 +66,18 @@ def signatures(text: str, hashes: WordHash) -> np.ndarray:
     return np.unique(sig)
 
 
-def fingerprint(s: np.ndarray) -> str:
-    return f"{len(s):x}:" + s[:KEEP].astype(">u8").view(">u4")[::2].tobytes().hex()
+def spots(s: np.ndarray) -> np.ndarray:
+    """The set that a fingerprint holds: the upper halves of the hashes, sorted and distinct."""
+    return np.unique((s >> np.uint64(32)).astype(np.uint32))
 
 
-def _parse(f: str) -> tuple[int, set[str]]:
-    n, _, kept = f.partition(":")
-    return int(n, 16), {kept[i : i + 8] for i in range(0, len(kept), 8)}
+def fingerprint(spots: np.ndarray) -> str:
+    return base64.b64encode(spots.astype(">u4").tobytes()).decode()
 
 
 def likeness(a: str, b: str) -> float:
-    """Jaccard similarity of the sets behind two fingerprints, 0 to 1."""
-    if a == b:
-        return 1.0
-    (m, s), (n, t) = _parse(a), _parse(b)
-    if not m or not n:
-        return 0.0
-    union = sorted(s | t)
-    if m > KEEP or n > KEEP:
-        union = union[:KEEP]
-    both = s & t
-    return min(sum(x in both for x in union) / len(union), min(m, n) / max(m, n))
+    """Jaccard similarity of the sets of two fingerprints, 0 to 1."""
+    return jaccard(*(np.frombuffer(base64.b64decode(f), dtype=">u4") for f in (a, b)))
 
 
 def jaccard(s: np.ndarray, t: np.ndarray) -> float:
@@ -132,13 +123,13 @@ def fingerprints(docs: DataFrame, shards: int | None = None) -> DataFrame:
                 part = batch.slice(start, 1000)
                 out: list[list] = [[] for _ in names]
                 for shard, doc, text, carry in zip(*(part.column(c).to_pylist() for c in ("shard", "doc_id", "text", "carry")), strict=True):
-                    s = signatures(text, hashes)
+                    s = spots(signatures(text, hashes))
                     f = fingerprint(s)
                     if before is not None and before[0] == shard:
                         _, own_doc, own, own_s, own_f = before
                         m = len(own) // 3
                         edited = own[: len(own) - m] + text[:m] if m else own
-                        e = own_s if edited == own else signatures(edited, hashes)
+                        e = own_s if edited == own else spots(signatures(edited, hashes))
                         g = fingerprint(e)
                         sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
                         for c, v in zip(out, (own_doc, len(own), sha, own_f, g, jaccard(own_s, e), jaccard(own_s, s)), strict=True):
