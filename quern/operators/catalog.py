@@ -69,9 +69,36 @@ def switch_view(view: DataFrame, commits: DataFrame, active: DataFrame) -> DataF
     return latest_wins(both, ["worktree_id", "path"], [F.desc("generation"), F.desc("_new"), F.desc("artifact_id")]).drop("_new")
 
 
-def commit_deletes(view: DataFrame, intents: DataFrame) -> DataFrame:
-    """Rows go whose exact intent (worktree, path, generation) still holds."""
-    return view.join(intents.select("worktree_id", "path", "generation").distinct(), ["worktree_id", "path", "generation"], "left_anti")
+def active_of(worktrees: DataFrame, generations: DataFrame) -> DataFrame:
+    """worktree_id, generation: the active one of each worktree's repository, where there is one."""
+    return worktrees.join(generations.where("state = 'active'"), "repository_id").select("worktree_id", "generation")
+
+
+def _fulfilled(jobs: DataFrame, done: DataFrame) -> DataFrame:
+    """jobs with ``fulfilled_at``: the newest generation, not below their own, in which done (worktree_id, path, desired_hash, generation) has their desired hash."""
+    keys = ["worktree_id", "path", "desired_hash"]
+    newest = done.groupBy(*keys).agg(F.max("generation").alias("fulfilled_at"))
+    x = jobs.join(newest, keys, "left")
+    return x.withColumn("fulfilled_at", F.when(F.col("fulfilled_at") >= F.col("generation"), F.col("fulfilled_at")))
+
+
+def complete_jobs(jobs: DataFrame, done: DataFrame) -> DataFrame:
+    """Jobs of the same desired hash and of the same or an older generation go; newer intents, and those of another hash, stay."""
+    return _fulfilled(jobs, done).where("fulfilled_at IS NULL").select(jobs.columns)
+
+
+def commit_deletes(view: DataFrame, jobs: DataFrame, deletes: DataFrame, active: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """View and jobs after deletes (worktree_id, path, generation, desired_hash).
+
+    A delete completes its jobs. One that has none was superseded and leaves the view to the job that is there; so does one of
+    a generation that isn't the active one. Otherwise the path's rows of its generation or an older one go.
+    """
+    of_active = deletes.join(active.select("worktree_id", F.col("generation").alias("active")), "worktree_id", "left").where("active IS NULL OR generation = active")
+    keys = ["worktree_id", "path", "desired_hash"]
+    oldest = jobs.groupBy(*keys).agg(F.min("generation").alias("job"))
+    held = of_active.join(oldest, keys).where("job <= generation").groupBy("worktree_id", "path").agg(F.max("generation").alias("upto"))
+    kept = view.join(held, ["worktree_id", "path"], "left").where("upto IS NULL OR generation > upto")
+    return kept.select(view.columns), complete_jobs(jobs, deletes)
 
 
 def upsert_jobs(jobs: DataFrame, new: DataFrame) -> DataFrame:
@@ -152,6 +179,7 @@ class Store:
     artifacts: DataFrame
     artifact_chunks: DataFrame
     symbols: DataFrame
+    symbol_edges: DataFrame
     view: DataFrame
     jobs: DataFrame
 
@@ -159,27 +187,46 @@ class Store:
         return dict(self.__dict__)
 
 
-def commit_artifacts(store: Store, artifacts: DataFrame, artifact_chunks: DataFrame, symbols: DataFrame, commits: DataFrame, active: DataFrame) -> Store:
-    """New artifacts with chunks and symbols, the view switched to those of the active generation, their jobs gone.
+def _added(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """New rows of keys that aren't there; of several with one key the smallest."""
+    rest = [c for c in old.columns if c not in keys]
+    once = new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, *(F.col("_r")[c].alias(c) for c in rest))
+    return old.unionByName(once.join(old.select(*keys), keys, "left_anti"))
+
 
-    commits: worktree_id, path, artifact_id, generation, desired_hash. Artifacts that exist stay as they are. A job goes
-    if its generation and desired hash are those of the commit.
+def commit_artifacts(store: Store, artifacts: DataFrame, artifact_chunks: DataFrame, symbols: DataFrame, symbol_edges: DataFrame, extracted: DataFrame, commits: DataFrame, active: DataFrame, version: int) -> Store:
+    """Artifacts with chunks and symbols, the view switched to those of the active generation, their jobs completed.
+
+    commits: worktree_id, path, artifact_id, generation, desired_hash. Artifacts, and chunks of an ordinal, that exist stay as
+    they are. Symbols and their edges are replaced for the ``extracted`` (artifact_id) ones, known or new, which get the
+    version; of others nothing is written, and a later extraction makes up for it. An artifact is stored whatever the commit's
+    generation; the view follows only the active one and never goes back.
+    """
+    done = extracted.select("artifact_id").distinct()
+    replaced = lambda old, new: old.join(done, "artifact_id", "left_anti").unionByName(new.join(done, "artifact_id", "left_semi").distinct()).select(old.columns)
+    known = _added(store.artifacts, artifacts.withColumn("symbols_version", F.lit(0)), ["artifact_id"]).join(done.withColumn("_new", F.lit(version)), "artifact_id", "left")
+    known = known.withColumn("symbols_version", F.coalesce("_new", "symbols_version")).select(store.artifacts.columns)
+    return Store(
+        known,
+        _added(store.artifact_chunks, artifact_chunks, ["artifact_id", "ordinal"]),
+        replaced(store.symbols, symbols),
+        replaced(store.symbol_edges, symbol_edges),
+        switch_view(store.view, commits.select(store.view.columns), active),
+        complete_jobs(store.jobs, commits),
+    )
+
+
+def roll_generation(generations: DataFrame, view: DataFrame, jobs: DataFrame, worktree: str, repository: str, generation: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The repository's active generation is retired and another one becomes active; view and jobs of the worktree are cleared.
+
+    generations: repository_id, generation, state. A generation that the repository doesn't have is an error, and nothing changes.
     """
-    fresh = artifacts.join(store.artifacts.select("artifact_id"), "artifact_id", "left_anti")
-    only = lambda x: x.join(fresh.select("artifact_id"), "artifact_id", "left_semi")
-    view = switch_view(store.view, commits.select(store.view.columns), active)
-    jobs = store.jobs.join(commits.select("worktree_id", "path", "generation", "desired_hash").distinct(), ["worktree_id", "path", "generation", "desired_hash"], "left_anti")
-    return Store(store.artifacts.unionByName(fresh), store.artifact_chunks.unionByName(only(artifact_chunks)), store.symbols.unionByName(only(symbols)), view, jobs.select(store.jobs.columns))
-
-
-def roll_generation(generations: DataFrame, view: DataFrame, jobs: DataFrame, worktree: str, generation: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A worktree's active generation is retired and the new one active; its view and jobs are cleared."""
-    own = F.col("worktree_id") == worktree
-    state = F.when(own & (F.col("generation") == generation), "active").when(own & (F.col("state") == "active"), "retired").otherwise(F.col("state"))
-    out = generations.withColumn("state", state)
-    new = generations.sparkSession.createDataFrame([(worktree, generation, "active")], "worktree_id string, generation long, state string")
-    out = out.unionByName(new.join(generations, ["worktree_id", "generation"], "left_anti").select(out.columns))
-    return out, view.where(~own), jobs.where(~own)
+    mine = F.col("repository_id") == repository
+    if generations.where(mine & (F.col("generation") == generation)).isEmpty():
+        raise ValueError(f"repository {repository} has no generation {generation}")
+    state = F.when(mine & (F.col("generation") == generation), "active").when(mine & (F.col("state") == "active"), "retired").otherwise(F.col("state"))
+    other = F.col("worktree_id") != worktree
+    return generations.withColumn("state", state), view.where(other), jobs.where(other)
 
 
 def register(known: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

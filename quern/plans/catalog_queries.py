@@ -182,13 +182,6 @@ def view_switch(spark, d):
     return C.switch_view(view, commits, active)
 
 
-@R.add("commit_delete", "SELECT l_orderkey AS worktree_id, l_linenumber AS path, l_suppkey AS generation FROM lineitem WHERE NOT (l_suppkey % 2 = 0 AND l_orderkey % 3 = 0)")
-def commit_delete(spark, d):
-    v = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("worktree_id"), F.col("l_linenumber").alias("path"), F.col("l_suppkey").alias("generation"))
-    intents = v.where("worktree_id % 3 = 0").withColumn("generation", F.when(F.col("generation") % 2 == 0, F.col("generation")).otherwise(-F.col("generation")))
-    return C.commit_deletes(v, intents)
-
-
 def _jobs(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), (F.col("o_custkey") % 20).alias("repo"), F.col("o_orderpriority").alias("priority"), (F.col("o_orderkey") % 7).alias("attempts"), (F.col("o_orderkey") % 4 == 0).cast("int").alias("claimed"))
 

@@ -184,22 +184,71 @@ def bumped_artifacts(spark, d):
     return C.put_symbols(*_artifacts(spark, d), 99)[1]
 
 
-def _generations(spark, d):
-    w = F.concat(F.lit("w"), (F.col("s_suppkey") % 5).cast("string")).alias("worktree_id")
-    g = table(spark, d, "supplier").select(w, F.col("s_suppkey").alias("generation"), F.when(F.col("s_suppkey") % 3 == 0, "active").otherwise("retired").alias("state"))
-    o = F.concat(F.lit("w"), (F.col("o_custkey") % 5).cast("string")).alias("worktree_id")
-    view = table(spark, d, "orders").select(o, F.col("o_orderkey").alias("artifact_id"))
-    return C.roll_generation(g, view, view.withColumnRenamed("artifact_id", "job_id"), "w2", 7)
-
-
-@R.add("roll_generation", "SELECT 'w' || s_suppkey % 5 AS worktree_id, s_suppkey AS generation, CASE WHEN s_suppkey = 7 THEN 'active' WHEN s_suppkey % 3 = 0 AND s_suppkey % 5 <> 2 THEN 'active' ELSE 'retired' END AS state FROM supplier")
+#: Worktrees 0 to 4 of repositories 0, 1 and 2; generations of the first two, with one active each, and of the third, with none.
+CATALOG_SQL = """trees AS (SELECT DISTINCT n_nationkey % 5 AS worktree_id, n_nationkey % 5 % 3 AS repository_id FROM nation),
+gens AS (SELECT DISTINCT s_suppkey % 3 AS repository_id, s_suppkey % 4 AS generation,
+  CASE WHEN s_suppkey % 3 = 2 THEN 'building' WHEN s_suppkey % 4 = 2 THEN 'active' ELSE 'retired' END AS state FROM supplier),
+act AS (SELECT worktree_id, generation AS active FROM trees JOIN gens USING (repository_id) WHERE state = 'active'),
+view0 AS (SELECT o_orderkey % 5 AS worktree_id, 'f' || o_orderkey % 977 AS path, max([o_custkey % 4, o_orderkey])[2] AS artifact_id, max(o_custkey % 4) AS generation FROM orders GROUP BY 1, 2),
+jobs0 AS (SELECT c_custkey % 5 AS worktree_id, 'f' || c_custkey % 977 AS path, min(c_custkey % 3 + 1) AS generation, min(CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'h' || c_custkey % 3 END) AS desired_hash FROM customer GROUP BY 1, 2)"""
+
+
+def _catalog(spark, d):
+    """worktrees, generations, view and jobs as in CATALOG_SQL."""
+    n, s, o, c = (table(spark, d, t) for t in ("nation", "supplier", "orders", "customer"))
+    trees = n.select((F.col("n_nationkey") % 5).alias("worktree_id"), (F.col("n_nationkey") % 5 % 3).alias("repository_id")).distinct()
+    state = F.when(F.col("s_suppkey") % 3 == 2, "building").when(F.col("s_suppkey") % 4 == 2, "active").otherwise("retired")
+    gens = s.select((F.col("s_suppkey") % 3).alias("repository_id"), (F.col("s_suppkey") % 4).alias("generation"), state.alias("state")).distinct()
+    path = lambda k: F.concat(F.lit("f"), (F.col(k) % 977).cast("string")).alias("path")
+    last = F.max(F.struct((F.col("o_custkey") % 4).alias("generation"), F.col("o_orderkey").alias("artifact_id"))).alias("v")
+    view = o.groupBy((F.col("o_orderkey") % 5).alias("worktree_id"), path("o_orderkey")).agg(last).select("worktree_id", "path", "v.artifact_id", "v.generation")
+    want = F.when(F.col("c_custkey") % 2 == 0, "").otherwise(F.concat(F.lit("h"), (F.col("c_custkey") % 3).cast("string")))
+    jobs = c.groupBy((F.col("c_custkey") % 5).alias("worktree_id"), path("c_custkey")).agg(F.min(F.col("c_custkey") % 3 + 1).alias("generation"), F.min(want).alias("desired_hash"))
+    return trees, gens, view, jobs
+
+
+def _rolled(spark, d):
+    _, gens, view, jobs = _catalog(spark, d)
+    return C.roll_generation(gens, view, jobs, 3, 0, 1)
+
+
+@R.add("roll_generation", f"WITH {CATALOG_SQL} SELECT repository_id, generation, CASE WHEN repository_id = 0 AND generation = 1 THEN 'active' WHEN repository_id = 0 AND state = 'active' THEN 'retired' ELSE state END AS state FROM gens")
 def roll_generation(spark, d):
-    return _generations(spark, d)[0]
+    return _rolled(spark, d)[0]
 
 
-@R.add("rolled_view", "SELECT 'w' || o_custkey % 5 AS worktree_id, o_orderkey AS artifact_id FROM orders WHERE o_custkey % 5 <> 2")
+@R.add("rolled_view", f"WITH {CATALOG_SQL} SELECT * FROM view0 WHERE worktree_id <> 3")
 def rolled_view(spark, d):
-    return _generations(spark, d)[1]
+    return _rolled(spark, d)[1]
+
+
+@R.add("rolled_jobs", f"WITH {CATALOG_SQL} SELECT * FROM jobs0 WHERE worktree_id <> 3")
+def rolled_jobs(spark, d):
+    return _rolled(spark, d)[2]
+
+
+#: Deletes of paths by suppliers' line items, with the empty hash or another, in generations 0 to 3.
+DELETES_SQL = f"""{CATALOG_SQL},
+dels AS (SELECT DISTINCT l_orderkey % 5 AS worktree_id, 'f' || l_orderkey % 977 AS path, l_partkey % 4 AS generation, CASE WHEN l_suppkey % 4 = 0 THEN 'h1' ELSE '' END AS desired_hash FROM lineitem),
+done AS (SELECT d.*, j.generation AS job FROM dels d JOIN jobs0 j ON j.worktree_id = d.worktree_id AND j.path = d.path AND j.desired_hash = d.desired_hash AND j.generation <= d.generation),
+gone AS (SELECT done.* FROM done LEFT JOIN act USING (worktree_id) WHERE active IS NULL OR active = generation)"""
+
+
+def _deleted(spark, d):
+    trees, gens, view, jobs = _catalog(spark, d)
+    li = table(spark, d, "lineitem")
+    deletes = li.select((F.col("l_orderkey") % 5).alias("worktree_id"), F.concat(F.lit("f"), (F.col("l_orderkey") % 977).cast("string")).alias("path"), (F.col("l_partkey") % 4).alias("generation"), F.when(F.col("l_suppkey") % 4 == 0, "h1").otherwise("").alias("desired_hash"))
+    return C.commit_deletes(view, jobs, deletes, C.active_of(trees, gens))
+
+
+@R.add("commit_delete", f"WITH {DELETES_SQL} SELECT * FROM view0 v WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.worktree_id = v.worktree_id AND g.path = v.path AND v.generation <= g.generation)")
+def commit_delete(spark, d):
+    return _deleted(spark, d)[0]
+
+
+@R.add("deleted_jobs", f"WITH {DELETES_SQL} SELECT * FROM jobs0 j WHERE NOT EXISTS (SELECT 1 FROM done g WHERE g.worktree_id = j.worktree_id AND g.path = j.path AND g.desired_hash = j.desired_hash AND j.generation <= g.generation)")
+def deleted_jobs(spark, d):
+    return _deleted(spark, d)[1]
 
 
 @R.add("register_rows", "SELECT n_nationkey AS repository_id, n_name AS root FROM nation UNION ALL SELECT s_suppkey, min(s_name) FROM supplier WHERE s_suppkey NOT IN (SELECT n_nationkey FROM nation) GROUP BY s_suppkey")
@@ -208,38 +257,79 @@ def register_rows(spark, d):
     return C.register(known, table(spark, d, "supplier").select(F.col("s_suppkey").alias("repository_id"), F.col("s_name").alias("root")), ["repository_id"])
 
 
-def _store(spark, d):
-    """Artifacts of the smaller parts in a view, and a job for every order; the larger parts, some of them known, bring artifacts for some."""
-    p, o = table(spark, d, "part"), table(spark, d, "orders")
-    old = p.where("p_size <= 30")
-    art = lambda x: x.select(F.col("p_partkey").alias("artifact_id"), F.col("p_brand").alias("source_hash"))
-    links = lambda x: x.select(F.col("p_partkey").alias("artifact_id"), F.lit(0).alias("ordinal"), F.col("p_size").alias("chunk_id"))
-    names = lambda x: x.select(F.col("p_partkey").alias("artifact_id"), F.col("p_name").alias("name"))
-    view = old.select((F.col("p_partkey") % 4).alias("worktree_id"), F.col("p_name").alias("path"), F.col("p_partkey").alias("artifact_id"), F.lit(1).cast("long").alias("generation"))
-    view = C.latest_wins(view, ["worktree_id", "path"], [F.desc("artifact_id")])
-    jobs = o.select((F.col("o_orderkey") % 4).alias("worktree_id"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("path"), F.lit(2).cast("long").alias("generation"), F.md5(F.col("o_orderkey").cast("string").cast("binary")).alias("desired_hash"))
-    store = C.Store(art(old), links(old), names(old), view, jobs)
-    new = p.where("p_size >= 20")
-    commits = new.select((F.col("p_partkey") % 4).alias("worktree_id"), F.concat(F.lit("o"), F.col("p_partkey").cast("string")).alias("path"), F.col("p_partkey").alias("artifact_id"), F.when(F.col("p_partkey") % 5 == 0, 1).otherwise(2).cast("long").alias("generation"), F.md5(F.when(F.col("p_partkey") % 7 == 0, "x").otherwise(F.col("p_partkey").cast("string")).cast("binary")).alias("desired_hash"))
-    active = spark.createDataFrame([(w, 2) for w in range(3)], "worktree_id long, generation long")
-    return C.commit_artifacts(store, art(new), links(new), names(new), commits, active)
-
-
-@R.add("commit_artifacts", "SELECT p_partkey AS artifact_id, p_brand AS source_hash FROM part")
+#: Commits of all line items' parts: generations 0 to 3, hashes that jobs have or not.
+COMMITS_SQL = f"""{CATALOG_SQL},
+coms AS (SELECT l_orderkey % 5 AS worktree_id, 'f' || l_orderkey % 977 AS path, l_partkey AS artifact_id, l_suppkey % 4 AS generation, CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE 'h' || l_partkey % 3 END AS desired_hash FROM lineitem)"""
+
+
+def _committed(spark, d):
+    """Artifacts of four fifths of the parts are known; all parts with even keys come, two thirds of them with symbols."""
+    trees, gens, view, jobs = _catalog(spark, d)
+    p, li = table(spark, d, "part"), table(spark, d, "lineitem")
+    key, text = F.col("p_partkey"), lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    old, new = key % 5 != 0, key % 2 == 0
+    chunks = lambda prefix, n: p.select(key.alias("artifact_id"), F.explode(F.sequence(F.lit(0), F.col("p_size") % n)).alias("ordinal")).withColumn("chunk_id", text(prefix, "ordinal"))
+    mine = lambda x, w: x.where(F.expr(w))
+    names = lambda prefix, c: li.select(F.col("l_partkey").alias("artifact_id"), text(prefix, c).alias("name")).distinct()
+    calls = lambda prefix, a, b: li.select(F.col("l_partkey").alias("artifact_id"), text(prefix, a).alias("caller"), text(prefix, b).alias("callee")).distinct()
+    store = C.Store(
+        p.where(old).select(key.alias("artifact_id"), F.col("p_brand").alias("source_hash"), F.col("p_size").alias("symbols_version")),
+        mine(chunks("o", 3), "artifact_id % 5 <> 0"), mine(names("s", "l_linenumber"), "artifact_id % 5 <> 0"), mine(calls("s", "l_linenumber", "l_suppkey"), "artifact_id % 5 <> 0"),
+        view, jobs,
+    )
+    commits = li.withColumn("k", F.col("l_orderkey") % 977).select(
+        (F.col("l_orderkey") % 5).alias("worktree_id"), text("f", "k").alias("path"), F.col("l_partkey").alias("artifact_id"), (F.col("l_suppkey") % 4).alias("generation"),
+        F.when(F.col("l_linenumber") % 2 == 0, "").otherwise(F.concat(F.lit("h"), (F.col("l_partkey") % 3).cast("string"))).alias("desired_hash"),
+    )
+    even = lambda x: mine(x, "artifact_id % 2 = 0")
+    extracted = p.where(new & (key % 3 != 0)).select(key.alias("artifact_id"))
+    return C.commit_artifacts(
+        store, p.where(new).select(key.alias("artifact_id"), F.col("p_type").alias("source_hash")), even(chunks("n", 5)), even(names("n", "l_suppkey")), even(calls("n", "l_suppkey", "l_linenumber")),
+        extracted, commits, C.active_of(trees, gens), 99,
+    )
+
+
+EXTRACTED = "artifact_id % 2 = 0 AND artifact_id % 3 <> 0"
+
+
+@R.add("commit_artifacts", """SELECT p_partkey AS artifact_id, CASE WHEN p_partkey % 5 <> 0 THEN p_brand ELSE p_type END AS source_hash,
+ CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 <> 0 THEN 99 WHEN p_partkey % 5 <> 0 THEN p_size ELSE 0 END AS symbols_version FROM part WHERE p_partkey % 5 <> 0 OR p_partkey % 2 = 0""")
 def commit_artifacts(spark, d):
-    return _store(spark, d).artifacts
+    return _committed(spark, d).artifacts
+
+
+@R.add("committed_chunks", """WITH o AS (SELECT p_partkey AS artifact_id, unnest(range(p_size % 3 + 1))::INT AS ordinal FROM part WHERE p_partkey % 5 <> 0),
+n AS (SELECT p_partkey AS artifact_id, unnest(range(p_size % 5 + 1))::INT AS ordinal FROM part WHERE p_partkey % 2 = 0)
+SELECT *, 'o' || ordinal AS chunk_id FROM o UNION ALL SELECT *, 'n' || ordinal FROM n ANTI JOIN o USING (artifact_id, ordinal)""")
+def committed_chunks(spark, d):
+    return _committed(spark, d).artifact_chunks
+
+
+@R.add("committed_symbols", f"""WITH s AS (SELECT DISTINCT l_partkey AS artifact_id, 's' || l_linenumber AS name FROM lineitem WHERE l_partkey % 5 <> 0), n AS (SELECT DISTINCT l_partkey AS artifact_id, 'n' || l_suppkey AS name FROM lineitem)
+SELECT * FROM s WHERE NOT ({EXTRACTED}) UNION ALL SELECT * FROM n WHERE {EXTRACTED}""")
+def committed_symbols(spark, d):
+    return _committed(spark, d).symbols
+
+
+@R.add("committed_symbol_edges", f"""WITH s AS (SELECT DISTINCT l_partkey AS artifact_id, 's' || l_linenumber AS caller, 's' || l_suppkey AS callee FROM lineitem WHERE l_partkey % 5 <> 0),
+n AS (SELECT DISTINCT l_partkey AS artifact_id, 'n' || l_suppkey AS caller, 'n' || l_linenumber AS callee FROM lineitem)
+SELECT * FROM s WHERE NOT ({EXTRACTED}) UNION ALL SELECT * FROM n WHERE {EXTRACTED}""")
+def committed_symbol_edges(spark, d):
+    return _committed(spark, d).symbol_edges
 
 
-@R.add("committed_view", """WITH o AS (SELECT p_partkey % 4 AS worktree_id, p_name AS path, max(p_partkey) AS artifact_id, 1::BIGINT AS generation FROM part WHERE p_size <= 30 GROUP BY 1, 2)
-SELECT * FROM o UNION ALL SELECT p_partkey % 4, 'o' || p_partkey, p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 2 END FROM part WHERE p_size >= 20 AND (p_partkey % 4 = 3 OR p_partkey % 5 <> 0)""")
+@R.add("committed_view", f"""WITH {COMMITS_SQL},
+ok AS (SELECT worktree_id, path, max([generation, artifact_id]) AS v FROM coms LEFT JOIN act USING (worktree_id) WHERE active IS NULL OR active = generation GROUP BY 1, 2)
+SELECT worktree_id, path, CASE WHEN v IS NULL OR v[1] < generation THEN view0.artifact_id ELSE v[2] END AS artifact_id, CASE WHEN v IS NULL OR v[1] < generation THEN generation ELSE v[1] END AS generation
+FROM view0 FULL JOIN ok USING (worktree_id, path)""")
 def committed_view(spark, d):
-    return _store(spark, d).view
+    return _committed(spark, d).view
 
 
-@R.add("committed_jobs", """SELECT o_orderkey % 4 AS worktree_id, 'o' || o_orderkey AS path, 2::BIGINT AS generation, md5(o_orderkey::VARCHAR) AS desired_hash FROM orders
-WHERE NOT (o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey IN (SELECT p_partkey FROM part WHERE p_size >= 20))""")
+@R.add("committed_jobs", f"""WITH {COMMITS_SQL} SELECT * FROM jobs0 j WHERE NOT EXISTS
+ (SELECT 1 FROM coms c WHERE c.worktree_id = j.worktree_id AND c.path = j.path AND c.desired_hash = j.desired_hash AND j.generation <= c.generation)""")
 def committed_jobs(spark, d):
-    return _store(spark, d).jobs
+    return _committed(spark, d).jobs
 
 
 @R.add("prune_import", f"SELECT {DOC_PATH} AS path, sha256(text) AS source_hash, doc_id AS artifact_id FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 6 <> 0")
