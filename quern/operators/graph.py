@@ -347,16 +347,3 @@ def children(edges: DataFrame, ids: DataFrame) -> DataFrame:
 def add_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
     """New edges, each (src, dst, type) once; one that is there takes the new weight."""
     return edges.join(new.select("src", "dst", "type").distinct(), ["src", "dst", "type"], "left_anti").select(edges.columns).unionByName(new.dropDuplicates(["src", "dst", "type"]).select(edges.columns))
-
-
-def evolve(nodes: DataFrame, placed_files: DataFrame, changed: DataFrame, fresh: DataFrame, threshold: float = LIMITS.drift) -> tuple[DataFrame, DataFrame]:
-    """Symbol nodes and placed files after files (path) changed: their symbols are replaced by ``fresh`` ones.
-
-    A file whose features drift by the threshold is placed anew, as are new files; others stay where they are, and files
-    that have no symbol any more go.
-    """
-    now = nodes.join(changed.select("path").distinct(), "path", "left_anti").select(nodes.columns).unionByName(fresh.select(nodes.columns))
-    of = lambda x: x.groupBy(F.col("path").alias("id")).agg(F.collect_set("feature").alias("features"))
-    stay = drifted(of(nodes), of(now), threshold).where("NOT rerouted").select(F.col("id").alias("path"))
-    kept = placed_files.join(stay, "path", "left_semi")
-    return now, kept.unionByName(placed(now).join(kept.select("path"), "path", "left_anti").select(placed_files.columns))
