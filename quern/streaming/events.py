@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -68,26 +68,65 @@ def latest(changes: DataFrame) -> DataFrame:
     return changes.groupBy("path").agg(F.max_by("event_type", F.col("end")).alias("event_type"))
 
 
+LEDGER = "number long, batch long, outcome string"
+
+
+class Ledger:
+    """What became of each attempt at a micro-batch, in a shared folder: a driver that starts anew goes on counting where the last one fell."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def rows(self) -> DataFrame:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
+            return self.spark.createDataFrame([], LEDGER)
+        return self.spark.read.schema(LEDGER).json(self.folder)
+
+    def write(self, batch: int, outcome: str) -> None:
+        number = (self.rows().agg(F.max("number")).first()[0] or 0) + 1
+        self.spark.createDataFrame([(number, batch, outcome)], LEDGER).coalesce(1).write.mode("append").json(self.folder)
+
+    def done(self, batch: int) -> bool:
+        return not self.rows().where((F.col("batch") == batch) & (F.col("outcome") != "failed")).isEmpty()
+
+    def failures(self) -> int:
+        """Since the last batch that was applied or rebuilt."""
+        rows = self.rows()
+        last = rows.where("outcome != 'failed'").agg(F.coalesce(F.max("number"), F.lit(0)).alias("last")).first()["last"]
+        return rows.where(F.col("number") > last).count()
+
+
 def maintain(changes: DataFrame, apply: Callable[[DataFrame, DataFrame], None], rebuild: Callable[[], None], checkpoint: str, limit: int = 128, max_failures: int = 3, available_now: bool = True) -> StreamingQuery:
-    """Apply each micro-batch of changes: (changed paths, removed paths), or rebuild when there are too many or it failed too often."""
-    failures = [0]
+    """Apply each micro-batch of changes: (changed paths, removed paths), or rebuild when there are too many or it failed too often.
 
-    def batch(df: DataFrame, _: int) -> None:
+    A failed batch ends the query; started again with its checkpoint, Spark gives the same batch once more. The ledger beside
+    the checkpoint holds the failures so far, so ``max_failures`` in a row lead to one rebuild however often the driver went
+    down between them, and a batch that was applied before the driver could commit it isn't applied twice. ``apply`` replaces
+    what it writes by path, so a batch that broke off in the middle can be repeated.
+    """
+    ledger = Ledger(changes.sparkSession, f"{checkpoint}/ledger")
+
+    def batch(df: DataFrame, number: int) -> None:
+        if ledger.done(number):
+            return
         df = df.persist()
         try:
-            if df.select("path").distinct().limit(limit + 1).count() > limit or failures[0] >= max_failures:
-                rebuild()
-                failures[0] = 0
-                return
-            gone = F.col("event_type").isin(REMOVALS)
-            try:
-                apply(df.where(~gone).select("path").distinct(), df.where(gone).select("path").distinct())
-                failures[0] = 0
-            except Exception:
-                failures[0] += 1
-                if failures[0] < max_failures:
-                    raise
-                rebuild()
+            failed = ledger.failures()
+            if failed < max_failures and df.select("path").distinct().limit(limit + 1).count() <= limit:
+                gone = F.col("event_type").isin(REMOVALS)
+                last = latest(df) if "end" in df.columns else df
+                try:
+                    apply(last.where(~gone).select("path").distinct(), last.where(gone).select("path").distinct())
+                except Exception:
+                    ledger.write(number, "failed")
+                    if failed + 1 < max_failures:
+                        raise
+                else:
+                    ledger.write(number, "applied")
+                    return
+            rebuild()
+            ledger.write(number, "rebuilt")
         finally:
             df.unpersist()
 

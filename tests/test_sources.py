@@ -138,6 +138,43 @@ def test_rebuild_when_many(spark, tmp_path):
     assert done == ["rebuild"]
 
 
+def test_failures_outlive_the_driver(spark, tmp_path):
+    """Two failures, with the query started anew between them, end in one rebuild; what was applied isn't applied again."""
+    schema = "path string, event_type string, ts timestamp"
+    spark.createDataFrame(stream_rows()[:2], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    done = []
+
+    def broken(changed, removed):
+        done.append("tried")
+        raise RuntimeError("no store")
+
+    def run(apply):
+        source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        q = events.maintain(source, apply, lambda: done.append("rebuild"), f"{tmp_path}/cp", max_failures=2)
+        try:
+            q.awaitTermination(120)
+        except Exception as e:
+            assert "no store" in str(e)
+
+    run(broken)
+    assert done == ["tried"]
+    run(broken)
+    assert done == ["tried", "tried", "rebuild"]
+    run(broken)  # nothing new
+    spark.createDataFrame(stream_rows()[5:6], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run(lambda a, b: done.append([r.path for r in a.collect()]))
+    assert done[3:] == [["b.go"]]
+    kept = events.Ledger(spark, f"{tmp_path}/cp/ledger").rows().orderBy("number").collect()
+    assert [r.outcome for r in kept] == ["failed", "failed", "rebuilt", "applied"]
+    import shutil
+
+    last = sorted((tmp_path / "cp" / "commits").glob("[0-9]*"))[-1]
+    for f in (last, last.with_name(f".{last.name}.crc")):  # as if the driver had gone before the commit
+        shutil.move(f, tmp_path / f.name)
+    run(lambda a, b: done.append("twice"))
+    assert done[3:] == [["b.go"]]
+
+
 def test_debounce(spark, tmp_path):
     spark.createDataFrame(stream_rows()[:4], "path string, event_type string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in")
     source = spark.readStream.schema("path string, event_type string, ts timestamp").parquet(f"{tmp_path}/in")
