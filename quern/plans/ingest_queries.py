@@ -9,7 +9,7 @@ from quern.operators import catalog as C
 from quern.operators import chunking, embed, extract
 from quern.plans.base import DOC_PATH, Registry, chunk_sql, doc_path
 from quern.session import table
-from quern.sources import tables
+from quern.sources import files, tables
 from quern.streaming import events as E
 
 R = Registry()
@@ -131,3 +131,22 @@ def debounce_sessions(spark, d):
     kind = F.when(F.col("event_type") == "error", "delete").otherwise(F.col("event_type"))
     e = table(spark, d, "events").select(F.col("user_id").alias("path"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("event_type"))
     return E.coalesce(e, "6 hours").select("path", F.col("start").cast("timestamp_ntz").alias("start_"), "n", "event_type")
+
+
+#: Rules of the root and of folders of the documents' paths: folder, pattern.
+IGNORE_RULES = [
+    ("", "*7.txt"), ("", "# no rule"), ("", "src3/"), ("", "doc_[0-2]*5.txt"), ("src1", "!doc_*7.txt"), ("src2/en", "doc_?.txt"), ("src4", "fr/"), ("src4/fr", "!*.txt"), ("src5", "/en/**"), ("src5/en", "!doc_1*.txt"),
+    ("src6", "**/doc_*[!0-4].txt"),
+]
+
+
+@R.add("ignored_paths", f"""WITH p AS (SELECT DISTINCT {DOC_PATH} AS path, source, lang, doc_id::VARCHAR AS n FROM documents)
+SELECT path FROM p WHERE CASE WHEN source = 'src3' OR source = 'src4' AND lang = 'fr' THEN true
+ WHEN source = 'src2' AND lang = 'en' AND length(n) = 1 THEN true
+ WHEN source = 'src5' AND lang = 'en' THEN NOT starts_with(n, '1')
+ WHEN source = 'src6' AND n[-1] NOT IN ('0', '1', '2', '3', '4') THEN true
+ WHEN source = 'src1' AND n[-1] = '7' THEN false
+ ELSE n[-1] = '7' OR n[1] IN ('0', '1', '2') AND n[-1] = '5' AND length(n) > 1 END""")
+def ignored_paths(spark, d):
+    rules = spark.createDataFrame([(folder, pattern, i) for i, (folder, pattern) in enumerate(IGNORE_RULES)], "folder string, pattern string, number long")
+    return files.ignored_paths(table(spark, d, "documents").select(doc_path().alias("path")), rules)

@@ -4,11 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
-from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import hashing as H
@@ -24,7 +21,10 @@ def _binary(spark: SparkSession, root: str) -> DataFrame:
 def scan_metadata(spark: SparkSession, root: str, rules: list[tuple[str, str]] | None = None) -> tuple[DataFrame, DataFrame]:
     """path, size, mtime of indexable files, and the skipped ones with a reason; contents are not read."""
     x = _binary(spark, root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
-    x = x.withColumn("ignored", ignored(F.col("path"), rules)) if rules else x.withColumn("ignored", F.lit(False))
+    if rules:
+        x = x.join(ignored_paths(x, _rules(spark, rules)).withColumn("ignored", F.lit(True)), "path", "left").withColumn("ignored", F.coalesce("ignored", F.lit(False)))
+    else:
+        x = x.withColumn("ignored", F.lit(False))
     p = F.col("path")
     reason = F.when(F.col("ignored"), "ignored").when(~P.is_supported(p), "extension").when(P.is_minified(p), "minified").when(F.col("size") > P.MAX_BYTES, "size")
     x = x.withColumn("reason", reason).drop("ignored")
@@ -36,8 +36,8 @@ def scan(spark: SparkSession, root: str, rules: list[tuple[str, str]] | None = N
     x = _binary(spark, root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.col("content").alias("data"))
     p = F.col("path")
     x = x.where(P.is_supported(p) & ~P.is_minified(p) & (F.col("size") <= P.MAX_BYTES) & ~P.is_binary(F.col("data")))
-    if rules:
-        x = x.where(~ignored(p, rules))
+    if rules:  # judged by a listing of its own, which reads no contents
+        x = x.join(ignored_paths(_binary(spark, root).select("path"), _rules(spark, rules)), "path", "left_anti")
     return x.select("path", "size", "mtime", F.sha2("data", 256).alias("hash"), F.col("data").cast("string").alias("content"))
 
 
@@ -72,65 +72,59 @@ def git_truth(staged: DataFrame, modified: DataFrame, deleted: DataFrame, untrac
     return x.unionByName(untracked.select("path", "oid"))
 
 
-@lru_cache(maxsize=10_000)
-def ignore_regex(pattern: str) -> tuple[re.Pattern, bool, bool]:
-    """Regex, negation and folders-only flag of one ignore pattern."""
-    negated = pattern.startswith("!")
-    p = pattern[1:] if negated else pattern
-    p = p[1:] if p.startswith(("\\!", "\\#")) else p
-    folder = p.endswith("/")
-    p = p.rstrip("/")
-    anchored = "/" in p
-    p = p.lstrip("/")
-    out, i = "", 0
-    while i < len(p):
-        if p.startswith("**/", i):
-            out, i = out + "(?:.*/)?", i + 3
-        elif p.startswith("/**", i) and i + 3 == len(p):
-            out, i = out + "/.+", i + 3
-        elif p.startswith("**", i):
-            out, i = out + ".*", i + 2
-        elif p[i] == "*":
-            out, i = out + "[^/]*", i + 1
-        elif p[i] == "?":
-            out, i = out + "[^/]", i + 1
-        elif p[i] == "[" and (j := p.find("]", i + 2)) > 0:
-            out, i = out + "[" + p[i + 1 : j].replace("!", "^", 1) + "]", j + 1
-        elif p[i] == "\\" and i + 1 < len(p):
-            out, i = out + re.escape(p[i + 1]), i + 2
-        else:
-            out, i = out + re.escape(p[i]), i + 1
-    return re.compile(f"{'' if anchored else '(?:.*/)?'}{out}"), negated, folder
-
-
-def is_ignored(path: str, rules: list[tuple[str, str]], extra_dirs: frozenset[str] = frozenset()) -> bool:
-    """Whether nested ignore files rule a path out. rules: (folder of the ignore file, pattern), in file order.
-
-    A deeper file's last matching rule decides; nothing inside an ignored folder comes back.
+#: Pieces of an ignore pattern: stars with and without slashes, one character, a class, an escaped character, any other.
+_PIECES = r"(?s)(\*\*/|/\*\*$|\*\*|\*|\?|\[.[^\]]*\]|\\.|.)"
+#: Copies of the rules of a folder, so that the root's rules don't meet all paths in one task.
+SALTS = 32
+
+
+def _quoted(c: Column) -> Column:
+    return F.regexp_replace(c, r"([^\p{L}\p{N}/_])", r"\\$1")
+
+
+def ignore_rules(rules: DataFrame) -> DataFrame:
+    """folder, rank, regex, negated, dirs_only of rules (folder of the ignore file, pattern, number: the place in the file).
+
+    The regex is for a path below the folder. Comments and empty patterns are no rules; a later rule of a deeper file ranks higher.
+    """
+    p = F.trim("pattern")
+    x = rules.where((p != "") & ~F.startswith(p, F.lit("#"))).select("folder", "number", p.alias("p"))
+    x = x.withColumn("negated", F.startswith("p", F.lit("!"))).withColumn("p", F.when(F.col("negated"), F.expr("substr(p, 2)")).otherwise(F.col("p")))
+    x = x.withColumn("p", F.regexp_replace("p", r"^\\([!#])", "$1")).withColumn("dirs_only", F.endswith("p", F.lit("/")))
+    x = x.withColumn("p", F.rtrim("p", F.lit("/"))).withColumn("anchored", F.contains("p", F.lit("/"))).withColumn("p", F.ltrim("p", F.lit("/")))
+
+    def piece(t: Column) -> Column:
+        inside = F.regexp_replace(F.regexp_replace(F.substr(t, F.lit(2), F.length(t) - 2), r"([\[\]&\\])", r"\\$1"), r"^[!^]", "^")
+        other = F.when(F.startswith(t, F.lit("\\")) & (F.length(t) == 2), _quoted(F.substr(t, F.lit(2)))).otherwise(_quoted(t))
+        of_class = F.startswith(t, F.lit("[")) & (F.length(t) > 2)
+        return F.when(t == "**/", "(?:.*/)?").when(t == "/**", "/.+").when(t == "**", ".*").when(t == "*", "[^/]*").when(t == "?", "[^/]").when(of_class, F.concat(F.lit("["), inside, F.lit("]"))).otherwise(other)
+
+    regex = F.concat(F.when(F.col("anchored"), "^").otherwise("^(?:.*/)?"), F.array_join(F.transform(F.regexp_extract_all("p", F.lit(_PIECES), 1), piece), ""), F.lit("$"))
+    depth = F.when(F.col("folder") == "", 0).otherwise(F.size(F.split("folder", "/")))
+    return x.select("folder", F.struct(depth.alias("depth"), F.col("number").alias("number")).alias("rank"), regex.alias("regex"), "negated", "dirs_only")
+
+
+def ignored_paths(paths: DataFrame, rules: DataFrame, extra_dirs: list[str] | None = None) -> DataFrame:
+    """The paths (path, distinct) that nested ignore files (rules: folder, pattern, number) rule out.
+
+    The last matching rule of the deepest file decides on a file or folder; nothing inside an ignored folder comes back. A
+    path's folders are judged once for all paths in them: each goes to the rules of the folders above it by an equi-join.
     """
-    parts = path.split("/")
-    if any(d in extra_dirs for d in parts[:-1]):
-        return True
-    ordered = sorted(rules, key=lambda r: r[0].count("/") + bool(r[0]))
-    for n in range(1, len(parts) + 1):
-        prefix, is_dir, out = "/".join(parts[:n]), n < len(parts), False
-        for folder, pattern in ordered:
-            if not pattern.strip() or pattern.startswith("#") or folder and not prefix.startswith(folder + "/"):
-                continue
-            rx, negated, dirs_only = ignore_regex(pattern.strip())
-            if (is_dir or not dirs_only) and rx.fullmatch(prefix[len(folder) + 1 :] if folder else prefix):
-                out = not negated
-        if out:
-            return True
-    return False
-
-
-def ignored(path, rules: list[tuple[str, str]], extra_dirs: frozenset[str] = frozenset()):
-    """``is_ignored`` as a vectorised column; the rules travel with the function."""
-
-    @F.pandas_udf("boolean")
-    def f(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in it:
-            yield s.map(lambda p: is_ignored(p, rules, extra_dirs))
-
-    return f(path)
+    every = paths.select("path").distinct()
+    at = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda n: F.array_join(F.slice(F.split("path", "/"), F.lit(1), n), "/"))
+    steps = every.select("path", F.explode(at).alias("prefix"))
+    judged = steps.select("prefix", (F.col("prefix") != F.col("path")).alias("is_dir")).distinct()
+    above = F.transform(F.sequence(F.lit(0), F.size(F.split("prefix", "/")) - 1), lambda n: F.array_join(F.slice(F.split("prefix", "/"), F.lit(1), n), "/"))
+    asked = judged.select("prefix", "is_dir", F.explode(above).alias("folder")).withColumn("salt", F.pmod(F.xxhash64("prefix"), F.lit(SALTS)))
+    given = ignore_rules(rules).withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+    below = F.when(F.col("folder") == "", F.col("prefix")).otherwise(F.expr("substr(prefix, length(folder) + 2)"))
+    met = asked.join(given, ["folder", "salt"]).where((F.col("is_dir") | ~F.col("dirs_only")) & F.rlike(below, F.col("regex")))
+    blocked = met.groupBy("prefix", "is_dir").agg(F.max_by("negated", "rank").alias("negated")).where("NOT negated").select("prefix", "is_dir")
+    out = steps.withColumn("is_dir", F.col("prefix") != F.col("path")).join(blocked, ["prefix", "is_dir"], "left_semi").select("path")
+    if extra_dirs:
+        out = out.union(every.where(F.arrays_overlap(F.expr("slice(split(path, '/'), 1, size(split(path, '/')) - 1)"), F.lit(list(extra_dirs)))))
+    return out.distinct()
+
+
+def _rules(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
+    return spark.createDataFrame([(folder, pattern, i) for i, (folder, pattern) in enumerate(rules)], "folder string, pattern string, number long")

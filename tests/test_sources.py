@@ -23,18 +23,30 @@ def test_scan(spark, tmp_path):
     assert [r.path for r in files.verified(files.scan(spark, root), want).collect()] == ["src/g.md"]
 
 
-@pytest.mark.parametrize("path,rules,want", [
+IGNORE = [
     ("a.log", [("", "*.log")], True), ("x/a.log", [("", "*.log")], True), ("a.log", [("", "*.log"), ("", "!a.log")], False),
     ("build/x/a.go", [("", "build/")], True), ("src/build", [("", "build/")], False), ("src/build/a", [("", "/build")], False),
     ("a/b/c.go", [("", "a/**/c.go")], True), ("a/c.go", [("", "a/**/c.go")], True), ("docs/x.md", [("docs", "*.md")], True), ("x.md", [("docs", "*.md")], False),
     ("docs/keep.md", [("", "*.md"), ("docs", "!keep.md")], False), ("build/keep.go", [("", "build/"), ("build", "!keep.go")], True), ("a", [("", "# a"), ("", "")], False),
-])
-def test_ignore(path, rules, want):
-    assert files.is_ignored(path, rules) is want
+    ("a+b.go", [("", "a+b.go")], True), ("aab.go", [("", "a+b.go")], False), ("x1.go", [("", "x[0-9].go")], True), ("xa.go", [("", "x[!0-9].go")], True), ("x1.go", [("", "x[!0-9].go")], False),
+    ("#a", [("", "\\#a")], True), ("!a", [("", "\\!a")], True), ("a*b", [("", "a\\*b")], True), ("axb", [("", "a\\*b")], False), ("ab.go", [("", "a?.go")], True), ("a/.go", [("", "a?.go")], False),
+    ("v/a/b", [("", "v/**")], True), ("v", [("", "v/**")], False), ("x/y/z.txt", [("", "**/z.txt")], True), ("p/q/r", [("p", "/q")], True), ("p/o/q", [("p", "/q")], False), ("é[.go", [("", "é[.go")], True),
+    ("d/e/f.go", [("d", "e/"), ("d/e", "!f.go")], True), ("d/f.go", [("d", "*.go"), ("", "!f.go")], True), ("x y.go", [("", " x y.go ")], True),
+]
+
+
+def test_ignore(spark):
+    """Each case in a folder of its own, all in one job, and none of it in Python."""
+    paths = spark.createDataFrame([(f"c{i}/{path}",) for i, (path, _, _) in enumerate(IGNORE)], "path string")
+    rules = [(f"c{i}/{folder}".rstrip("/"), pattern) for i, (_, some, _) in enumerate(IGNORE) for folder, pattern in some]
+    got = files.ignored_paths(paths, files._rules(spark, rules))
+    assert {int(r.path[1:].partition("/")[0]) for r in got.collect()} == {i for i, (_, _, want) in enumerate(IGNORE) if want}
+    assert "Python" not in got._jdf.queryExecution().toString() and "Arrow" not in got._jdf.queryExecution().toString()
 
 
-def test_extra_dirs():
-    assert files.is_ignored("a/node_modules/x.js", [], frozenset({"node_modules"}))
+def test_extra_dirs(spark):
+    paths = spark.createDataFrame([("a/node_modules/x.js",), ("node_modules",), ("b/x.js",)], "path string")
+    assert [r.path for r in files.ignored_paths(paths, files._rules(spark, []), ["node_modules"]).collect()] == ["a/node_modules/x.js"]
 
 
 def test_git_truth(spark):
