@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
 from quern.operators import graph as G
+from quern.operators import summarize as S
 from quern.plans.base import Registry
 from quern.session import table
 
@@ -288,3 +291,35 @@ def built_nodes(spark, d):
 def built_edges(spark, d):
     """All edges of the whole build; its stages have queries with SQL of their own."""
     return _built(spark, d)[1].withColumn("weight", F.round("weight", 6))
+
+
+def _digest(features: list[str], contexts: list[str]) -> list[str | None]:
+    """A stand-in for a model: a hash of the context, and no answer for six in sixteen."""
+    found = [hashlib.sha256(c.encode()).hexdigest() for c in contexts]
+    return [h if h[0] > "5" else None for h in found]
+
+
+def _level_sql(name: str, source: str) -> str:
+    """Answers for id, feature and children (child, own, summary), in the order of ids up to three failures in a row."""
+    return f"""{name}_c AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY child) AS r FROM ({source})),
+{name}_x AS (SELECT id, sha256('Node: ' || id || ' (' || feature || ')' || chr(10) || 'Children:' || chr(10) || string_agg('- ' || own || coalesce(': ' || summary, '') || chr(10), '' ORDER BY r) FILTER (r <= 20)) AS h FROM {name}_c GROUP BY id, feature),
+{name}_f AS (SELECT *, row_number() OVER w AS i, h[1] <= '5' AND lag(h[1]) OVER w <= '5' AND lag(h[1], 2) OVER w <= '5' AS stop FROM {name}_x WINDOW w AS (ORDER BY id)),
+{name} AS (SELECT id, CASE WHEN h[1] > '5' AND i < coalesce((SELECT min(i) FROM {name}_f WHERE stop), 9e18) THEN h END AS summary FROM {name}_f)"""
+
+
+_SUB_ID, _CAT_ID = "'subcat:' || area || '/' || category || '/' || subcategory", "'cat:' || area || '/' || category"
+
+
+@R.add("summarized_hierarchy", f"""WITH {NODES}, {FILES},
+{_level_sql("sub", f"SELECT {_SUB_ID} AS id, subcategory AS feature, 'file:' || path AS child, 'operate ' || replace(string_split(path, '/')[3], '.go', '') AS own, NULL AS summary FROM fl")},
+{_level_sql("cat", f"SELECT DISTINCT {_CAT_ID} AS id, category AS feature, {_SUB_ID} AS child, subcategory AS own, summary FROM fl JOIN sub ON sub.id = {_SUB_ID}")},
+{_level_sql("ar", f"SELECT DISTINCT 'area:' || area AS id, area AS feature, {_CAT_ID} AS child, category AS own, summary FROM fl JOIN cat ON cat.id = {_CAT_ID}")}
+SELECT * FROM sub UNION ALL SELECT * FROM cat UNION ALL SELECT * FROM ar""")
+def summarized_hierarchy(spark, d):
+    s = nodes(spark, d)
+    placed = G.placed(s)
+    none = F.lit(None).cast("string")
+    above = G.hierarchy_nodes(placed).select("id", "kind", F.col("name").alias("feature"), none.alias("label"), none.alias("summary"))
+    files = G.file_nodes(placed, s).select("id", "kind", "feature", none.alias("label"), none.alias("summary"))
+    x = S.summarize_levels(above.unionByName(files), G.hierarchy_edges(placed), _digest)
+    return x.where("kind != 'file'").select("id", "summary")
