@@ -224,11 +224,12 @@ class FMIndex:
             who = order[:active]
             low, high, length = low[:active], high[:active], length[:active]
             symbol = flat[end[who] - 1 - step]
+            symbol = np.where(symbol < self.symbols, symbol, 0)
             full = length == self.most
             low, high = np.where(full, self.less[0][np.minimum(low, self.n - 1)], low), np.where(full, self.less[1][np.minimum(low, self.n - 1)], high)
             length = np.where(full, self.most - 1, length)
             a, b = self.extend(symbol, low, high)
-            absent = (symbol == 0) | (symbol >= self.symbols)
+            absent = symbol == 0
             left = np.flatnonzero((a >= b) | absent)
             length = length + 1
             while len(left):

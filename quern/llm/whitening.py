@@ -13,7 +13,7 @@ Edge cases: rows whose vector is null, empty, or holds null or non-finite entrie
 is not the commonest (of equally common lengths the larger stays). An empty table gives no rows. A null vec_id is a row like
 others, repeated rows all count and are all returned. Components without variance (within rounding: an eigenvalue below
 ``FLAT`` of the largest) can't be scaled to 1 and are not returned, so equal vectors, or a single one, give no rows. A
-deviation that is larger than a long is null. Entries beyond 2**63 / 64 are taken as the nearest long. Extra columns are
+deviation that is larger than a long is null. Entries beyond 2**60 / 64 are taken as that. Extra columns are
 ignored.
 """
 
@@ -35,6 +35,8 @@ SCALE, OFFSET, COMPONENTS = 64, 1_000_000, 32
 FLAT, SWEEPS = 2.0**-48, 60
 #: Whole numbers that doubles hold exactly, and longs.
 EXACT, LONG = 2**53, 2**63
+#: The largest entry, and the bits of a limb: sums are sent as LIMBS longs each, which add up without overflow.
+EDGE, LIMB, LIMBS = 2**60, 48, 3
 
 
 def entries(batch: pa.RecordBatch, size: int | None = None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -54,7 +56,7 @@ def entries(batch: pa.RecordBatch, size: int | None = None) -> dict[int, tuple[n
             c = values[start[at][:, None] + np.arange(n)]
             with np.errstate(over="ignore"):
                 c = np.floor(c * SCALE)
-            edge = float(LONG - 2 * OFFSET)
+            edge = float(EDGE)
             out[n] = at, np.clip(c, -edge, edge).astype(np.int64) + OFFSET
     return out
 
@@ -77,9 +79,21 @@ def _products(y: np.ndarray) -> list[int]:
     return [sum(a * b for a, b in zip(columns[i], columns[j], strict=True)) for i, j in zip(*upper, strict=True)]
 
 
-def _summed(partial: DataFrame, kind: str, *keys: str) -> DataFrame:
-    """The partial sums (keys, n, v: an array of decimal numbers) added up: keys, pos, n, v."""
-    return partial.select(*keys, "n", F.posexplode("v").alias("pos", "v")).groupBy(*keys, "pos").agg(F.sum("n").alias("n"), F.sum(F.col("v").cast(kind)).alias("v"))
+def limbs(values: list[int]) -> list[int]:
+    """Whole numbers of any size that a batch can give as longs: their lowest limbs, then the next ones; the last is signed."""
+    low = (1 << LIMB) - 1
+    return [v & low for v in values] + [v >> LIMB & low for v in values] + [v >> 2 * LIMB for v in values]
+
+
+def whole(sums: list[int]) -> list[int]:
+    n = len(sums) // LIMBS
+    return [sums[i] + (sums[n + i] << LIMB) + (sums[2 * n + i] << 2 * LIMB) for i in range(n)]
+
+
+def _summed(partial: DataFrame, kind: str = "decimal(38,0)") -> list:
+    """The arrays v of partial sums added up on the executors, entry by entry."""
+    x = partial.select(F.posexplode("v").alias("pos", "v")).groupBy("pos").agg(F.sum(F.col("v").cast(kind)).alias("v"))
+    return [r["v"] for r in x.orderBy("pos").collect()]
 
 
 def sums(vectors: DataFrame) -> tuple[int, int, list[int]]:
@@ -87,15 +101,14 @@ def sums(vectors: DataFrame) -> tuple[int, int, list[int]]:
 
     def one(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            rows = [(n, len(x), list(map(str, _columns(x)))) for n, (_, x) in entries(batch).items()]
-            yield pa.RecordBatch.from_pylist([dict(zip(("size", "n", "v"), r, strict=True)) for r in rows], pa.schema([("size", pa.int64()), ("n", pa.int64()), ("v", pa.list_(pa.string()))]))
+            rows = [{"size": n, "n": len(x), "v": limbs(_columns(x))} for n, (_, x) in entries(batch).items()]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("size", pa.int64()), ("n", pa.int64()), ("v", pa.list_(pa.int64()))]))
 
-    parts = materialize(vectors.mapInArrow(one, "size long, n long, v array<string>"), "sums")
+    parts = materialize(vectors.mapInArrow(one, "size long, n long, v array<long>"), "sums")
     size = parts.groupBy("size").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.desc("size")).first()
     if size is None:
         return 0, 0, []
-    found = _summed(parts.where(F.col("size") == size["size"]), "decimal(38,0)").orderBy("pos").collect()
-    return size["size"], size["n"], [int(r["v"]) for r in found]
+    return size["size"], size["n"], whole([int(v) for v in _summed(parts.where(F.col("size") == size["size"]))])
 
 
 def scatter(vectors: DataFrame, d: int, n: int, total: list[int]) -> np.ndarray:
@@ -105,13 +118,13 @@ def scatter(vectors: DataFrame, d: int, n: int, total: list[int]) -> np.ndarray:
     def one(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for _, x in entries(batch, d).values():
-                yield pa.RecordBatch.from_arrays([pa.array([len(x)], pa.int64()), pa.array([list(map(str, _products(x - near)))], pa.list_(pa.string()))], ["n", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array([limbs(_products(x - near))], pa.list_(pa.int64()))], ["v"])
 
-    got = _summed(vectors.mapInArrow(one, "n long, v array<string>"), "decimal(38,0)").orderBy("pos").collect()
+    got = whole([int(v) for v in _summed(vectors.mapInArrow(one, "v array<long>"))])
     left = [s - n * m for s, m in zip(total, near.tolist(), strict=True)]  # sums of x less the rounded mean
     out = np.zeros((d, d))
-    for (i, j), r in zip(zip(*np.triu_indices(d), strict=True), got, strict=True):
-        out[i, j] = out[j, i] = (n * int(r["v"]) - left[i] * left[j]) / n**2  # one rounding
+    for (i, j), s in zip(zip(*np.triu_indices(d), strict=True), got, strict=True):
+        out[i, j] = out[j, i] = (n * s - left[i] * left[j]) / n**2  # one rounding
     return out
 
 
@@ -178,9 +191,9 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS) -> DataFrame:
             for _, x in entries(batch, d).values():
                 w = projected(x)
                 both = np.concatenate([w.sum(0), (w.T @ w)[np.triu_indices(m)]])
-                yield pa.RecordBatch.from_arrays([pa.array([len(x)], pa.int64()), pa.array([both.tolist()], pa.list_(pa.float64()))], ["n", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array([both.tolist()], pa.list_(pa.float64()))], ["v"])
 
-    got = [r["v"] for r in _summed(x.select("embedding").mapInArrow(measured, "n long, v array<double>"), "double").orderBy("pos").collect()]
+    got = _summed(x.select("embedding").mapInArrow(measured, "v array<double>"), "double")
     mean, error = np.array(got[:m]) / n, 0.0
     for (i, j), s in zip(zip(*np.triu_indices(m), strict=True), got[m:], strict=True):
         error = max(error, abs(s / n - mean[i] * mean[j] - (i == j)))

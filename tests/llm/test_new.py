@@ -290,3 +290,12 @@ def test_pairs_of_partial_sums():
 
 def test_all_pairs_of_windows_are_judged_by_words():
     assert list(itertools.islice(substring.FMIndex([np.array([1, 2, 3])], np.array([4]), most=2).first_documents([np.array([2, 3, 1])]), 1))[0].tolist() == [4, substring.LAST]
+
+
+def test_limbs():
+    """Sums of limbs are sums of the numbers, also of negative ones and beyond 2**127."""
+    rng = random.Random(3)
+    rows = [[rng.randrange(-(2**140), 2**140) >> rng.randrange(140) for _ in range(5)] for _ in range(50)]
+    parts = [whitening.limbs(r) for r in rows]
+    assert all(-(2**63) <= v < 2**63 for p in parts for v in p)
+    assert whitening.whole([sum(c) for c in zip(*parts, strict=True)]) == [sum(c) for c in zip(*rows, strict=True)]
