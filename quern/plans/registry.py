@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.plans import catalog_queries, evolve_queries, graph_queries, index_queries, ingest_queries, search_queries, trace_queries
+from quern.plans import catalog_queries, evolve_queries, graph_queries, index_queries, ingest_queries, point_queries, search_queries, trace_queries
 
-_ALL = [search_queries.R, catalog_queries.R, trace_queries.R, graph_queries.R, evolve_queries.R, ingest_queries.R, index_queries.R]
+_ALL = [search_queries.R, catalog_queries.R, trace_queries.R, graph_queries.R, evolve_queries.R, ingest_queries.R, index_queries.R, point_queries.R]
 
 
 def queries() -> dict:
