@@ -120,7 +120,7 @@ def call_graph(edges: DataFrame, symbols: DataFrame, root: str, depth: int = 2)
     """
     lines = symbols.select(F.col("name").alias("caller"), "file", "line").distinct()
     loops = edges.where("caller = callee").join(lines, ["caller", "file", "line"], "left_semi").select("caller", "callee", "file", "line").distinct()
-    e = edges.join(loops, ["caller", "callee", "file", "line"], "left_anti")
+    e = materialize(edges.join(loops, ["caller", "callee", "file", "line"], "left_anti"), "call-edges")  # read again at each level
     single = symbols.groupBy("name").agg(F.count("*").alias("n")).where("n = 1").select("name")
     frontier = edges.sparkSession.createDataFrame([(root,)], "name string")
     levels = [frontier.withColumn("depth", F.lit(0))]
@@ -140,6 +140,7 @@ def call_graph(edges: DataFrame, symbols: DataFrame, root: str, depth: int = 2)
 def call_graph_both(edges: DataFrame, root: str, depth: int = 2, limits: Graph = Graph()) -> tuple[DataFrame, DataFrame]:
     """Symbols and edges in both directions from every symbol reached, within the limits, nearest first."""
     depth = min(5, max(1, depth or 2))
+    edges = materialize(edges, "call-edges")  # read again at each level
     frontier = edges.sparkSession.createDataFrame([(root,)], "name string")
     nodes, found = [frontier.withColumn("level", F.lit(0))], []
     for level in range(1, depth + 1):

@@ -11,6 +11,7 @@ from quern.plans.base import DOC_PATH, Registry, chunk_sql, doc_path
 from quern.session import table
 from quern.sources import files, tables
 from quern.streaming import events as E
+from quern.streaming import watch as W
 
 R = Registry()
 
@@ -150,3 +151,21 @@ SELECT path FROM p WHERE CASE WHEN source = 'src3' OR source = 'src4' AND lang =
 def ignored_paths(spark, d):
     rules = spark.createDataFrame([(folder, pattern, i) for i, (folder, pattern) in enumerate(IGNORE_RULES)], "folder string, pattern string, number long")
     return files.ignored_paths(table(spark, d, "documents").select(doc_path().alias("path")), rules)
+
+
+#: Two hours of quiet, twelve at most.
+WATCH = W.Times(quiet=7_200_000, latency=43_200_000, poll=10**15, safety=10**15)
+
+
+@R.add("watch_requests", f"""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000 AS t, (event_type = 'error')::BIGINT AS o, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type = 'error') AS i FROM events),
+r(user_id, i, first, quiet, hints, overflows, asked, late, h, v) AS (
+ SELECT user_id, i, t, t + {WATCH.quiet}, 1 - o, o, NULL::BIGINT, NULL::BOOLEAN, NULL::BIGINT, NULL::BIGINT FROM e WHERE i = 1
+ UNION ALL
+ SELECT e.user_id, e.i, CASE WHEN done THEN t ELSE first END, t + {WATCH.quiet}, CASE WHEN done THEN 0 ELSE hints END + 1 - o, CASE WHEN done THEN 0 ELSE overflows END + o,
+  CASE WHEN done THEN due END, first + {WATCH.latency} <= quiet, hints, overflows
+ FROM (SELECT *, least(quiet, first + {WATCH.latency}) AS due FROM r) q JOIN e ON e.user_id = q.user_id AND e.i = q.i + 1, LATERAL (SELECT due <= t AS done))
+SELECT 'u' || user_id AS worktree, asked AS "at", CASE WHEN late THEN 'latency' ELSE 'quiet' END AS reason, h AS hints, v AS overflows FROM r WHERE asked IS NOT NULL""")
+def watch_requests(spark, d):
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "error", "overflow").otherwise("hint")
+    return W.requests_of(e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("worktree"), kind.alias("kind"), "ts"), WATCH)
