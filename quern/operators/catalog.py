@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.session import materialize
+
 
 def reconcile(desired: DataFrame, indexed: DataFrame) -> DataFrame:
     """path, op (UPSERT or DELETE), desired_hash in order of op and path: what makes the index match; both sides have path and hash."""
@@ -249,11 +252,15 @@ def verify_import(documents: DataFrame, chunks: DataFrame, artifacts: DataFrame,
     return x.withColumn("agrees", ok)
 
 
+Migration = Callable[[dict[str, DataFrame]], dict[str, DataFrame]]
+
+
 class Snapshot:
     """Tables in numbered folders behind a pointer that is switched last; readers see whole snapshots only."""
 
-    def __init__(self, spark: SparkSession, root: str, version: int = 1) -> None:
-        self.spark, self.root, self.version = spark, root.rstrip("/"), version
+    def __init__(self, spark: SparkSession, root: str, version: int = 1, migrations: dict[int, Migration] | None = None) -> None:
+        """migrations: by version, what makes the next version's tables of that one's."""
+        self.spark, self.root, self.version, self.migrations = spark, root.rstrip("/"), version, migrations or {}
 
     def _pointers(self) -> DataFrame | None:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_pointer")
@@ -271,10 +278,47 @@ class Snapshot:
         self.spark.createDataFrame([(name, self.version, number)], "name string, version int, number long").coalesce(1).write.mode("append").json(f"{self.root}/_pointer")
         return name
 
-    def load(self, table: str) -> DataFrame:
-        """Of the newest snapshot; one of another version is an error."""
+    def _newest(self) -> Row:
         pointers = self._pointers()
         found = pointers.orderBy(F.desc("number")).first() if pointers is not None else None
+        if found is not None and found["version"] < self.version and all(v in self.migrations for v in range(found["version"], self.version)):
+            self._upgrade(found)
+            found = self._pointers().orderBy(F.desc("number")).first()
         if found is None or found["version"] != self.version:
             raise ValueError(f"snapshot version {found and found['version']}, not {self.version}")
-        return self.spark.read.parquet(f"{self.root}/{found['name']}/{table}")
+        return found
+
+    def _upgrade(self, found: Row) -> None:
+        """Write the newest snapshot once more, as of this version; the old one stays, and a broken-off upgrade is simply done again."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{found['name']}")
+        names = [s.getPath().getName() for s in where.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(where)]
+        tables = {n: self.spark.read.parquet(f"{self.root}/{found['name']}/{n}") for n in names}
+        for version in range(found["version"], self.version):
+            tables = self.migrations[version](tables)
+        self.save(tables)
+
+    def load(self, table: str) -> DataFrame:
+        """Of the newest snapshot; one of an older version is migrated first, another one is an error."""
+        return self.spark.read.parquet(f"{self.root}/{self._newest()['name']}/{table}")
+
+
+def members(spark: SparkSession, readers: dict[str, Callable[[], DataFrame]], name: str = "member") -> tuple[DataFrame | None, DataFrame]:
+    """The rows of all members that can be read, with their member, and each member's status: ok, rows and error.
+
+    Each member is read to its end before it counts, so a damaged file costs that member alone.
+    """
+    rows, status = None, []
+    for key, read in readers.items():
+        try:
+            x = materialize(read().withColumn(name, F.lit(key)), "member")
+            status.append((key, True, x.count(), None))
+        except Exception as e:
+            status.append((key, False, 0, str(e).strip().split("\n")[0][:300]))
+            continue
+        rows = x if rows is None else rows.unionByName(x, allowMissingColumns=True)
+    return rows, spark.createDataFrame(status, f"{name} string, ok boolean, rows long, error string")
+
+
+def vector_size(column: str, size: int) -> Callable[[DataFrame], DataFrame]:
+    """Vectors of another size: cut, or filled up with zeros."""
+    return lambda df: df.withColumn(column, F.slice(F.concat(column, F.array_repeat(F.lit(0).cast("float"), size)), 1, size))

@@ -10,9 +10,10 @@ from quern.api import workspace
 from quern.functions import text as X
 from quern.operators import catalog as C
 from quern.operators import chunking, embed, index
+from quern.operators.rounds import Permanent, index_once
 from quern.plans.base import DOC_PATH, Registry, chunk_sql, doc_path
 from quern.plans.catalog_queries import JOBS, _jobs
-from quern.session import materialize, table
+from quern.session import materialize, shared_dir, table
 
 R = Registry()
 
@@ -348,3 +349,63 @@ def verify_import(spark, d):
     chunks = table(spark, d, "part").where("p_partkey % 10 <> 0").select(F.concat(F.lit("c"), F.col("p_partkey").cast("string")).alias("id"))
     links = li.join(chunks.withColumnRenamed("id", "chunk_id"), "chunk_id")
     return C.verify_import(documents, chunks, documents.select(F.col("path").alias("artifact_id")), links.select(F.col("path").alias("artifact_id"), "chunk_id")).select("placements", "dangling", "unique_chunks", "files", "agrees")
+
+
+def _lines(rows: list[dict], number: int) -> list[int]:
+    """Lines of each text; every eleventh document always fails, every seventh in the first two rounds, every thirteenth in all."""
+    for r in rows:
+        if r["doc_id"] % 11 == 0:
+            raise Permanent("unreadable")
+        if r["doc_id"] % 7 == 0 and number < 3 or r["doc_id"] % 13 == 0:
+            raise TimeoutError("no answer")
+    return [r["text"].count("\n") + 1 if r["text"] is not None else 0 for r in rows]
+
+
+def _indexed_once(spark, d):
+    """Of all documents every fourth is new, every fifth has changed, and every third old row has lost its document."""
+    docs = table(spark, d, "documents").select(doc_path().alias("path"), F.coalesce(F.md5("text"), F.lit("")).alias("hash"), "doc_id", "text")
+    old = docs.where("doc_id % 4 != 0").select("path", F.when(F.col("doc_id") % 5 == 0, "old").otherwise(F.col("hash")).alias("hash"), F.lit(-1).cast("long").alias("result"))
+    gone = docs.where("doc_id % 3 = 0").select(F.concat(F.lit("gone/"), "path").alias("path"), "hash", F.lit(-2).cast("long").alias("result"))
+    return index_once(old.unionByName(gone), docs, _lines, "long", attempts=4)
+
+
+ONCE = f"""d AS (SELECT {DOC_PATH} AS path, coalesce(md5(text), '') AS hash, doc_id, text, doc_id % 4 = 0 AS new, doc_id % 4 = 0 OR doc_id % 5 = 0 AS todo,
+  CASE WHEN doc_id % 11 = 0 THEN 'Permanent: unreadable' WHEN doc_id % 13 = 0 THEN 'TimeoutError: no answer' END AS error FROM documents)"""
+
+
+@R.add("index_once", f"""WITH {ONCE} SELECT path, CASE WHEN todo AND error IS NOT NULL THEN 'old' ELSE hash END AS hash,
+ CASE WHEN NOT todo OR error IS NOT NULL THEN -1 ELSE coalesce(length(text) - length(replace(text, chr(10), '')) + 1, 0) END::BIGINT AS result FROM d WHERE NOT (new AND error IS NOT NULL)""")
+def index_once_view(spark, d):
+    return _indexed_once(spark, d)[0]
+
+
+@R.add("dead_letters", f"WITH {ONCE} SELECT path, hash, CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 4 END AS attempts, error FROM d WHERE todo AND error IS NOT NULL")
+def dead_letters(spark, d):
+    return _indexed_once(spark, d)[1]
+
+
+@R.add("member_status", """SELECT 'documents' AS member, true AS ok, count(*) AS rows FROM documents UNION ALL SELECT 'pages', true, count(*) FROM pages
+UNION ALL SELECT 'broken', false, 0 UNION ALL SELECT 'missing', false, 0""")
+def member_status(spark, d):
+    """Two members that can be read, one whose column isn't what it says, and one that isn't there."""
+    docs, pages = table(spark, d, "documents"), table(spark, d, "pages")
+    broken = lambda: docs.select(F.expr("cast(text AS date)").alias("id"))
+    readers = {"documents": lambda: docs.select(F.col("doc_id").alias("id")), "pages": lambda: pages.select(F.col("page_id").alias("id")), "broken": broken, "missing": lambda: spark.read.parquet(f"{d}/no_such.parquet")}
+    return C.members(spark, readers)[1].select("member", "ok", "rows")
+
+
+@R.add("member_rows", "SELECT doc_id AS id, 'documents' AS member FROM documents UNION ALL SELECT page_id, 'pages' FROM pages")
+def member_rows(spark, d):
+    docs, pages = table(spark, d, "documents"), table(spark, d, "pages")
+    readers = {"missing": lambda: spark.read.parquet(f"{d}/no_such.parquet"), "documents": lambda: docs.select(F.col("doc_id").alias("id")), "pages": lambda: pages.select(F.col("page_id").alias("id"))}
+    return C.members(spark, readers)[0]
+
+
+@R.add("migrated_snapshot", "SELECT vec_id AS chunk_id, (embedding[1:48])::DOUBLE[] AS vector, 'm' || label AS model FROM embeddings")
+def migrated_snapshot(spark, d):
+    """Embeddings saved as version 1; version 2 names its columns anew and has a model, version 3 has vectors of 48."""
+    root = f"{shared_dir(spark)}/migrated-{uuid.uuid4().hex}"
+    C.Snapshot(spark, root, 1).save({"chunks": table(spark, d, "embeddings")})
+    second = lambda t: {"chunks": t["chunks"].select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), F.concat(F.lit("m"), F.col("label").cast("string")).alias("model"))}
+    third = lambda t: {"chunks": C.vector_size("vector", 48)(t["chunks"])}
+    return C.Snapshot(spark, root, 3, {1: second, 2: third}).load("chunks").withColumn("vector", F.col("vector").cast("array<double>"))
