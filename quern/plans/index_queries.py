@@ -10,6 +10,7 @@ from quern.api import workspace
 from quern.functions import text as X
 from quern.operators import catalog as C
 from quern.operators import chunking, embed, index
+from quern.operators import lines as L
 from quern.operators.rounds import Permanent, index_once
 from quern.plans.base import DOC_PATH, Registry, chunk_sql, doc_path
 from quern.plans.catalog_queries import JOBS, _jobs
@@ -409,3 +410,34 @@ def migrated_snapshot(spark, d):
     second = lambda t: {"chunks": t["chunks"].select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), F.concat(F.lit("m"), F.col("label").cast("string")).alias("model"))}
     third = lambda t: {"chunks": C.vector_size("vector", 48)(t["chunks"])}
     return C.Snapshot(spark, root, 3, {1: second, 2: third}).load("chunks").withColumn("vector", F.col("vector").cast("array<double>"))
+
+
+#: A map for two thirds of the brands: some lines have no source, others move by tens.
+LINE_MAP = """b AS (SELECT DISTINCT p_brand AS path FROM part WHERE ascii(right(p_brand, 1)) % 3 <> 0), m AS (SELECT path, n::INT AS line, (n + 10 * (n // 12))::INT AS source FROM b, range(1, 61) AS g(n) WHERE n % 17 <> 0)"""
+
+
+def _runs(spark, d):
+    brands = table(spark, d, "part").where(F.ascii(F.right("p_brand", F.lit(1))) % 3 != 0).select(F.col("p_brand").alias("path")).distinct()
+    x = brands.select("path", F.explode(F.sequence(F.lit(1), F.lit(60))).alias("line")).where("line % 17 != 0")
+    return L.runs(x.withColumn("source", F.col("line") + 10 * F.floor(F.col("line") / 12).cast("int")))
+
+
+@R.add("line_runs", f"""WITH {LINE_MAP}, s AS (SELECT path, line, source - line AS shift, line - row_number() OVER (PARTITION BY path, source - line ORDER BY line) AS run FROM m)
+SELECT path, min(line) AS start, max(line) AS stop, shift FROM s GROUP BY path, shift, run""")
+def line_runs(spark, d):
+    return _runs(spark, d)
+
+
+@R.add("remapped_symbols", f"""WITH {LINE_MAP} SELECT p_partkey, p_brand AS path, CASE WHEN b.path IS NULL THEN p_size ELSE coalesce(x.source, 0) END AS line,
+ CASE WHEN b.path IS NULL THEN p_size + 13 ELSE coalesce(y.source, 0) END AS end_line FROM part LEFT JOIN b ON b.path = p_brand LEFT JOIN m x ON x.path = p_brand AND x.line = p_size LEFT JOIN m y ON y.path = p_brand AND y.line = p_size + 13""")
+def remapped_symbols(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("path"), F.col("p_size").alias("line"), (F.col("p_size") + 13).alias("end_line"))
+    return L.remap(p, _runs(spark, d), "line", "end_line")
+
+
+@R.add("twice_remapped", f"""WITH {LINE_MAP} SELECT p_partkey, p_brand AS path, CASE WHEN b.path IS NULL THEN p_size ELSE coalesce(y.source, 0) END AS line
+FROM part LEFT JOIN b ON b.path = p_brand LEFT JOIN m x ON x.path = p_brand AND x.line = p_size LEFT JOIN m y ON y.path = p_brand AND y.line = x.source""")
+def twice_remapped(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("path"), F.col("p_size").alias("line"))
+    runs = _runs(spark, d)
+    return L.remap(p, L.joined(runs, runs), "line")
