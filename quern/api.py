@@ -54,12 +54,13 @@ class Repository:
     def graph_search(self, query: str, limit: int = 10, mode: str = "auto", scopes: list[str] | None = None, kinds: list[str] | None = None, pattern: str = "") -> DataFrame:
         """features: by words of features and names; snippets: by the text of chunks; auto: the first that finds anything."""
         hits = graph.search_nodes(self.nodes, query, limit, kinds, scopes, pattern)
-        if mode == "features" or mode == "auto" and not hits.isEmpty():
+        if mode == "features":
             return hits
         limit = limit if limit > 0 else 10
         text = search.text_search(self.chunks, query, limit * 4).select("path", "score")
         best = text.groupBy("path").agg(F.max("score").alias("score"))
-        return self.nodes.drop("score").join(F.broadcast(best), "path").orderBy(F.desc("score"), "id").limit(limit)  # at most 4 * limit paths
+        found = self.nodes.drop("score").join(F.broadcast(best), "path").orderBy(F.desc("score"), "id").limit(limit)  # at most 4 * limit paths
+        return graph.first_that_finds(hits, found.select(hits.columns)) if mode == "auto" else found
 
     def graph_fetch(self, ids: list[str]) -> DataFrame:
         return graph.fetch(self.nodes, self.graph_edges, self.files, ids)

@@ -347,3 +347,46 @@ def children(edges: DataFrame, ids: DataFrame) -> DataFrame:
 def add_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
     """New edges, each (src, dst, type) once; one that is there takes the new weight."""
     return edges.join(new.select("src", "dst", "type").distinct(), ["src", "dst", "type"], "left_anti").select(edges.columns).unionByName(new.dropDuplicates(["src", "dst", "type"]).select(edges.columns))
+
+
+def first_that_finds(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The rows of first, or those of second if there are none; one plan, decided as it runs."""
+    any_ = first.limit(1).select(F.lit(1).alias("_found"))  # a row or none
+    return first.unionByName(second.withColumn("_found", F.lit(1)).join(F.broadcast(any_), "_found", "left_anti").drop("_found"))
+
+
+def search_auto(nodes: DataFrame, chunk_hits: DataFrame, query: str, limit: int = 10, **scope) -> DataFrame:
+    """id, path, score of nodes by features and names, or, where these find nothing, of the symbols in files whose chunks (path, score) were found."""
+    hits = search_nodes(nodes, query, limit, **scope).select("id", "path", F.col("score").cast("double").alias("score"))
+    best = chunk_hits.groupBy("path").agg(F.max("score").cast("double").alias("score"))
+    below = nodes.where("kind = 'symbol'").select("id", "path").join(best, "path").select("id", "path", "score").orderBy(F.desc("score"), "id").limit(limit if limit > 0 else 10)
+    return first_that_finds(hits, below)
+
+
+def node_records(nodes: DataFrame, edges: DataFrame, files: DataFrame, ids: DataFrame, limit: int = 20) -> DataFrame:
+    """One record for each of ids (id): kind, feature, feature_path, chain, children, incoming and outgoing.
+
+    chain: the ancestors from the nearest up; children: the first by id; incoming, outgoing: for each type of edge the number
+    and the first neighbours by id. Lists hold ``limit`` entries at most, numbers count all; a hub is cut before it is gathered.
+    """
+    wanted = materialize(nodes.join(ids.select("id").distinct(), "id", "left_semi"), "wanted")
+    edges = materialize(edges, "record-edges")  # read by each part of a record
+    key = wanted.select("id")
+    up = ancestors(edges, key)
+    chain = up.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("hops", "ancestor"))), lambda c: c["ancestor"]).alias("chain"))
+    first = lambda *by: F.row_number().over(Window.partitionBy("id", *by).orderBy("other"))
+    kids = children(edges, key).withColumnRenamed("child", "other")
+    kids = kids.withColumn("r", first()).where(F.col("r") <= limit).groupBy("id").agg(F.array_sort(F.collect_list("other")).alias("children"))
+
+    def by_type(own: str, other: str, name: str) -> DataFrame:
+        x = edges.select(F.col(own).alias("id"), F.col(other).alias("other"), "type").join(key, "id", "left_semi")
+        n = x.groupBy("id", "type").agg(F.count("*").alias("n"))
+        some = x.withColumn("r", first("type")).where(F.col("r") <= limit).groupBy("id", "type").agg(F.array_sort(F.collect_list("other")).alias("ids"))
+        return n.join(some, ["id", "type"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("type", "n", "ids"))).alias(name))
+
+    place = all_feature_paths(wanted, files, edges.where("false").select("src", "dst"))
+    out = wanted.select("id", "kind", "feature")
+    for part in (place, chain, kids, by_type("dst", "src", "incoming"), by_type("src", "dst", "outgoing")):
+        out = out.join(part, "id", "left")
+    none = F.array().cast("array<string>")
+    return out.withColumns({"chain": F.coalesce("chain", none), "children": F.coalesce("children", none)})

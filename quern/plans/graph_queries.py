@@ -323,3 +323,63 @@ def summarized_hierarchy(spark, d):
     files = G.file_nodes(placed, s).select("id", "kind", "feature", none.alias("label"), none.alias("summary"))
     x = S.summarize_levels(above.unionByName(files), G.hierarchy_edges(placed), _digest)
     return x.where("kind != 'file'").select("id", "summary")
+
+
+_TREE = f"""{UNIQUE}, {FILES.replace("FROM k ", "FROM un ")}, te AS (SELECT 'file:' || path AS src, id AS dst, 'contains' AS type FROM un
+UNION SELECT 'area:' || area, {_CAT_ID}, 'feature_parent' FROM fl UNION SELECT {_CAT_ID}, {_SUB_ID}, 'feature_parent' FROM fl UNION SELECT {_SUB_ID}, 'file:' || path, 'feature_parent' FROM fl)"""
+
+
+def _tree(spark, d):
+    """Nodes (id, kind, path, feature), edges and placed files of the parts' tree."""
+    s = unique_nodes(spark, d)
+    placed = G.placed(s)
+    above = G.hierarchy_nodes(placed).select("id", "kind", F.lit(None).cast("string").alias("path"), F.col("name").alias("feature"))
+    n = s.select("id", "kind", "path", "feature").unionByName(above).unionByName(G.file_nodes(placed, s).select("id", "kind", "path", "feature"))
+    return n, G.contains_edges(s).unionByName(G.hierarchy_edges(placed)), placed
+
+
+def _lists(df, *names):
+    return df.withColumns({c: F.array_join(c, "|") for c in names})
+
+
+def _edges_text(c):
+    return F.array_join(F.transform(c, lambda e: F.concat(e["type"], F.lit(" "), e["n"].cast("string"), F.lit(" "), F.array_join(e["ids"], "|"))), ";")
+
+
+@R.add("node_records", f"""WITH RECURSIVE {_TREE}, ids AS (SELECT DISTINCT dst AS id FROM te UNION SELECT src FROM te),
+up(id, node, hops) AS (SELECT id, id, 0 FROM ids UNION ALL SELECT up.id, te.src, hops + 1 FROM up JOIN te ON te.dst = up.node),
+ch AS (SELECT id, coalesce(string_agg(node, '|' ORDER BY hops) FILTER (hops > 0), '') AS chain FROM up GROUP BY id),
+kid AS (SELECT src AS id, dst, type, row_number() OVER (PARTITION BY src ORDER BY dst) AS r, count(*) OVER (PARTITION BY src) AS n FROM te),
+kids AS (SELECT id, string_agg(dst, '|' ORDER BY r) FILTER (r <= 4) AS children, any_value(type) || ' ' || any_value(n) || ' ' || string_agg(dst, '|' ORDER BY r) FILTER (r <= 4) AS outgoing FROM kid GROUP BY id),
+par AS (SELECT dst AS id, type || ' 1 ' || src AS incoming FROM te)
+SELECT id, chain, coalesce(children, '') AS children, incoming, outgoing FROM ch LEFT JOIN kids USING (id) LEFT JOIN par USING (id)""")
+def node_records(spark, d):
+    n, e, files = _tree(spark, d)
+    x = G.node_records(n, e, files, n.select("id"), limit=4)
+    return _lists(x, "chain", "children").select("id", "chain", "children", _edges_text(F.col("incoming")).alias("incoming"), _edges_text(F.col("outgoing")).alias("outgoing"))
+
+
+@R.add("feature_path_of_nodes", f"""WITH {_TREE} SELECT id, area || '/' || category || '/' || subcategory AS feature_path FROM un JOIN fl USING (path) UNION ALL SELECT 'file:' || path, area || '/' || category || '/' || subcategory FROM fl
+UNION SELECT {_SUB_ID}, area || '/' || category || '/' || subcategory FROM fl UNION SELECT {_CAT_ID}, area || '/' || category FROM fl UNION SELECT 'area:' || area, area FROM fl""")
+def feature_path_of_nodes(spark, d):
+    n, e, files = _tree(spark, d)
+    return G.node_records(n, e, files, n.select("id")).select("id", "feature_path")
+
+
+def _auto(spark, d, query):
+    n, _, _ = _tree(spark, d)
+    n = n.withColumn("symbol_name", F.when(F.col("kind") == "symbol", F.substring_index("id", ":", -1)).otherwise(""))
+    hits = n.where("kind = 'file'").select("path", (F.expr("substr(path, 5, 1)").cast("int") / 8).alias("score"))
+    return G.search_auto(n, hits, query, 7).select("id", "score")
+
+
+@R.add("search_auto_text", f"WITH {_TREE} SELECT id, path[5]::INT / 8 AS score FROM un JOIN fl USING (path) ORDER BY score DESC, id LIMIT 7")
+def search_auto_text(spark, d):
+    """No feature has the word, so the files' chunks decide."""
+    return _auto(spark, d, "zebra")
+
+
+@R.add("search_auto_features", f"""WITH {UNIQUE}, s AS (SELECT id, ['get', 'ring'] AS q, list_distinct(words || list_filter(regexp_split_to_array(lower(symbol_name), '[-_/ .@]'), lambda w: w <> '')) AS ws FROM un)
+SELECT id, len(list_intersect(q, ws)) / len(list_distinct(q || ws))::DOUBLE AS score FROM s WHERE len(list_intersect(q, ws)) > 0 ORDER BY score DESC, id LIMIT 7""")
+def search_auto_features(spark, d):
+    return _auto(spark, d, "get ring")
