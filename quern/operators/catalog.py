@@ -13,10 +13,10 @@ from quern.session import materialize
 
 
 def reconcile(desired: DataFrame, indexed: DataFrame) -> DataFrame:
-    """path, op (UPSERT or DELETE), desired_hash in order of op and path: what makes the index match; both sides have path and hash."""
+    """path, op (UPSERT or DELETE), desired_hash: what makes the index match; both sides have path and hash. Order it, by op and path, where it is shown."""
     x = desired.select("path", F.col("hash").alias("want")).join(indexed.select("path", F.col("hash").alias("have")), "path", "full_outer")
     op = F.when(F.col("want").isNull(), "DELETE").when(F.col("have").isNull() | (F.col("have") != F.col("want")), "UPSERT")
-    return x.withColumn("op", op).where("op IS NOT NULL").select("path", "op", F.coalesce("want", F.lit("")).alias("desired_hash")).orderBy("op", "path")
+    return x.withColumn("op", op).where("op IS NOT NULL").select("path", "op", F.coalesce("want", F.lit("")).alias("desired_hash"))
 
 
 def index_plan(scanned: DataFrame, known: DataFrame, last_index: Column | None = None) -> DataFrame:

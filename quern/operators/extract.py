@@ -199,7 +199,7 @@ def references(path: str, text: str) -> list[dict]:
 
     generic = r"(?:::)?(?:<[^<>()]*>)?!?" if lang.name in ("rust", "typescript", "java", "csharp", "cpp") else ""
     for m in re.compile(rf"(?<![\w$])({lang.call}){generic}\s*\(", re.ASCII).finditer(plain):
-        method = plain[: m.start()].endswith((".", "->", "::"))
+        method = plain.endswith((".", "->", "::"), 0, m.start())
         if m.start(1) not in names_at and (method or m.group(1) not in keywords):
             add(m.group(1), m.start(1), "call")
     if lang.name in ("javascript", "typescript"):

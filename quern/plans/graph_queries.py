@@ -122,10 +122,14 @@ def co_caller_edges(spark, d):
     return G.co_call_edges(calls, n, existing)
 
 
-@R.add("invokes_edges", f"""WITH {UNIQUE}, c AS (SELECT a.symbol_name AS caller, b.symbol_name AS callee, a.path AS file, (a.line + l_linenumber)::INT AS line FROM lineitem JOIN un a ON a.p_partkey = l_partkey JOIN un b ON b.p_partkey = l_partkey - 1 - l_linenumber),
+#: Calls of the parts' symbols, each with its caller's node and its nearest definition.
+INVOKES = """c AS (SELECT a.symbol_name AS caller, b.symbol_name AS callee, a.path AS file, (a.line + l_linenumber)::INT AS line FROM lineitem JOIN un a ON a.p_partkey = l_partkey JOIN un b ON b.p_partkey = l_partkey - 1 - l_linenumber),
 x AS (SELECT *, row_number() OVER (PARTITION BY caller, callee, file, line ORDER BY s, src) AS n FROM (SELECT DISTINCT c.*, u.id AS src, u.line AS s FROM c JOIN un u ON u.symbol_name = caller AND u.path = file AND c.line BETWEEN u.line AND u.end_line)),
-y AS (SELECT src, u.id AS dst, row_number() OVER (PARTITION BY src, callee, file, x.line ORDER BY CASE WHEN u.path = file THEN 0 WHEN regexp_replace(u.path, '/[^/]*$', '') = regexp_replace(file, '/[^/]*$', '') THEN 1 ELSE 2 END, u.path, u.id) AS n FROM x JOIN un u ON u.symbol_name = callee WHERE x.n = 1)
-SELECT DISTINCT src, dst, 'invokes' AS type, 1.0::DOUBLE AS weight FROM y WHERE n = 1 AND src <> dst""")
+y AS (SELECT src, u.id AS dst, row_number() OVER (PARTITION BY src, callee, file, x.line ORDER BY CASE WHEN u.path = file THEN 0 WHEN regexp_replace(u.path, '/[^/]*$', '') = regexp_replace(file, '/[^/]*$', '') THEN 1 ELSE 2 END, u.path, u.id) AS n FROM x JOIN un u ON u.symbol_name = callee WHERE x.n = 1),
+iv AS (SELECT DISTINCT src, dst FROM y WHERE n = 1 AND src <> dst)"""
+
+
+@R.add("invokes_edges", f"WITH {UNIQUE}, {INVOKES} SELECT src, dst, 'invokes' AS type, 1.0::DOUBLE AS weight FROM iv")
 def invokes_edges(spark, d):
     return G.invokes_edges(_node_calls(spark, d), unique_nodes(spark, d))
 
@@ -287,9 +291,21 @@ def built_nodes(spark, d):
     return _built(spark, d)[0].select("id", "kind", F.array_join("features", "|").alias("features"))
 
 
-@R.add("built_edges")
+@R.add("built_edges", f"""WITH {UNIQUE}, {INVOKES}, {SEMANTIC},
+im AS (SELECT DISTINCT a.path AS pa, b.path AS pb FROM iv JOIN un a ON a.id = src JOIN un b ON b.id = dst WHERE a.path <> b.path),
+se AS (SELECT a, b, j FROM pr WHERE j >= 0.5),
+fit AS (SELECT src FROM iv GROUP BY src HAVING count(*) BETWEEN 2 AND 50),
+co AS (SELECT p.dst AS a, q.dst AS b, count(*) AS n FROM iv p JOIN iv q ON p.src = q.src AND p.dst < q.dst WHERE p.src IN (SELECT src FROM fit) GROUP BY 1, 2 HAVING count(*) >= 2),
+far AS (SELECT co.* FROM co JOIN un p ON p.id = a JOIN un q ON q.id = b WHERE p.path <> q.path AND NOT EXISTS (SELECT 1 FROM se WHERE se.a = co.a AND se.b = co.b)),
+uc AS (SELECT path, cluster FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY n DESC, cluster) AS r FROM (SELECT path, cluster, count(*) AS n FROM un GROUP BY 1, 2)) WHERE r = 1),
+pl AS (SELECT path, string_split(path, '/')[1] AS area, string_split(path, '/')[2] AS category, cluster AS subcategory FROM uc UNION ALL SELECT 'docs/handle_readme.md', 'docs', 'handle_readme', 'general'),
+tr AS (SELECT 'area:' || area AS src, 'cat:' || area || '/' || category AS dst FROM pl UNION SELECT 'cat:' || area || '/' || category, 'subcat:' || area || '/' || category || '/' || subcategory FROM pl
+ UNION SELECT 'subcat:' || area || '/' || category || '/' || subcategory, 'file:' || path FROM pl)
+SELECT DISTINCT 'file:' || path AS src, id AS dst, 'contains' AS type, 1.0::DOUBLE AS weight FROM un UNION ALL SELECT src, dst, 'invokes', 1.0 FROM iv
+UNION ALL SELECT 'file:' || pa, 'file:' || pb, 'imports', 1.0 FROM im UNION ALL SELECT a, b, 'semantic_sim', round(j, 6) FROM se
+UNION ALL SELECT a, b, 'semantic_sim', round(least(1.0, n / 5.0), 6) FROM far UNION ALL SELECT src, dst, 'feature_parent', 1.0 FROM tr""")
 def built_edges(spark, d):
-    """All edges of the whole build; its stages have queries with SQL of their own."""
+    """All edges of the whole build."""
     return _built(spark, d)[1].withColumn("weight", F.round("weight", 6))
 
 
