@@ -238,3 +238,26 @@ def test_pipeline(spark):
     assert [n for n, _ in c.STAGES] == ["toxicity", "line dedup", "near-dedup", "mixing", "packing"]
     assert 0 < len(kept["toxicity"]) < first.count() and kept["packing"]
     assert docs.agg(F.countDistinct("doc_id")).first()[0] <= len(kept["near-dedup"])
+
+
+@pytest.mark.parametrize("kind", ["corpus", "empty"])
+def test_pipeline_edges(spark, clashing, empty, kind):
+    """Nulls, repeated rows, empty and long texts and clashing columns, or no rows at all, pass through every stage."""
+    import corpus_pipeline
+    from quern.session import materialize
+
+    docs = clashing if kind == "corpus" else empty
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, "/root/testdata/sf0.001"), "edge-stage")
+        if name != "packing":
+            assert docs.columns == columns, name
+        if kind == "corpus" and name == "near-dedup":
+            texts = [r.text for r in docs.where("doc_id IS NOT NULL").collect() if (r.text or "").strip()]
+            assert len(texts) == len(set(texts)) > 20
+    if kind == "empty":
+        assert docs.count() == 0
+    else:
+        assert {"doc_id", "piece", "sequence_id", "offset", "length"} <= set(docs.columns)
+        packed = docs.groupBy("sequence_id").agg({"length": "sum"}).collect()
+        assert packed and all(r[1] <= 2048 for r in packed)
