@@ -100,13 +100,13 @@ def embed_misses(spark, d):
 def _versions(spark, d):
     x = table(spark, d, "documents").select(doc_path().alias("path"), "doc_id", "text")
     desired = x.where("doc_id % 5 <> 0").select("path", F.sha1(F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("hash"))
-    indexed = x.where("doc_id % 7 <> 0").select("path", F.sha1("text").alias("hash"))
+    indexed = x.where("doc_id % 7 <> 0 OR doc_id % 5 = 0").select("path", F.sha1("text").alias("hash"))
     return desired, indexed
 
 
 VERSIONS = f"""x AS (SELECT {DOC_PATH} AS path, doc_id, text FROM documents),
 w AS (SELECT path, sha1(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END) AS hash FROM x WHERE doc_id % 5 <> 0),
-h AS (SELECT path, sha1(text) AS hash FROM x WHERE doc_id % 7 <> 0)"""
+h AS (SELECT path, sha1(text) AS hash FROM x WHERE doc_id % 7 <> 0 OR doc_id % 5 = 0)"""
 
 
 @R.add("reconcile_plan", f"""WITH {VERSIONS} SELECT coalesce(w.path, h.path) AS path, CASE WHEN w.path IS NULL THEN 'DELETE' ELSE 'UPSERT' END AS op, coalesce(w.hash, '') AS desired_hash

@@ -91,10 +91,10 @@ def queue_across_catalogs(spark, d):
     return index.across([q, q])
 
 
-@R.add("workspace_union", "SELECT 'a' AS project, p_partkey, p_brand FROM part WHERE p_size < 10 UNION ALL SELECT 'b', p_partkey, p_brand FROM part WHERE p_size > 30")
+@R.add("workspace_union", "SELECT 'a' AS project, p_partkey, p_brand FROM part WHERE p_size < 20 UNION ALL SELECT 'b', p_partkey, p_brand FROM part WHERE p_size >= 20")
 def workspace_union(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size")
-    return workspace({"a": p.where("p_size < 10").drop("p_size"), "b": p.where("p_size > 30").drop("p_size")})
+    return workspace({"a": p.where("p_size < 20").drop("p_size"), "b": p.where("p_size >= 20").drop("p_size")})
 
 
 @R.add("get_document", f"SELECT doc_id, {DOC_PATH} AS path, sha256(text) AS hash FROM documents WHERE doc_id = 7")
@@ -265,18 +265,18 @@ coms AS (SELECT l_orderkey % 5 AS worktree_id, 'f' || l_orderkey % 977 AS path,
 
 
 def _committed(spark, d):
-    """Artifacts of four fifths of the parts are known; all parts with even keys come, two thirds of them with symbols."""
+    """Artifacts of nine tenths of the parts are known; all parts with even keys come, two thirds of them with symbols."""
     trees, gens, view, jobs = _catalog(spark, d)
     p, li = table(spark, d, "part"), table(spark, d, "lineitem")
     key, text = F.col("p_partkey"), lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
-    old, new = key % 5 != 0, key % 2 == 0
+    old, new = (key % 5 != 0) | (key % 2 != 0), key % 2 == 0
     chunks = lambda prefix, n: p.select(key.alias("artifact_id"), F.explode(F.sequence(F.lit(0), F.col("p_size") % n)).alias("ordinal")).withColumn("chunk_id", text(prefix, "ordinal"))
     mine = lambda x, w: x.where(F.expr(w))
     names = lambda prefix, c: li.select(F.col("l_partkey").alias("artifact_id"), text(prefix, c).alias("name")).distinct()
     calls = lambda prefix, a, b: li.select(F.col("l_partkey").alias("artifact_id"), text(prefix, a).alias("caller"), text(prefix, b).alias("callee")).distinct()
     store = C.Store(
         p.where(old).select(key.alias("artifact_id"), F.col("p_brand").alias("source_hash"), F.col("p_size").alias("symbols_version")),
-        mine(chunks("o", 3), "artifact_id % 5 <> 0"), mine(names("s", "l_linenumber"), "artifact_id % 5 <> 0"), mine(calls("s", "l_linenumber", "l_suppkey"), "artifact_id % 5 <> 0"),
+        mine(chunks("o", 3), "(artifact_id % 5 <> 0 OR artifact_id % 2 <> 0)"), mine(names("s", "l_linenumber"), "(artifact_id % 5 <> 0 OR artifact_id % 2 <> 0)"), mine(calls("s", "l_linenumber", "l_suppkey"), "(artifact_id % 5 <> 0 OR artifact_id % 2 <> 0)"),
         view, jobs,
     )
     commits = li.withColumn("k", F.col("l_orderkey") % 977).select(
@@ -294,26 +294,26 @@ def _committed(spark, d):
 EXTRACTED = "artifact_id % 2 = 0 AND artifact_id % 3 <> 0"
 
 
-@R.add("commit_artifacts", """SELECT p_partkey AS artifact_id, CASE WHEN p_partkey % 5 <> 0 THEN p_brand ELSE p_type END AS source_hash,
- CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 <> 0 THEN 99 WHEN p_partkey % 5 <> 0 THEN p_size ELSE 0 END AS symbols_version FROM part WHERE p_partkey % 5 <> 0 OR p_partkey % 2 = 0""")
+@R.add("commit_artifacts", """SELECT p_partkey AS artifact_id, CASE WHEN (p_partkey % 5 <> 0 OR p_partkey % 2 <> 0) THEN p_brand ELSE p_type END AS source_hash,
+ CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 <> 0 THEN 99 WHEN (p_partkey % 5 <> 0 OR p_partkey % 2 <> 0) THEN p_size ELSE 0 END AS symbols_version FROM part WHERE (p_partkey % 5 <> 0 OR p_partkey % 2 <> 0) OR p_partkey % 2 = 0""")
 def commit_artifacts(spark, d):
     return _committed(spark, d).artifacts
 
 
-@R.add("committed_chunks", """WITH o AS (SELECT p_partkey AS artifact_id, unnest(range(p_size % 3 + 1))::INT AS ordinal FROM part WHERE p_partkey % 5 <> 0),
+@R.add("committed_chunks", """WITH o AS (SELECT p_partkey AS artifact_id, unnest(range(p_size % 3 + 1))::INT AS ordinal FROM part WHERE (p_partkey % 5 <> 0 OR p_partkey % 2 <> 0)),
 n AS (SELECT p_partkey AS artifact_id, unnest(range(p_size % 5 + 1))::INT AS ordinal FROM part WHERE p_partkey % 2 = 0)
 SELECT *, 'o' || ordinal AS chunk_id FROM o UNION ALL SELECT *, 'n' || ordinal FROM n ANTI JOIN o USING (artifact_id, ordinal)""")
 def committed_chunks(spark, d):
     return _committed(spark, d).artifact_chunks
 
 
-@R.add("committed_symbols", f"""WITH s AS (SELECT DISTINCT l_partkey AS artifact_id, 's' || l_linenumber AS name FROM lineitem WHERE l_partkey % 5 <> 0), n AS (SELECT DISTINCT l_partkey AS artifact_id, 'n' || l_suppkey AS name FROM lineitem)
+@R.add("committed_symbols", f"""WITH s AS (SELECT DISTINCT l_partkey AS artifact_id, 's' || l_linenumber AS name FROM lineitem WHERE (l_partkey % 5 <> 0 OR l_partkey % 2 <> 0)), n AS (SELECT DISTINCT l_partkey AS artifact_id, 'n' || l_suppkey AS name FROM lineitem)
 SELECT * FROM s WHERE NOT ({EXTRACTED}) UNION ALL SELECT * FROM n WHERE {EXTRACTED}""")
 def committed_symbols(spark, d):
     return _committed(spark, d).symbols
 
 
-@R.add("committed_symbol_edges", f"""WITH s AS (SELECT DISTINCT l_partkey AS artifact_id, 's' || l_linenumber AS caller, 's' || l_suppkey AS callee FROM lineitem WHERE l_partkey % 5 <> 0),
+@R.add("committed_symbol_edges", f"""WITH s AS (SELECT DISTINCT l_partkey AS artifact_id, 's' || l_linenumber AS caller, 's' || l_suppkey AS callee FROM lineitem WHERE (l_partkey % 5 <> 0 OR l_partkey % 2 <> 0)),
 n AS (SELECT DISTINCT l_partkey AS artifact_id, 'n' || l_suppkey AS caller, 'n' || l_linenumber AS callee FROM lineitem)
 SELECT * FROM s WHERE NOT ({EXTRACTED}) UNION ALL SELECT * FROM n WHERE {EXTRACTED}""")
 def committed_symbol_edges(spark, d):
