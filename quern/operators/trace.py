@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.config import Graph
+from quern.functions import ranges as R
 from quern.session import materialize
 
 
@@ -102,9 +103,11 @@ def pick_targets(symbols: DataFrame, refs: DataFrame) -> DataFrame:
 
 def innermost(sites: DataFrame, functions: DataFrame) -> DataFrame:
     """site_id, file, pos with the function (file, name, start, end) that starts last before it and ends after it."""
-    f = functions.select(F.col("file").alias("_f"), F.col("name").alias("function"), "start", "end")
-    x = sites.join(f, (F.col("file") == F.col("_f")) & (F.col("start") <= F.col("pos")) & (F.col("pos") < F.col("end")), "left")
-    return x.groupBy("site_id").agg(F.max_by("function", F.struct("start", "function")).alias("function"))
+    f = R.spread(functions.select("file", F.col("name").alias("function"), "start", "end"), F.col("start"), F.col("end"))
+    f = f.groupBy("file", *R.BLOCK).agg(F.max(F.struct("start", "function")).alias("best"))  # a site meets one row of each block
+    at = R.located(sites.select("file", "pos").distinct(), F.col("pos"), f)
+    best = at.join(f, ["file", *R.BLOCK]).groupBy("file", "pos").agg(F.max("best").alias("best"))
+    return sites.join(best, ["file", "pos"], "left").groupBy("site_id").agg(F.max("best").alias("best")).select("site_id", F.col("best")["function"].alias("function"))
 
 
 def once(edges: DataFrame, *extra: str) -> DataFrame:
