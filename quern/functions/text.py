@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,17 +48,23 @@ def split_name(s: Column) -> Column:
     return F.filter(F.split(x, r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
 
 
-def _verbs() -> Column:
-    return F.lit(VERBS)
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body of a value that is made once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def atomic_feature(name: Column) -> Column:
     """Verb and object words of a symbol name, e.g. "handle request"; "operate" where no verb is known."""
-    words = F.transform(split_name(name), lambda w: F.lower(w))
-    at = F.array_position(F.transform(words, lambda w: F.array_contains(_verbs(), w)), F.lit(True)).cast("int")
-    reordered = F.concat(F.slice(words, F.greatest(at, F.lit(1)), F.lit(1)), F.slice(words, F.lit(1), F.greatest(at - 1, F.lit(0))), F.slice(words, at + 1, F.size(words)))
-    chosen = F.when(at > 0, reordered).otherwise(F.concat(F.array(F.lit("operate")), words))
-    return F.when(F.size(words) == 0, F.lit("unknown")).otherwise(F.array_join(F.slice(chosen, 1, FEATURE_WORDS), " "))
+
+    def feature(words: Column) -> Column:
+        at = F.array_position(F.transform(words, lambda w: w.isin(VERBS)), F.lit(True)).cast("int")
+        return F.when(F.size(words) == 0, F.lit("unknown")).otherwise(_once(at, lambda a: F.array_join(F.slice(chosen(words, a), 1, FEATURE_WORDS), " ")))
+
+    def chosen(words: Column, at: Column) -> Column:
+        reordered = F.concat(F.slice(words, F.greatest(at, F.lit(1)), F.lit(1)), F.slice(words, F.lit(1), F.greatest(at - 1, F.lit(0))), F.slice(words, at + 1, F.size(words)))
+        return F.when(at > 0, reordered).otherwise(F.concat(F.array(F.lit("operate")), words))
+
+    return _once(F.transform(split_name(name), lambda w: F.lower(w)), feature)
 
 
 def kebab(feature: Column) -> Column:
@@ -83,9 +91,12 @@ def word_set(features: Column) -> Column:
 
 def cluster_key(feature: Column) -> Column:
     """First word of a feature, or the second where the first is generic; misc for none."""
-    parts = F.filter(F.split(feature, r"[-_/ @]"), lambda w: w != "")
-    first = F.get(parts, F.lit(0))
-    return F.when(F.size(parts) == 0, "misc").when((F.size(parts) >= 2) & first.isin(GENERIC_VERBS), F.get(parts, F.lit(1))).otherwise(first)
+
+    def key(parts: Column) -> Column:
+        first = F.get(parts, F.lit(0))
+        return F.when(F.size(parts) == 0, "misc").when((F.size(parts) >= 2) & first.isin(GENERIC_VERBS), F.get(parts, F.lit(1))).otherwise(first)
+
+    return _once(F.filter(F.split(feature, r"[-_/ @]"), lambda w: w != ""), key)
 
 
 def classify_symbol(feature: Column) -> Column:

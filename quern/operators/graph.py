@@ -139,9 +139,10 @@ def hierarchy_edges(files: DataFrame) -> DataFrame:
 
 def labels(files: DataFrame, nodes: DataFrame, top: int = 3) -> DataFrame:
     """id, label "name [verb, verb, verb]" of areas and categories by the clusters of the symbols below."""
-    x = nodes.select("path", X.cluster_key(F.col("feature")).alias("verb")).where("verb != 'misc'").join(files, "path")
+    x = nodes.groupBy("path", X.cluster_key(F.col("feature")).alias("verb")).agg(F.count("*").alias("n"))  # before the join, so that none is of symbols
+    x = x.where("verb != 'misc'").join(files, "path")
     both = F.array(F.struct(F.concat(F.lit("area:"), "area").alias("id"), F.col("area").alias("name")), F.struct(F.concat(F.lit("cat:"), "area", F.lit("/"), "category").alias("id"), F.col("category").alias("name")))
-    c = x.select(F.inline(both), "verb").groupBy("id", "name", "verb").agg(F.count("*").alias("n"))
+    c = x.select(F.inline(both), "verb", "n").groupBy("id", "name", "verb").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("id").orderBy(F.desc("n"), "verb")
     c = c.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top)
     c = c.groupBy("id", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "verb"))), lambda v: v["verb"]), ", ").alias("verbs"))
