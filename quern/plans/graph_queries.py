@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
+from quern.functions.ranges import overlapping
 from quern.operators import graph as G
 from quern.operators import summarize as S
 from quern.plans.base import Registry
@@ -270,7 +271,7 @@ def range_overlap(spark, d):
     c = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("path"), F.col("p_size").alias("s"), (F.col("p_size") + 7).alias("e"))
     m = p.select(F.col("p_partkey").alias("sym"), F.col("p_brand").alias("path"), (F.col("p_size") * 2).alias("s2"), F.when(F.col("p_partkey") % 3 == 0, 0).otherwise(F.col("p_size") * 2 + 3).alias("e2"))
     m = m.withColumn("e2", X.normalize_end(F.col("s2"), F.col("e2")))
-    x = c.join(m, "path").where("s <= e2 AND s2 <= e")
+    x = overlapping(c, m, "path")
     return x.select("id", "sym", X.overlap_length(F.col("s"), F.col("e"), F.col("s2"), F.col("e2")).cast("long").alias("overlap"))
 
 
