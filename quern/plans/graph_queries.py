@@ -11,7 +11,7 @@ from quern.functions.ranges import overlapping
 from quern.operators import graph as G
 from quern.operators import summarize as S
 from quern.plans.base import Registry
-from quern.session import table
+from quern.session import materialize, table
 
 R = Registry()
 _PREFIX = ["get", "handle", "Validate", "", "parse_", "HTTP"]
@@ -333,8 +333,8 @@ _SUB_ID, _CAT_ID = "'subcat:' || area || '/' || category || '/' || subcategory",
 {_level_sql("ar", f"SELECT DISTINCT 'area:' || area AS id, area AS feature, {_CAT_ID} AS child, category AS own, summary FROM fl JOIN cat ON cat.id = {_CAT_ID}")}
 SELECT * FROM sub UNION ALL SELECT * FROM cat UNION ALL SELECT * FROM ar""")
 def summarized_hierarchy(spark, d):
-    s = nodes(spark, d)
-    placed = G.placed(s)
+    s = materialize(nodes(spark, d).select("path", "feature"), "symbol-nodes")
+    placed = materialize(G.placed(s), "placed")  # read at each level
     none = F.lit(None).cast("string")
     above = G.hierarchy_nodes(placed).select("id", "kind", F.col("name").alias("feature"), none.alias("label"), none.alias("summary"))
     files = G.file_nodes(placed, s).select("id", "kind", "feature", none.alias("label"), none.alias("summary"))
