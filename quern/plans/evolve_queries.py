@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from quern.operators import evolve as V
 from quern.plans.base import Registry
 from quern.plans.graph_queries import CLUSTERS, UNIQUE, unique_nodes
+from quern.session import materialize
 
 R = Registry()
 
 
 def _evolved(spark, d):
     """Of every eight files one is deleted, one modified (it loses every third symbol), one renamed and one new; a whole category goes."""
-    s = unique_nodes(spark, d).withColumn("f", F.col("p_partkey") % 40 % 8).withColumn("gone", F.startswith("path", F.lit("area1/cat3/")))
+    s = materialize(unique_nodes(spark, d), "symbol-nodes")  # read by both sides and the changes
+    s = s.withColumn("f", F.col("p_partkey") % 40 % 8).withColumn("gone", F.startswith("path", F.lit("area1/cat3/")))
     lean = lambda x: x.drop("f", "gone", "p_partkey")
     old = lean(s.where("f != 3 OR gone"))
     op = F.when(F.col("gone") | (F.col("f") == 0), "delete").when(F.col("f") == 1, "modify").when(F.col("f") == 2, "rename").when(F.col("f") == 3, "create")
