@@ -348,8 +348,8 @@ UNION SELECT 'area:' || area, {_CAT_ID}, 'feature_parent' FROM fl UNION SELECT {
 
 def _tree(spark, d):
     """Nodes (id, kind, path, feature), edges and placed files of the parts' tree."""
-    s = unique_nodes(spark, d)
-    placed = G.placed(s)
+    s = materialize(unique_nodes(spark, d).select("id", "kind", "path", "feature"), "symbol-nodes")  # read by each part of the tree
+    placed = materialize(G.placed(s), "placed")
     above = G.hierarchy_nodes(placed).select("id", "kind", F.lit(None).cast("string").alias("path"), F.col("name").alias("feature"))
     n = s.select("id", "kind", "path", "feature").unionByName(above).unionByName(G.file_nodes(placed, s).select("id", "kind", "path", "feature"))
     return n, G.contains_edges(s).unionByName(G.hierarchy_edges(placed)), placed
