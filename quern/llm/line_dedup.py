@@ -10,8 +10,8 @@ strictest template that enough texts share. Exact copies of a text count once, s
 lines templates, and a text has one vote for each token. Of a template the lines of the document with the smallest doc_id
 stay, and all others are dropped. Lines of fewer than ``min_tokens`` tokens are left alone; with 1 all lines are judged.
 
-Lines and templates are told apart by two hashes of 64 bits with different seeds. Only these are shuffled; tokens are
-looked at only in leaves that enough texts share. Counts are partial sums; joins on lines, tokens and templates go through
+Lines and templates are told apart by two hashes of 64 bits with different seeds. Only these are shuffled; the lines are
+written beside them once, and read again and cut into tokens only in leaves that enough texts share. Counts are partial sums; joins on lines, tokens and templates go through
 ``split_join``, so a line that a third of all texts hold is spread over all tasks.
 
 Edge cases: null and empty texts have no lines and are returned as they are; documents that lose every line are dropped
@@ -94,8 +94,7 @@ def _needed(tokens: Column) -> Column:
 
 def recurring(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """doc, copy, at and first of every line of a recurring template."""
-    found = lines(docs, min_tokens)
-    slim = materialize(found.select("doc", "copy", "at", "tokens", "leaf", "key", "check"), "lines")
+    slim = materialize(lines(docs, min_tokens).select("doc", "copy", "at", "line", "tokens", "leaf", "key", "check"), "lines")  # texts are split once
     needed = _needed(F.col("tokens"))
     exact = materialize(_texts_of(slim, "key", "check", "leaf", "tokens"), "different")
     known = exact.where(F.col("texts") >= needed).select("key", "check", "first", "n")
@@ -109,10 +108,10 @@ def recurring(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     if not n:
         return by_exact
     if n <= BROADCAST_ROWS:
-        words = found.join(F.broadcast(wanted.drop("n")), ["key", "check"], "left_semi")
+        words = slim.join(F.broadcast(wanted.drop("n")), ["key", "check"], "left_semi")
     else:  # without the templates of so many rows that they would crowd a task
         often = known.where(F.col("n") > max(HOT, slim.count() // HOT_KEYS)).select("key", "check")
-        words = split_join(found.join(F.broadcast(often), ["key", "check"], "left_anti"), wanted, "key", "check", total=slim.count()).drop("n")
+        words = split_join(slim.join(F.broadcast(often), ["key", "check"], "left_anti"), wanted, "key", "check", total=slim.count()).drop("n")
     return by_exact.unionByName(_by_shape(materialize(words, "words")))
 
 

@@ -363,3 +363,20 @@ def test_matches(spark):
     sets = [set(spotsigs.signatures(t or "", h).tolist()) for t in texts]
     want = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.75}
     assert {(r.a, r.b) for r in spotsigs.matches(docs).collect()} == want and want
+
+
+def test_line_dedup_reads_texts_once(spark):
+    """The lines of the templates come from the written lines, not from another pass over all texts."""
+    from quern.llm import line_dedup
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(it):
+        for batch in it:
+            seen.add(batch.num_rows)
+            yield batch
+
+    texts = [(i, f"alpha beta gamma delta epsilon {'abcdefgh'[i]}x zeta eta theta iota\nown {'abcdefgh'[i]} words here") for i in range(8)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").mapInArrow(count, "doc_id long, text string")
+    found = line_dedup.recurring(docs).where("doc != first").count()
+    assert (found, seen.value) == (7, 8)
