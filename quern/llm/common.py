@@ -144,8 +144,8 @@ class Scratch:
     def __init__(self) -> None:
         self.tables: list[DataFrame] = []
 
-    def __call__(self, df: DataFrame, name: str) -> DataFrame:
-        self.tables.append(materialize(df, name))
+    def __call__(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+        self.tables.append(materialize(df, name, compression))
         return self.tables[-1]
 
     def drop_all_but(self, *kept: DataFrame) -> None:

@@ -10,9 +10,11 @@ strictest template that enough texts share. Exact copies of a text count once, s
 lines templates, and a text has one vote for each token. Of a template the lines of the document with the smallest doc_id
 stay, and all others are dropped. Lines of fewer than ``min_tokens`` tokens are left alone; with 1 all lines are judged.
 
-Lines and templates are told apart by two hashes of 64 bits with different seeds. Only these are shuffled; the lines are
-written beside them once, and read again and cut into tokens only in leaves that enough texts share. Counts are partial sums; joins on lines, tokens and templates go through
-``split_join``, so a line that a third of all texts hold is spread over all tasks.
+Lines, tokens and templates are told apart by two hashes of 64 bits with different seeds. Only these are shuffled; the
+lines are written beside them once, and read again in leaves that enough texts share. There each different line is cut into
+tokens: small leaves within a task, without a shuffle of tokens; others, and those of which a text has several lines, over all
+tasks. Counts are partial sums; joins on lines, tokens and templates go through ``split_join``, so a line that a third of all
+texts hold is spread over all tasks. Written tables go once their readers are done, so they don't add to the shuffle of texts.
 
 Edge cases: null and empty texts have no lines and are returned as they are; documents that lose every line are dropped
 by ``dedup`` but kept, with an empty text, by ``clean``; rows with equal doc_id and text are treated alike; rows without a
@@ -23,15 +25,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import HOT, HOT_KEYS, documents, materialize, split_join
+from quern.llm.common import HOT, HOT_KEYS, Scratch, documents, split_join
 
 DEPTH, MIN_TEXTS, LONG, MIN_TOKENS, SIMILAR = 4, 5, 100, 3, 0.8
 LAST = 2**63 - 1
 #: Lines of 16 bytes each that are sent to every executor; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Tokens of a leaf that one task takes at most, and of leaves that it takes together; larger leaves are dealt over tasks.
+LEAF_TOKENS, TASK_TOKENS = 100_000, 250_000
 
 
 def _any(text: Column, *parts: str) -> Column:
@@ -93,45 +97,90 @@ def _needed(tokens: Column) -> Column:
 
 
 def recurring(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """doc, copy, at and first of every line of a recurring template."""
-    slim = materialize(lines(docs, min_tokens).select("doc", "copy", "at", "line", "tokens", "leaf", "key", "check"), "lines")  # texts are split once
+    """doc, copy, at and first of every line of a recurring template, written; what it was made from is deleted."""
+    scratch = Scratch()
+    slim = scratch(lines(docs, min_tokens).select("doc", "copy", "at", "line", "tokens", "leaf", "key", "check"), "lines", "zstd")  # texts are split once
     needed = _needed(F.col("tokens"))
-    exact = materialize(_texts_of(slim, "key", "check", "leaf", "tokens"), "different")
-    known = exact.where(F.col("texts") >= needed).select("key", "check", "first", "n")
-    by_exact = split_join(slim.select("doc", "copy", "at", "key", "check"), known, "key", "check").select("doc", "copy", "at", "first")
+    exact = scratch(_texts_of(slim, "key", "check", "leaf", "tokens"), "different")
+    known = scratch(exact.where(F.col("texts") >= needed).select("key", "check", "first", "n"), "known")
+    if known.count() <= BROADCAST_ROWS:
+        by_exact = slim.join(F.broadcast(known.drop("n")), ["key", "check"])
+    else:
+        by_exact = split_join(slim.select("doc", "copy", "at", "key", "check"), known, "key", "check")
+    by_exact = by_exact.select("doc", "copy", "at", "first")
 
     # lines of leaves in which enough texts may be left
     rest = exact.where(F.col("texts") < needed)
     leaves = rest.groupBy("leaf", "tokens").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= needed).select("leaf")
-    wanted = materialize(rest.join(leaves, "leaf", "left_semi").select("key", "check", "n"), "wanted")
+    wanted = scratch(rest.join(leaves, "leaf", "left_semi").select("key", "check", "n"), "wanted")
     n = wanted.count()
     if not n:
-        return by_exact
-    if n <= BROADCAST_ROWS:
-        words = slim.join(F.broadcast(wanted.drop("n")), ["key", "check"], "left_semi")
-    else:  # without the templates of so many rows that they would crowd a task
-        often = known.where(F.col("n") > max(HOT, slim.count() // HOT_KEYS)).select("key", "check")
-        words = split_join(slim.join(F.broadcast(often), ["key", "check"], "left_anti"), wanted, "key", "check", total=slim.count()).drop("n")
-    return by_exact.unionByName(_by_shape(materialize(words, "words")))
+        out = by_exact
+    else:
+        if n <= BROADCAST_ROWS:
+            words = slim.join(F.broadcast(wanted.drop("n")), ["key", "check"], "left_semi")
+        else:  # without the templates of so many rows that they would crowd a task
+            often = known.where(F.col("n") > max(HOT, slim.count() // HOT_KEYS)).select("key", "check")
+            words = split_join(slim.join(F.broadcast(often), ["key", "check"], "left_anti"), wanted, "key", "check", total=slim.count()).drop("n")
+        out = by_exact.unionByName(_by_shape(scratch(words, "words"), scratch))
+    out = scratch(out, "recurring")
+    scratch.drop_all_but(out)
+    return out
+
+
+def _tokens(rows: DataFrame, *columns: str) -> DataFrame:
+    """The columns and two hashes (leaf, position and token) of each token of the lines."""
+    every = rows.select(*columns, "leaf", F.posexplode(F.split("line", " ")).alias("pos", "token"))
+    return every.select(*columns, "leaf", *(h.alias(f"token_{i}") for i, h in enumerate(_hashes(F.struct("leaf", "pos", "token")))))
+
+
+def _few(different: DataFrame, parts: int) -> DataFrame:
+    """The fixed tokens of lines in small leaves of which a text has one line, so a token has the votes of its lines; a leaf
+    is in one task."""
+    every = _tokens(different.repartition(parts, "leaf"), "key", "check", "tokens", "texts")
+    own = Window.partitionBy("token_0", "token_1", "leaf")
+    return every.withColumn("texts", F.sum("texts").over(own)).withColumn("needed", _needed(F.col("tokens"))).where("texts >= needed")
+
+
+def _many(different: DataFrame, words: DataFrame) -> DataFrame:
+    """The fixed tokens of lines in any leaves; no leaf or token is gathered in a task."""
+    held = words.select("key", "check", "copy").distinct()  # as few texts as don't make the line a template
+    needed = _needed(F.col("tokens"))  # a leaf's lines have equally many tokens
+    # a text has one vote for each token of a position; n is the number of different lines that have it
+    votes = _tokens(different.drop("texts").join(held, ["key", "check"]), "tokens", "copy").groupBy("tokens", "token_0", "token_1", "copy").agg(F.lit(1).alias("one"))
+    votes = votes.groupBy("tokens", "token_0", "token_1").agg(F.count("*").alias("texts")).where(F.col("texts") >= needed).withColumn("needed", needed).drop("tokens")
+    every = _tokens(different, "key", "check", "tokens")
+    rows = every.groupBy("token_0", "token_1").agg(F.count("*").alias("n"))
+    return split_join(every, votes.join(rows, ["token_0", "token_1"]), "token_0", "token_1", total=different.agg(F.sum("tokens")).first()[0] or 0)
 
 
-def _by_shape(words: DataFrame) -> DataFrame:
-    """doc, copy, at and first of the lines of templates with variable fields."""
-    every = words.select("leaf", "key", "check", "tokens", "copy", F.posexplode(F.split("line", " ")).alias("pos", "token"))
-    # a text has one vote for each token of a position; n is the number of different lines that have it
-    needed = _needed(F.col("tokens"))  # a leaf's lines have equally many tokens
-    votes = every.groupBy("leaf", "tokens", "pos", "token", "copy").agg(F.lit(1).alias("one")).groupBy("leaf", "tokens", "pos", "token").agg(F.count("*").alias("texts"))
-    different = materialize(every.drop("copy").distinct(), "tokens")
-    rows = different.groupBy("leaf", "pos", "token").agg(F.count("*").alias("n"))
-    fixed = votes.where(F.col("texts") >= needed).withColumn("needed", needed).drop("tokens").join(rows, ["leaf", "pos", "token"])
+def _shapes(fixed: DataFrame) -> DataFrame:
+    """key, check, tokens, level and two hashes of the set of fixed tokens, for each level of the lines that are of a template."""
     levels = F.expr("filter(sequence(0, 30), k -> texts >= shiftleft(needed, 2 * k))")
-    held = split_join(different, fixed, "leaf", "pos", "token").select("leaf", "key", "check", "tokens", "pos", "token", F.explode(levels).alias("level"))
-    shape = held.groupBy("leaf", "key", "check", "tokens", "level").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("shape")).where(F.size("shape") >= F.col("tokens") * SIMILAR)
-    named = [h.alias(f"shape_{i}") for i, h in enumerate(_hashes(F.struct("leaf", "tokens", "level", "shape")))]
-    shape = shape.select("key", "check", "level", "tokens", *named)
-    per_line = words.groupBy("key", "check").agg(F.count("*").alias("n")).join(shape.groupBy("key", "check").agg(F.collect_list(F.struct("level", "tokens", "shape_0", "shape_1")).alias("shapes")), ["key", "check"])
+    level = F.explode(F.when(F.expr("texts < shiftleft(needed, 2)"), F.array(F.lit(0))).otherwise(levels)).alias("level")
+    held = fixed.select("leaf", "key", "check", "tokens", "token_0", "token_1", level)
+    shape = held.groupBy("leaf", "key", "check", "tokens", "level").agg(F.count("*").alias("size"), F.bit_xor("token_0").alias("set_0"), F.bit_xor("token_1").alias("set_1")).where(F.col("size") >= F.col("tokens") * SIMILAR)
+    named = [h.alias(f"shape_{i}") for i, h in enumerate(_hashes(F.struct("leaf", "tokens", "level", "size", "set_0", "set_1")))]
+    return shape.select("key", "check", "level", "tokens", *named)
+
+
+def _by_shape(words: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc, copy, at and first of the lines of templates with variable fields."""
+    needed = _needed(F.col("tokens"))
+    different = words.groupBy("leaf", "key", "check", "tokens").agg(F.first("line").alias("line"), F.size(F.collect_set("copy")).alias("texts"), F.count("*").alias("n"))
+    different = scratch(different, "distinct")
+    size = different.groupBy("leaf").agg(F.sum("tokens").alias("tokens"), F.sum("texts").alias("texts"))
+    copies = words.select("leaf", "copy").distinct().groupBy("leaf").agg(F.count("*").alias("copies"))
+    size = scratch(size.join(copies, "leaf").select("leaf", "tokens", ((F.col("texts") == F.col("copies")) & (F.col("tokens") <= LEAF_TOKENS)).alias("few")), "leaves")
+    total = {r.few: r.total for r in size.groupBy("few").agg(F.sum("tokens").alias("total")).collect()}
+    shapes = []
+    for few in total:
+        own = different.join(size.where(F.col("few") == few), "leaf", "left_semi").drop("n")
+        shapes.append(_shapes(_few(own, total[few] // TASK_TOKENS + 1) if few else _many(own, words)))
+    shape = reduce(DataFrame.unionByName, shapes)
+    per_line = different.select("key", "check", "n").join(shape.groupBy("key", "check").agg(F.collect_list(F.struct("level", "tokens", "shape_0", "shape_1")).alias("shapes")), ["key", "check"])
     rows = split_join(words.select("doc", "copy", "at", "key", "check"), per_line, "key", "check").drop("n")
-    rows = materialize(rows.select("doc", "copy", "at", "key", "check", F.inline("shapes")), "shaped")
+    rows = scratch(rows.select("doc", "copy", "at", "key", "check", F.inline("shapes")), "shaped")
     general = _texts_of(rows, "shape_0", "shape_1", "tokens").where(F.col("texts") >= needed).select("shape_0", "shape_1", "first", "n")
     own = split_join(rows.drop("tokens"), general, "shape_0", "shape_1")
     return own.groupBy("doc", "copy", "at").agg(F.min_by("first", "level").alias("first"))

@@ -380,3 +380,44 @@ def test_line_dedup_reads_texts_once(spark):
     docs = spark.createDataFrame(texts, "doc_id long, text string").mapInArrow(count, "doc_id long, text string")
     found = line_dedup.recurring(docs).where("doc != first").count()
     assert (found, seen.value) == (7, 8)
+
+
+def _lines_of_leaves():
+    """Texts with near copies of long lines, of which a text has one, and several short lines of one leaf."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(120):
+        long = " ".join(f"{'abcdef'[rng.randrange(6)]}x" if k in (20, 41, i % 9 + 5) else f"{chr(97 + k % 26)}word" for k in range(70))
+        short = [f"please see the note {rng.choice('abcdef')} about {rng.choice('xyz')} in our list" for _ in range(rng.randint(0, 3))]
+        rows.append((i, "\n".join([*short, f"{'abc'[i % 3]} {long}"])))
+    return [*rows, rows[0], (None, rows[1][1]), (500, rows[2][1]), (501, None), (502, "")]
+
+
+@pytest.mark.parametrize("small", [0, 1000, 10**9])
+def test_small_and_large_leaves(spark, monkeypatch, small):
+    """Leaves judged within a task and leaves dealt over tasks give what dictionaries give."""
+    monkeypatch.setattr(line_dedup, "LEAF_TOKENS", small)
+    rows = _lines_of_leaves()
+    got = line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text").collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(brute_lines(rows))
+
+
+def test_line_dedup_leaves_one_table(spark):
+    """Of the tables it writes only its result stays, so they don't add to the disk of the shuffle of texts."""
+    from quern import session
+
+    before = len(session._written(spark))
+    found = line_dedup.recurring(spark.createDataFrame(_lines_of_leaves(), "doc_id long, text string"))
+    assert [p.split("/")[-1].split("-")[0] for p in session._written(spark)[before:]] == ["recurring"] and found.count()
+    line_dedup.recurring(spark.createDataFrame([], "doc_id long, text string"))
+    assert len(session._written(spark)) == before + 2
+
+
+def test_small_leaves_shuffle_no_tokens(spark):
+    """The fixed tokens and shapes of small leaves take the one shuffle of their lines."""
+    rows = [("k", "c", 5, 9, 3, "one line of nine tokens that stands for many")]
+    different = spark.createDataFrame(rows, "key string, check string, leaf long, tokens int, texts int, line string")
+    shapes = line_dedup._shapes(line_dedup._few(different, 4))
+    shapes.collect()
+    text = shapes._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert text.count("Exchange hashpartitioning") == 1
