@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = ["_level", "_block"]
+PIECE = 256  #: rows of an equal range that meet others as one; two pieces make at most its square of pairs
+SALTS = 1024  #: keys over which the rows of an equal range are gathered
+ROWS = 20_000  #: rows of the first side for each task that makes pairs
 
 
 def blocks(start: Column, stop: Column) -> Column:
@@ -36,12 +39,32 @@ def located(points: DataFrame, pos: Column, spread: DataFrame) -> DataFrame:
     return x.withColumn("_block", F.call_function("shiftright", pos.cast("long"), F.col("_level")))
 
 
-def overlapping(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+def packed(rows: DataFrame, name: str, *by: str) -> DataFrame:
+    """Rows in pieces of equal by: an array (name) of at most PIECE structs of the other columns.
+
+    They are gathered over SALTS keys first, and only lists shorter than a piece are joined, so no array has a whole large group.
+    """
+    row = F.struct(*[F.col(c) for c in rows.columns if c not in by])
+    x = rows.groupBy(*by, F.pmod(F.xxhash64(row), F.lit(SALTS)).alias("_salt")).agg(F.collect_list(row).alias(name))
+    x = x.groupBy(*by, F.when(F.size(name) >= PIECE, F.col("_salt")).alias("_salt")).agg(F.flatten(F.collect_list(name)).alias(name))
+    return x.select(*by, F.explode(F.transform(F.sequence(F.lit(1), F.size(name), F.lit(PIECE)), lambda i: F.slice(name, i, PIECE))).alias(name))
+
+
+def overlapping(a: DataFrame, b: DataFrame, *keys: str, made: dict[str, Column] | None = None) -> DataFrame:
     """Rows of a (keys, s, e) with those of b (keys, s2, e2) whose ranges, ends included, share an integer; each pair once.
 
-    Either the second range begins in the first, or the first begins behind the second's start and in it.
+    Either the second range begins in the first, or the first begins behind the second's start and in it. Rows of equal
+    ranges meet in pieces, and their pairs are made behind the join; columns to be made of keys and ends are made once for
+    two pieces. AQE would size the tasks by their input, which tells nothing of the pairs they make, so the pieces that met
+    are dealt over a given number of tasks; it grows with the rows of a, which are counted for it.
     """
-    first, second = spread(a, F.col("s"), F.col("e") + 1), spread(b, F.col("s2") + 1, F.col("e2") + 1)
-    x = first.join(located(b, F.col("s2"), first), [*keys, *BLOCK]).where("s <= e2")
-    y = located(a, F.col("s"), second).join(second, [*keys, *BLOCK]).where("s2 <= e")
-    return x.unionByName(y).drop(*BLOCK)
+    left, right = packed(a, "_a", *keys, "s", "e"), packed(b, "_b", *keys, "s2", "e2")
+    of_a, of_b = (F.col("s"), F.col("e") + 1), (F.col("s2") + 1, F.col("e2") + 1)
+    first, second = spread(left, *of_a), spread(right, *of_b)
+    x = first.join(located(right, F.col("s2"), spread(a.select("s", "e"), *of_a)), [*keys, *BLOCK]).where("s <= e2")
+    y = located(left, F.col("s"), spread(b.select("s2", "e2"), *of_b)).join(second, [*keys, *BLOCK]).where("s2 <= e")
+    tasks = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-a.count() // ROWS))
+    ends = [*keys, "s", "e", "s2", "e2"]
+    x = x.unionByName(y).select(*ends, *[c.alias(n) for n, c in (made or {}).items()], "_a", "_b")
+    x = x.repartition(tasks, *ends, F.col("_a")[0], F.col("_b")[0])
+    return x.select("*", F.inline("_a")).drop("_a").select("*", F.inline("_b")).drop("_b")

@@ -271,8 +271,8 @@ def range_overlap(spark, d):
     c = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("path"), F.col("p_size").alias("s"), (F.col("p_size") + 7).alias("e"))
     m = p.select(F.col("p_partkey").alias("sym"), F.col("p_brand").alias("path"), (F.col("p_size") * 2).alias("s2"), F.when(F.col("p_partkey") % 3 == 0, 0).otherwise(F.col("p_size") * 2 + 3).alias("e2"))
     m = m.withColumn("e2", X.normalize_end(F.col("s2"), F.col("e2")))
-    x = overlapping(c, m, "path")
-    return x.select("id", "sym", X.overlap_length(F.col("s"), F.col("e"), F.col("s2"), F.col("e2")).cast("long").alias("overlap"))
+    shared = X.overlap_length(F.col("s"), F.col("e"), F.col("s2"), F.col("e2")).cast("long")
+    return overlapping(c, m, "path", made={"overlap": shared}).select("id", "sym", "overlap")
 
 
 def _built(spark, d):

@@ -32,3 +32,39 @@ def test_overlapping_pairs_once(spark):
     want = sorted((i, j) for i, f, s, e in a for j, g, s2, e2 in b if f == g and None not in (f, s2) and s <= e2 and s2 <= e)
     assert sorted((x["i"], x["j"]) for x in df.collect()) == want
     assert all("_block" in j for j in _joins(df))
+
+
+def test_equal_ranges_meet_in_pieces_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(R, "PIECE", 50)
+    a = spark.range(0, 700, 1, 3).selectExpr("id AS i", "'f' AS path", "3 AS s", "9 AS e")
+    b = spark.range(0, 400, 1, 3).selectExpr("id AS j", "'f' AS path", "7 AS s2", "7 + cast(id % 2 AS int) AS e2")
+    df = R.overlapping(a, b, "path")
+    assert df.columns == ["path", "s", "e", "s2", "e2", "i", "j"]
+    assert df.select("i", "j").distinct().count() == 280_000
+    parts = [r["count"] for r in df.groupBy(R.F.spark_partition_id()).count().collect()]
+    assert sum(parts) == 280_000 and len(parts) == 4 and max(parts) < 140_000
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan[plan.index("Join ") :]
+    monkeypatch.setattr(R, "ROWS", 50)
+    assert R.overlapping(a, b, "path").rdd.getNumPartitions() == 14
+
+
+def test_pieces_keep_all_rows_and_their_nulls(spark, monkeypatch):
+    rows = [("f", 1, 2, i) for i in range(100)] + [("f", 1, 2, 7)] * 60 + [("f", 1, 2, None)] * 3 + [("f", 1, None, 5), (None, 1, 2, 6), ("g", 5, 1, 8)]
+    df = spark.createDataFrame(rows, "path string, s int, e int, i int")
+    for piece, salts in ((256, 1024), (16, 2), (16, 1024), (1, 1)):
+        monkeypatch.setattr(R, "PIECE", piece)
+        monkeypatch.setattr(R, "SALTS", salts)
+        got = R.packed(df, "_a", "path", "s", "e").collect()
+        assert max(len(r["_a"]) for r in got) <= piece
+        assert sorted(((r["path"], r["s"], r["e"], x["i"]) for r in got for x in r["_a"]), key=repr) == sorted(rows, key=repr)
+
+
+def test_overlapping_repeats_empty_tables_and_made_columns(spark):
+    a = spark.createDataFrame([("f", 1, 4, 1), ("f", 1, 4, 1), ("f", 1, 4, None), ("g", 1, 4, 2)], "path string, s int, e int, i int")
+    b = spark.createDataFrame([("f", 3, 9, "x"), ("f", 3, 9, "x"), ("f", 5, 9, "y")], "path string, s2 int, e2 int, j string")
+    df = R.overlapping(a, b, "path", made={"common": R.F.least("e", "e2") - R.F.greatest("s", "s2") + 1})
+    want = [(i, "x", 2) for i in (1, 1, 1, 1, None, None)]
+    assert sorted(((r["i"], r["j"], r["common"]) for r in df.collect()), key=repr) == sorted(want, key=repr)
+    assert R.overlapping(a.drop("i"), b.drop("j"), "path").count() == 6
+    assert not R.overlapping(a.limit(0), b, "path").count() and not R.overlapping(a, b.limit(0), "path").count()
